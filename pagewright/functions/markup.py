@@ -18,7 +18,8 @@ NOT_TEXT = (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?
 AROUND_TEXT = (r"(?is)<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<footer\b.*?(?:</footer\s*>|\z)"
                r"|<aside\b.*?</aside\s*>|<form\b.*?</form\s*>"
                r"|<div\b[^>]*\bclass=\"(?:ad|ads|advert|advertisement)\"[^>]*>[^<]*(?:</div\s*>|\z)")
-ARTICLE = r"(?is)<(?:article|main)\b[^>]*>(.*?)(?:</(?:article|main)\s*>|\z)"
+# All of a page around its first article or main part that is not empty.
+ARTICLE = (r"(?is)\A.*?<(?:article|main)\b[^>]*>(?!\s*</(?:article|main)\s*>)(.*?)(?:</(?:article|main)\s*>.*|\z)")
 BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|main|blockquote|pre|td|th)\b[^>]*>"
 H1 = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
@@ -36,12 +37,29 @@ def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def without_scripts(body: Column) -> Column:
+    """A page's markup without comments, scripts and styles."""
+    return F.regexp_replace(body, NOT_TEXT, " ")
+
+
+def title_in(markup: Column) -> Column:
+    """The title of markup ``without_scripts``: the first heading, else the ``<title>``."""
+    heading = _one_line(_decoded(F.regexp_replace(F.regexp_extract(markup, H1, 1), r"<[^>]*>", "")))
+    title = _one_line(_decoded(F.regexp_extract(markup, TITLE, 1)))
+    return F.regexp_extract(F.concat(heading, F.lit("\n"), title), r"([^\n]+)", 1)
+
+
+def text_in(markup: Column) -> Column:
+    """The text of markup ``without_scripts``."""
+    part = F.regexp_replace(F.regexp_replace(markup, AROUND_TEXT, " "), ARTICLE, "$1")
+    lines = F.regexp_replace(F.regexp_replace(part, BREAKS, "\n"), r"<[^>]*(?:>|\z)", "")
+    tidy = F.regexp_replace(F.regexp_replace(_decoded(lines), r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
+    return F.trim(F.regexp_replace(tidy, r"^\n+|\n+$", ""))
+
+
 def html_title(body: Column) -> Column:
     """The page's title: its first article heading, else its ``<title>``."""
-    text = F.regexp_replace(body, NOT_TEXT, " ")
-    heading = _one_line(_decoded(F.regexp_replace(F.regexp_extract(text, H1, 1), r"<[^>]*>", "")))
-    title = _one_line(_decoded(F.regexp_extract(text, TITLE, 1)))
-    return F.when(heading != "", heading).otherwise(title)
+    return title_in(without_scripts(body))
 
 
 def markdown_title(body: Column) -> Column:
@@ -51,15 +69,10 @@ def markdown_title(body: Column) -> Column:
 def main_text(body: Column) -> Column:
     """The text of a page without scripts, navigation, footers and advertisements.
 
-    Where the page marks an article or a main part, that part; else everything left. One pass of native expressions over
-    a page, tolerant of unclosed tags.
+    Where the page marks an article or a main part, that part; else everything left. Native expressions only, tolerant of
+    unclosed tags.
     """
-    kept = F.regexp_replace(F.regexp_replace(body, NOT_TEXT, " "), AROUND_TEXT, " ")
-    article = F.regexp_extract(kept, ARTICLE, 1)
-    part = F.when(article.rlike(r"[^\s]"), article).otherwise(kept)
-    lines = F.regexp_replace(F.regexp_replace(part, BREAKS, "\n"), r"<[^>]*(?:>|\z)", "")
-    tidy = F.regexp_replace(F.regexp_replace(_decoded(lines), r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.trim(F.regexp_replace(tidy, r"^\n+|\n+$", ""))
+    return text_in(without_scripts(body))
 
 
 # --- attribute values ---------------------------------------------------------------------

@@ -5,26 +5,30 @@ link that cannot be read must cost only itself.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
-HOST = r"^(?:[^\s\[\]<>\\^`{|}%\"':@]+|\[[0-9A-Fa-f:.]+\])$"
+BASE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+# a host that could exist: not empty, not ``www.`` alone, no stray bracket or blank in it
+WEB_URL = (r"(?i)^https?://(?:[^/?#]*@)?(?!www\.?(?:[:/?#]|$))(?:[^\s\[\]<>\\^`{|}%\"':@/?#]+|\[[0-9a-f:.]+\])"
+           r"(?::[0-9]*)?(?:[/?#]|$)")
 #: Longest stem of a saved file's name.
 SLUG_CHARS = 120
 
-
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, URL, 1))
+# The functions nest one pattern in the next and name their input once, so that no part is computed twice.
 
 
-def authority(url: Column) -> Column:
-    """Host and port, without credentials."""
-    return F.lower(F.regexp_replace(F.regexp_extract(url, URL, 2), r"^.*@", ""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def authority_host(url: Column) -> Column:
-    return F.regexp_replace(authority(url), r":[0-9]*$", "")
+    """The host, without credentials and port."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
 
 
 def bare_host(url: Column) -> Column:
@@ -32,44 +36,34 @@ def bare_host(url: Column) -> Column:
     return F.regexp_replace(authority_host(url), r"^www\.", "")
 
 
-def port(url: Column) -> Column:
-    """The port as text, empty where it is the scheme's own."""
-    number = F.regexp_extract(authority(url), r":([0-9]+)$", 1)
-    own = ((scheme(url) == "https") & (number == "443")) | ((scheme(url) == "http") & (number == "80"))
-    return F.when(own, "").otherwise(number)
-
-
 def path(url: Column) -> Column:
     return F.regexp_extract(url, URL, 3)
 
 
-def query(url: Column) -> Column:
-    return F.regexp_extract(url, URL, 4)
-
-
 def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"#[\s\S]*$", "")
 
 
 def valid_web_url(url: Column) -> Column:
     """An http(s) URL whose host could exist: ``www.`` alone, an open bracket or no host at all could not."""
-    host = authority_host(url)
-    return F.coalesce(scheme(url).isin("http", "https") & host.rlike(HOST) & (F.regexp_replace(host, r"^www\.?", "") != ""),
-                      F.lit(False))
+    return F.coalesce(url.rlike(WEB_URL), F.lit(False))
 
 
-def _port_part(url: Column) -> Column:
-    number = port(url)
-    return F.when(number == "", "").otherwise(F.concat(F.lit(":"), number))
+def _plain_port(base: Column) -> Column:
+    """Scheme, host and port without the port that is the scheme's own."""
+    own = r"^(https://(?:\[[^\]]*\]|[^:]*)):443$|^(http://(?:\[[^\]]*\]|[^:]*)):80$"
+    return F.regexp_replace(base, own, "$1$2")
 
 
 def origin(url: Column) -> Column:
-    return F.concat(scheme(url), F.lit("://"), authority_host(url), _port_part(url))
+    base = F.lower(F.regexp_extract(url, BASE, 1))
+    return _plain_port(F.regexp_replace(base, r"^([a-z][a-z0-9+.-]*://)(?:.*@)?", "$1"))
 
 
 def site_of(url: Column) -> Column:
     """What makes two URLs one site: scheme, host without ``www.``, port."""
-    return F.concat(scheme(url), F.lit("://"), bare_host(url), _port_part(url))
+    base = F.lower(F.regexp_extract(url, BASE, 1))
+    return _plain_port(F.regexp_replace(base, r"^([a-z][a-z0-9+.-]*://)(?:.*@)?(?:www\.)?", "$1"))
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -78,8 +72,8 @@ def same_site(a: Column, b: Column) -> Column:
 
 def url_key(url: Column) -> Column:
     """A page's identity: its site, path and query. The fragment and ``www.`` name no other page."""
-    where = path(url)
-    return F.concat(site_of(url), F.when(where == "", "/").otherwise(where), query(url))
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return F.concat(site_of(url), F.regexp_replace(rest, r"^(?!/)", "/"))
 
 
 def url_slug(url: Column, max_chars: int = SLUG_CHARS) -> Column:
@@ -92,13 +86,15 @@ def url_slug(url: Column, max_chars: int = SLUG_CHARS) -> Column:
 
 def _without_dots(path_: Column) -> Column:
     """A path with its ``.`` and ``..`` steps taken (RFC 3986, 5.2.4)."""
-    steps = F.split(path_, "/")
-    walked = F.aggregate(
-        steps, F.array().cast("array<string>"),
-        lambda done, step: F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
-        .when(step == ".", done).otherwise(F.concat(done, F.array(step))))
-    closed = F.when(path_.rlike(r"/\.{1,2}$"), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.when(path_.contains("/."), F.array_join(closed, "/")).otherwise(path_)
+    def walked(p: Column) -> Column:
+        steps = F.split(F.regexp_replace(p, r"/(\.{1,2})$", "/$1/"), "/")
+        return F.aggregate(
+            steps, F.array().cast("array<string>"),
+            lambda done, step: F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+            .when(step == ".", done).otherwise(F.concat(done, F.array(step))),
+            lambda done: F.array_join(done, "/"))
+
+    return let(path_, lambda p: F.when(p.contains("/."), walked(p)).otherwise(p))
 
 
 def resolve_href(base: Column, href: Column) -> Column:
@@ -108,17 +104,22 @@ def resolve_href(base: Column, href: Column) -> Column:
     relative paths.
     """
     target = without_fragment(F.regexp_replace(F.trim(href), r"[\t\n\r]", ""))
-    has_scheme = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    host_root = F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    base_path = F.when(path(base) == "", "/").otherwise(path(base))
-    ref_path = F.regexp_extract(target, r"^([^?]*)", 1)
-    ref_query = F.regexp_extract(target, r"(\?[\s\S]*)$", 1)
-    merged = F.concat(F.regexp_extract(base_path, r"^([\s\S]*/)", 1), ref_path)
-    full = (F.when(has_scheme, target)
-            .when(target.startswith("//"), F.concat(scheme(base), F.lit(":"), target))
-            .when(target == "", without_fragment(base))
-            .when(target.startswith("?"), F.concat(host_root, base_path, target))
-            .when(target.startswith("/"), F.concat(host_root, _without_dots(ref_path), ref_query))
-            .otherwise(F.concat(host_root, _without_dots(merged), ref_query)))
-    bare = F.when(full.rlike(r"^[A-Za-z]+://[^/?#]*$"), F.concat(full, F.lit("/"))).otherwise(full)
-    return F.when(valid_web_url(bare), bare)
+    root = F.regexp_extract(base, BASE, 1)
+    # the base's path up to its last slash, or all of it
+    folder = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^?#]*)?/|)", 1), r"^$", "/")
+    page = F.regexp_replace(path(base), r"^$", "/")
+
+    def with_path(t: Column, prefix: Column) -> Column:
+        whole = F.concat(prefix, F.regexp_extract(t, r"^([^?]*)", 1))
+        return F.concat(root, _without_dots(whole), F.regexp_extract(t, r"(\?[\s\S]*)$", 1))
+
+    def absolute(t: Column) -> Column:
+        return (F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+                .when(t.startswith("//"), F.concat(F.regexp_extract(base, URL, 1), F.lit(":"), t))
+                .when(t.startswith("/"), with_path(t, F.lit("")))
+                .when(t == "", without_fragment(base))
+                .when(t.startswith("?"), F.concat(root, page, t))
+                .otherwise(with_path(t, folder)))
+
+    full = F.regexp_replace(let(target, absolute), r"^([A-Za-z]+://[^/?#]*)$", "$1/")
+    return let(full, lambda u: F.when(valid_web_url(u), u))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.markup import NOT_TEXT, html_unescape_attr
+from pagewright.functions.markup import html_unescape_attr, without_scripts
 from pagewright.functions.urls import origin, resolve_href, same_site, url_key, valid_web_url
 
 HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
@@ -15,7 +15,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     The href is as written; markup inside comments and scripts is not a link.
     """
-    found = F.regexp_extract_all(F.regexp_replace("text", NOT_TEXT, " "), F.lit(HREF), 1)
+    found = F.regexp_extract_all(without_scripts(F.col("text")), F.lit(HREF), 1)
     return (pages.select("url", "final_url", F.posexplode_outer(found).alias("pos", "_raw"))
             .select("url", "final_url", "pos", F.regexp_replace("_raw", r"^[\"']|[\"']$", "").alias("href")))
 

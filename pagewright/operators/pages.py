@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.bodies import body_kind, html_sniff, is_challenge, not_utf8
-from pagewright.functions.markup import html_title, main_text, markdown_title
+from pagewright.functions.markup import markdown_title, text_in, title_in, without_scripts
 from pagewright.functions.text import glob_pattern, word_count
 from pagewright.functions.urls import SLUG_CHARS, url_slug
 from pagewright.operators.ordered import numbered, salted_join
@@ -51,8 +51,9 @@ def page_status(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is_html = F.col("body_kind") == "html"
     # main text is only worth its regexes where the cheap rules have not decided already
     readable = is_html & (F.col("kind") == "text") & (F.col("http_status") < 400) & ~F.col("_challenge") & ~F.col("_misread")
-    read = (facts.withColumn("_main", F.when(readable, main_text(text))
-                             .when(F.col("body_kind").isin("markdown", "text"), text))
+    read = (facts.withColumn("_markup", F.when(readable, without_scripts(text)))
+            .withColumn("_main", F.when(readable, text_in(F.col("_markup")))
+                        .when(F.col("body_kind").isin("markdown", "text"), text))
             .withColumn("words", F.when(F.col("_main").isNotNull(), word_count(F.col("_main"))).otherwise(0).cast("long")))
     doc_status = _column(read, "doc_status")
     blank = ~text.rlike(r"\S")
@@ -72,7 +73,7 @@ def page_status(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     status, error = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
     for condition, name, reason in rules[1:]:
         status, error = status.when(condition, name), error.when(condition, reason)
-    title = (F.when(is_html & ~F.col("_challenge") & ~F.col("_misread") & (F.col("http_status") < 400), html_title(text))
+    title = (F.when(F.col("_markup").isNotNull(), title_in(F.col("_markup")))
              .when(F.col("body_kind") == "markdown", markdown_title(text)).otherwise(F.lit("")))
     ext = F.coalesce(*(F.when(F.col("body_kind") == kind, e) for kind, e in EXTENSIONS.items()), F.lit(".md"))
     return (read.withColumn("status", status.otherwise("ok"))
@@ -82,7 +83,7 @@ def page_status(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .withColumn("ext", ext)
             .withColumn("savable", F.col("status") == "ok")
             .withColumnRenamed("_main", "content")
-            .drop("_challenge", "_misread"))
+            .drop("_challenge", "_misread", "_markup"))
 
 
 def save_as_html(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -9,6 +9,7 @@ from pagewright.operators import links, pages, sitegraph
 from pagewright.plans import corpora, sqltext
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
+from pagewright.session import reliable
 from pagewright.sources import manifests
 from pagewright.sources.pages import scan_pages
 
@@ -181,7 +182,8 @@ FROM per GROUP BY root""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     judged = pages.page_status(corpora.fetch_log(spark, d).filter("attempt_no = 1"))
     items = judged.select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("n"), "url", "status", "http_status")
-    report = sitegraph.crawl_report(items)
+    # a crawl's items are read twice: once written down, the pages are not judged again
+    report = sitegraph.crawl_report(reliable(items))
     said = F.transform("not_ok", lambda r: F.concat_ws(" ", r["url"], r["status"], r["http_status"].cast("string")))
     statuses = F.transform(F.map_entries("statuses"), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string")))
     return report.select("root", "requested", "saved", F.array_join(statuses, ",").alias("statuses"), "not_ok_count",

@@ -34,8 +34,8 @@ def decoded(expr: str) -> str:
 
 def main_text(expr: str) -> str:
     kept = rep(rep(expr, markup.NOT_TEXT, " "), markup.AROUND_TEXT, " ")
-    article = ext(kept, markup.ARTICLE)
-    part = f"CASE WHEN {has(article, '[^\\s]')} THEN {article} ELSE {kept} END"
+    article = ext(kept, r'(?is)<(?:article|main)\b[^>]*>(.*?)(?:</(?:article|main)\s*>|\z)')
+    part = f"CASE WHEN {has(article, r'\S')} THEN {article} ELSE {kept} END"
     lines = rep(f"regexp_replace({part}, {lit(markup.BREAKS)}, chr(10), 'g')", r"<[^>]*(?:>|\z)")
     tidy = f"regexp_replace({rep(decoded(lines), r'[ \t\r\f]+', ' ')}, {lit(r' ?\n[ \n]*')}, chr(10), 'g')"
     return f"trim({rep(tidy, r'^\n+|\n+$')}, ' ')"
