@@ -32,14 +32,18 @@ def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str, chunk: Column) -> DataFrame:
-    """``out`` = the sum of ``value`` over the rows of the group up to and including this one."""
-    marked = df.withColumn("_chunk", chunk).withColumn("_value", value)
-    joined = _carried(marked, keys, [F.sum("_value").alias("_total")],
-                      [F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)).alias("_carry")])
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column], chunk: Column) -> DataFrame:
+    """For each ``out: value``, the sum of ``value`` over the rows of the group up to and including this one."""
+    marked = reduce(lambda d, c: d.withColumn(f"_v_{c[0]}", c[1]), values.items(), df.withColumn("_chunk", chunk))
+    joined = _carried(marked, keys, [F.sum(f"_v_{out}").alias(f"_total_{out}") for out in values],
+                      [F.coalesce(F.sum(f"_total_{out}").over(_before(keys)), F.lit(0)).alias(f"_carry_{out}") for out in values])
     here = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (joined.withColumn(out, F.coalesce(F.sum("_value").over(here), F.lit(0)) + F.col("_carry"))
-            .drop("_chunk", "_value", "_carry"))
+    summed = joined.withColumns({out: F.coalesce(F.sum(f"_v_{out}").over(here), F.lit(0)) + F.col(f"_carry_{out}") for out in values})
+    return summed.drop("_chunk", *(f"_v_{o}" for o in values), *(f"_carry_{o}" for o in values))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str, chunk: Column) -> DataFrame:
+    return running_sums(df, keys, order, {out: value}, chunk)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, out: str, chunk: Column) -> DataFrame:

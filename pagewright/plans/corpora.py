@@ -135,3 +135,256 @@ def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((F.col("page_id") * 4 + 3).alias("ord"),
                  F.concat(F.lit("https://elsewhere.test/"), F.pmod("page_id", F.lit(7)).cast("string")).alias("url")))).alias("r"))
     return rows.select("root", "r.*")
+
+
+# --- transcripts --------------------------------------------------------------------------
+#
+# Every conversation is a session. A user row opens a turn, and the assistant's row after it is worked out as a search, a
+# fetch, a child's task, a download and the answer; what varies, varies by conversation and turn. Child sessions hold one
+# task per assistant row and are reused by later turns.
+
+BASE_MS = 1_700_000_000_000
+USAGE = ("struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,reasoning:bigint,totalTokens:bigint,"
+         "cost:struct<total:double>>")
+BLOCK = "struct<type:string,text:string,name:string,arguments:struct<url:string,objective:string,description:string>>"
+DETAILS = "struct<sources:array<struct<id:string,url:string,title:string,excerpt:string>>,taskId:string>"
+RECORD = (f"struct<role:string,event:string,content:array<{BLOCK}>,stopReason:string,errorMessage:string,toolName:string,"
+          f"details:{DETAILS},isError:boolean,usage:{USAGE},timing:struct<durationMs:double>,timestamp:bigint>")
+
+
+def _record(ts: Column, role: str, **fields: Column) -> Column:
+    kinds = {"event": "string", "content": f"array<{BLOCK}>", "stopReason": "string", "errorMessage": "string", "toolName": "string",
+             "details": DETAILS, "isError": "boolean", "usage": USAGE, "timing": "struct<durationMs:double>"}
+    made = [fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
+    return F.struct(F.lit(role).alias("role"), *made, ts.alias("timestamp"))
+
+
+def _say(text: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.alias("name"),
+                            F.lit(None).cast("struct<url:string,objective:string,description:string>").alias("arguments")))
+
+
+def _call(*calls: tuple[str, str, Column]) -> Column:
+    none = F.lit(None).cast("string")
+
+    def block(name: str, key: str, value: Column) -> Column:
+        args = F.struct(*((value if k == key else none).alias(k) for k in ("url", "objective", "description")))
+        return F.struct(F.lit("toolCall").alias("type"), none.alias("text"), F.lit(name).alias("name"), args.alias("arguments"))
+
+    return F.array(*(block(*c) for c in calls))
+
+
+def _found(*sources: tuple[Column, Column, Column, Column]) -> Column:
+    return F.struct(F.array(*(F.struct(i.alias("id"), u.alias("url"), t.alias("title"), x.alias("excerpt")) for i, u, t, x in sources))
+                    .alias("sources"), F.lit(None).cast("string").alias("taskId"))
+
+
+def _spent(n: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.struct(n.alias("input"), zero.alias("output"), zero.alias("cacheRead"), zero.alias("cacheWrite"), zero.alias("reasoning"),
+                    n.alias("totalTokens"), F.struct((n / F.lit(1024.0)).alias("total")).alias("cost"))
+
+
+def run_id(conv: Column, turn: Column) -> Column:
+    return F.concat(F.lit("240101-"), F.lpad(turn.cast("string"), 6, "0"), F.lit("-"), conv.cast("string"), F.lit("-ask"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(session_id, index, raw)``: transcript records of every conversation, its child sessions included."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    parent = F.concat(F.lit("P"), conv.cast("string"))
+    child = F.concat(F.lit("K"), conv.cast("string"), F.lit("x"), F.floor(turn / 4).cast("string"))
+    framed = F.pmod(conv, F.lit(4)) != 0
+    left_open = (F.pmod(conv, F.lit(5)) == 0) & (F.pmod(turn, F.lit(4)) == 3)
+    kid_open = F.pmod(conv + turn, F.lit(6)) == 0
+    broke = F.pmod(conv + turn, F.lit(11)) == 0
+    refused = F.pmod(conv, F.lit(7)) == 0
+    at = lambda slot: (F.lit(BASE_MS) + conv * 10_000_000 + turn * 100_000 + slot * 1000).cast("long")
+    c, t = conv.cast("string"), turn.cast("string")
+    site = lambda k: F.concat(F.lit("https://e.test/"), c, F.lit(f"/{k}"))
+    sid = lambda k: F.concat(F.lit("s"), c, F.lit("x"), t, F.lit(k))
+    after_tag = F.when(refused, F.lit("\nHTTP 403 Forbidden\nAccess denied")).otherwise(F.concat(F.lit("\n\n"), F.substring(text, 1, 300)))
+    tag = F.concat(F.lit('<webfetch-citation source_id="'), sid("b"), F.lit('" />'))
+    saved = F.concat(F.lit("/home/u/sessions/2024-01-01_"), parent, F.lit("/tmp/doc"), F.floor(turn / 2).cast("string"), F.lit(".pdf"))
+    notice = F.concat(F.lit('<webfetch-citation source_id="'), sid("d"), F.lit('" />\n\nDownloaded to: '), saved,
+                      F.lit("\nMIME type: application/pdf\nFile size: "), (F.length(text) % 3).cast("string"), F.lit(" bytes"))
+    answer = F.concat(F.lit('Seen <citation refs="'), sid("a"), F.lit(","), sid("b"), F.lit('">both</citation> and <quote ref="none">this</quote>: '),
+                      F.substring(text, 1, 200), F.lit(" [file](artifacts/f"), t, F.lit(".pdf)"))
+    prompt = F.concat(text, F.lit("\n\n(run-marker:"), run_id(conv, turn), F.lit(" — ignore this line)"))
+    own = lambda slot, record, keep=F.lit(True): F.struct(keep.alias("keep"), parent.alias("session_id"), (turn * 10 + slot).alias("index"), record.alias("r"))
+    kid = lambda slot, record, keep=F.lit(True): F.struct(keep.alias("keep"), child.alias("session_id"), (turn * 10 + slot).alias("index"), record.alias("r"))
+    tool = lambda slot, name, content, details=None, error=False: _record(
+        at(slot), "toolResult", toolName=F.lit(name), content=_say(content), isError=F.lit(error),
+        timing=F.struct(((conv + turn + slot) % 50).cast("double").alias("durationMs")), **({} if details is None else {"details": details}))
+    user = F.array(own(0, _record(at(0), "turn-lifecycle", event=F.lit("started")), framed), own(1, _record(at(1), "user", content=_say(prompt))))
+    system = F.array(own(0, _record(at(0), "system-message", content=_say(text))))
+    searched = _found((sid("a"), site("a"), F.lit("A"), F.substring(text, 1, 40)), (sid("b"), site("b"), F.lit(""), F.lit("")),
+                      (sid("c"), F.concat(F.lit("https://e.test/"), c, F.lit("/c"), t), F.lit("C"), F.lit("")))
+    fetched = _found((sid("b"), site("b"), F.lit("B"), F.lit("")))
+    task = F.struct(F.lit(None).cast("array<struct<id:string,url:string,title:string,excerpt:string>>").alias("sources"), child.alias("taskId"))
+    last = F.when(broke, _record(at(8), "assistant", content=_say(F.lit("")), stopReason=F.lit("error"), errorMessage=F.lit("usage limit"),
+                                 usage=_spent(F.length(text).cast("long")))).otherwise(
+        _record(at(8), "assistant", content=_say(answer), stopReason=F.lit("stop"), usage=_spent(F.length(text).cast("long"))))
+    assistant = F.array(
+        own(0, _record(at(0), "assistant", stopReason=F.lit("toolUse"), usage=_spent(F.lit(100).cast("long")),
+                       content=_call(("websearch", "objective", F.substring(text, 1, 30)), ("webfetch", "url", site("b")),
+                                     ("webfetch", "url", F.concat(F.lit("https://docs.test/"), c))))),
+        own(1, tool(1, "websearch", F.lit("results"), searched)),
+        own(2, tool(2, "webfetch", F.concat(tag, after_tag), fetched)),
+        own(3, tool(3, "webfetch", notice, _found((sid("d"), F.concat(F.lit("https://docs.test/"), c), F.lit("D"), F.lit(""))))),
+        own(4, tool(4, "subagent", F.lit("spawned"), task)),
+        own(7, _record(at(7), "turn-lifecycle", event=F.lit("final-started")), framed & ~left_open),
+        own(8, last, ~left_open),
+        own(9, _record(at(9), "turn-lifecycle", event=F.lit("finished")), framed & ~left_open),
+        kid(0, _record(at(4) + 1, "turn-lifecycle", event=F.lit("started")), framed),
+        kid(1, _record(at(4) + 2, "user", content=_say(F.concat(F.lit("task "), t)))),
+        kid(2, _record(at(4) + 3, "assistant", stopReason=F.lit("toolUse"), usage=_spent(F.lit(10).cast("long")),
+                       content=_call(("webfetch", "url", site("a"))))),
+        kid(3, tool(5, "webfetch", F.concat(F.lit('<webfetch-citation source_id="k" />\n\n'), F.substring(text, 1, 50)),
+                    _found((F.concat(F.lit("k"), sid("")), site("a"), F.lit("A"), F.lit(""))))),
+        kid(4, _record(at(6), "assistant", content=_say(F.concat(F.lit("child did "), t)), stopReason=F.lit("stop"),
+                       usage=_spent(F.lit(1).cast("long"))), ~kid_open),
+        kid(5, _record(at(6) + 1, "turn-lifecycle", event=F.lit("finished")), framed & ~kid_open))
+    made = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(system)
+    return (rows.select(F.explode(made).alias("e")).filter("e.keep")
+            .select("e.session_id", "e.index", F.to_json("e.r").alias("raw")))
+
+
+NOW_MS = BASE_MS + 500_000_000
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for every prompt, and for every conversation one whose turn never appeared."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    group = F.concat(F.lit("g"), F.floor(conv / 3).cast("string"))
+    v = F.pmod(conv * 7 + turn, F.lit(13))
+    text = F.lit(None).cast("string")
+    asked = rows.filter("role = 'user'").select(
+        run_id(conv, turn).alias("run_id"), group.alias("group"), (F.lit(BASE_MS) + conv * 10_000_000 + turn * 100_000 - 500).alias("created_at"),
+        F.lit(True).alias("supervised"), (v != 3).alias("alive"), F.when(v == 1, 1).when(v == 2, 143).alias("exit_code"),
+        (v == 2).alias("ended_by_supervisor"), F.when(v == 0, "failed").alias("recorded"), F.when(v == 0, "recorded before").alias("reason"))
+    lost = rows.select("conv_id").distinct().select(
+        F.concat(F.lit("240102-000000-"), conv.cast("string"), F.lit("-lost")).alias("run_id"), group.alias("group"),
+        (F.lit(BASE_MS) + conv * 10_000_000).alias("created_at"), (F.pmod(conv, F.lit(3)) != 0).alias("supervised"), F.lit(True).alias("alive"),
+        F.when(F.pmod(conv, F.lit(3)) == 1, 0).alias("exit_code"), F.lit(False).alias("ended_by_supervisor"), text.alias("recorded"),
+        text.alias("reason"))
+    return asked.unionByName(lost)
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(session_id, rel_path, path, mtime)``: a file per answer, some written over in a later turn, and one older file."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'").select("conv_id", "turn")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    at = F.lit(BASE_MS) + conv * 10_000_000 + turn * 100_000 + 5000
+    session = F.concat(F.lit("P"), conv.cast("string"))
+    rel = F.concat(F.lit("f"), turn.cast("string"), F.lit(".pdf"))
+    later = F.when(F.pmod(conv + turn, F.lit(5)) == 0, 250_000).when(F.pmod(conv + turn, F.lit(5)) == 1, -250_000).otherwise(0)
+    files = rows.select(session.alias("session_id"), rel.alias("rel_path"), (at + later).alias("mtime"))
+    old = rows.select("conv_id").distinct().select(session.alias("session_id"), F.lit("old.pdf").alias("rel_path"),
+                                                   (F.lit(BASE_MS) + conv * 10_000_000 - 1).alias("mtime"))
+    both = files.unionByName(old)
+    return both.withColumn("path", F.concat(F.lit("/home/u/sessions/2024-01-01_"), "session_id", F.lit("/artifacts/"), "rel_path"))
+
+
+# The same events for the oracle, typed, straight from the conversations: no JSON is read.
+def _event(session: str, slot: int, kind: str, ts: str, where: str, lifecycle: str = "''", stop: str = "''", error: str = "''",
+           content: str = "''", tool: str = "''", child: str = "NULL", tokens: str = "NULL", duration: str = "NULL") -> str:
+    return (f"SELECT conv, turn, {session} AS session_id, turn * 10 + {slot} AS idx, '{kind}' AS kind, {lifecycle} AS lifecycle, "
+            f"{stop} AS stop, {error} AS error, {content} AS content, {tool} AS tool_name, {ts} AS ts, {child} AS child, "
+            f"{tokens} AS tokens, {duration} AS duration FROM c WHERE {where}")
+
+
+_A, _DUR = "role = 'assistant'", "(conv + turn + {}) % 50"
+_TAG_B = "'<webfetch-citation source_id=\"s' || conv || 'x' || turn || 'b\" />'"
+_TAG_D = "'<webfetch-citation source_id=\"s' || conv || 'x' || turn || 'd\" />'"
+_SAVED = "'/home/u/sessions/2024-01-01_' || parent || '/tmp/doc' || (turn // 2) || '.pdf'"
+_NL = "chr(10)"
+ANSWER_SQL = ("'Seen <citation refs=\"s' || conv || 'x' || turn || 'a,s' || conv || 'x' || turn || 'b\">both</citation> and "
+              "<quote ref=\"none\">this</quote>: ' || left(text, 200) || ' [file](artifacts/f' || turn || '.pdf)'")
+EVENTS_SQL = f"""
+c AS (
+  SELECT conv_id AS conv, turn, role, text, 'P' || conv_id AS parent, 'K' || conv_id || 'x' || (turn // 4) AS kid, conv_id % 4 <> 0 AS framed,
+    conv_id % 5 = 0 AND turn % 4 = 3 AS left_open, (conv_id + turn) % 6 = 0 AS kid_open, (conv_id + turn) % 11 = 0 AS broke,
+    conv_id % 7 = 0 AS refused, {BASE_MS} + conv_id * 10000000 + turn * 100000 AS t0 FROM conversations),
+ev AS (
+  {_event("parent", 0, "lifecycle", "t0", "role = 'user' AND framed", lifecycle="'started'")}
+  UNION ALL {_event("parent", 1, "user", "t0 + 1000", "role = 'user'", content="text || chr(10) || chr(10) || '(run-marker:240101-' || lpad(turn::VARCHAR, 6, '0') || '-' || conv || '-ask — ignore this line)'")}
+  UNION ALL {_event("parent", 0, "system", "t0", "role = 'system'", content="text")}
+  UNION ALL {_event("parent", 0, "assistant", "t0", _A, stop="'tool'", tokens="100")}
+  UNION ALL {_event("parent", 1, "tool_result", "t0 + 1000", _A, content="'results'", tool="'websearch'", duration=_DUR.format(1))}
+  UNION ALL {_event("parent", 2, "tool_result", "t0 + 2000", _A, tool="'webfetch'", duration=_DUR.format(2), content=f"{_TAG_B} || CASE WHEN refused THEN {_NL} || 'HTTP 403 Forbidden' || {_NL} || 'Access denied' ELSE {_NL} || {_NL} || left(text, 300) END")}
+  UNION ALL {_event("parent", 3, "tool_result", "t0 + 3000", _A, tool="'webfetch'", duration=_DUR.format(3), content=f"{_TAG_D} || {_NL} || {_NL} || 'Downloaded to: ' || {_SAVED} || {_NL} || 'MIME type: application/pdf' || {_NL} || 'File size: ' || (length(text) % 3) || ' bytes'")}
+  UNION ALL {_event("parent", 4, "tool_result", "t0 + 4000", _A, content="'spawned'", tool="'subagent'", child="kid", duration=_DUR.format(4))}
+  UNION ALL {_event("parent", 7, "lifecycle", "t0 + 7000", f"{_A} AND framed AND NOT left_open", lifecycle="'final-started'")}
+  UNION ALL {_event("parent", 8, "assistant", "t0 + 8000", f"{_A} AND NOT left_open", stop="CASE WHEN broke THEN 'error' ELSE 'end' END", error="CASE WHEN broke THEN 'usage limit' ELSE '' END", content=f"CASE WHEN broke THEN '' ELSE {ANSWER_SQL} END", tokens="length(text)")}
+  UNION ALL {_event("parent", 9, "lifecycle", "t0 + 9000", f"{_A} AND framed AND NOT left_open", lifecycle="'finished'")}
+  UNION ALL {_event("kid", 0, "lifecycle", "t0 + 4001", f"{_A} AND framed", lifecycle="'started'")}
+  UNION ALL {_event("kid", 1, "user", "t0 + 4002", _A, content="'task ' || turn")}
+  UNION ALL {_event("kid", 2, "assistant", "t0 + 4003", _A, stop="'tool'", tokens="10")}
+  UNION ALL {_event("kid", 3, "tool_result", "t0 + 5000", _A, tool="'webfetch'", duration=_DUR.format(5), content=f"'<webfetch-citation source_id=\"k\" />' || {_NL} || {_NL} || left(text, 50)")}
+  UNION ALL {_event("kid", 4, "assistant", "t0 + 6000", f"{_A} AND NOT kid_open", stop="'end'", content="'child did ' || turn", tokens="1")}
+  UNION ALL {_event("kid", 5, "lifecycle", "t0 + 6001", f"{_A} AND framed AND NOT kid_open", lifecycle="'finished'")}),
+src AS (
+  SELECT parent AS session_id, turn * 10 + 1 AS idx, 0 AS pos, 's' || conv || 'x' || turn || 'a' AS id, 'https://e.test/' || conv || '/a' AS url,
+    'A' AS title, left(text, 40) AS excerpt, false AS opened, false AS holds_page, '' AS saved_path FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10 + 1, 1, 's' || conv || 'x' || turn || 'b', 'https://e.test/' || conv || '/b', '', '', false, false, '' FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10 + 1, 2, 's' || conv || 'x' || turn || 'c', 'https://e.test/' || conv || '/c' || turn, 'C', '', false, false, '' FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10 + 2, 0, 's' || conv || 'x' || turn || 'b', 'https://e.test/' || conv || '/b', 'B', '', NOT refused, NOT refused, '' FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10 + 3, 0, 's' || conv || 'x' || turn || 'd', 'https://docs.test/' || conv, 'D', '', true, false,
+    CASE WHEN length(text) % 3 = 0 THEN '' ELSE {_SAVED} END FROM c WHERE {_A}
+  UNION ALL SELECT kid, turn * 10 + 3, 0, 'ks' || conv || 'x' || turn, 'https://e.test/' || conv || '/a', 'A', '', true, true, '' FROM c WHERE {_A}),
+calls AS (
+  SELECT parent AS session_id, turn * 10 AS idx, 0 AS pos, 'websearch' AS name, trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g'), ' ') AS target FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10, 1, 'webfetch', 'e.test' FROM c WHERE {_A}
+  UNION ALL SELECT parent, turn * 10, 2, 'webfetch', 'docs.test' FROM c WHERE {_A}
+  UNION ALL SELECT kid, turn * 10 + 2, 0, 'webfetch', 'e.test' FROM c WHERE {_A}),
+tn AS (
+  SELECT ev.*, sum(CASE WHEN lifecycle = 'started' OR (kind = 'user' AND conv % 4 = 0) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY session_id ORDER BY idx)::BIGINT AS turn_no FROM ev),
+turns AS (
+  SELECT session_id, turn_no, min(idx) AS start_index, min(ts) AS start_ts, max(ts) AS last_ts, min(idx) FILTER (kind = 'user') AS prompt_index,
+    min(idx) FILTER (lifecycle = 'finished') AS finished_index, max(idx) FILTER (kind = 'assistant' AND stop = 'end') AS last_end_index,
+    arg_max(lifecycle, idx) FILTER (lifecycle <> '') AS phase,
+    arg_max(CASE WHEN kind = 'assistant' THEN stop ELSE '' END, idx) FILTER (kind IN ('user', 'assistant', 'tool_result')) AS spoken
+  FROM tn GROUP BY session_id, turn_no),
+judged AS (
+  SELECT *, CASE WHEN phase IS NOT NULL THEN phase = 'finished' ELSE coalesce(spoken IN ('end', 'error'), false) END AS finished,
+    coalesce(spoken = 'error', false) AS failed FROM turns),
+prompts AS (
+  SELECT j.session_id, j.turn_no, j.prompt_index, e.content AS prompt, regexp_extract(e.content, '\\(run-marker:([^\\s)]+)', 1) AS run_id
+  FROM judged j JOIN ev e ON e.session_id = j.session_id AND e.idx = j.prompt_index),
+rt AS (
+  SELECT p.run_id, j.*, n.start_ts AS next_ts FROM prompts p JOIN judged j USING (session_id, turn_no, prompt_index)
+  LEFT JOIN judged n ON n.session_id = j.session_id AND n.turn_no = j.turn_no + 1 WHERE p.run_id <> ''),
+own AS (
+  SELECT rt.run_id, e.*, -1 AS stream, '' AS child_id FROM rt JOIN tn e USING (session_id, turn_no)
+  WHERE e.idx >= rt.prompt_index AND (rt.finished_index IS NULL OR e.idx <= rt.finished_index)),
+named AS (SELECT run_id, child AS child_id, min(idx) AS mention FROM own WHERE child IS NOT NULL GROUP BY run_id, child),
+given AS (
+  SELECT n.run_id, n.child_id, n.mention, k.turn_no FROM named n JOIN rt USING (run_id)
+  JOIN judged k ON k.session_id = n.child_id AND k.turn_no > 0 AND k.start_ts >= rt.start_ts AND (rt.next_ts IS NULL OR k.start_ts < rt.next_ts)),
+tasks AS (SELECT *, turn_no = max(turn_no) OVER (PARTITION BY run_id, child_id) AS last_task FROM given),
+kids AS (
+  SELECT t.run_id, e.*, t.mention AS stream, t.child_id FROM tasks t JOIN judged j ON j.session_id = t.child_id AND j.turn_no = t.turn_no
+  JOIN tn e ON e.session_id = t.child_id AND e.turn_no = t.turn_no WHERE e.idx >= j.prompt_index),
+scoped AS (SELECT * FROM own UNION ALL SELECT * FROM kids),
+ssrc AS (
+  SELECT s.run_id, s.stream, s.child_id, s.ts, s.tool_name, s.content, x.* FROM scoped s JOIN src x ON x.session_id = s.session_id AND x.idx = s.idx),
+runs AS (
+  SELECT '240101-' || lpad(turn::VARCHAR, 6, '0') || '-' || conv || '-ask' AS run_id, 'g' || (conv // 3) AS grp, t0 - 500 AS created_at,
+    true AS supervised, (conv * 7 + turn) % 13 <> 3 AS alive, CASE (conv * 7 + turn) % 13 WHEN 1 THEN 1 WHEN 2 THEN 143 END AS exit_code,
+    (conv * 7 + turn) % 13 = 2 AS ended_by_supervisor, CASE WHEN (conv * 7 + turn) % 13 = 0 THEN 'failed' END AS recorded,
+    CASE WHEN (conv * 7 + turn) % 13 = 0 THEN 'recorded before' END AS reason FROM c WHERE role = 'user'
+  UNION ALL
+  SELECT DISTINCT '240102-000000-' || conv || '-lost', 'g' || (conv // 3), {BASE_MS} + conv * 10000000, conv % 3 <> 0, true,
+    CASE WHEN conv % 3 = 1 THEN 0 END, false, NULL, NULL FROM c),
+art AS (
+  SELECT parent AS session_id, 'f' || turn || '.pdf' AS rel_path,
+    t0 + 5000 + CASE (conv + turn) % 5 WHEN 0 THEN 250000 WHEN 1 THEN -250000 ELSE 0 END AS mtime FROM c WHERE {_A}
+  UNION ALL SELECT DISTINCT parent, 'old.pdf', {BASE_MS} + conv * 10000000 - 1 FROM c WHERE {_A}),
+art_turn AS (
+  SELECT a.*, coalesce((SELECT max(turn_no) FROM judged j WHERE j.session_id = a.session_id AND j.turn_no > 0 AND j.start_ts <= a.mtime), 0) AS turn_no
+  FROM art a)"""

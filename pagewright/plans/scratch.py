@@ -1,17 +1,13 @@
 """Folders for files a query writes and reads back."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from pagewright.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path, in the shared checkpoint folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="pagewright-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
