@@ -171,14 +171,16 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
         line, ["child_id", "parent"], ["at", "what", "turn_no", "run_id"],
         {"_run": F.when(start, F.struct("run_id", "mention", "next_ts")), "_task": F.when(task, F.col("turn_no"))},
         F.floor(F.col("at") / DAY_MS))
-    given = (seen.filter(task & F.col("_run").isNotNull() & (F.col("_run.next_ts").isNull() | (F.col("at") < F.col("_run.next_ts"))))
-             .select(F.col("_run.run_id").alias("run_id"), "child_id", F.col("_run.mention").alias("mention"), "turn_no"))
-    late = (seen.filter((F.col("what") == 0) & F.col("_task").isNotNull())
-            .select("run_id", "child_id", "mention", F.col("_task").alias("turn_no"))
-            .join(given.select("run_id", "child_id").distinct(), ["run_id", "child_id"], "left_anti"))
-    owned = given.unionByName(late)
-    last = owned.groupBy("run_id", "child_id").agg(F.max("turn_no").alias("_last"))
-    return (owned.join(last, ["run_id", "child_id"]).withColumn("last_task", F.col("turn_no") == F.col("_last")).drop("_last"))
+    given = task & F.col("_run").isNotNull() & (F.col("_run.next_ts").isNull() | (F.col("at") < F.col("_run.next_ts")))
+    late = (F.col("what") == 0) & F.col("_task").isNotNull()
+    found = seen.filter(given | late).select(
+        "child_id", late.alias("late"), *(F.when(late, F.col(c)).otherwise(F.col(f"_run.{c}")).alias(c) for c in ("run_id", "mention")),
+        F.when(late, F.col("_task")).otherwise(F.col("turn_no")).alias("turn_no"))
+    # a late task counts only where the run gave none
+    best = found.groupBy("run_id", "child_id").agg(
+        F.min("late").alias("_late"), F.max(F.struct((~F.col("late")).alias("given"), "turn_no"))["turn_no"].alias("_last"))
+    return (found.join(best, ["run_id", "child_id"]).filter(F.col("late") == F.col("_late"))
+            .select("run_id", "child_id", "mention", "turn_no", (F.col("turn_no") == F.col("_last")).alias("last_task")))
 
 
 def child_scope(tasks: DataFrame, events: DataFrame, turns: DataFrame) -> DataFrame:

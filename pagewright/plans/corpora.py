@@ -144,46 +144,39 @@ def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # task per assistant row and are reused by later turns.
 
 BASE_MS = 1_700_000_000_000
-USAGE = ("struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,reasoning:bigint,totalTokens:bigint,"
-         "cost:struct<total:double>>")
-BLOCK = "struct<type:string,text:string,name:string,arguments:struct<url:string,objective:string,description:string>>"
-DETAILS = "struct<sources:array<struct<id:string,url:string,title:string,excerpt:string>>,taskId:string>"
-RECORD = (f"struct<role:string,event:string,content:array<{BLOCK}>,stopReason:string,errorMessage:string,toolName:string,"
-          f"details:{DETAILS},isError:boolean,usage:{USAGE},timing:struct<durationMs:double>,timestamp:bigint>")
+_NONE = {"event": "STRING", "content": "ARRAY<STRUCT<type: STRING, text: STRING, name: STRING, arguments: STRUCT<url: STRING, objective: STRING, description: STRING>>>",
+         "stopReason": "STRING", "errorMessage": "STRING", "toolName": "STRING",
+         "details": "STRUCT<sources: ARRAY<STRUCT<id: STRING, url: STRING, title: STRING, excerpt: STRING>>, taskId: STRING>", "isError": "BOOLEAN",
+         "usage": "STRUCT<input: BIGINT, output: BIGINT, cacheRead: BIGINT, cacheWrite: BIGINT, reasoning: BIGINT, totalTokens: BIGINT, cost: STRUCT<total: DOUBLE>>",
+         "timing": "STRUCT<durationMs: DOUBLE>"}
 
 
-def _record(ts: Column, role: str, **fields: Column) -> Column:
-    kinds = {"event": "string", "content": f"array<{BLOCK}>", "stopReason": "string", "errorMessage": "string", "toolName": "string",
-             "details": DETAILS, "isError": "boolean", "usage": USAGE, "timing": "struct<durationMs:double>"}
-    made = [fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
-    return F.struct(F.lit(role).alias("role"), *made, ts.alias("timestamp"))
+# The records as SQL text: one parse instead of a call for each part of a long expression.
+def _record(ts: str, role: str, **fields: str) -> str:
+    made = ", ".join(f"'{name}', CAST({fields.get(name, 'NULL')} AS {kind})" for name, kind in _NONE.items())
+    return f"named_struct('role', '{role}', {made}, 'timestamp', {ts})"
 
 
-def _say(text: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.alias("name"),
-                            F.lit(None).cast("struct<url:string,objective:string,description:string>").alias("arguments")))
-
+def _say(text: str) -> str:
+    return f"array(named_struct('type', 'text', 'text', {text}, 'name', NULL, 'arguments', NULL))"
 
-def _call(*calls: tuple[str, str, Column]) -> Column:
-    none = F.lit(None).cast("string")
 
-    def block(name: str, key: str, value: Column) -> Column:
-        args = F.struct(*((value if k == key else none).alias(k) for k in ("url", "objective", "description")))
-        return F.struct(F.lit("toolCall").alias("type"), none.alias("text"), F.lit(name).alias("name"), args.alias("arguments"))
+def _call(*calls: tuple[str, str, str]) -> str:
+    def block(name: str, key: str, value: str) -> str:
+        args = ", ".join(f"'{k}', {value if k == key else 'NULL'}" for k in ("url", "objective", "description"))
+        return f"named_struct('type', 'toolCall', 'text', NULL, 'name', '{name}', 'arguments', named_struct({args}))"
 
-    return F.array(*(block(*c) for c in calls))
+    return f"array({', '.join(block(*c) for c in calls)})"
 
 
-def _found(*sources: tuple[Column, Column, Column, Column]) -> Column:
-    return F.struct(F.array(*(F.struct(i.alias("id"), u.alias("url"), t.alias("title"), x.alias("excerpt")) for i, u, t, x in sources))
-                    .alias("sources"), F.lit(None).cast("string").alias("taskId"))
+def _found(*sources: tuple[str, str, str, str]) -> str:
+    rows = ", ".join(f"named_struct('id', {i}, 'url', {u}, 'title', {t}, 'excerpt', {x})" for i, u, t, x in sources)
+    return f"named_struct('sources', array({rows}), 'taskId', NULL)"
 
 
-def _spent(n: Column) -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(n.alias("input"), zero.alias("output"), zero.alias("cacheRead"), zero.alias("cacheWrite"), zero.alias("reasoning"),
-                    n.alias("totalTokens"), F.struct((n / F.lit(1024.0)).alias("total")).alias("cost"))
+def _spent(n: str) -> str:
+    return (f"named_struct('input', {n}, 'output', 0, 'cacheRead', 0, 'cacheWrite', 0, 'reasoning', 0, 'totalTokens', {n}, "
+            f"'cost', named_struct('total', {n} / 1024D))")
 
 
 def run_id(conv: Column, turn: Column) -> Column:
@@ -192,64 +185,54 @@ def run_id(conv: Column, turn: Column) -> Column:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, index, raw)``: transcript records of every conversation, its child sessions included."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
-    parent = F.concat(F.lit("P"), conv.cast("string"))
-    child = F.concat(F.lit("K"), conv.cast("string"), F.lit("x"), F.floor(turn / 4).cast("string"))
-    framed = F.pmod(conv, F.lit(4)) != 0
-    left_open = (F.pmod(conv, F.lit(5)) == 0) & (F.pmod(turn, F.lit(4)) == 3)
-    kid_open = F.pmod(conv + turn, F.lit(6)) == 0
-    broke = F.pmod(conv + turn, F.lit(11)) == 0
-    refused = F.pmod(conv, F.lit(7)) == 0
-    at = lambda slot: (F.lit(BASE_MS) + conv * 10_000_000 + turn * 100_000 + slot * 1000).cast("long")
-    c, t = conv.cast("string"), turn.cast("string")
-    site = lambda k: F.concat(F.lit("https://e.test/"), c, F.lit(f"/{k}"))
-    sid = lambda k: F.concat(F.lit("s"), c, F.lit("x"), t, F.lit(k))
-    after_tag = F.when(refused, F.lit("\nHTTP 403 Forbidden\nAccess denied")).otherwise(F.concat(F.lit("\n\n"), F.substring(text, 1, 300)))
-    tag = F.concat(F.lit('<webfetch-citation source_id="'), sid("b"), F.lit('" />'))
-    saved = F.concat(F.lit("/home/u/sessions/2024-01-01_"), parent, F.lit("/tmp/doc"), F.floor(turn / 2).cast("string"), F.lit(".pdf"))
-    notice = F.concat(F.lit('<webfetch-citation source_id="'), sid("d"), F.lit('" />\n\nDownloaded to: '), saved,
-                      F.lit("\nMIME type: application/pdf\nFile size: "), (F.length(text) % 3).cast("string"), F.lit(" bytes"))
-    answer = F.concat(F.lit('Seen <citation refs="'), sid("a"), F.lit(","), sid("b"), F.lit('">both</citation> and <quote ref="none">this</quote>: '),
-                      F.substring(text, 1, 200), F.lit(" [file](artifacts/f"), t, F.lit(".pdf)"))
-    prompt = F.concat(text, F.lit("\n\n(run-marker:"), run_id(conv, turn), F.lit(" — ignore this line)"))
-    own = lambda slot, record, keep=F.lit(True): F.struct(keep.alias("keep"), parent.alias("session_id"), (turn * 10 + slot).alias("index"), record.alias("r"))
-    kid = lambda slot, record, keep=F.lit(True): F.struct(keep.alias("keep"), child.alias("session_id"), (turn * 10 + slot).alias("index"), record.alias("r"))
-    tool = lambda slot, name, content, details=None, error=False: _record(
-        at(slot), "toolResult", toolName=F.lit(name), content=_say(content), isError=F.lit(error),
-        timing=F.struct(((conv + turn + slot) % 50).cast("double").alias("durationMs")), **({} if details is None else {"details": details}))
-    user = F.array(own(0, _record(at(0), "turn-lifecycle", event=F.lit("started")), framed), own(1, _record(at(1), "user", content=_say(prompt))))
-    system = F.array(own(0, _record(at(0), "system-message", content=_say(text))))
-    searched = _found((sid("a"), site("a"), F.lit("A"), F.substring(text, 1, 40)), (sid("b"), site("b"), F.lit(""), F.lit("")),
-                      (sid("c"), F.concat(F.lit("https://e.test/"), c, F.lit("/c"), t), F.lit("C"), F.lit("")))
-    fetched = _found((sid("b"), site("b"), F.lit("B"), F.lit("")))
-    task = F.struct(F.lit(None).cast("array<struct<id:string,url:string,title:string,excerpt:string>>").alias("sources"), child.alias("taskId"))
-    last = F.when(broke, _record(at(8), "assistant", content=_say(F.lit("")), stopReason=F.lit("error"), errorMessage=F.lit("usage limit"),
-                                 usage=_spent(F.length(text).cast("long")))).otherwise(
-        _record(at(8), "assistant", content=_say(answer), stopReason=F.lit("stop"), usage=_spent(F.length(text).cast("long"))))
-    assistant = F.array(
-        own(0, _record(at(0), "assistant", stopReason=F.lit("toolUse"), usage=_spent(F.lit(100).cast("long")),
-                       content=_call(("websearch", "objective", F.substring(text, 1, 30)), ("webfetch", "url", site("b")),
-                                     ("webfetch", "url", F.concat(F.lit("https://docs.test/"), c))))),
-        own(1, tool(1, "websearch", F.lit("results"), searched)),
-        own(2, tool(2, "webfetch", F.concat(tag, after_tag), fetched)),
-        own(3, tool(3, "webfetch", notice, _found((sid("d"), F.concat(F.lit("https://docs.test/"), c), F.lit("D"), F.lit(""))))),
-        own(4, tool(4, "subagent", F.lit("spawned"), task)),
-        own(7, _record(at(7), "turn-lifecycle", event=F.lit("final-started")), framed & ~left_open),
-        own(8, last, ~left_open),
-        own(9, _record(at(9), "turn-lifecycle", event=F.lit("finished")), framed & ~left_open),
-        kid(0, _record(at(4) + 1, "turn-lifecycle", event=F.lit("started")), framed),
-        kid(1, _record(at(4) + 2, "user", content=_say(F.concat(F.lit("task "), t)))),
-        kid(2, _record(at(4) + 3, "assistant", stopReason=F.lit("toolUse"), usage=_spent(F.lit(10).cast("long")),
-                       content=_call(("webfetch", "url", site("a"))))),
-        kid(3, tool(5, "webfetch", F.concat(F.lit('<webfetch-citation source_id="k" />\n\n'), F.substring(text, 1, 50)),
-                    _found((F.concat(F.lit("k"), sid("")), site("a"), F.lit("A"), F.lit(""))))),
-        kid(4, _record(at(6), "assistant", content=_say(F.concat(F.lit("child did "), t)), stopReason=F.lit("stop"),
-                       usage=_spent(F.lit(1).cast("long"))), ~kid_open),
-        kid(5, _record(at(6) + 1, "turn-lifecycle", event=F.lit("finished")), framed & ~kid_open))
-    made = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(system)
-    return (rows.select(F.explode(made).alias("e")).filter("e.keep")
-            .select("e.session_id", "e.index", F.to_json("e.r").alias("raw")))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
+        "conv_id", "turn", "role", "text", "CAST(conv_id AS STRING) AS c", "CAST(turn AS STRING) AS t", "concat('P', conv_id) AS parent",
+        "concat('K', conv_id, 'x', turn DIV 4) AS child", f"{BASE_MS} + conv_id * 10000000 + turn * 100000 AS t0",
+        "conv_id % 4 <> 0 AS framed", "conv_id % 5 = 0 AND turn % 4 = 3 AS left_open", "(conv_id + turn) % 6 = 0 AS kid_open",
+        "(conv_id + turn) % 11 = 0 AS broke", "conv_id % 7 = 0 AS refused", "CAST(length(text) AS BIGINT) AS n")
+    at = lambda slot: f"t0 + {slot * 1000}"
+    site = lambda k: f"concat('https://e.test/', c, '/{k}')"
+    sid = lambda k: f"concat('s', c, 'x', t, '{k}')"
+    tag = lambda k: f"concat('<webfetch-citation source_id=\"', {k}, '\" />')"
+    after_tag = "IF(refused, '\\nHTTP 403 Forbidden\\nAccess denied', concat('\\n\\n', substring(text, 1, 300)))"
+    saved = "concat('/home/u/sessions/2024-01-01_', parent, '/tmp/doc', turn DIV 2, '.pdf')"
+    notice = f"concat({tag(sid('d'))}, '\\n\\nDownloaded to: ', {saved}, '\\nMIME type: application/pdf\\nFile size: ', n % 3, ' bytes')"
+    answer = (f"concat('Seen <citation refs=\"', {sid('a')}, ',', {sid('b')}, '\">both</citation> and <quote ref=\"none\">this</quote>: ', "
+              "substring(text, 1, 200), ' [file](artifacts/f', t, '.pdf)')")
+    prompt = "concat(text, '\\n\\n(run-marker:240101-', lpad(t, 6, '0'), '-', c, '-ask — ignore this line)')"
+    own = lambda slot, record, keep="true": f"named_struct('keep', {keep}, 'session_id', parent, 'index', turn * 10 + {slot}, 'r', {record})"
+    kid = lambda slot, record, keep="true": f"named_struct('keep', {keep}, 'session_id', child, 'index', turn * 10 + {slot}, 'r', {record})"
+    tool = lambda slot, name, content, details="NULL": _record(
+        at(slot), "toolResult", toolName=f"'{name}'", content=_say(content), isError="false", details=details,
+        timing=f"named_struct('durationMs', CAST((conv_id + turn + {slot}) % 50 AS DOUBLE))")
+    searched = _found((sid("a"), site("a"), "'A'", "substring(text, 1, 40)"), (sid("b"), site("b"), "''", "''"),
+                      (sid("c"), "concat('https://e.test/', c, '/c', t)", "'C'", "''"))
+    docs = "concat('https://docs.test/', c)"
+    last = _record(at(8), "assistant", content=_say(f"IF(broke, '', {answer})"), stopReason="IF(broke, 'error', 'stop')",
+                   errorMessage="IF(broke, 'usage limit', NULL)", usage=_spent("n"))
+    user = [own(0, _record(at(0), "turn-lifecycle", event="'started'"), "framed"), own(1, _record(at(1), "user", content=_say(prompt)))]
+    system = [own(0, _record(at(0), "system-message", content=_say("text")))]
+    assistant = [
+        own(0, _record(at(0), "assistant", stopReason="'toolUse'", usage=_spent("100L"),
+                       content=_call(("websearch", "objective", "substring(text, 1, 30)"), ("webfetch", "url", site("b")), ("webfetch", "url", docs)))),
+        own(1, tool(1, "websearch", "'results'", searched)),
+        own(2, tool(2, "webfetch", f"concat({tag(sid('b'))}, {after_tag})", _found((sid("b"), site("b"), "'B'", "''")))),
+        own(3, tool(3, "webfetch", notice, _found((sid("d"), docs, "'D'", "''")))),
+        own(4, tool(4, "subagent", "'spawned'", "named_struct('sources', NULL, 'taskId', child)")),
+        own(7, _record(at(7), "turn-lifecycle", event="'final-started'"), "framed AND NOT left_open"),
+        own(8, last, "NOT left_open"),
+        own(9, _record(at(9), "turn-lifecycle", event="'finished'"), "framed AND NOT left_open"),
+        kid(0, _record("t0 + 4001", "turn-lifecycle", event="'started'"), "framed"),
+        kid(1, _record("t0 + 4002", "user", content=_say("concat('task ', t)"))),
+        kid(2, _record("t0 + 4003", "assistant", stopReason="'toolUse'", usage=_spent("10L"), content=_call(("webfetch", "url", site("a"))))),
+        kid(3, tool(5, "webfetch", f"concat({tag(chr(39) + 'k' + chr(39))}, '\\n\\n', substring(text, 1, 50))",
+                    _found((f"concat('k', {sid('')})", site("a"), "'A'", "''")))),
+        kid(4, _record(at(6), "assistant", content=_say("concat('child did ', t)"), stopReason="'stop'", usage=_spent("1L")), "NOT kid_open"),
+        kid(5, _record("t0 + 6001", "turn-lifecycle", event="'finished'"), "framed AND NOT kid_open")]
+    made = (f"CASE WHEN role = 'user' THEN array({', '.join(user)}) WHEN role = 'assistant' THEN array({', '.join(assistant)}) "
+            f"ELSE array({', '.join(system)}) END")
+    return (rows.selectExpr(f"explode({made}) AS e").filter("e.keep")
+            .selectExpr("e.session_id", "e.index", "to_json(e.r) AS raw"))
 
 
 NOW_MS = BASE_MS + 500_000_000

@@ -524,7 +524,7 @@ def _ms_events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
 
 
-@query("activity_sessions", f"""WITH m AS (SELECT user_id, event_id, epoch_ms(ts) AS t FROM events),
+@query("activity_sessions", f"""WITH m AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events),
 g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM m),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {HOUR_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS no FROM g)
 SELECT user_id, min(t) AS start_ts, max(t) AS end_ts, count(*) AS n FROM s GROUP BY user_id, no""")
