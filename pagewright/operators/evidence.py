@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.events import event_sources, page_text
+from pagewright.operators.events import BROWSER_TOOL, event_sources, page_text
 from pagewright.operators.ordered import chunk_of, numbered, pages_of_text, salted_join
 
 USAGE = ["input", "output", "cache_read", "cache_write", "reasoning", "total_tokens"]
 #: Rank of a text for a source: a page that was read, the source's own excerpt, whatever else the result says.
 PAGE, EXCERPT, RESULT = 3, 2, 1
 CITATION_TAG = r"^<[a-z]+-citation [^>]*/>\n*"
+OPENED_NOTICE = r"(?m)^✔\x{FE0E}? Opened [^\n]* page → [^\n]*$"
 
 
 def usage_totals(scoped: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def source_content(scoped: DataFrame, files: DataFrame | None = None) -> DataFra
     hides nothing. ``files`` holds ``(path, text)`` of results that were kept in a file: their whole text is the page.
     The best row is chosen on lengths alone, then its text is fetched.
     """
-    held = F.regexp_replace(F.regexp_replace(page_text(F.col("content")), CITATION_TAG, ""), r"\s+", "")
+    # a line that says a page was opened names the page, it is none of its text
+    held = F.regexp_replace(F.regexp_replace(page_text(F.col("content")), CITATION_TAG, ""), OPENED_NOTICE + r"|\s+", "")
     measured = event_sources(scoped.withColumn("_page", F.length(held)), "_page").filter(F.col("url") != "")
     if files is not None:
         kept = files.select(F.col("path").alias("saved_path"), F.length("text").alias("_kept"))
@@ -76,7 +78,8 @@ def source_content(scoped: DataFrame, files: DataFrame | None = None) -> DataFra
         measured = measured.withColumn("_kept", F.lit(None).cast("int"))
     read = F.col("holds_page") & (F.coalesce("_kept", "_page") > 0)
     rank = (F.when(read, PAGE).when(F.col("excerpt") != "", EXCERPT)
-            .when(~F.col("holds_page") & (F.col("saved_path") == "") & (F.col("_page") > 0), RESULT).otherwise(0))
+            .when(~F.col("holds_page") & (F.col("saved_path") == "") & (F.col("_page") > 0), RESULT)
+            .when(F.col("tool_name") == BROWSER_TOOL, RESULT).otherwise(0))
     size = F.when(rank == PAGE, F.coalesce("_kept", "_page")).otherwise(0)
     best = (measured.withColumn("rank", rank).withColumn("_size", size)
             .groupBy("run_id", "url").agg(F.max(F.struct("rank", "_size", (-F.col("stream")).alias("s"), (-F.col("index")).alias("i"),

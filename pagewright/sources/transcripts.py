@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pathlib import Path
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +72,7 @@ def stdout_answer(logs: DataFrame) -> DataFrame:
 def _through_link(paths: pd.Series) -> pd.Series:
     """Whether a local file is a link, or stands in a linked folder at or below its session's ``artifacts``."""
     def linked(path: str) -> bool:
-        file = Path(unquote(path.removeprefix("file:")))
+        file = Path(path.removeprefix("file:"))
         return any(p.is_symlink() for p in (file, *file.parents) if "artifacts" in p.parts)
     return paths.map(linked)
 
@@ -84,8 +83,8 @@ def scan_artifacts(spark: SparkSession, path: str, place: str = ARTIFACT) -> Dat
     Only metadata is read. Links are left out; they exist on local file systems only, so only those paths are checked.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .select("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("_p"), F.col("modificationTime").alias("mtime"), "length"))
-    found = files.select(F.regexp_extract("_p", place, 1).alias("session_id"), F.regexp_extract("_p", place, 2).alias("rel_path"),
+             .select("path", F.col("modificationTime").alias("mtime"), "length"))
+    found = files.select(F.regexp_extract("path", place, 1).alias("session_id"), F.regexp_extract("path", place, 2).alias("rel_path"),
                          "path", "mtime", "length").filter(F.col("rel_path") != "")
     if path.startswith(("/", "file:")):
         found = found.filter(~_through_link(F.col("path")))

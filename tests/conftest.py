@@ -85,22 +85,23 @@ def records_of(spark, sessions: dict[str, list[dict]]):
 def store(spark):
     """Typed events with turns, and the tables made of them, of sessions given as lists of records."""
     from pagewright.operators import events, evidence, turns
+    from pagewright.session import stored
 
     class Made:
         def __init__(self, sessions: dict[str, list[dict]], runs: list[str] = ()):
             self.raw = records_of(spark, sessions)
             self.typed = events.normalize_events(self.raw)
-            self.events = turns.segment_turns(self.typed).cache()
-            self.turns = turns.turns_of(self.events).cache()
+            self.events = stored(turns.segment_turns(stored(self.typed, "t")), "e")
+            self.turns = stored(turns.turns_of(self.events), "n")
             self.prompts = turns.prompts_of(self.events, self.turns)
             if runs:
                 self.runs = spark.createDataFrame([(r,) for r in runs], "run_id string")
-                self.run_turns = turns.run_turns(turns.run_session_join(self.runs, self.prompts), self.turns).cache()
+                self.run_turns = stored(turns.run_turns(turns.run_session_join(self.runs, self.prompts), self.turns), "r")
                 self.own = turns.run_scope(self.run_turns, self.events)
-                self.named = turns.named_children(self.own).cache()
-                self.tasks = turns.child_tasks(self.run_turns, self.named, self.turns).cache()
+                self.named = stored(turns.named_children(self.own), "c")
+                self.tasks = stored(turns.child_tasks(self.run_turns, self.named, self.turns), "k")
                 self.children = turns.child_scope(self.tasks, self.events, self.turns)
-                self.scoped = turns.whole_scope(self.own, self.children).cache()
+                self.scoped = stored(turns.whole_scope(self.own, self.children), "w")
                 self.orphans = turns.orphan_children(self.named, self.tasks, self.turns)
                 self.answers = evidence.final_answer(self.run_turns, self.events)
                 self.child_answers = evidence.child_answers(self.tasks, self.turns, self.events)

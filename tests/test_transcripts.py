@@ -97,7 +97,7 @@ def test_scan_reads_whole_records_only(spark, tmp_path) -> None:
     (folder / "messages.jsonl").write_text("\n".join(lines) + '\n{"role": "assistant", "content": "torn', encoding="utf-8")
     got = transcripts.scan_transcripts(spark, str(tmp_path)).orderBy("index").collect()
     start = len((lines[0] + "\n\n").encode())
-    assert [(r.session_id, r.index, r.byte_start, r.raw) for r in got] == [("Sess1", 0, 0, lines[0]), ("Sess1", 1, start, lines[2])]
+    assert [(r.session_id, r["index"], r.byte_start, r.raw) for r in got] == [("Sess1", 0, 0, lines[0]), ("Sess1", 1, start, lines[2])]
 
 
 def test_a_long_transcript_is_read_in_blocks(spark, tmp_path) -> None:
@@ -107,7 +107,7 @@ def test_a_long_transcript_is_read_in_blocks(spark, tmp_path) -> None:
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         scanned = transcripts.scan_transcripts(spark, str(tmp_path))
-        assert [(r.index, json.loads(r.raw)["content"].split()[0]) for r in scanned.orderBy("byte_start").collect()] == [(i, str(i)) for i in range(2000)]
+        assert [(r["index"], json.loads(r.raw)["content"].split()[0]) for r in scanned.orderBy("byte_start").collect()] == [(i, str(i)) for i in range(2000)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -188,7 +188,7 @@ def test_a_run_is_its_own_turn(store) -> None:
                         result("webfetch", "p", 12), frame("final-started", 13), said("my answer", 13), frame("finished", 14), {"role": "system-message", "content": "late"},
                         frame("started", 20), marked("next", other, 20), said("their answer", 21), frame("finished", 22)]}, [RUN, other, "260101-000000-none"])
     assert {r.run_id: r.answer for r in made.answers.collect()} == {RUN: "my answer", other: "their answer"}
-    mine = [r.index for r in made.own.filter(F.col("run_id") == RUN).orderBy("index").collect()]
+    mine = [r["index"] for r in made.own.filter(F.col("run_id") == RUN).orderBy("index").collect()]
     assert mine == list(range(3, 9))
     numbered = evidence.tool_result_no(made.own).collect()
     assert [(r.run_id, r.no, r.tool_name) for r in numbered] == [(RUN, 0, "webfetch")]
