@@ -14,8 +14,6 @@ TAG = re.compile(r"<(citation|quote)\b([^<>]*)>((?:(?!<(?:citation|quote)\b).)*?
 IDS = r"(?:refs|ref|source)\s*=\s*\"([^\"]*)\""
 #: Longest path a file system has.
 PATH_CHARS = 4096
-#: First characters of a name by which mentions meet files.
-KEY_CHARS = 3
 # What may stand before a relative mention and after any.
 MENTION = r"((?:sandbox:)?/[^\n\"'<>|]*?_[A-Za-z0-9]+/|(?<![^\s(\[<\"'`*])(?:sandbox:)?)artifacts/(?=([^\n]{1,%d}))" % PATH_CHARS
 AFTER = r"^(?:$|(?![\w%/~-]|\.\w))"
@@ -67,23 +65,21 @@ def artifact_mentions(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``(run_id, session_id, rel_path, written)``: saved files an answer names, and the text it names each by.
 
     ``answers`` holds ``(run_id, author, answer)``: a path relative to ``artifacts/`` means the folder of the session that
-    wrote the answer, an absolute one the session it names. ``artifacts`` holds ``(session_id, rel_path)``. A mention
-    meets only files of its session whose names begin with the same characters, and then must hold the whole name and
-    end there.
+    wrote the answer, an absolute one the session it names. ``artifacts`` holds ``(session_id, rel_path)``. A mention is
+    not tried against a session's files: it offers every name it could be, and they meet by equality.
     """
     found = answers.filter(F.contains("answer", F.lit("artifacts/"))).select(
         "run_id", "author", F.explode(F.arrays_zip(F.regexp_extract_all("answer", F.lit(MENTION), 1).alias("head"),
                                                    F.regexp_extract_all("answer", F.lit(MENTION), 2).alias("tail"))).alias("m"))
     folder = F.regexp_extract("m.head", r"_([A-Za-z0-9]+)/$", 1)
+    # every place in what follows where a name could end: names are met whole, by equality
+    ends = F.filter(F.sequence(F.lit(1), F.length("m.tail")), lambda n: F.rlike(F.substring(F.col("m.tail"), n + 1, F.lit(2)), F.lit(AFTER)))
     mentions = found.select("run_id", F.when(folder != "", folder).otherwise(F.col("author")).alias("session_id"),
-                            F.col("m.head").alias("head"), F.col("m.tail").alias("tail"),
-                            F.explode(F.array(*(F.lit(n) for n in range(1, KEY_CHARS + 1)))).alias("_n")
-                            ).withColumn("_key", F.expr("left(tail, _n)"))
-    forms = artifacts.select("session_id", "rel_path", F.explode(_forms(F.col("rel_path"))).alias("form")).select(
-        "session_id", "rel_path", "form", F.least(F.length("form"), F.lit(KEY_CHARS)).alias("_n")).withColumn("_key", F.expr("left(form, _n)"))
-    met = mentions.join(forms, ["session_id", "_n", "_key"])
-    whole = met.filter(F.startswith("tail", "form") & F.expr(f"substring(tail, length(form) + 1, 2) rlike r'{AFTER}'"))
-    return whole.select("run_id", "session_id", "rel_path", F.concat("head", F.lit("artifacts/"), "form").alias("written")).distinct()
+                            F.col("m.head").alias("head"), F.col("m.tail").alias("_tail"), F.explode(ends).alias("_n")
+                            ).select("run_id", "session_id", "head", F.expr("left(_tail, _n)").alias("form"))
+    forms = artifacts.select("session_id", "rel_path", F.explode(_forms(F.col("rel_path"))).alias("form"))
+    met = mentions.join(forms, ["session_id", "form"])
+    return met.select("run_id", "session_id", "rel_path", F.concat("head", F.lit("artifacts/"), "form").alias("written")).distinct()
 
 
 def referenced_artifacts(answers: DataFrame, artifacts: DataFrame, absolute_only: bool = False) -> DataFrame:

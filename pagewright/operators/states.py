@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.ordered import last_before, salted_join
+
 #: Quiet time after which a turn is no longer waited for, and how long a reserved run may stay without a supervisor.
 IDLE = "10 minutes"
 START_LIMIT = "1 minute"
@@ -37,7 +39,7 @@ def settle_window(runs: DataFrame, children: DataFrame, settle_ms: int) -> DataF
 
     ``runs`` holds ``(run_id, ended_ts)``; ``children`` holds ``(run_id, child_id, finished_ts)``, null while it works.
     """
-    joined = children.join(runs.select("run_id", "ended_ts"), "run_id")
+    joined = salted_join(children, runs.select("run_id", "ended_ts"), ["run_id"], F.col("child_id"))
     in_time = F.col("finished_ts") <= F.col("ended_ts") + settle_ms
     return joined.select("run_id", "child_id", F.coalesce(in_time, F.lit(False)).alias("settled"))
 
@@ -45,7 +47,7 @@ def settle_window(runs: DataFrame, children: DataFrame, settle_ms: int) -> DataF
 def run_state(runs: DataFrame, activity: DataFrame, orphans: DataFrame, now: Column, idle: str = IDLE) -> DataFrame:
     """``(run_id, state, reason, orphans)`` of every run.
 
-    ``runs`` holds ``run_id, created_at, supervised, alive, exit_code, ended_by_supervisor, recorded, stdout`` and, where a
+    ``runs`` holds ``run_id, created_at, supervised, alive, exit_code, ended_by_supervisor, recorded, reason`` and, where a
     turn was found, ``turn_no, finished, failed, error``. ``recorded`` is a state already written: a finished run is never
     judged again. A turn is judged by its last message and by an exit code of the process's own.
     """
@@ -103,7 +105,6 @@ def activity_sessions(events: DataFrame, gap_ms: int, key: str = "user_id") -> D
     ``events`` holds ``(key, ts)`` in milliseconds and ``event_id``. The batch form of a session window, without gathering
     a key: see ``ordered``.
     """
-    from pagewright.operators.ordered import last_before
     day = F.floor(F.col("ts") / 86_400_000)
     order = ["ts", "event_id"]
     before = last_before(events.select(key, "ts", "event_id"), [key], order, {"_prev": F.col("ts")}, day)

@@ -151,12 +151,12 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
     session's next turn is: this run collected it late. Found by one pass over each child's timeline, on which runs of a
     session do not overlap, not by pairing runs with tasks.
     """
-    frames = (named.join(runs.select("run_id", F.col("session_id").alias("parent"), "start_ts", "next_ts"), "run_id")
+    frames = (salted_join(named, runs.select("run_id", F.col("session_id").alias("parent"), "start_ts", "next_ts"), ["run_id"], F.col("child_id"))
               .withColumn("start_ts", F.coalesce("start_ts", F.lit(0).cast("long"))))
     parents = frames.select("child_id", "parent").distinct()
-    tasks = (turns.filter("turn_no > 0").select(F.col("session_id").alias("child_id"), "turn_no",
-                                                F.coalesce("start_ts", F.lit(0).cast("long")).alias("at"))
-             .join(parents, "child_id"))
+    given_at = turns.filter("turn_no > 0").select(F.col("session_id").alias("child_id"), "turn_no",
+                                                  F.coalesce("start_ts", F.lit(0).cast("long")).alias("at"))
+    tasks = salted_join(given_at, parents, ["child_id"], F.col("turn_no"))
     never = F.lit(2**62).cast("long")
     none = F.lit(None).cast("long")
     line = (
@@ -179,7 +179,7 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
     # a late task counts only where the run gave none
     best = found.groupBy("run_id", "child_id").agg(
         F.min("late").alias("_late"), F.max(F.struct((~F.col("late")).alias("given"), "turn_no"))["turn_no"].alias("_last"))
-    return (found.join(best, ["run_id", "child_id"]).filter(F.col("late") == F.col("_late"))
+    return (salted_join(found, best, ["run_id", "child_id"], F.col("turn_no")).filter(F.col("late") == F.col("_late"))
             .select("run_id", "child_id", "mention", "turn_no", (F.col("turn_no") == F.col("_last")).alias("last_task")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.urls import site_of
 from pagewright.operators.links import extract_links, resolve_links
-from pagewright.sources.pages import scan_pages
+from pagewright.sources.pages import scan_pages, spread
 
 SHELL = "<html><head><title>shell</title></head><body><div id=root></div></body></html>"
 CHALLENGE = '<div id="challenge-running"></div>'
@@ -66,7 +66,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = F.array(page)
     for code, made in trouble.items():
         attempts = F.when(kind == code, F.array(*made)).otherwise(attempts)
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     return (pages.select("page_id", "url", F.col("url").alias("final_url"), F.explode(attempts).alias("a"))
             .select("page_id", "url", "final_url", "a.*"))
 
@@ -185,7 +185,7 @@ def run_id(conv: Column, turn: Column) -> Column:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, index, raw)``: transcript records of every conversation, its child sessions included."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id").selectExpr(
         "conv_id", "turn", "role", "text", "CAST(conv_id AS STRING) AS c", "CAST(turn AS STRING) AS t", "concat('P', conv_id) AS parent",
         "concat('K', conv_id, 'x', turn DIV 4) AS child", f"{BASE_MS} + conv_id * 10000000 + turn * 100000 AS t0",
         "conv_id % 4 <> 0 AS framed", "conv_id % 5 = 0 AND turn % 4 = 3 AS left_open", "(conv_id + turn) % 6 = 0 AS kid_open",

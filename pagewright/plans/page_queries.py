@@ -11,7 +11,7 @@ from pagewright.operators import attempts, pages
 from pagewright.plans import corpora, sqltext
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
-from pagewright.sources.pages import scan_fetch_log, scan_pages, write_pages
+from pagewright.sources.pages import scan_fetch_log, scan_pages, spread, write_pages
 
 LOG = f"WITH {corpora.FETCH_LOG_SQL}"
 JUDGED = f"{LOG}, {sqltext.JUDGED_SQL}"
@@ -115,7 +115,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("word_count", f"SELECT doc_id, lang, {sqltext.words('text')} AS words FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
     return docs.select("doc_id", "lang", word_count(F.col("text")).alias("words"))
 
 

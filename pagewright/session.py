@@ -15,6 +15,8 @@ SETTINGS = {
     # wide HTML rows: small Arrow batches keep a Python worker's memory flat
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a session window's rows meet before the shuffle, so a busy key is no hot spot
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # capturing a stack trace for every column operation costs more than planning a query does
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators.ordered import chunk_of, numbered
+from pagewright.operators.ordered import chunk_of, numbered, salted_join
 
 #: URLs one manifest document holds; a larger site is written as several documents, in order.
 PART_URLS = 10_000
@@ -66,8 +66,8 @@ def write_crawl_manifest(items: DataFrame, left: DataFrame, path: str, part_urls
              .select("root", F.to_json(F.struct("root", "part", "pages", F.array().cast("array<string>").alias("not_crawled"),
                                                 "count")).alias("value")))
     first = items.groupBy("root").agg((F.floor(F.max("n") / part_urls) + 1).alias("_from"))
-    rest = (numbered(left, ["root"], [F.col("ord"), F.col("url")], "_n", chunk_of(F.col("ord")))
-            .join(first, "root", "left")
+    placed = numbered(left, ["root"], [F.col("ord"), F.col("url")], "_n", chunk_of(F.col("ord")))
+    rest = (salted_join(placed, first, ["root"], F.col("url"), how="left")
             .withColumn("part", F.coalesce("_from", F.lit(0)) + F.floor(F.col("_n") / part_urls)).groupBy("root", "part")
             .agg(F.array_sort(F.collect_list(F.struct("_n", "url"))).alias("rows"))
             .select("root", F.to_json(F.struct("root", "part", F.array().cast("array<struct<url:string>>").alias("pages"),

@@ -9,9 +9,19 @@ FETCH_SCHEMA = ("url string, final_url string, status int, content_type string,
                 "hit_budget boolean")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    Page work is regular expressions over wide rows, so a table in one small file would keep one core busy. A corpus with
+    partitions enough is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The page table of ``folder`` as responses that were read."""
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{folder}/pages.parquet"), "page_id")
     return pages.select("page_id", "url", F.col("url").alias("final_url"), F.lit(200).alias("status"),
                         F.lit("text/html; charset=utf-8").alias("content_type"), F.lit("text").alias("kind"),
                         F.col("html").alias("text"))
