@@ -179,6 +179,13 @@ def _spent(n: str) -> str:
             f"'cost', named_struct('total', {n} / 1024D))")
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """A timestamp column in microseconds since 1970, read as UTC whatever the session's time zone is."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    return F.unix_micros(column)
+
+
 def run_id(conv: Column, turn: Column) -> Column:
     return F.concat(F.lit("240101-"), F.lpad(turn.cast("string"), 6, "0"), F.lit("-"), conv.cast("string"), F.lit("-ask"))
 

@@ -90,8 +90,8 @@ b AS (SELECT user_id, min(t) AS s, max(t) + 3600000000 AS e, count(*) AS n FROM
 SELECT user_id, s AS start_us, e AS end_us, n FROM b WHERE e // 1000 <= (SELECT max(t) // 1000 FROM m) - 3600000""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-              .select("user_id", F.col("ts").cast("timestamp").alias("ts")))
+    table = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = table.select("user_id", F.timestamp_micros(corpora.micros(table, "ts")).alias("ts"))
     bursts = live.stream_activity(stream, "1 hour", lateness="1 hour")
     done = drain(bursts, "append", scratch(spark, "activity"))
     return done.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

@@ -13,6 +13,7 @@ from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
 from pagewright.session import stored
 from pagewright.sources import transcripts
+from pagewright.sources.pages import spread
 
 E = f"WITH {corpora.EVENTS_SQL}"
 
@@ -521,7 +522,8 @@ HOUR_MS = 3_600_000
 
 
 def _ms_events(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
+    table = spread(spark.read.parquet(f"{d}/events.parquet"), "event_id")
+    return table.select("event_id", "user_id", F.floor(corpora.micros(table, "ts") / 1000).alias("ts"), "event_type")
 
 
 @query("activity_sessions", f"""WITH m AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events),
