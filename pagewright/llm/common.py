@@ -36,7 +36,7 @@ def fold(doc_id: Column, n: int) -> Column:
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package on a cluster that has not installed it: the source tree goes along as a zip file, once a session."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or getattr(context, "_pagewright_shipped", False):
+    if getattr(context, "_pagewright_shipped", False):
         return
     import tempfile
     import zipfile
