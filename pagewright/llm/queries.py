@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact, mixing, packing, simhash, toxicity
+from pagewright.llm import exact, lm, mixing, packing, simhash, suffix, toxicity
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
 
@@ -39,3 +39,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("_row")
+
+
+@query("op3_kneser_ney")
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexities(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
