@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact, lm, mixing, packing, simhash, suffix, toxicity
+from pagewright.llm import chat, exact, lm, mixing, packing, simhash, suffix, topk, toxicity
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
+from pagewright.session import stored
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -49,3 +50,32 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_INT = "list_transform(embedding, lambda c: cast(floor(cast(c as double) * 256) as bigint))"
+
+
+@query("op10_threshold_top_k", f"""
+with v as (select vec_id, {_INT} x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank", vec_id, score from s)
+select * from r where "rank" <= 5""")
+def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_table(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_chat_prefix_tree", r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(text) + len(regexp_extract_all(text, '</?\\*s>|\[/?\\*INST\]')) as n from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(case when role = 'assistant' then 7 + n else 14 + length(role) + n end) as bigint) as formatted_chars
+from e group by conv_id""")
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    walked = stored(chat.paths(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)), "paths")
+    return chat.read_back(walked, stored(chat.tree(walked), "tree"))
