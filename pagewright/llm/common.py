@@ -12,7 +12,7 @@ from pagewright.session import stored
 #: Bytes A-Z to a-z, every other byte as it is; parts of longer UTF-8 sequences lie outside A-Z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-__all__ = ["LOWER", "components", "fold", "lower_az", "ship_package", "table", "text_of"]
+__all__ = ["LOWER", "components", "fold", "lower_az", "ship_package", "table", "text_of", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

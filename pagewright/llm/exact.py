@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import LOWER, ship_package, text_of
+from pagewright.llm.common import LOWER, ship_package, text_of, unused
 from pagewright.session import stored
 
 PRIMES = (2147483647, 2147483629)
@@ -136,5 +136,6 @@ def exact_classes(docs: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns."""
-    gone = exact_classes(docs).filter("not kept").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    row = unused(docs, "_row")
+    gone = exact_classes(docs).filter("not kept").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)

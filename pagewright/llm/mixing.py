@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_of
+from pagewright.llm.common import text_of, unused
 from pagewright.operators.ordered import chunk_of, running_sum, salted_join
 from pagewright.session import stored
 
@@ -156,5 +156,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     ``docs`` is read twice, so it must be a table or another plan that gives its rows alike each time.
     """
     _, mix = plan(docs, **options)
-    drawn = docs.withColumn("_row", F.monotonically_increasing_id()).join(mix.select("_row", F.col("shard").alias("_shard"), F.col("place").alias("_place")), "_row")
-    return drawn.repartition("_shard").sortWithinPartitions("_shard", "_place").drop("_row", "_shard", "_place")
+    row, shard, place = (unused(docs, c) for c in ("_row", "_shard", "_place"))
+    drawn = mix.select(F.col("_row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).join(drawn, row)
+    return numbered.repartition(shard).sortWithinPartitions(shard, place).drop(row, shard, place)

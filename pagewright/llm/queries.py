@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, exact, lm, mixing, packing, simhash, suffix, topk, toxicity
+from pagewright.llm import chat, exact, lm, mixing, packing, pii, simhash, suffix, topk, toxicity
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
 from pagewright.session import stored
@@ -79,3 +79,8 @@ def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     walked = stored(chat.paths(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)), "paths")
     return chat.read_back(walked, stored(chat.tree(walked), "tree"))
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))

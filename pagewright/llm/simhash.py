@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import LOWER, components, ship_package, text_of
+from pagewright.llm.common import LOWER, components, ship_package, text_of, unused
 from pagewright.session import stored
 
 SHINGLE_WORDS = 3
@@ -106,7 +106,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     ``docs`` is read twice, so it must be a table or another plan that gives its rows alike each time.
     """
+    row = unused(docs, "_row")
     classes = stored(near_classes(docs), "classes")
     apart = F.when(F.col("component_id").isNull(), F.col("fp")).alias("apart")  # rows that all lack an id are told apart by fingerprint
-    kept = classes.groupBy("component_id", apart).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s")).select("s._row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    kept = classes.groupBy("component_id", apart).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s")).select(F.col("s._row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

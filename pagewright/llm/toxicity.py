@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import LOWER, fold, ship_package, text_of
+from pagewright.llm.common import LOWER, fold, ship_package, text_of, unused
 from pagewright.session import stored
 
 WINDOW_BYTES = 128
@@ -201,4 +201,5 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that do not count as toxic, all their columns."""
     model = train(docs, labels)
-    return docs.withColumn("_score", model.column()).filter(F.col("_score") < REJECT).drop("_score")
+    score = unused(docs, "_score")
+    return docs.withColumn(score, model.column()).filter(F.col(score) < REJECT).drop(score)
