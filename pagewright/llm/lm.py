@@ -94,6 +94,13 @@ class Model:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each text, the scores in log10."""
+        sizes, count, base, own = self.token_scores(texts)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        sums = lambda x: np.add.reduceat(x, first) if len(sizes) else np.zeros(0)
+        return sizes, sums((count > 0).astype(np.int64)), sums(base), sums(own)
+
+    def token_scores(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Each text's number of tokens; each token's count in training, and its log10 probability by the base and by the model."""
         hashes, sizes = tokens(texts)
         unique, which = np.unique(np.concatenate([hashes, [START]]), return_inverse=True)
         number, known = self.words.numbers(unique)
@@ -113,9 +120,7 @@ class Model:
         held = after[prior]
         rest = np.where(after > 0, (self.high[0] * once + self.high[1] * twice + self.high[2] * more) / np.maximum(after, 1), 1.0)
         p = np.where(held > 0, (pair - discounted(pair, self.high)) / np.maximum(held, 1), 0.0) + rest[prior] * below[own]
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        sums = lambda x: np.add.reduceat(x, first) if len(sizes) else np.zeros(0)
-        return sizes, sums((count[own] > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+        return sizes, count[own], base, np.log10(p)
 
     def _attribute(self, name: str, number: np.ndarray, known: np.ndarray) -> np.ndarray:
         return np.where(known, self.words.of(name, np.where(known, number, 0)), 0) if self.v else np.zeros(len(number), np.int64)
