@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import html
 import re
-from html.entities import html5
+from html.entities import html5, name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pagewright.functions.urls import let
+
 # Never text, closed or not: a browser, too, reads an unclosed script to the end.
 NOT_TEXT = (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
             r"|<noscript\b.*?(?:</noscript\s*>|\z)|<template\b.*?(?:</template\s*>|\z)|<svg\b.*?(?:</svg\s*>|\z)")
@@ -25,12 +27,32 @@ H1 = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _entity(found: Column) -> Column:
+    """What one entity stands for; one of an unknown name stays as it is, and a number that is no character is a replacement character."""
+    names = F.create_map(*(F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, code)))
+    body = F.substring(found, F.lit(2), F.length(found) - 2)
+    code = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("int"))
+            .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body)).cast("int")).otherwise(F.try_element_at(names, body)))
+
+    def character(n: Column) -> Column:
+        real = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        spelled = F.decode(F.unhex(F.lpad(F.hex(F.when(real, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(n.isNull(), found).when(n == 0xA0, " ").otherwise(spelled)
+
+    return let(code, character)
+
+
 def _decoded(text: Column) -> Column:
-    """The entities that matter for reading and counting words. ``&amp;`` last, so nothing is decoded twice."""
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """A text with its entities decoded in one pass, so nothing is decoded twice."""
+    def walked(t: Column) -> Column:
+        parts = F.arrays_zip(F.split(t, ENTITY, -1).alias("gap"), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)).alias("found"))
+        named = parts.cast("array<struct<gap: string, found: string>>")
+        return F.array_join(F.transform(named, lambda p: F.concat(p["gap"], F.coalesce(_entity(p["found"]), F.lit("")))), "")
+
+    return let(text, lambda t: F.when(t.contains("&"), walked(t)).otherwise(t))
 
 
 def _one_line(text: Column) -> Column:

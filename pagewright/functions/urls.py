@@ -103,7 +103,9 @@ def resolve_href(base: Column, href: Column) -> Column:
     Follows RFC 3986 section 5.2 for references with a scheme, ``//host``, ``/path``, ``?query``, ``#fragment`` and
     relative paths.
     """
-    target = without_fragment(F.regexp_replace(F.trim(href), r"[\t\n\r]", ""))
+    # as a browser reads it: line breaks and tabs go first, then control characters and blanks around it; a blank within is written out
+    bare = F.regexp_replace(F.regexp_replace(href, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    target = without_fragment(F.replace(bare, F.lit(" "), F.lit("%20")))
     root = F.regexp_extract(base, BASE, 1)
     # the base's path up to its last slash, or all of it
     folder = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^?#]*)?/|)", 1), r"^$", "/")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.urls import authority_host
 from pagewright.operators.ordered import chunk_of, numbered, salted_join
 from pagewright.operators.pages import page_status
+from pagewright.session import stored
 
 # Errors a browser reports.
 TIMEOUT = "timeout"
@@ -61,6 +62,11 @@ def _per_url(attempts: DataFrame) -> DataFrame:
             F.when(F.col("_nt") > 0, F.col("_t_any")).alias("t"))
 
 
+def _outcomes(log: DataFrame, min_words: int) -> DataFrame:
+    """``_per_url`` of a log, written once: what hosts said is read from it again, and no page is judged twice."""
+    return stored(_per_url(judged(log, min_words)), "outcomes")
+
+
 def _hosts(last: DataFrame) -> DataFrame:
     """Per host: whether a tab opened there, whether one could not, what it said, and the first URL a fetch threw on."""
     host = authority_host(F.col("url")).alias("host")
@@ -77,7 +83,7 @@ def escalation_set(log: DataFrame, min_words: int = 80) -> DataFrame:
     Not those a tab already read, and none of a host where a tab could not be opened. Where nothing is known of a host's
     tabs, the first URL a fetch threw on goes alone: its tab answers for the host.
     """
-    last = _per_url(judged(log, min_words)).filter(F.col("f").isNotNull() | F.col("t").isNotNull())
+    last = _outcomes(log, min_words).filter(F.col("f").isNotNull() | F.col("t").isNotNull())
     page = F.col("f.status").isin("shell", "challenge")
     wanted = last.filter(F.col("t").isNull() & (page | F.col("f.threw"))).withColumn("host", authority_host(F.col("url")))
     placed = salted_join(wanted, _hosts(last), ["host"], F.col("url"))
@@ -88,7 +94,7 @@ def escalation_set(log: DataFrame, min_words: int = 80) -> DataFrame:
 
 def resolve_attempts(log: DataFrame, min_words: int = 80) -> DataFrame:
     """One item per URL: the tab's answer where it gave one, else the fetch's, with what each of them said."""
-    last = _per_url(judged(log, min_words)).withColumn("host", authority_host(F.col("url")))
+    last = _outcomes(log, min_words).withColumn("host", authority_host(F.col("url")))
     failed = _hosts(last).filter("tab_failed").select("host", F.col("_said").alias("_host_said"))
     rows = salted_join(last, failed, ["host"], F.col("url"), how="left")
     tab_error = F.col("t.kind") == "error"

@@ -153,17 +153,24 @@ def _usage(record: Column) -> Column:
                     F.coalesce(_get(record, "$.usage.cost.total", "double"), F.lit(0.0)).alias("cost"))
 
 
+#: From this size on a record may not fit the engine's variant type.
+VARIANT_BYTES = 128 * 1024 * 1024
+
+
 def normalize_events(records: DataFrame) -> DataFrame:
-    """One event a record of ``(session_id, index, raw)``; a record of an unknown role is an event of kind ``raw``."""
+    """One event a record of ``(session_id, index, raw)``; a record of an unknown role is an event of kind ``raw``.
+
+    A record that is JSON but larger than a variant may be is of kind ``oversized``, so it is not taken for one of an unknown role.
+    """
     mapped = lambda names, value: F.coalesce(*(F.when(value == k, v) for k, v in names.items()))
     parsed = records.withColumn("_r", F.try_parse_json("raw"))
     typed = (parsed.withColumn("_role", _get(F.col("_r"), "$.role"))
-             .withColumn("kind", F.coalesce(mapped(KINDS, F.col("_role")), F.lit("raw")))
+             .withColumn("kind", F.coalesce(mapped(KINDS, F.col("_role")), F.when(F.col("_r").isNull() & (F.octet_length("raw") >= VARIANT_BYTES), "oversized"), F.lit("raw")))
              .withColumn("_content", _get(F.col("_r"), "$.content", "variant"))
              .withColumn("tool_name", F.coalesce(_get(F.col("_r"), "$.toolName"), F.lit("")))
              .withColumn("is_error", F.coalesce(_get(F.col("_r"), "$.isError", "boolean"), F.lit(False))))
     is_result, is_message = F.col("kind") == "tool_result", F.col("kind").isin("assistant", "user")
-    content = (F.when(is_message, spoken_text(F.col("_content"))).when(F.col("kind") == "raw", F.col("raw"))
+    content = (F.when(is_message, spoken_text(F.col("_content"))).when(F.col("kind").isin("raw", "oversized"), F.col("raw"))
                .otherwise(flatten_content(F.col("_content"))))
     read = typed.withColumn("content", F.coalesce(content, F.lit("")))
     stop = F.when(F.col("kind") == "assistant", F.coalesce(mapped(STOPS, _get(F.col("_r"), "$.stopReason")), F.lit(""))).otherwise("")
@@ -198,8 +205,9 @@ def event_sources(events: DataFrame, *also: str) -> DataFrame:
 def downloads(events: DataFrame) -> DataFrame:
     """Documents that fetches saved in their own session's folder; a path outside of it names no document."""
     rows = event_sources(events).filter((F.col("saved_path") != "") & ~F.col("holds_page"))
-    inside = F.contains("saved_path", F.concat(F.lit("_"), F.col("session_id"), F.lit("/")))
-    return rows.filter(inside & ~F.contains("saved_path", F.lit("/../")))
+    # .../sessions/<date>_<session>/...: the session's own folder, not a folder of that name elsewhere in the path
+    own = F.regexp_extract("saved_path", r"^(?:.*/)?sessions/[0-9]{4}-[0-9]{2}-[0-9]{2}_([A-Za-z0-9]+)/", 1)
+    return rows.filter((own == F.col("session_id")) & ~F.contains("saved_path", F.lit("/../")))
 
 
 def browser_pages(events: DataFrame) -> DataFrame:

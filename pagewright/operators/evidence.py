@@ -30,7 +30,8 @@ def _place() -> Column:
 
 
 def _in_session(rows: DataFrame) -> Column:
-    return F.struct("stream", chunk_of(F.col("index")))
+    # one record may name several children, so their records come after each other, not by index
+    return F.struct("stream", "child_id", chunk_of(F.col("index")))
 
 
 def scoped_sources(scoped: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def merge_sources(scoped: DataFrame) -> DataFrame:
     named = F.when(F.col("title") != "", _place())
     merged = rows.groupBy("run_id", "url").agg(F.min(_place()).alias("_first"), F.max("opened").alias("opened"),
                                                F.min_by("title", named).alias("title"))
-    placed = merged.withColumn("stream", F.col("_first.stream")).withColumn("index", F.col("_first.index"))
+    placed = merged.withColumns({c: F.col(f"_first.{c}") for c in ("stream", "child_id", "index")})
     counted = numbered(placed, ["run_id"], ["_first", "url"], "n", _in_session(placed))
     return counted.select("run_id", "n", "url", F.coalesce("title", F.lit("")).alias("title"), "opened")
 

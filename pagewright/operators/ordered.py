@@ -4,7 +4,8 @@ A plain window partitioned by a group's key puts the whole group into one task.
 chunks; the windows run over one chunk of one group each, and what the earlier chunks hold is carried in from a table
 with one row per chunk, made by partial aggregation. The results equal the plain window's.
 
-``chunk`` is a monotone function of the order, for example ``index div 4096``: rows of a later chunk come later.
+``chunk`` is a monotone function of the order, for example ``index div 4096``: rows of a later chunk come later, a null chunk's first. Null keys
+are one group.
 """
 from __future__ import annotations
 
@@ -24,8 +25,11 @@ def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
 def _carried(df: DataFrame, keys: list[str], totals: list[Column], carries: list[Column]) -> DataFrame:
     """``df`` with each chunk's carry columns. ``df`` holds ``_chunk``."""
     per_chunk = df.groupBy(*keys, "_chunk").agg(*totals)
-    carry = per_chunk.select(*keys, "_chunk", *carries)
-    return df.join(carry, [*keys, "_chunk"])
+    parts = [*keys, "_chunk"]
+    carry = per_chunk.select(*parts, *carries).withColumnsRenamed({k: f"_of_{k}" for k in parts})
+    # a null key is a group and a null chunk a chunk, as in a plain window
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(carry[f"_of_{k}"]) for k in parts))
+    return df.join(carry, same).drop(*(f"_of_{k}" for k in parts))
 
 
 def _before(keys: list[str]):

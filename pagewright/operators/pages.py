@@ -111,16 +111,13 @@ def doc_triage(df: DataFrame) -> DataFrame:
     held = F.try_to_binary(F.col("body_b64"), F.lit("base64"))
     judged = (df.filter(F.col("kind") == "file").withColumn("_bytes", held)
               .withColumn("_magic", F.hex(F.substring(F.col("_bytes"), 1, 8)))
-              .withColumn("_start", F.decode(F.substring(F.col("_bytes"), 1, 4096), "ISO-8859-1")))
+              .withColumn("_whole", F.decode(F.col("_bytes"), "ISO-8859-1")))
     claimed = F.lower(F.coalesce(F.col("ext"), F.lit("")))
-    magic, start = F.col("_magic"), F.col("_start")
+    magic, whole = F.col("_magic"), F.col("_whole")
     # a zip's first entry: its name follows the 30-byte local header, its stored content follows the name
-    first_entry_hwpx = (F.substring(start, 31, 8) == "mimetype") & (F.substring(start, 39, len(HWPX_MIMETYPE)) == HWPX_MIMETYPE)
-    # a stream of an OLE file starts on a 64-byte boundary
-    whole = F.decode(F.col("_bytes"), "ISO-8859-1")
-    signed_at = F.instr(whole, HWP_SIGNATURE)
-    hwp = (signed_at > 0) & ((signed_at - 1) % 64 == 0)
-    html = html_sniff(start)
+    first_entry_hwpx = (F.substring(whole, 31, 8) == "mimetype") & (F.substring(whole, 39, len(HWPX_MIMETYPE)) == HWPX_MIMETYPE)
+    hwp = _signed_stream(whole)
+    html = html_sniff(whole)
     real = (F.when(magic.startswith(MAGIC_PDF), "pdf")
             .when(magic.startswith(MAGIC_ZIP) & first_entry_hwpx, "hwpx")
             .when(magic.startswith(MAGIC_ZIP), F.when(claimed.isin(ZIP_TYPES) & (claimed != "hwpx"), claimed).otherwise("zip"))
@@ -141,7 +138,15 @@ def doc_triage(df: DataFrame) -> DataFrame:
                              F.lit(", is "), F.when(F.col("real_ext") == claimed, "something else").otherwise(F.col("real_ext")))))
     return (judged.withColumn("real_ext", F.when(F.col("_bytes").isNotNull(), real))
             .withColumn("doc_status", status).withColumn("doc_error", reason)
-            .drop("_bytes", "_magic", "_start"))
+            .drop("_bytes", "_magic", "_whole"))
+
+
+def _signed_stream(whole: Column) -> Column:
+    """Whether any copy of the signature starts a stream of an OLE file, which lies on a 64-byte boundary."""
+    before = F.transform(F.split(whole, HWP_SIGNATURE, -1), F.length)
+    walked = F.aggregate(F.slice(before, 1, F.size(before) - 1), F.struct(F.lit(0).alias("at"), F.lit(False).alias("found")), lambda a, n: F.struct(
+        (a["at"] + n + len(HWP_SIGNATURE)).alias("at"), (a["found"] | ((a["at"] + n) % 64 == 0)).alias("found")))
+    return walked["found"]
 
 
 def _bare_glob(glob: str) -> str:

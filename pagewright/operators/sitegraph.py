@@ -1,7 +1,7 @@
 """Walking a site's links, and what a map or crawl reports.
 
-A page's place in a walk, ``ord``, is a sortable text: its depth, then the position of each link on the way to it. Text
-order is the order of discovery, so no level has to number its pages.
+A page's place in a walk, ``ord``, is a sortable text: its depth, then the position of each link on the way to it, each number
+after its own number of digits. Text order is the order of discovery, so no level has to number its pages.
 """
 from __future__ import annotations
 
@@ -12,21 +12,16 @@ from pagewright.functions.urls import same_site, url_key
 from pagewright.operators.ordered import first_n, salted_join
 from pagewright.session import reliable
 
-#: Digits of one link position in ``ord``.
-STEP = 7
 #: Pages a crawl fetches when it discovered them itself.
 MAX_PAGES = 25
 #: Rows a report lists of a group of any size.
 SHOWN = 10
 
 
-def _place(depth: int, way: Column) -> Column:
-    return F.concat(F.lit(f"{depth:02d}"), way)
-
-
-def walk_chunk(depth: int) -> Column:
-    """A chunk of ``ord`` for ``ordered``: pages that share the first half of their way."""
-    return F.substring("ord", 1, 2 + STEP * ((depth + 1) // 2))
+def sortable(n: Column) -> Column:
+    """A whole number from 0 as a text that sorts like it: two digits that say how many follow."""
+    digits = n.cast("long").cast("string")
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
 
 
 def discover(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -38,10 +33,12 @@ def discover(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     repeats one level and the plan does not grow.
     """
     # copies of a page repeat its links: one row per target, counted before the first shuffle
-    linked = (edges.select(url_key(F.col("src")).alias("src_key"), "pos", "dst").groupBy("src_key", "dst")
-              .agg(F.min("pos").alias("pos")))
+    # a root's pages all lie on its site, so links that leave their own page's site go before anything is written
+    linked = (edges.select(url_key(F.col("src")).alias("src_key"), "pos", F.when(same_site(F.col("src"), F.col("dst")), F.col("dst")).alias("dst"))
+              .groupBy("src_key", "dst").agg(F.min("pos").alias("pos")))
     linked = reliable(linked)
-    pages_read = linked.select("src_key").distinct()
+    pages_read = reliable(linked.select("src_key").distinct())
+    linked = linked.filter(F.col("dst").isNotNull())
     level = roots.select("root", F.col("root").alias("url"), url_key(F.col("root")).alias("key"), F.lit("").alias("way")).distinct()
     visited = None
     for d in range(depth + 1):
@@ -56,13 +53,12 @@ def discover(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         if not asked or level.isEmpty():
             break
         steps = (level.filter("read").select("root", "way", F.col("key").alias("src_key"))
-                 .join(linked.filter(F.col("dst").isNotNull()), "src_key")
-                 .filter(same_site(F.col("root"), F.col("dst"))))
-        way = F.concat("way", F.lpad(F.col("pos").cast("string"), STEP, "0"))
+                 .join(linked, "src_key"))
+        way = F.concat("way", sortable(F.col("pos")))
         found = (steps.groupBy("root", url_key(F.col("dst")).alias("key")).agg(F.min(F.struct(way.alias("way"), "dst")).alias("_first"))
                  .select("root", "key", F.col("_first.way").alias("way"), F.col("_first.dst").alias("url")))
         level = found.join(visited.select("root", "key"), ["root", "key"], "left_anti")
-    place = F.concat(F.lpad(F.col("depth").cast("string"), 2, "0"), "way")
+    place = F.concat(sortable(F.col("depth")), "way")
     return visited.select("root", "url", "depth", place.alias("ord"), "read")
 
 

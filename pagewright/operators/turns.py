@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.ordered import chunk_of, last_before, running_sum, salted_join
+from pagewright.operators.ordered import chunk_of, first_n, last_before, running_sum, salted_join
 
 #: What a run's prompt carries so that its session can be found: ``(<MARKER>:<run id> — ...)``.
 MARKER = "run-marker"
@@ -206,23 +206,24 @@ def orphan_children(named: DataFrame, tasks: DataFrame, turns: DataFrame) -> Dat
     return named.join(done, ["run_id", "child_id"], "left_anti")
 
 
-def resolve_run_ref(runs: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(ref, run_id, verdict)``: the run each typed reference names.
+def resolve_run_ref(runs: DataFrame, refs: DataFrame, candidates: int = 10) -> DataFrame:
+    """``(ref, run_id, verdict, n)``: the run each typed reference names, and how many runs it begins.
 
-    A whole id wins over a longer one it begins; else a prefix only one run has; a shared prefix gives its candidates.
-    Prefixes are found by equality: each run offers all of its own, a few dozen short texts.
+    A whole id wins over a longer one it begins; else a prefix only one run has; a shared prefix gives its first ``candidates`` runs in the
+    order of their ids. Prefixes are found by equality: each run offers those as long as some reference is.
     """
     asked = refs.select("ref").distinct()
-    offered = runs.select("run_id", F.explode(F.sequence(F.lit(1), F.length("run_id"))).alias("_n")).select(
-        "run_id", F.expr("left(run_id, _n)").alias("ref"))
+    lengths = asked.select(F.length("ref").alias("_n")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    dealt = runs.select("run_id").withColumn("_salt", F.pmod(F.xxhash64("run_id"), F.lit(16)).cast("int"))
+    offered = dealt.join(lengths, "_salt").filter(F.length("run_id") >= F.col("_n")).select("run_id", F.expr("left(run_id, _n)").alias("ref"))
     found = salted_join(offered, asked, ["ref"], F.col("run_id"))
     counts = found.groupBy("ref").agg(F.count("*").alias("_n"), F.max(F.col("run_id") == F.col("ref")).alias("_whole"))
     judged = salted_join(found, counts, ["ref"], F.col("run_id"))
     exact = F.col("run_id") == F.col("ref")
-    named = judged.filter(~F.col("_whole") | exact).select(
-        "ref", "run_id", F.when(F.col("_whole"), "exact").when(F.col("_n") == 1, "prefix").otherwise("candidate").alias("verdict"))
+    verdict = F.when(F.col("_whole"), "exact").when(F.col("_n") == 1, "prefix").otherwise("candidate")
+    named = first_n(judged.filter(~F.col("_whole") | exact), ["ref"], ["run_id"], candidates).select("ref", "run_id", verdict.alias("verdict"), F.col("_n").alias("n"))
     missing = asked.join(counts, "ref", "left_anti").select(
-        "ref", F.lit(None).cast("string").alias("run_id"), F.lit("unknown").alias("verdict"))
+        "ref", F.lit(None).cast("string").alias("run_id"), F.lit("unknown").alias("verdict"), F.lit(0).cast("long").alias("n"))
     return named.unionByName(missing)
 
 

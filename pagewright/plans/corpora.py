@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.urls import site_of
 from pagewright.operators.links import extract_links, resolve_links
-from pagewright.sources.pages import scan_pages, spread
+from pagewright.operators.ordered import salted_join
+from pagewright.plans.layout import spread
+from pagewright.sources.pages import scan_pages
 
 SHELL = "<html><head><title>shell</title></head><body><div id=root></div></body></html>"
 CHALLENGE = '<div id="challenge-running"></div>'
@@ -31,6 +33,10 @@ def _attempt(no: int, via: str, status: int, content_type: str | None, kind: str
                     F.lit(error).cast("string").alias("error"), F.lit(threw).alias("threw"))
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(scan_pages(spark, sf_dir), "page_id")
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fetch log over every page: ordinary answers, and by page id every kind of trouble an answer can be."""
     html, id_ = F.col("html"), F.col("page_id")
@@ -114,23 +120,23 @@ def site_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page. The corpus links only to pages it does not hold, so each page also links, first of all, to the
     site's page with the next id."""
     from pyspark.sql import Window
-    pages = scan_pages(spark, sf_dir)
-    links = resolve_links(extract_links(pages)).select("src", (F.col("pos") + 1).alias("pos"), "dst")
+    rows = pages(spark, sf_dir)
+    links = resolve_links(extract_links(rows)).select("src", (F.col("pos") + 1).alias("pos"), "dst")
     order = Window.partitionBy(site_of(F.col("url")), F.floor(F.col("page_id") / 4096)).orderBy("page_id")
-    chain = pages.select(F.col("url").alias("src"), F.lit(0).alias("pos"), F.lead("url").over(order).alias("dst"))
+    chain = rows.select(F.col("url").alias("src"), F.lit(0).alias("pos"), F.lead("url").over(order).alias("dst"))
     return links.unionByName(chain)
 
 
 def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(root, ord, url)``: what the sitemaps of some sites list: their pages under both names, one relative entry and one
-    page elsewhere."""
+    """``(root, ord, url)``: what every site's sitemap lists: its pages under both names, one relative entry and one page
+    elsewhere."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     roots = site_roots(spark, sf_dir).select(site_of(F.col("root")).alias("site"), "root")
-    listed = pages.withColumn("site", site_of(F.col("url"))).filter(F.col("site").startswith("https://"))
-    rows = listed.join(roots, "site").select("root", F.explode(F.array(
+    listed = pages.withColumn("site", site_of(F.col("url")))
+    rows = salted_join(listed, roots, ["site"], F.col("page_id")).select("root", F.explode(F.array(
         F.struct((F.col("page_id") * 4).alias("ord"), F.col("url").alias("url")),
         F.struct((F.col("page_id") * 4 + 1).alias("ord"),
-                 F.regexp_replace("url", r"^https://(www\.)?", "https://www.").alias("url")),
+                 F.regexp_replace("url", r"^(https?)://(www\.)?", "$1://www.").alias("url")),
         F.struct((F.col("page_id") * 4 + 2).alias("ord"), F.lit("/relative").alias("url")),
         F.struct((F.col("page_id") * 4 + 3).alias("ord"),
                  F.concat(F.lit("https://elsewhere.test/"), F.pmod("page_id", F.lit(7)).cast("string")).alias("url")))).alias("r"))
@@ -201,18 +207,18 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = lambda k: f"concat('https://e.test/', c, '/{k}')"
     sid = lambda k: f"concat('s', c, 'x', t, '{k}')"
     tag = lambda k: f"concat('<webfetch-citation source_id=\"', {k}, '\" />')"
-    after_tag = "IF(refused, '\\nHTTP 403 Forbidden\\nAccess denied', concat('\\n\\n', substring(text, 1, 300)))"
+    after_tag = "IF(refused, '\\nHTTP 403 Forbidden\\nAccess denied', concat('\\n\\n', text))"
     saved = "concat('/home/u/sessions/2024-01-01_', parent, '/tmp/doc', turn DIV 2, '.pdf')"
     notice = f"concat({tag(sid('d'))}, '\\n\\nDownloaded to: ', {saved}, '\\nMIME type: application/pdf\\nFile size: ', n % 3, ' bytes')"
     answer = (f"concat('Seen <citation refs=\"', {sid('a')}, ',', {sid('b')}, '\">both</citation> and <quote ref=\"none\">this</quote>: ', "
-              "substring(text, 1, 200), ' [file](artifacts/f', t, '.pdf)')")
+              "text, ' [file](artifacts/f', t, '.pdf)')")
     prompt = "concat(text, '\\n\\n(run-marker:240101-', lpad(t, 6, '0'), '-', c, '-ask — ignore this line)')"
     own = lambda slot, record, keep="true": f"named_struct('keep', {keep}, 'session_id', parent, 'index', turn * 10 + {slot}, 'r', {record})"
     kid = lambda slot, record, keep="true": f"named_struct('keep', {keep}, 'session_id', child, 'index', turn * 10 + {slot}, 'r', {record})"
     tool = lambda slot, name, content, details="NULL": _record(
         at(slot), "toolResult", toolName=f"'{name}'", content=_say(content), isError="false", details=details,
         timing=f"named_struct('durationMs', CAST((conv_id + turn + {slot}) % 50 AS DOUBLE))")
-    searched = _found((sid("a"), site("a"), "'A'", "substring(text, 1, 40)"), (sid("b"), site("b"), "''", "''"),
+    searched = _found((sid("a"), site("a"), "'A'", "text"), (sid("b"), site("b"), "''", "''"),
                       (sid("c"), "concat('https://e.test/', c, '/c', t)", "'C'", "''"))
     docs = "concat('https://docs.test/', c)"
     last = _record(at(8), "assistant", content=_say(f"IF(broke, '', {answer})"), stopReason="IF(broke, 'error', 'stop')",
@@ -221,7 +227,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = [own(0, _record(at(0), "system-message", content=_say("text")))]
     assistant = [
         own(0, _record(at(0), "assistant", stopReason="'toolUse'", usage=_spent("100L"),
-                       content=_call(("websearch", "objective", "substring(text, 1, 30)"), ("webfetch", "url", site("b")), ("webfetch", "url", docs)))),
+                       content=_call(("websearch", "objective", "text"), ("webfetch", "url", site("b")), ("webfetch", "url", docs)))),
         own(1, tool(1, "websearch", "'results'", searched)),
         own(2, tool(2, "webfetch", f"concat({tag(sid('b'))}, {after_tag})", _found((sid("b"), site("b"), "'B'", "''")))),
         own(3, tool(3, "webfetch", notice, _found((sid("d"), docs, "'D'", "''")))),
@@ -232,7 +238,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         kid(0, _record("t0 + 4001", "turn-lifecycle", event="'started'"), "framed"),
         kid(1, _record("t0 + 4002", "user", content=_say("concat('task ', t)"))),
         kid(2, _record("t0 + 4003", "assistant", stopReason="'toolUse'", usage=_spent("10L"), content=_call(("webfetch", "url", site("a"))))),
-        kid(3, tool(5, "webfetch", f"concat({tag(chr(39) + 'k' + chr(39))}, '\\n\\n', substring(text, 1, 50))",
+        kid(3, tool(5, "webfetch", f"concat({tag(chr(39) + 'k' + chr(39))}, '\\n\\n', text)",
                     _found((f"concat('k', {sid('')})", site("a"), "'A'", "''")))),
         kid(4, _record(at(6), "assistant", content=_say("concat('child did ', t)"), stopReason="'stop'", usage=_spent("1L")), "NOT kid_open"),
         kid(5, _record("t0 + 6001", "turn-lifecycle", event="'finished'"), "framed AND NOT kid_open")]
@@ -293,7 +299,7 @@ _TAG_D = "'<webfetch-citation source_id=\"s' || conv || 'x' || turn || 'd\" />'"
 _SAVED = "'/home/u/sessions/2024-01-01_' || parent || '/tmp/doc' || (turn // 2) || '.pdf'"
 _NL = "chr(10)"
 ANSWER_SQL = ("'Seen <citation refs=\"s' || conv || 'x' || turn || 'a,s' || conv || 'x' || turn || 'b\">both</citation> and "
-              "<quote ref=\"none\">this</quote>: ' || left(text, 200) || ' [file](artifacts/f' || turn || '.pdf)'")
+              "<quote ref=\"none\">this</quote>: ' || text || ' [file](artifacts/f' || turn || '.pdf)'")
 EVENTS_SQL = f"""
 c AS (
   SELECT conv_id AS conv, turn, role, text, 'P' || conv_id AS parent, 'K' || conv_id || 'x' || (turn // 4) AS kid, conv_id % 4 <> 0 AS framed,
@@ -305,7 +311,7 @@ ev AS (
   UNION ALL {_event("parent", 0, "system", "t0", "role = 'system'", content="text")}
   UNION ALL {_event("parent", 0, "assistant", "t0", _A, stop="'tool'", tokens="100")}
   UNION ALL {_event("parent", 1, "tool_result", "t0 + 1000", _A, content="'results'", tool="'websearch'", duration=_DUR.format(1))}
-  UNION ALL {_event("parent", 2, "tool_result", "t0 + 2000", _A, tool="'webfetch'", duration=_DUR.format(2), content=f"{_TAG_B} || CASE WHEN refused THEN {_NL} || 'HTTP 403 Forbidden' || {_NL} || 'Access denied' ELSE {_NL} || {_NL} || left(text, 300) END")}
+  UNION ALL {_event("parent", 2, "tool_result", "t0 + 2000", _A, tool="'webfetch'", duration=_DUR.format(2), content=f"{_TAG_B} || CASE WHEN refused THEN {_NL} || 'HTTP 403 Forbidden' || {_NL} || 'Access denied' ELSE {_NL} || {_NL} || text END")}
   UNION ALL {_event("parent", 3, "tool_result", "t0 + 3000", _A, tool="'webfetch'", duration=_DUR.format(3), content=f"{_TAG_D} || {_NL} || {_NL} || 'Downloaded to: ' || {_SAVED} || {_NL} || 'MIME type: application/pdf' || {_NL} || 'File size: ' || (length(text) % 3) || ' bytes'")}
   UNION ALL {_event("parent", 4, "tool_result", "t0 + 4000", _A, content="'spawned'", tool="'subagent'", child="kid", duration=_DUR.format(4))}
   UNION ALL {_event("parent", 7, "lifecycle", "t0 + 7000", f"{_A} AND framed AND NOT left_open", lifecycle="'final-started'")}
@@ -314,12 +320,12 @@ ev AS (
   UNION ALL {_event("kid", 0, "lifecycle", "t0 + 4001", f"{_A} AND framed", lifecycle="'started'")}
   UNION ALL {_event("kid", 1, "user", "t0 + 4002", _A, content="'task ' || turn")}
   UNION ALL {_event("kid", 2, "assistant", "t0 + 4003", _A, stop="'tool'", tokens="10")}
-  UNION ALL {_event("kid", 3, "tool_result", "t0 + 5000", _A, tool="'webfetch'", duration=_DUR.format(5), content=f"'<webfetch-citation source_id=\"k\" />' || {_NL} || {_NL} || left(text, 50)")}
+  UNION ALL {_event("kid", 3, "tool_result", "t0 + 5000", _A, tool="'webfetch'", duration=_DUR.format(5), content=f"'<webfetch-citation source_id=\"k\" />' || {_NL} || {_NL} || text")}
   UNION ALL {_event("kid", 4, "assistant", "t0 + 6000", f"{_A} AND NOT kid_open", stop="'end'", content="'child did ' || turn", tokens="1")}
   UNION ALL {_event("kid", 5, "lifecycle", "t0 + 6001", f"{_A} AND framed AND NOT kid_open", lifecycle="'finished'")}),
 src AS (
   SELECT parent AS session_id, turn * 10 + 1 AS idx, 0 AS pos, 's' || conv || 'x' || turn || 'a' AS id, 'https://e.test/' || conv || '/a' AS url,
-    'A' AS title, left(text, 40) AS excerpt, false AS opened, false AS holds_page, '' AS saved_path FROM c WHERE {_A}
+    'A' AS title, text AS excerpt, false AS opened, false AS holds_page, '' AS saved_path FROM c WHERE {_A}
   UNION ALL SELECT parent, turn * 10 + 1, 1, 's' || conv || 'x' || turn || 'b', 'https://e.test/' || conv || '/b', '', '', false, false, '' FROM c WHERE {_A}
   UNION ALL SELECT parent, turn * 10 + 1, 2, 's' || conv || 'x' || turn || 'c', 'https://e.test/' || conv || '/c' || turn, 'C', '', false, false, '' FROM c WHERE {_A}
   UNION ALL SELECT parent, turn * 10 + 2, 0, 's' || conv || 'x' || turn || 'b', 'https://e.test/' || conv || '/b', 'B', '', NOT refused, NOT refused, '' FROM c WHERE {_A}
@@ -327,7 +333,7 @@ src AS (
     CASE WHEN length(text) % 3 = 0 THEN '' ELSE {_SAVED} END FROM c WHERE {_A}
   UNION ALL SELECT kid, turn * 10 + 3, 0, 'ks' || conv || 'x' || turn, 'https://e.test/' || conv || '/a', 'A', '', true, true, '' FROM c WHERE {_A}),
 calls AS (
-  SELECT parent AS session_id, turn * 10 AS idx, 0 AS pos, 'websearch' AS name, trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g'), ' ') AS target FROM c WHERE {_A}
+  SELECT parent AS session_id, turn * 10 AS idx, 0 AS pos, 'websearch' AS name, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS target FROM c WHERE {_A}
   UNION ALL SELECT parent, turn * 10, 1, 'webfetch', 'e.test' FROM c WHERE {_A}
   UNION ALL SELECT parent, turn * 10, 2, 'webfetch', 'docs.test' FROM c WHERE {_A}
   UNION ALL SELECT kid, turn * 10 + 2, 0, 'webfetch', 'e.test' FROM c WHERE {_A}),

@@ -9,9 +9,10 @@ from pagewright.functions import (body_kind, frontmatter, html_title, html_to_ma
 from pagewright.functions.urls import site_of
 from pagewright.operators import attempts, pages
 from pagewright.plans import corpora, sqltext
+from pagewright.plans.layout import spread
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
-from pagewright.sources.pages import scan_fetch_log, scan_pages, spread, write_pages
+from pagewright.sources.pages import scan_fetch_log, write_pages
 
 LOG = f"WITH {corpora.FETCH_LOG_SQL}"
 JUDGED = f"{LOG}, {sqltext.JUDGED_SQL}"
@@ -19,7 +20,7 @@ JUDGED = f"{LOG}, {sqltext.JUDGED_SQL}"
 
 @query("scan_pages", "SELECT page_id, url, url AS final_url, 200 AS status, 'text' AS kind, length(html) AS n_chars FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(spark, d).select("page_id", "url", "final_url", "status", "kind", F.length("text").alias("n_chars"))
+    return corpora.pages(spark, d).select("page_id", "url", "final_url", "status", "kind", F.length("text").alias("n_chars"))
 
 
 @query("scan_fetch_log", f"{LOG} SELECT url, attempt_no, via, http_status AS status, kind, error, md5(text) AS body FROM att")
@@ -80,7 +81,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("glob_filter", "SELECT page_id, url FROM pages WHERE url LIKE '%/en/%' AND url NOT LIKE '%utm_source%'")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return pages.glob_filter(scan_pages(spark, d), ["*/en/*"], ["*utm_source*"]).select("page_id", "url")
+    return pages.glob_filter(corpora.pages(spark, d), ["*/en/*"], ["*utm_source*"]).select("page_id", "url")
 
 
 @query("status_counts", f"{JUDGED} SELECT status, count(*) AS n FROM jud GROUP BY status")
@@ -93,23 +94,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
   {sqltext.JUDGED_SQL} SELECT status, count(*) AS n, sum(words)::BIGINT AS words, count(DISTINCT title) AS titles FROM jud GROUP BY status""")
 def page_report(spark: SparkSession, d: str) -> DataFrame:
     """The page corpus as it is: what each page was and how much text it holds."""
-    items = pages.page_status(scan_pages(spark, d))
+    items = pages.page_status(corpora.pages(spark, d))
     return items.groupBy("status").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.countDistinct("title").alias("titles"))
 
 
 @query("html_title", f"SELECT page_id, {sqltext.html_title('html')} AS title FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(spark, d).select("page_id", html_title(F.col("text")).alias("title"))
+    return corpora.pages(spark, d).select("page_id", html_title(F.col("text")).alias("title"))
 
 
 @query("main_text", f"SELECT page_id, {sqltext.main_text('html')} AS content FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(spark, d).select("page_id", main_text(F.col("text")).alias("content"))
+    return corpora.pages(spark, d).select("page_id", main_text(F.col("text")).alias("content"))
 
 
 @query("html_to_markdown")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    read = scan_pages(spark, d).filter(~is_challenge(F.col("text")))
+    read = corpora.pages(spark, d).filter(~is_challenge(F.col("text")))
     return read.select("page_id", html_to_markdown(F.col("text")).alias("markdown"))
 
 
@@ -123,25 +124,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
   || {sqltext.json_string(sqltext.html_title('html'))} || chr(10) || 'via: fetch' || chr(10) || '---' || chr(10) || chr(10) AS header FROM pages""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     title = html_title(F.col("text"))
-    return scan_pages(spark, d).select("page_id", frontmatter(F.col("url"), title, F.lit("fetch")).alias("header"))
+    return corpora.pages(spark, d).select("page_id", frontmatter(F.col("url"), title, F.lit("fetch")).alias("header"))
 
 
 @query("url_slug", f"SELECT page_id, {sqltext.slug('url')} AS slug FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(spark, d).select("page_id", url_slug(F.col("url")).alias("slug"))
+    return corpora.pages(spark, d).select("page_id", url_slug(F.col("url")).alias("slug"))
 
 
 @query("unique_slug", f"""WITH s AS (SELECT DISTINCT url, {sqltext.slug('url')} AS slug FROM pages),
   f AS (SELECT *, min(url) OVER (PARTITION BY slug) AS first FROM s)
   SELECT url, CASE WHEN url = first THEN slug ELSE {sqltext.rep("left(regexp_replace(slug, '\\.md$', ''), 87)", "-+$")} || '-' || md5(url) || '.md' END AS file FROM f""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return pages.unique_slug(scan_pages(spark, d).select("url").distinct()).select("url", "file")
+    return pages.unique_slug(corpora.pages(spark, d).select("url").distinct()).select("url", "file")
 
 
 @query("crawl_number", f"""SELECT site AS root, url, lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') || '-' AS number FROM (
   SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY page_id, url) - 1 AS n FROM (SELECT page_id, url, {sqltext.site_of('url')} AS site FROM pages))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    listing = scan_pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
+    listing = corpora.pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
     return pages.crawl_number(listing, ["root"]).select("root", "url", "number")
 
 
@@ -155,7 +156,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("write_pages", f"SELECT {sqltext.host('url')} AS site, url, md5({sqltext.main_text('html')}) AS body FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "pages")
-    saved = scan_pages(spark, d).select(F.regexp_extract("url", "://([^/]+)", 1).alias("site"), F.lit(0).alias("crawl_id"), "url",
+    saved = corpora.pages(spark, d).select(F.regexp_extract("url", "://([^/]+)", 1).alias("site"), F.lit(0).alias("crawl_id"), "url",
                                         main_text(F.col("text")).alias("content"))
     write_pages(saved, folder)
     return spark.read.parquet(folder).select(F.col("site").cast("string"), "url", F.md5("content").alias("body"))
@@ -167,7 +168,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("assign_batches", f"""SELECT site AS root, url, (row_number() OVER (PARTITION BY site ORDER BY page_id, url) - 1) // 4 AS batch
   FROM (SELECT page_id, url, {sqltext.site_of('url')} AS site FROM pages)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    listing = scan_pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
+    listing = corpora.pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
     return attempts.assign_batches(listing, 4).select("root", "url", "batch")
 
 

@@ -11,7 +11,6 @@ from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
 from pagewright.session import reliable
 from pagewright.sources import manifests
-from pagewright.sources.pages import scan_pages
 
 DEPTH = 3
 MAX_URLS = 12
@@ -19,9 +18,10 @@ MAX_URLS = 12
 LINKS = f"WITH {sqltext.LINKS_SQL}"
 SITES = f"{LINKS}, {sqltext.SITES_SQL}"
 LISTED = f"{SITES}, {sqltext.SITEMAP_SQL}"
-OWN_LIST = f"""own AS (
+ALL_LISTS = f"""lists AS (
   SELECT root, min(ord) AS ord, arg_min(url, ord) AS url FROM listed
   WHERE url LIKE 'http%' AND {sqltext.site_of('url')} = {sqltext.site_of('root')} GROUP BY root, {sqltext.url_key('url')})"""
+OWN_LIST = f"{ALL_LISTS}, own AS (SELECT * FROM lists WHERE root LIKE 'https://%')"
 WALK = f"WITH RECURSIVE {sqltext.LINKS_SQL}, {sqltext.SITES_SQL}, {sqltext.walk_sql(DEPTH)}"
 LISTING = f"""{WALK}, {sqltext.SITEMAP_SQL}, {OWN_LIST},
 listing AS (
@@ -32,17 +32,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord, url) AS
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return links.extract_links(scan_pages(spark, d))
+    return links.extract_links(corpora.pages(spark, d))
 
 
 def _walk(spark: SparkSession, d: str) -> DataFrame:
     return sitegraph.discover(corpora.site_edges(spark, d), corpora.site_roots(spark, d), DEPTH)
 
 
-def _sitemap(spark: SparkSession, d: str) -> DataFrame:
+def _own_lists(spark: SparkSession, d: str) -> DataFrame:
     return links.sitemap_urls(corpora.sitemap_records(spark, d))
 
 
+def _sitemap(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of the sites that offer one to a map: those under https."""
+    return _own_lists(spark, d).filter(F.col("root").startswith("https://"))
+
+
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     return sitegraph.choose_listing(_walk(spark, d), _sitemap(spark, d))
 
@@ -73,7 +78,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("url_key", f"SELECT page_id, {sqltext.url_key('url')} AS key FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(spark, d).select("page_id", url_key(F.col("url")).alias("key"))
+    return corpora.pages(spark, d).select("page_id", url_key(F.col("url")).alias("key"))
 
 
 @query("dedupe_urls", f"""{LISTED} SELECT root, min(ord) AS ord, arg_min(url, ord) AS url FROM listed WHERE url LIKE 'http%'
@@ -94,15 +99,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return links.sitemap_candidates(corpora.site_roots(spark, d)).select("root", "url")
 
 
-@query("sitemap_urls", f"{LISTED}, {OWN_LIST} SELECT root, ord, url FROM own")
+@query("sitemap_urls", f"{LISTED}, {ALL_LISTS} SELECT root, ord, url FROM lists")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _sitemap(spark, d)
+    return _own_lists(spark, d)
 
 
 @query("sitemap_locs", f"""SELECT {sqltext.site_of('url')} AS root, page_id * 2 + i AS ord, url || CASE i WHEN 0 THEN '' ELSE '?a=1&b=2' END AS url
   FROM pages, (SELECT unnest([0, 1]) AS i)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    bodies = scan_pages(spark, d).select(site_of(F.col("url")).alias("root"), "page_id", F.concat(
+    bodies = corpora.pages(spark, d).select(site_of(F.col("url")).alias("root"), "page_id", F.concat(
         F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url><url><loc> "),
         F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("?a=1&amp;b=2 </loc></url></urlset>")).alias("text"))
     one = links.sitemap_locs(bodies.select(F.concat_ws("\n", "root", F.col("page_id").cast("string")).alias("root"), "text"))
@@ -162,7 +167,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("recrawl_set", f"""{SITES} SELECT site AS root, url, row_number() OVER (PARTITION BY site ORDER BY page_id % 2, page_id) - 1 AS n FROM sites""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = scan_pages(spark, d).select(site_of(F.col("url")).alias("root"), "page_id", "url")
+    rows = corpora.pages(spark, d).select(site_of(F.col("url")).alias("root"), "page_id", "url")
     crawled = rows.filter("page_id % 2 = 0").select("root", F.col("page_id").alias("n"), "url")
     left = rows.filter("page_id % 2 = 1").select("root", F.col("page_id").alias("ord"), "url")
     again = sitegraph.recrawl_set(crawled, left)
@@ -193,7 +198,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("write_manifest", f"""{SITES} SELECT site AS root, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS ord, url FROM sites""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "map")
-    listing = scan_pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
+    listing = corpora.pages(spark, d).select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("ord"), "url")
     manifests.write_manifest(listing, folder)
     return manifests.read_manifest(spark, folder)
 
@@ -202,7 +207,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SELECT site AS root, row_number() OVER (PARTITION BY site ORDER BY NOT kept, page_id) - 1 AS place, url FROM n""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "crawl")
-    rows = scan_pages(spark, d).withColumn("root", site_of(F.col("url"))).withColumn("words", word_count(main_text(F.col("text"))))
+    rows = corpora.pages(spark, d).withColumn("root", site_of(F.col("url"))).withColumn("words", word_count(main_text(F.col("text"))))
     none = F.lit(None).cast("string")
     kept = rows.filter("page_id % 3 = 0").select(
         "root", F.col("page_id").alias("n"), "url", "final_url", none.alias("file"), none.alias("title"), F.lit("ok").alias("status"),

@@ -161,13 +161,17 @@ edges AS (
 
 SITEMAP_SQL = f"""
 listed AS (
-  SELECT root, page_id * 4 AS ord, s.url FROM sites s JOIN roots USING (site) WHERE site LIKE 'https://%'
+  SELECT root, page_id * 4 AS ord, s.url FROM sites s JOIN roots USING (site)
   UNION ALL
-  SELECT root, page_id * 4 + 1, {rep('s.url', r'^https://(www\.)?', 'https://www.')} FROM sites s JOIN roots USING (site) WHERE site LIKE 'https://%'
+  SELECT root, page_id * 4 + 1, {rep('s.url', r'^(https?)://(www\.)?', '\\1://www.')} FROM sites s JOIN roots USING (site)
   UNION ALL
-  SELECT root, page_id * 4 + 2, '/relative' FROM sites s JOIN roots USING (site) WHERE site LIKE 'https://%'
+  SELECT root, page_id * 4 + 2, '/relative' FROM sites s JOIN roots USING (site)
   UNION ALL
-  SELECT root, page_id * 4 + 3, 'https://elsewhere.test/' || (page_id % 7) FROM sites s JOIN roots USING (site) WHERE site LIKE 'https://%')"""
+  SELECT root, page_id * 4 + 3, 'https://elsewhere.test/' || (page_id % 7) FROM sites s JOIN roots USING (site))"""
+
+
+def sortable(n: str) -> str:
+    return f"(lpad(length(({n})::VARCHAR)::VARCHAR, 2, '0') || ({n})::VARCHAR)"
 
 
 def walk_sql(depth: int) -> str:
@@ -178,11 +182,11 @@ linked AS (
 paths(root, key, url, way, depth) AS (
   SELECT root, {url_key('root')}, root, '', 0 FROM roots
   UNION ALL
-  SELECT p.root, {url_key('l.dst')}, l.dst, p.way || lpad(l.pos::VARCHAR, 7, '0'), p.depth + 1
+  SELECT p.root, {url_key('l.dst')}, l.dst, p.way || {sortable('l.pos')}, p.depth + 1
   FROM paths p JOIN linked l ON l.src_key = p.key
   WHERE p.depth < {depth} AND l.dst IS NOT NULL AND {site_of('l.dst')} = {site_of('p.root')}),
 walk AS (
-  SELECT root, key, min(depth) AS depth, min(lpad(depth::VARCHAR, 2, '0') || way) AS ord,
-         arg_min(url, lpad(depth::VARCHAR, 2, '0') || way) AS url FROM paths GROUP BY root, key),
+  SELECT root, key, min(depth) AS depth, min({sortable('depth')} || way) AS ord,
+         arg_min(url, {sortable('depth')} || way) AS url FROM paths GROUP BY root, key),
 walked AS (
   SELECT w.*, CASE WHEN w.depth < {depth} THEN w.key IN (SELECT src_key FROM linked) END AS read FROM walk w)"""

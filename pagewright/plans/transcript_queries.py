@@ -9,19 +9,18 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import answers, audit, events, evidence, logs, states, turns
 from pagewright.plans import corpora
+from pagewright.plans.layout import spread
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
 from pagewright.session import stored
 from pagewright.sources import transcripts
-from pagewright.sources.pages import spread
 
 E = f"WITH {corpora.EVENTS_SQL}"
 
 
 @dataclass
 class Store:
-    """The transcript store of one query. Events are typed and segmented once and written; every branch reads the columns
-    it needs of that table."""
+    """The transcript store of one query. Events are typed once and written, their turns beside them; every branch reads the columns it needs."""
     spark: SparkSession
     sf_dir: str
 
@@ -35,10 +34,10 @@ class Store:
 
     @cached_property
     def events(self) -> DataFrame:
+        # written once; a record's turn lies in a narrow table, and each branch joins the columns it needs
         typed = stored(self.typed, "events")
-        # turns are counted on four narrow columns; the wide rows are shuffled once, to meet their turn
         counted = turns.segment_turns(typed.select("session_id", "index", "kind", "lifecycle")).select("session_id", "index", "turn_no")
-        return stored(typed.join(counted, ["session_id", "index"]), "turn-events")
+        return typed.join(stored(counted, "turn-numbers"), ["session_id", "index"])
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -257,8 +256,9 @@ REFS = """refs AS (SELECT DISTINCT left(run_id, n) AS ref FROM runs, (SELECT unn
 @query("resolve_run_ref", f"""{E}, {REFS},
 m AS (SELECT ref, run_id FROM refs JOIN runs ON starts_with(run_id, ref)),
 k AS (SELECT *, count(*) OVER (PARTITION BY ref) AS n, bool_or(run_id = ref) OVER (PARTITION BY ref) AS whole FROM m)
-SELECT ref, run_id, CASE WHEN whole THEN 'exact' WHEN n = 1 THEN 'prefix' ELSE 'candidate' END AS verdict FROM k WHERE NOT whole OR run_id = ref
-UNION ALL SELECT ref, NULL, 'unknown' FROM refs WHERE ref NOT IN (SELECT ref FROM m)""")
+SELECT ref, run_id, CASE WHEN whole THEN 'exact' WHEN n = 1 THEN 'prefix' ELSE 'candidate' END AS verdict, n FROM k WHERE NOT whole OR run_id = ref
+QUALIFY row_number() OVER (PARTITION BY ref ORDER BY run_id) <= 10
+UNION ALL SELECT ref, NULL, 'unknown', 0 FROM refs WHERE ref NOT IN (SELECT ref FROM m)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     runs = Store(spark, d).runs
     typed = runs.select(F.explode(F.array(F.substring("run_id", 1, 13), F.substring("run_id", 1, 16), F.col("run_id"),
@@ -471,8 +471,18 @@ SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY stream, child_id,
   CASE WHEN child_id = '' THEN line ELSE '[child ' || child_id || '] ' || line END AS line FROM parts""")(_log("progress"))
 query("log_lines_steps")(_log("steps"))
 query("log_lines_full")(_log("full"))
-query("log_lines_raw", f"{E} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY stream, child_id, idx) - 1 AS line_no FROM scoped")(
-    lambda spark, d: _log("raw")(spark, d).select("run_id", "line_no"))
+query("log_lines_raw", f"""{E} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY stream, child_id, idx) - 1 AS line_no, session_id || ' ' || ts || ' ' || kind AS line
+  FROM scoped""")(lambda spark, d: _raw_lines(spark, d))
+
+
+def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A raw line is the record as it was written; what the SQL can say of it is read back from the line."""
+    store = Store(spark, d)
+    lines = logs.log_lines(store.scoped, "raw")
+    said = F.from_json("line", "role string, event string, timestamp bigint")
+    kind = F.when(said["role"] == "turn-lifecycle", "lifecycle").when(said["role"] == "toolResult", "tool_result").when(said["role"] == "system-message", "system").otherwise(said["role"])
+    whose = store.scoped.select("run_id", "session_id", F.col("raw").alias("line")).distinct()
+    return lines.join(whose, ["run_id", "line"]).select("run_id", "line_no", F.concat_ws(" ", "session_id", said["timestamp"].cast("string"), kind).alias("line"))
 
 
 @query("tool_usage_progress", f"""{E} SELECT session_id, idx AS index, string_agg(name || '×' || n || CASE WHEN t <> '' THEN '[' || t || ']' ELSE '' END, ' ' ORDER BY p) AS usage FROM (
@@ -503,10 +513,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return audit.saved_path_audit(store.typed, there)
 
 
-@query("session_profile", f"""{E} SELECT session_id, tool_name AS tool, count(*) AS results, 0 AS errors, count(child) AS children, max(duration) AS longest_ms
+@query("session_profile", f"""{E} SELECT session_id, tool_name AS tool, count(*) AS results, 0 AS errors, count(child) AS children, max(duration) AS longest_ms, quantile_disc(duration, 0.5) AS median_ms
   FROM ev WHERE kind = 'tool_result' GROUP BY ROLLUP (session_id, tool_name) HAVING session_id IS NOT NULL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return audit.session_profile(Store(spark, d).typed).drop("median_ms")
+    return audit.session_profile(Store(spark, d).typed)
 
 
 @query("session_kinds", f"""{E} SELECT session_id, count(*) FILTER (kind = 'user') AS "user", count(*) FILTER (kind = 'assistant') AS assistant,
