@@ -4,7 +4,6 @@ from __future__ import annotations
 import html
 import re
 from html.entities import html5, name2codepoint
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -133,126 +132,31 @@ def html_unescape_attr(href: Column) -> Column:
 
 # --- Markdown -----------------------------------------------------------------------------
 
-_VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
-_SKIPPED = {"script", "style", "noscript", "template", "svg", "nav", "footer", "aside", "head", "form", "iframe"}
-_BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "blockquote", "header", "figure", "dl", "body"}
-
-
-class _Markdown(HTMLParser):
-    """Writes the Markdown of one page while it is parsed."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skipping: list[str] = []
-        self.lists: list[int | None] = []
-        self.href: list[tuple[str, int]] = []
-        self.pre = 0
-        self.row: list[str] | None = None
-        self.cell_from = 0
-        self.table_rows = 0
-
-    def _block(self) -> None:
-        self.out.append("\n\n")
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipping:
-            if tag == self.skipping[-1]:
-                self.skipping.append(tag)
-            return
-        if tag in _SKIPPED:
-            self.skipping.append(tag)
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "hr":
-            self.out.append("\n\n---\n\n")
-        elif tag in ("ul", "ol"):
-            self._block()
-            self.lists.append(0 if tag == "ol" else None)
-        elif tag == "li":
-            depth = max(len(self.lists) - 1, 0)
-            mark = "- "
-            if self.lists and self.lists[-1] is not None:
-                self.lists[-1] += 1
-                mark = f"{self.lists[-1]}. "
-            self.out.append("\n" + "  " * depth + mark)
-        elif tag == "a":
-            self.href.append((dict(attrs).get("href") or "", len(self.out)))
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "pre":
-            self.pre += 1
-            self.out.append("\n\n```\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag == "img":
-            found = dict(attrs)
-            if found.get("src"):
-                self.out.append(f"![{found.get('alt') or ''}]({found['src']})")
-        elif tag == "table":
-            self._block()
-            self.table_rows = 0
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th"):
-            self.cell_from = len(self.out)
-        elif tag in _BLOCKS:
-            self._block()
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.skipping:
-            if tag == self.skipping[-1]:
-                self.skipping.pop()
-            return
-        if re.fullmatch("h[1-6]", tag) or tag in _BLOCKS:
-            if tag in ("ul", "ol") and self.lists:
-                self.lists.pop()
-            self._block()
-        elif tag == "a" and self.href:
-            url, start = self.href.pop()
-            label = " ".join("".join(self.out[start:]).split())
-            del self.out[start:]
-            self.out.append(f"[{label}]({url})" if url and label else label)
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            self.out.append("\n```\n\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in ("td", "th") and self.row is not None:
-            self.row.append(" ".join("".join(self.out[self.cell_from:]).split()))
-            del self.out[self.cell_from:]
-        elif tag == "tr" and self.row is not None:
-            self.out.append("| " + " | ".join(self.row) + " |\n")
-            if self.table_rows == 0:
-                self.out.append("|" + "---|" * len(self.row) + "\n")
-            self.table_rows += 1
-            self.row = None
-
-    def handle_data(self, data: str) -> None:
-        if not self.skipping:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
-
-
-def page_markdown(body: str) -> str:
-    """One page's Markdown: its article or main part where it marks one."""
-    text = re.sub(r"(?is)<!--.*?(?:-->|\Z)", " ", body)
-    part = re.search(r"(?is)<(article|main)\b.*?(?:</\1\s*>|\Z)", text)
-    writer = _Markdown()
-    writer.feed(part.group() if part else text)
-    writer.close()
-    lines = [line.rstrip() for line in "".join(writer.out).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).replace("****", "").strip() + "\n"
-
+#: What markup becomes, in this order; ``$n`` is a group. What is left of the tags goes at the end.
+MARKS = [
+    (r"(?i)<pre\b[^>]*>", "\n\n```\n"), (r"(?i)</pre\s*>", "\n```\n\n"),
+    *((rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)), (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</?(?:ul|ol|table)\b[^>]*>", "\n\n"),
+    (r"(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | "), (r"(?is)<tr\b[^>]*>\s*<t[dh]\b[^>]*>", "\n| "), (r"(?is)</t[dh]\s*>\s*</tr\s*>", " |"),
+    (r"(?i)</?(?:b|strong)\s*>", "**"), (r"(?i)</?(?:i|em)\s*>", "*"), (r"(?i)</?code\b[^>]*>", "`"),
+    (r"(?is)<img\b[^>]*?\balt=\"([^\"]*)\"[^>]*?\bsrc=\"([^\"]+)\"[^>]*>", "![$1]($2)"), (r"(?is)<img\b[^>]*?\bsrc=\"([^\"]+)\"[^>]*>", "![]($1)"),
+    (r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]+)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"),
+    (r"(?i)<br\b[^>]*>", "\n"), (r"(?i)</?(?:p|div|section|article|main|blockquote|header|figure|dl|dt|dd|body)\b[^>]*>", "\n\n"),
+    (r"<[^>]*(?:>|\z)", ""),
+]
+TIDY = [(r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+
+
+def html_to_markdown(body: Column) -> Column:
+    """Article HTML as Markdown: headings, paragraphs, links, images, lists, code, tables, in native expressions.
+
+    The part that ``main_text`` takes. A line break in the markup stays one, which Markdown reads as a blank; list items are all marked
+    ``-``, nested ones too; blanks at the start of a line go, in code as well.
+    """
+    def replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+        for pattern, to in steps:
+            text = F.regexp_replace(text, pattern, to)
+        return text
 
-@F.pandas_udf(StringType())
-def html_to_markdown(body: pd.Series) -> pd.Series:
-    """Article HTML as Markdown: headings, paragraphs, links, lists, code, tables. An Arrow UDF: filter before it."""
-    return body.map(lambda b: None if b is None else page_markdown(b))
+    part = F.regexp_replace(F.regexp_replace(without_scripts(body), AROUND_TEXT, " "), ARTICLE, "$1")
+    return let(_decoded(let(part, lambda t: replaced(t, MARKS))), lambda t: replaced(t, TIDY))

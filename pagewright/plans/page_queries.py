@@ -108,7 +108,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return corpora.pages(spark, d).select("page_id", main_text(F.col("text")).alias("content"))
 
 
-@query("html_to_markdown")
+@query("html_to_markdown", f"SELECT page_id, {sqltext.html_to_markdown('html')} AS markdown FROM pages WHERE NOT {sqltext.is_challenge('html')}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     read = corpora.pages(spark, d).filter(~is_challenge(F.col("text")))
     return read.select("page_id", html_to_markdown(F.col("text")).alias("markdown"))

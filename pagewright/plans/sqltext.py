@@ -1,6 +1,8 @@
 """SQL text for the oracles: the column functions written once more, in DuckDB's SQL."""
 from __future__ import annotations
 
+import re
+
 from pagewright.functions import bodies, markup, text, urls
 from pagewright.operators import links, pages
 
@@ -32,15 +34,28 @@ def decoded(expr: str) -> str:
     return expr
 
 
-def main_text(expr: str) -> str:
+def article_of(expr: str) -> str:
     kept = rep(rep(expr, markup.NOT_TEXT, " "), markup.AROUND_TEXT, " ")
     article = ext(kept, r'(?is)<(?:article|main)\b[^>]*>(.*?)(?:</(?:article|main)\s*>|\z)')
-    part = f"CASE WHEN {has(article, r'\S')} THEN {article} ELSE {kept} END"
-    lines = rep(f"regexp_replace({part}, {lit(markup.BREAKS)}, chr(10), 'g')", r"<[^>]*(?:>|\z)")
+    return f"CASE WHEN {has(article, r'\S')} THEN {article} ELSE {kept} END"
+
+
+def main_text(expr: str) -> str:
+    lines = rep(f"regexp_replace({article_of(expr)}, {lit(markup.BREAKS)}, chr(10), 'g')", r"<[^>]*(?:>|\z)")
     tidy = f"regexp_replace({rep(decoded(lines), r'[ \t\r\f]+', ' ')}, {lit(r' ?\n[ \n]*')}, chr(10), 'g')"
     return f"trim({rep(tidy, r'^\n+|\n+$')}, ' ')"
 
 
+def html_to_markdown(expr: str) -> str:
+    text = article_of(expr)
+    for pattern, to in markup.MARKS:
+        text = rep(text, pattern, re.sub(r"\$(\d)", r"\\\1", to))
+    text = decoded(text)
+    for pattern, to in markup.TIDY:
+        text = rep(text, pattern, to)
+    return text
+
+
 def one_line(expr: str) -> str:
     return f"trim({rep(expr, r'\s+', ' ')}, ' ')"
 

@@ -22,12 +22,14 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", app: str = "pagewright", shuffle: int = 8) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(cpus: int | str = "*", app: str = "pagewright", shuffle: int = 8, folder: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine; ``folder`` becomes its shared folder."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle))
                .config("spark.driver.memory", "12g")
                .config("spark.ui.enabled", "false"))
+    if folder is not None:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,6 +37,10 @@ def local_session(cpus: int | str = "*", app: str = "pagewright", shuffle: int =
     return spark
 
 
+#: Folders of single-machine sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -45,8 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="pagewright-")
+        folder = _own_folders[app]
     return folder.rstrip("/")
 
 

@@ -80,7 +80,8 @@ def _through_link(paths: pd.Series) -> pd.Series:
 def scan_artifacts(spark: SparkSession, path: str, place: str = ARTIFACT) -> DataFrame:
     """``(session_id, rel_path, path, mtime, length)`` of every file under a session's ``artifacts`` folder.
 
-    Only metadata is read. Links are left out; they exist on local file systems only, so only those paths are checked.
+    Only metadata is read. The engine's file sources list neither empty files nor names that start with ``_`` or ``.``; such files are
+    missing here. Links are left out; they exist on local file systems only, so only those paths are checked.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
              .select("path", F.col("modificationTime").alias("mtime"), "length"))

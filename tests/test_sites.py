@@ -1,200 +1,262 @@
+"""Sites against plain models: resolution beside the standard library's, walks beside breadth-first search, attempts beside a plain reading of the rules."""
 from __future__ import annotations
 
-import json
+import random
+from collections import defaultdict
+from html import unescape
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import html_unescape_attr, resolve_href, same_site, url_key
+from pagewright.functions import html_unescape_attr, same_site, site_of, url_key
+from pagewright.functions.urls import resolve_href
 from pagewright.operators import attempts, links, sitegraph
 from pagewright.sources import manifests
-from test_pages import BOT, PAGE, SCHEMA, SHELL, answered, misread, KOREAN
-
-SITE = {
-    "https://s.test/": ["/a", "https://s.test/b", "https://o.test/x", "mailto:x@s.test"],
-    "https://s.test/a": ["/a/1", "a/2", "https://s.test/#top"],
-    "https://s.test/b": ["https://s.test/b/1"],
-    "https://s.test/a/1": ["https://s.test/a/1/deep"],
-    "https://s.test/a/2": [], "https://s.test/b/1": [], "https://s.test/a/1/deep": [],
-}
-
-
-def link_table(rows, site: dict):
-    data = [{"kind": "hrefs", "url": u, "final_url": h["final"] if isinstance(h, dict) else u, "hrefs": h["hrefs"] if isinstance(h, dict) else h}
-            for u, h in site.items()]
-    return links.resolve_links(links.hrefs_of(rows("kind string, url string, final_url string, hrefs array<string>", *data)))
-
-
-def walked(rows, site: dict, depth: int, root: str = "https://s.test/"):
-    found = sitegraph.discover(link_table(rows, site), rows("root string", {"root": root}), depth)
-    return [(r.url, r.depth, r.read) for r in found.orderBy("ord").collect()]
-
-
-def test_walks(rows) -> None:
-    assert walked(rows, SITE, 0) == [("https://s.test/", 0, None)]
-    one = walked(rows, SITE, 1)
-    assert [u for u, _, _ in one] == ["https://s.test/", "https://s.test/a", "https://s.test/b"]
-    three = walked(rows, SITE, 3)
-    assert [u for u, _, _ in three] == ["https://s.test/", "https://s.test/a", "https://s.test/b", "https://s.test/a/1", "https://s.test/a/2",
-                                        "https://s.test/b/1", "https://s.test/a/1/deep"]
-    moved = {"https://e.test/": {"final": "https://www.e.test/", "hrefs": ["/", "/a"]}, "https://www.e.test/a": ["https://e.test/a", "https://e.test/"]}
-    assert [u for u, _, _ in walked(rows, moved, 3, "https://e.test/")] == ["https://e.test/", "https://www.e.test/a"]
-    broken = {"https://s.test/": ["http://[broken", "/ok"]}
-    assert [u for u, _, _ in walked(rows, broken, 1)] == ["https://s.test/", "https://s.test/ok"]
-    assert walked(rows, {}, 2) == [("https://s.test/", 0, False)]
-
-
-def test_copies_of_a_page_change_nothing(rows) -> None:
-    table = link_table(rows, SITE)
-    many = table.unionByName(table).unionByName(table)
-    roots = rows("root string", {"root": "https://s.test/"})
-    key = lambda d: sorted(map(tuple, d.select("url", "depth", "ord", "read").collect()), key=str)
-    assert key(sitegraph.discover(many, roots, 3)) == key(sitegraph.discover(table, roots, 3))
-
-
-def test_attributes_as_a_browser_reads_them(rows) -> None:
-    cases = {"/i?id=1&amp;lang=ko": "/i?id=1&lang=ko", "/q?id=1&copy=2&notebook=3": "/q?id=1&copy=2&notebook=3", "/n?id=1&#38lang=en": "/n?id=1&lang=en",
-             "/c/&copy": "/c/©", "/q?x=1&notebook;=2": "/q?x=1&notebook;=2", "/d/&copy한글": "/d/©한글", "/p": "/p", "/x&#x26;y": "/x&y"}
-    df = rows("h string", *({"h": h} for h in cases))
-    assert {r.h: r.v for r in df.select("h", html_unescape_attr(F.col("h")).alias("v")).collect()} == cases
-
-
-def test_resolution(rows) -> None:
-    base = "https://s.test/a/b/c?q=1"
-    cases = {"/x": "https://s.test/x", "x": "https://s.test/a/b/x", "../x": "https://s.test/a/x", "./x?y=2": "https://s.test/a/b/x?y=2",
-             "../../../x": "https://s.test/x", "?z": "https://s.test/a/b/c?z", "#f": "https://s.test/a/b/c?q=1", "//o.test/y": "https://o.test/y",
-             "https://o.test": "https://o.test/", "mailto:a@b": None, "ftp://s.test/f": None, "http://[broken": None, "https://www./x": None,
-             "/a/../b/./c": "https://s.test/b/c", "x/..": "https://s.test/a/b/", "javascript:void(0)": None, "https:///x": None}
-    df = rows("h string", *({"h": h} for h in cases))
-    assert {r.h: r.u for r in df.select("h", resolve_href(F.lit(base), F.col("h")).alias("u")).collect()} == cases
-
-
-def test_sites_and_keys(rows) -> None:
-    root = "https://s.test/"
-    same = {"https://www.s.test/x": True, "https://s.test:443/": True, "http://s.test/": False, "https://s.test:8443/": False, "https://s.test:0/p": False,
-            "ftp://s.test/": False, "https://t.test/": False, "https://user@s.test/": True}
-    df = rows("u string", *({"u": u} for u in same))
-    assert {r.u: r.s for r in df.select("u", same_site(F.lit(root), F.col("u")).alias("s")).collect()} == same
-    keys = df.select(url_key(F.lit("https://WWW.s.test/p?q=1#f")).alias("a"), url_key(F.lit("https://s.test")).alias("b")).first()
-    assert (keys.a, keys.b) == ("https://s.test/p?q=1", "https://s.test/")
-
-
-def test_links_of_markup(rows) -> None:
-    html = ("<!-- <a href='/no'> --><script>var a = '<a href=/no>'</script><A class=x HREF='/one'>1</a><a data-href=\"/no\" href = \"/two?a=1\">2</a>"
-            "<a name=x>none</a><a href=/three>3")
-    df = rows("url string, final_url string, text string", {"url": "u", "final_url": "u", "text": html}, {"url": "v", "final_url": "v", "text": "<p>"})
-    assert [(r.url, r.pos, r.href) for r in links.extract_links(df).orderBy("url", "pos").collect()] == [
-        ("u", 0, "/one"), ("u", 1, "/two?a=1"), ("u", 2, "/three"), ("v", None, None)]
-
-
-def test_listings(rows) -> None:
-    listed = rows("root string, ord bigint, url string", *({"root": "https://apex.test/", "ord": i, "url": u} for i, u in enumerate(
-        ["https://apex.test/x", "https://www.apex.test/x", "https://cdn.test/y", "/relative", "ftp://apex.test/f", "https://apex.test/z"])))
-    own = links.sitemap_urls(listed)
-    assert [r.url for r in own.orderBy("ord").collect()] == ["https://apex.test/x", "https://apex.test/z"]
-    assert [(r.root, r.n) for r in links.dropped_other_origin(listed.select("root", "url")).collect()] == [("https://apex.test/", 1)]
-    walk = rows("root string, url string, depth int, ord string, read boolean", ("https://apex.test/", "https://apex.test/", 0, "00", True),
-                ("https://t.test/", "https://t.test/", 0, "00", True))
-    key = lambda d: sorted((r.root, r.url, r.from_sitemap) for r in d.collect())
-    assert key(sitegraph.choose_listing(walk, own)) == [("https://apex.test/", "https://apex.test/x", True), ("https://apex.test/", "https://apex.test/z", True),
-                                                        ("https://t.test/", "https://t.test/", False)]
-    assert all(not f for _, _, f in key(sitegraph.choose_listing(walk, own, use_sitemap=False)))
-    places = links.sitemap_candidates(rows("root string", {"root": "https://s.test/docs/guide"}))
-    assert [r.url for r in places.orderBy("ord").collect()] == ["https://s.test/sitemap.xml", "https://s.test/robots.txt"]
-
-
-def covered(rows, site: dict, depth: int, max_urls: int = 1000, hit: bool = False):
-    roots = rows("root string", {"root": "https://s.test/"})
-    table = link_table(rows, site)
-    walk = sitegraph.discover(table, roots, depth)
-    listing = sitegraph.choose_listing(walk, rows("root string, ord bigint, url string", ("https://none.test/", 0, "https://none.test/")))
-    away = links.dropped_other_origin(table.filter("dst is not null").select(F.lit("https://s.test/").alias("root"), F.col("dst").alias("url")))
-    return sitegraph.coverage(walk, listing, roots, away, rows("root string, hit_budget boolean", ("https://s.test/", hit)), max_urls).first()
-
-
-def test_coverage(rows) -> None:
-    part = covered(rows, {"https://s.test/": ["/a", "/b", "https://o.test/x", "https://www./x"], "https://s.test/a": ["/c", "https://o.test/x#y"]}, 2, 4, True)
-    assert (part.pages_read, list(part.pages_missed), part.pages_missed_count) == (2, ["https://s.test/b"], 1)
-    assert (part.budget_exhausted, part.max_urls_reached, part.dropped_other_origin, part.nothing_read) == (True, True, 1, False)
-    none = covered(rows, {}, 2)
-    assert (none.pages_read, none.nothing_read, list(none.pages_missed)) == (0, True, ["https://s.test/"])
-    many = covered(rows, {"https://s.test/": [f"/m-{i}" for i in range(30)]}, 2)
-    assert (many.pages_missed_count, list(many.pages_missed)) == (30, [f"https://s.test/m-{i}" for i in range(10)])
-
-
-def test_frontiers_and_reports(rows) -> None:
-    urls = [f"https://s.test/p{i}" for i in range(60)]
-    listing = rows("root string, ord bigint, url string", *({"root": "r", "ord": i, "url": u} for i, u in enumerate(urls)))
-    cut = sitegraph.crawl_frontier(listing)
-    assert sitegraph.frontier_counts(cut).first()[1:] == (25, 60, 35)
-    assert [r.url for r in cut.filter("not requested").orderBy("ord").collect()] == urls[25:]
-    assert sitegraph.frontier_counts(sitegraph.crawl_frontier(listing, None)).first()[1:] == (60, 60, 0)
-    summary = sitegraph.map_summary(listing).first()
-    assert (summary["count"], list(summary["sample"])) == (60, urls[:10])
-    assert [r.url for r in sitegraph.cap_urls(listing, 3).orderBy("ord").collect()] == urls[:3]
-    items = rows("root string, n bigint, url string, status string, http_status int", *(("r", i, u, "ok" if i < 40 else "blocked", 200 if i < 40 else 403)
-                                                                                       for i, u in enumerate(urls)))
-    report = sitegraph.crawl_report(items).first()
-    assert (report.requested, report.saved, report.not_ok_count, dict(report.statuses)) == (60, 40, 20, {"ok": 40, "blocked": 20})
-    assert [(f.url, f.http_status) for f in report.not_ok] == [(u, 403) for u in urls[40:50]]
-
-
-def test_manifests(rows, spark, tmp_path) -> None:
-    urls = [f"https://s.test/p{i}" for i in range(25)]
-    listing = rows("root string, ord bigint, url string", *({"root": "r", "ord": i, "url": u} for i, u in enumerate(urls)))
-    manifests.write_manifest(listing, str(tmp_path / "map"), part_urls=10)
-    assert [r.url for r in manifests.read_manifest(spark, str(tmp_path / "map")).orderBy("ord").collect()] == urls
-    with pytest.raises(Exception):
-        manifests.write_manifest(listing, str(tmp_path / "map"))
-    (tmp_path / "crawl.json").write_text(json.dumps({"root": "r", "pages": [{"n": 0, "url": "u0"}, {"n": 1, "url": "u1"}], "not_crawled": ["u2"]}, indent=1))
-    read = manifests.read_manifest(spark, str(tmp_path / "crawl.json"), multiline=True)
-    assert [r.url for r in read.orderBy("ord").collect()] == ["u0", "u1", "u2"]
-    for i, wrong in enumerate(([], {"pages": ["u"]}, {"urls": "u"}, {"root": 1, "urls": ["u"]})):
-        (tmp_path / f"wrong{i}.json").write_text(json.dumps(wrong))
-        with pytest.raises(Exception, match="not a map or crawl manifest"):
-            manifests.read_manifest(spark, str(tmp_path / f"wrong{i}.json")).collect()
-
-
-# --- attempts -------------------------------------------------------------------------------
-
-TIMEOUT = {"status": 0, "kind": "error", "error": "timeout"}
-THREW = {"status": 0, "kind": "error", "error": "fetch failed", "threw": True}
-NO_NAME = {"status": 0, "kind": "error", "error": "net::ERR_NAME_NOT_RESOLVED", "via": "tab"}
-DETACHED = {"status": 0, "kind": "error", "error": "CDP session detached: target closed", "via": "tab"}
-
-
-def log(rows, tries: dict[str, list[dict]]):
-    return rows(SCHEMA, *({"url": u, "attempt_no": i + 1, **t} for u, ts in tries.items() for i, t in enumerate(ts)))
-
-
-def test_retries(rows) -> None:
-    df = log(rows, {"https://a.test/1": [TIMEOUT], "https://a.test/2": [TIMEOUT, TIMEOUT], "https://a.test/3": [answered("x", status=404)],
-                    "https://a.test/4": [DETACHED], "https://a.test/5": [DETACHED, DETACHED], "https://a.test/6": [NO_NAME]})
-    assert [r.url for r in attempts.retry_set(df).collect()] == ["https://a.test/1"]
-    assert [r.url for r in attempts.detached_retry(df).collect()] == ["https://a.test/4"]
-    ten = rows("root string, ord bigint, url string", *({"root": "r", "ord": i, "url": f"u{i}"} for i in range(10)))
-    sizes = attempts.assign_batches(ten, 4).groupBy("batch").count().orderBy("batch").collect()
-    assert [r["count"] for r in sizes] == [4, 4, 2]
-
-
-def test_escalation(rows) -> None:
-    df = log(rows, {"https://shell.test/": [answered(SHELL)], "https://bot.test/": [answered(BOT)], "https://ko.test/": [answered(misread(KOREAN))],
-                    "https://slow.test/": [TIMEOUT], "https://data.test/": [answered('{"a": "�"}', "application/json; charset=euc-kr")],
-                    "https://down.test/p0": [THREW, NO_NAME], "https://down.test/p1": [THREW], "https://new.test/a": [THREW], "https://new.test/b": [THREW],
-                    "https://up.test/a": [THREW, answered(PAGE, via="tab")], "https://up.test/b": [THREW], "https://ok.test/": [answered(PAGE)]})
-    assert {r.url for r in attempts.escalation_set(df).collect()} == {"https://shell.test/", "https://bot.test/", "https://ko.test/", "https://new.test/a",
-                                                                     "https://up.test/b"}
-
-
-def test_one_item_per_url(rows) -> None:
-    tries = {"https://a.test/": [answered(SHELL), answered(PAGE, via="tab")], "https://b.test/": [THREW, answered(SHELL, via="tab")],
-             "https://c.test/": [THREW, NO_NAME], "https://c.test/2": [THREW], "https://d.test/": [answered(SHELL, via="tab")], "https://e.test/": [NO_NAME],
-             "https://f.test/": [TIMEOUT, answered(PAGE)], "https://g.test/": [answered(SHELL), NO_NAME], "https://h.test/": [DETACHED, answered(PAGE, via="tab")]}
-    got = {r.url: (r.status, r.via, r.error) for r in attempts.resolve_attempts(log(rows, tries)).collect()}
-    assert got == {
-        "https://a.test/": ("ok", "tab", None), "https://b.test/": ("shell_escalated", "tab", "fetch failed; in a tab: only 0 words extracted"),
-        "https://c.test/": ("error", "fetch", "fetch failed; in a tab: net::ERR_NAME_NOT_RESOLVED"),
-        "https://c.test/2": ("error", "fetch", "fetch failed; in a tab: net::ERR_NAME_NOT_RESOLVED"),
-        "https://d.test/": ("shell_escalated", "tab", "only 0 words extracted"), "https://e.test/": ("error", "tab", "in a tab: net::ERR_NAME_NOT_RESOLVED"),
-        "https://f.test/": ("ok", "fetch", None), "https://g.test/": ("shell", "fetch", "only 0 words extracted; in a tab: net::ERR_NAME_NOT_RESOLVED"),
-        "https://h.test/": ("ok", "tab", None)}
+
+# --- URLs ---
+
+
+def test_hrefs_resolve_like_the_standard_library(table) -> None:
+    bases = ["https://b.test/x/y/z.html?q=1", "http://b.test:8080/", "https://b.test"]
+    hrefs = ["", "w", "./w", "../w", "../../../w", "/a/./b/../c", "//other.test/p", "?k=v", "#f", "w?x=/../y", "w#a?b", "https://far.test", "HTTP://b.test/A", "x/.", "x/..", ";p=1", "a:b/c"]
+    blanks = [(f"\n\t {h} \r\x01", h) for h in hrefs if h] + [("\n  /x", "/x"), ("/a b/c d", "/a%20b/c%20d"), ("/li\nne", "/line")]
+    rows = [(b, h, p) for b in bases for h, p in [*((h, h) for h in hrefs), *blanks]]
+    got = table("b string, h string, p string", rows).select("b", "h", "p", resolve_href(F.col("b"), F.col("h")).alias("u")).collect()
+    for r in got:
+        want = urljoin(r.b if urlsplit(r.b).path else r.b + "/", r.p).split("#")[0]
+        parts = urlsplit(want)
+        web = parts.scheme in ("http", "https") and parts.netloc
+        if web and not parts.path:
+            want = f"{want.split('?')[0]}/" + (f"?{parts.query}" if parts.query else "")
+        assert (r.u or "").lower() == (want.lower() if web else ""), (r.b, r.h)
+
+
+def test_only_hosts_that_could_exist(table) -> None:
+    good = ["https://h.test/", "http://[::1]:8/x", "https://u:p@h.test", "https://www.h"]
+    bad = ["https:///x", "https://www./", "https://[::1/x", "ftp://h.test/", "https://a b/", "https://www.", "mailto:x@h.test", "https://", None]
+    rows = table("u string", [(u,) for u in good + bad])
+    assert [r.s for r in rows.select(F.coalesce(same_site(F.col("u"), F.col("u")), F.lit(False)).alias("s")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_a_page_has_one_identity(table) -> None:
+    groups = [["https://www.K.test/a?b#c", "https://k.test:443/a?b", "HTTPS://k.test/a?b#"], ["https://k.test/a"], ["http://k.test/a", "http://www.k.test:80/a"], ["https://k.test:8443/a"], ["https://k.test", "https://k.test/"]]
+    rows = table("g int, u string", [(i, u) for i, g in enumerate(groups) for u in g])
+    keys = defaultdict(set)
+    for r in rows.select("g", url_key(F.col("u")).alias("k")).collect():
+        keys[r.g].add(r.k)
+    assert all(len(k) == 1 for k in keys.values()) and len(set.union(*keys.values())) == len(groups)
+    assert rows.select(site_of(F.col("u")).alias("s")).distinct().count() == 3
+
+
+def test_attribute_references(table) -> None:
+    rng = random.Random(7)
+    closed = ["&amp;", "&eacute;", "&#38;", "&#x2F;", "&zzz;"]
+    values = ["".join(rng.choice([*closed, "/", "x", "=", "é", "?a=1"]) for _ in range(8)) for _ in range(50)]
+    open_ = {"/?a&copy=1": "/?a&copy=1", "/&copy": "/©", "/&copyx": "/&copyx", "/&copy-": "/©-", "/&#38x": "/&x", "/&copyß": "/©ß", "plain": "plain"}
+    rows = table("v string", [(v,) for v in [*values, *open_]])
+    got = [r.u for r in rows.select(html_unescape_attr(F.col("v")).alias("u")).collect()]
+    assert got == [unescape(v) for v in values] + list(open_.values())
+
+
+# --- walks ---
+
+
+def plain_walk(pages: dict[str, list[str | None]], root: str, depth: int) -> list[tuple]:
+    out, seen, level = [], {root}, [root]
+    for d in range(depth + 1):
+        found = []
+        for page in level:
+            out.append((page, d, page in pages if d < depth else None))
+            for to in pages.get(page, []) if d < depth else []:
+                if to and urlsplit(to).netloc == urlsplit(root).netloc and to not in seen:
+                    seen.add(to)
+                    found.append(to)
+        level = found
+    return out
+
+
+@pytest.mark.parametrize("seed,width", [(1, 4), (2, 12), (3, 40)])
+def test_walks_are_breadth_first(table, seed, width) -> None:
+    rng = random.Random(seed)
+    names = {s: [f"https://{s}.test/p{i}" for i in range(60)] for s in "ab"}
+    pages = {}
+    for s, own in names.items():
+        for page in own:
+            if rng.random() < 0.8:
+                pages[page] = [rng.choice([*own, *own, "https://away.test/x"]) for _ in range(rng.randint(0, width))] or [None]
+    rows = [(src, pos * rng.choice([1, 10**9]) if seed == 3 else pos, dst) for src, to in pages.items() for pos, dst in enumerate(to)]
+    if seed == 3:  # positions far apart still order by number
+        rows = sorted(rows)
+        place = {}
+        for src, pos, _ in rows:
+            place.setdefault(src, []).append(pos)
+        pages = {src: [d for _, d in sorted((p, d or "") for s, p, d in rows if s == src)] for src in pages}
+        pages = {src: [d or None for d in to] for src, to in pages.items()}
+    edges = table("src string, pos bigint, dst string", rows + rows[:5])
+    roots = [names["a"][0], names["b"][0], "https://dead.test/"]
+    got = sitegraph.discover(edges, table("root string", [(r,) for r in roots]), 4).orderBy("root", "ord").collect()
+    for root in roots:
+        mine = [(r.url, r.depth, r.read) for r in got if r.root == root]
+        want = plain_walk(pages, root, 4)
+        if seed == 3:
+            assert sorted(mine, key=str) == sorted(want, key=str)
+        else:
+            assert mine == want
+
+
+def test_numbers_sort_as_text(table) -> None:
+    n = [0, 9, 10, 99, 100, 12_345_678, 10**17, 2**62]
+    got = [r.s for r in table("n bigint", [(x,) for x in n]).select(sitegraph.sortable(F.col("n")).alias("s")).collect()]
+    assert got == sorted(got) and len(set(got)) == len(n)
+
+
+def test_a_map_says_how_it_was_made(table) -> None:
+    walk = table("root string, url string, depth int, ord string, read boolean", [("R", f"R/{i:02d}", 1, f"{i:02d}", i % 3 != 0) for i in range(40)] + [("S", "S/", 0, "0", False)])
+    sitemap = table("root string, ord bigint, url string", [("S", i, f"S/{i}") for i in range(12)])
+    listing = sitegraph.choose_listing(walk, sitemap)
+    assert {(r.root, r.from_sitemap): r.n for r in listing.groupBy("root", "from_sitemap").agg(F.count("*").alias("n")).collect()} == {("R", False): 40, ("S", True): 12}
+    assert sitegraph.choose_listing(walk, sitemap, use_sitemap=False).count() == 41
+    roots, dropped, budgets = table("root string", [("R",), ("S",), ("T",)]), table("root string, n bigint", [("R", 5)]), table("root string, hit_budget boolean", [("R", False), ("R", True)])
+    got = {r.root: r for r in sitegraph.coverage(walk, listing, roots, dropped, budgets, 12, shown=3).collect()}
+    assert (got["R"].pages_read, got["R"].pages_missed_count, got["R"].pages_missed, got["R"].budget_exhausted, got["R"].dropped_other_origin) == (26, 14, ["R/00", "R/03", "R/06"], True, 5)
+    assert got["S"].sitemap and got["S"].max_urls_reached and got["T"].nothing_read and not got["S"].nothing_read
+    assert {r.root: (r["count"], len(r.sample)) for r in sitegraph.map_summary(listing, 5).collect()} == {"R": (40, 5), "S": (12, 5)}
+    frontier = sitegraph.crawl_frontier(listing, 7)
+    assert {r.root: (r.requested, r.discovered, r.not_crawled) for r in sitegraph.frontier_counts(frontier).collect()} == {"R": (7, 40, 33), "S": (7, 12, 5)}
+    assert sorted(r.url for r in frontier.filter("requested and root = 'R'").collect()) == [f"R/{i:02d}" for i in range(7)]
+    assert sitegraph.crawl_frontier(listing, None).filter("requested").count() == 52
+    assert sitegraph.cap_urls(listing, 4).count() == 8
+
+
+def test_reports_and_recrawls(table) -> None:
+    items = table("root string, n bigint, url string, status string, http_status int", [("R", i, f"u{i}", "ok" if i % 4 else "blocked", 200 if i % 4 else 403) for i in range(30)])
+    r = sitegraph.crawl_report(items, 3).first()
+    assert (r.requested, r.saved, r.statuses, r.not_ok_count) == (30, 22, {"blocked": 8, "ok": 22}, 8)
+    assert [(x.url, x.http_status) for x in r.not_ok] == [("u0", 403), ("u4", 403), ("u8", 403)]
+    again = sitegraph.recrawl_set(table("root string, n bigint, url string", [("R", 11, "b"), ("R", 2, "a")]), table("root string, ord bigint, url string", [("R", 0, "c")]))
+    assert [x.url for x in again.orderBy("part", "ord").collect()] == ["a", "b", "c"]
+
+
+# --- links and sitemaps ---
+
+
+def test_links_of_a_page(table) -> None:
+    html = '<a href="/one?a=1&amp;b=2">x</a><A class=q HREF=\'two\'>y</A><a href=three>z</a><!-- <a href="/no"> --><script>"<a href=/no>"</script><a name="n">n</a><a href="mailto:m@x.test">m</a>'
+    found = links.extract_links(table("url string, final_url string, text string", [(u, u, h) for u, h in (("https://l.test/d/", html), ("https://e.test/", "<p>none</p>"))]))
+    assert [(r.pos, r.href) for r in found.filter("pos is not null").orderBy("pos").collect()] == [(0, "/one?a=1&amp;b=2"), (1, "two"), (2, "three"), (3, "mailto:m@x.test")]
+    assert found.filter("pos is null").count() == 1
+    resolved = [r.dst for r in links.resolve_links(found).filter("pos is not null").orderBy("pos").collect()]
+    assert resolved == ["https://l.test/one?a=1&b=2", "https://l.test/d/two", "https://l.test/d/three", None]
+
+
+def test_sitemaps_list_a_sites_own_pages_once(table) -> None:
+    entries = ["https://m.test/a", "https://www.m.test/a#x", "https://n.test/a", "/rel", "http://m.test/a", "https://m.test/b", "https://n.test/a", "https://o.test/"]
+    listed = table("root string, ord bigint, url string", [("https://m.test/", i, u) for i, u in enumerate(entries)])
+    assert [r.url for r in links.sitemap_urls(listed).orderBy("ord").collect()] == ["https://m.test/a", "https://m.test/b"]
+    assert {r.root: r.n for r in links.dropped_other_origin(listed.select("root", "url")).collect()} == {"https://m.test/": 3}
+    body = "<urlset><url><loc> https://m.test/?a=1&amp;b=2 </loc></url><url><loc>https://m.test/c</loc></url></urlset>"
+    assert [r.url for r in links.sitemap_locs(table("root string, text string", [("R", body)])).orderBy("ord").collect()] == ["https://m.test/?a=1&b=2", "https://m.test/c"]
+    assert {r.url for r in links.sitemap_candidates(table("root string", [("https://m.test/deep/x",)])).collect()} == {"https://m.test/sitemap.xml", "https://m.test/robots.txt"}
+
+
+# --- manifests ---
+
+
+@pytest.mark.parametrize("part", [1, 7, 20_000])
+def test_manifests_round_trip_in_order(spark, table, tmp_path, part) -> None:
+    rng = random.Random(part)
+    n = 40 if part < 100 else 45_000
+    order = rng.sample(range(10 * n), n)
+    listing = table("root string, ord bigint, url string", [("R", o, f"https://r.test/{o}") for o in order] + [("Q", 3, "https://q.test/")])
+    manifests.write_manifest(listing, str(tmp_path / "m"), part)
+    back = manifests.read_manifest(spark, str(tmp_path / "m")).orderBy("root", "ord").collect()
+    assert [r.url for r in back] == ["https://q.test/", *(f"https://r.test/{o}" for o in sorted(order))]
+    with pytest.raises(Exception, match="exist"):
+        manifests.write_manifest(listing, str(tmp_path / "m"), part)
+
+
+def test_crawl_manifests_list_pages_then_the_rest(spark, table, tmp_path) -> None:
+    schema = "root string, n bigint, url string, final_url string, file string, title string, status string, via string, words bigint, http_status int, error string"
+    items = table(schema, [{"root": "R", "n": i, "url": f"p{i}"} for i in range(9)])
+    left = table("root string, ord bigint, url string", [("R", i, f"l{i}") for i in range(5)] + [("S", 0, "only left")])
+    manifests.write_crawl_manifest(items, left, str(tmp_path / "c"), 4)
+    back = manifests.read_manifest(spark, str(tmp_path / "c")).orderBy("root", "ord").collect()
+    assert [r.url for r in back] == [*(f"p{i}" for i in range(9)), *(f"l{i}" for i in range(5)), "only left"]
+
+
+@pytest.mark.parametrize("doc", ["[]", '"x"', '{"root": 5, "urls": []}', '{"urls": "one"}', '{"urls": [1]}', '{"pages": ["u"]}', "{}", "{ torn"])
+def test_other_documents_are_refused(spark, tmp_path, doc) -> None:
+    (tmp_path / "x.json").write_text(doc + "\n")
+    with pytest.raises(Exception, match="not a map or crawl manifest"):
+        manifests.read_manifest(spark, str(tmp_path)).collect()
+
+
+# --- attempts ---
+
+LOG = "url string, attempt_no int, via string, status int, content_type string, kind string, text string, error string, threw boolean"
+FULL = "<body><article>" + " ".join(f"w{i}" for i in range(90)) + "</article>"
+BODIES = {"ok": FULL, "shell": "<body><p>few</p>", "challenge": FULL + "<i id='challenge-running'></i>".replace("'", '"')}
+
+
+def attempt(url: str, no: int, via: str, what: str) -> dict:
+    if what in BODIES:
+        return {"url": url, "attempt_no": no, "via": via, "status": 200, "content_type": "text/html", "kind": "text", "text": BODIES[what]}
+    return {"url": url, "attempt_no": no, "via": via, "status": 0, "kind": "error", "error": {"threw": "fetch failed", "lost": "CDP session detached: x"}.get(what, what), "threw": what == "threw"}
+
+
+def random_log(seed: int) -> dict[str, list[tuple[str, str]]]:
+    rng = random.Random(seed)
+    out = {}
+    for h in range(12):
+        for p in range(4):
+            tries = [("fetch", rng.choice(["ok", "shell", "challenge", "timeout", "threw"])) for _ in range(rng.randint(1, 2))]
+            tries += [("tab", rng.choice(["ok", "shell", "lost", "no route"])) for _ in range(rng.choice([0, 0, 1, 2]))]
+            out[f"https://h{h}.test/{p}"] = tries
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_attempts_resolve_like_a_plain_reading(table, seed) -> None:
+    log = random_log(seed)
+    rows = table(LOG, [attempt(u, i + 1, via, what) for u, tries in log.items() for i, (via, what) in enumerate(tries)])
+    last = {u: {via: what for via, what in tries} for u, tries in log.items()}
+    failed = lambda w: w in ("lost", "no route")
+    host = lambda u: urlsplit(u).netloc
+    tabs = defaultdict(list)
+    for u, x in last.items():
+        if "tab" in x:
+            tabs[host(u)].append((u, x["tab"]))
+    assert {r.url for r in attempts.retry_set(rows).collect()} == {u for u, t in log.items() if [x for x in t if x[0] == "fetch"] == [("fetch", "timeout")]}
+    assert {r.url for r in attempts.detached_retry(rows).collect()} == {u for u, t in log.items() if [x for x in t if x[0] == "tab"] == [("tab", "lost")]}
+    want = set()
+    for u, x in last.items():
+        here = tabs[host(u)]
+        if "tab" in x or any(failed(w) for _, w in here):
+            continue
+        thrown = sorted(v for v, y in last.items() if host(v) == host(u) and "tab" not in y and y["fetch"] == "threw")
+        if x["fetch"] in ("shell", "challenge") or x["fetch"] == "threw" and (here or u == thrown[0]):
+            want.add(u)
+    assert {r.url for r in attempts.escalation_set(rows).collect()} == want
+    said = {h: min((u, w) for u, w in t if failed(w))[1] for h, t in tabs.items() if any(failed(w) for _, w in t)}
+    words = {"lost": "CDP session detached: x", "threw": "fetch failed", "shell": "only 1 words extracted", "challenge": "a bot check answered instead of the page", "ok": None}
+    tell = lambda w: words.get(w, w)
+    for r in attempts.resolve_attempts(rows).collect():
+        x = last[r.url]
+        fetch, tab = x["fetch"], x.get("tab")
+        if tab and not failed(tab):
+            error = None if tab == "ok" else "; in a tab: ".join([tell(fetch), tell(tab)]) if fetch == "threw" else tell(tab)
+            assert (r.via, r.status, r.error) == ("tab", "ok" if tab == "ok" else "shell_escalated", error)
+        else:
+            base = tell(fetch)
+            error = "; ".join(e for e in (base, f"in a tab: {tell(tab)}") if e) if tab else f"{base}; in a tab: {tell(said[host(r.url)])}" if fetch == "threw" and host(r.url) in said else base
+            assert (r.via, r.status, r.error) == ("fetch", fetch if fetch in BODIES else "error", error)
+        assert r.attempts == len(log[r.url])
+
+
+def test_batches(table) -> None:
+    listing = table("root string, ord bigint, url string", [(root, i, f"u{i}") for root in ("R", None) for i in range(10)])
+    got = defaultdict(list)
+    for r in attempts.assign_batches(listing, 4).orderBy("ord").collect():
+        got[r.root].append(r.batch)
+    assert got == {"R": [0] * 4 + [1] * 4 + [2] * 2, None: [0] * 4 + [1] * 4 + [2] * 2}

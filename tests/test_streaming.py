@@ -1,42 +1,12 @@
 """Streams against their batch forms."""
 from __future__ import annotations
 
-import json
-import os
-import time
-
 from pyspark.sql import functions as F
 
-from conftest import asked, called, frame, said
 from pagewright.plans.stream_queries import drain
 from pagewright.streaming import transcripts as live
 
 
-def test_records_arrive_once_across_restarts(spark, tmp_path) -> None:
-    source, folder = tmp_path / "in", str(tmp_path / "q")
-    session = source / "2026-01-01_Sess1"
-    session.mkdir(parents=True)
-    written = [json.dumps(r, ensure_ascii=False) + "\n" for r in (frame("started"), asked("q\x85r"), called(("t", {})), said("a"), frame("finished"))]
-    starts = [sum(len(w.encode()) for w in written[:i]) for i in range(5)]
-
-    def segment(first: int, last: int, name: str = "", torn: str = "") -> None:
-        (session / f"{starts[first]:012d}{name}.jsonl").write_text("".join(written[first:last]) + torn, encoding="utf-8")
-
-    def follow() -> list:
-        stream = live.stream_transcripts(spark, str(source))
-        return [(r.session_id, r.byte_start, r.raw + "\n") for r in drain(stream, "append", folder).orderBy("byte_start").collect()]
-
-    segment(0, 2, torn='{"role": "assist')
-    assert follow() == [("Sess1", s, w) for s, w in zip(starts[:2], written[:2])]
-    time.sleep(1.1)
-    segment(1, 4, "-again")  # a copy that got ahead of its cursor: one record comes again
-    assert follow() == [("Sess1", s, w) for s, w in zip(starts[:4], written[:4])]
-    for name in os.listdir(session):
-        (session / name).unlink()  # the store cleans up; the copy stays
-    segment(4, 5)
-    assert follow() == [("Sess1", s, w) for s, w in zip(starts, written)]
-
-
 def test_turn_state_of_a_stream_is_the_tables(spark, tmp_path) -> None:
     data = [(f"s{i % 7}", i, "lifecycle" if i % 3 == 0 else "assistant", ["started", "final-started", "finished"][i % 9 // 3] if i % 3 == 0 else "",
              "" if i % 3 == 0 else ["tool", "end"][i % 2], [] if i % 5 else ["k"], 1000 * i) for i in range(200)]
