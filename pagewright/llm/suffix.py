@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes covered by a string of ``LENGTH`` that starts earlier are removed.
 
 Every window of ``LENGTH`` bytes has a minimizer, the smallest hash among its strings of ``GRAM`` bytes; windows of equal content have the same one.
-A text is cut into pieces, runs of windows that share one place of the minimizer, so equal windows of any two texts lie in pieces of one key. Keys that
-come once are left behind; equal pieces become one, with their first place. The pieces of a bucket of keys are then a collection of short documents whose
+A text is cut into pieces, runs of windows that share one place of the minimizer, so equal windows of any two texts lie in pieces of one key. Equal
+pieces become one, at their first place (in each task that cuts texts, and again where a key's pieces meet); all windows of the others are repetitions.
+A key left with one piece has nothing to share and stays behind. The pieces of a bucket of keys are then a collection of short documents whose
 Burrows-Wheeler transform is built column by column: each round inserts one symbol of every document, right to left, and the common prefixes of the new
 neighbours follow from those of the suffixes one symbol shorter. Suffixes with ``LENGTH`` symbols in common are one window; all but its earliest place
 are removed. A bucket is bounded, so the two columns are arrays of one task.
@@ -29,10 +30,12 @@ GRAM = 32
 WINDOWS_AT_ONCE = 1 << 18
 _PLACE = np.uint64((1 << 19) - 1)
 #: Bytes of text whose runs meet in one bucket, and bytes of pieces in one collection.
-RUN_BYTES, COLLECTION_BYTES = 32 << 20, 6 << 20
+RUN_BYTES, COLLECTION_BYTES = 32 << 20, 192 << 10
 #: A key with more different pieces is cut again, each window for itself, by its own hash.
-HOT_PIECES = 20_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+HOT_PIECES = 4_000
+_BASE, _OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: In order a null id comes before all others.
+NO_ID = -(1 << 63)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -41,8 +44,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _powers(int(_BASE), WINDOWS_AT_ONCE + 2 * LENGTH)
-_DOWN = _powers(pow(int(_BASE), -1, 1 << 64), WINDOWS_AT_ONCE + 2 * LENGTH)
+_UP, _OTHER_UP = (_powers(int(b), WINDOWS_AT_ONCE + 2 * LENGTH) for b in (_BASE, _OTHER_BASE))
+_DOWN, _OTHER_DOWN = (_powers(pow(int(b), -1, 1 << 64), WINDOWS_AT_ONCE + 2 * LENGTH) for b in (_BASE, _OTHER_BASE))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,18 +54,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, first windows and numbers of windows of a text's runs, which cover each of its windows once."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs(data: bytes) -> Runs:
+    """Keys, marks (a hash of the piece's bytes), first windows and numbers of windows of a text's runs, which cover each of its windows once."""
     found = [_runs(data[at:at + WINDOWS_AT_ONCE + LENGTH - 1], at) for at in range(0, len(data) - LENGTH + 1, WINDOWS_AT_ONCE)]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _runs(data: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:len(values)], out=sums[1:])
+    return sums
+
+
+def _runs(data: bytes, offset: int) -> Runs:
     n, span = len(data), LENGTH - GRAM + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.frombuffer(data, np.uint8) * _UP[:n], out=sums[1:])
+    values = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    sums = _sums(values, _UP)
     hashed = _mixed((sums[GRAM:] - sums[:-GRAM]) * _DOWN[:n - GRAM + 1])
     placed = (hashed & ~_PLACE) | np.arange(len(hashed), dtype=np.uint64)
     windows = n - LENGTH + 1
@@ -71,7 +83,12 @@ def _runs(data: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     at = np.minimum(behind[:windows], ahead[span - 1:span - 1 + windows]) & _PLACE
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return hashed[at[first].astype(np.int64)], (first + offset).astype(np.uint32), np.diff(np.append(first, windows)).astype(np.uint8)
+    size = np.diff(np.append(first, windows))
+    other = _sums(values, _OTHER_UP)
+    stop = first + size + LENGTH - 1
+    # two hashes of the whole piece, and its length
+    marks = _mixed((other[stop] - other[first]) * _OTHER_DOWN[first] + _mixed((sums[stop] - sums[first]) * _DOWN[first] + size.astype(np.uint64)))
+    return hashed[at[first].astype(np.int64)], marks, (first + offset).astype(np.uint32), size.astype(np.uint8)
 
 
 # --- the collection's transform --------------------------------------------------------------------
@@ -89,6 +106,7 @@ def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[i
     symbols = np.full((n, longest + 1), 255, np.uint8)  # row i: its bytes right to left, then its mark
     for i, piece in enumerate(pieces):
         symbols[i, :len(piece)] = np.frombuffer(piece, np.uint8)[::-1]
+    count = np.arange(int(sizes.sum()) + n + 1)
     bwt, lcp = symbols[:, 0].copy(), np.zeros(n, np.uint8)
     alive, at = np.arange(n), np.arange(n)
     for length in range(1, longest + 1):
@@ -96,7 +114,7 @@ def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[i
         alive, at = alive[going], at[going]  # ``at``: where each one's suffix of length - 1 lies
         order = np.argsort(bwt, kind="stable")  # bytes ascending, so place n + i of the next column starts with bwt[order[i]]
         rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        rank[order] = count[:len(bwt)]
         mine = rank[at]
         sorting = np.argsort(mine)
         alive, at, mine = alive[sorting], at[sorting], mine[sorting]
@@ -108,14 +126,15 @@ def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[i
         new_after = _prefixes(guarded, at, after, has_after)
         size = len(bwt) + len(alive)
         new = n + mine
+        # both columns move in one pass: the symbol in the low byte, the prefix in the high one
         old = np.ones(size, bool)
         old[new] = False
-        bwt_next, lcp_next = np.empty(size, np.uint8), np.empty(size, np.uint8)
-        bwt_next[old], lcp_next[old] = bwt, lcp
-        bwt_next[new], lcp_next[new] = symbols[alive, length], new_before
+        both = np.empty((size, 2), np.uint8)
+        both[:, 0][new], both[:, 1][new] = symbols[alive, length], new_before
+        both.view(np.uint16).ravel()[old] = np.column_stack([bwt, lcp]).view(np.uint16).ravel()
         inside = new + 1 < size
-        lcp_next[new[inside] + 1] = new_after[inside]
-        bwt, lcp, at = bwt_next, lcp_next, new
+        both[:, 1][new[inside] + 1] = new_after[inside]
+        bwt, lcp, at = both[:, 0].copy(), both[:, 1].copy(), new
     order = np.argsort(bwt, kind="stable")
     rank = np.empty(len(bwt), np.int64)
     rank[order] = np.arange(len(bwt))
@@ -172,77 +191,99 @@ def _packed_texts(batches):
 
 
 def _run_blocks(buckets: int):
+    """Blocks of runs for the buckets of their keys, and, under bucket -1, of those whose piece came earlier in the same batch."""
     def blocks(batches):
         for batch in batches:
+            ids = batch.column(1).to_pylist()
+            rows = batch.column(0).to_pylist()
+            texts = batch.column(2).cast(pa.large_binary())
             some, held = [], 0
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
-                data = text.as_py()
-                keys, starts, sizes = runs(data)
-                some.append((keys, np.full(len(keys), row, np.int64), starts, sizes))
+            for i in sorted(range(len(rows)), key=lambda i: (NO_ID if ids[i] is None else ids[i], rows[i])):
+                data = texts[i].as_py()
+                keys, marks, starts, sizes = runs(data)
+                some.append((keys, marks, np.full(len(keys), NO_ID if ids[i] is None else ids[i], np.int64), np.full(len(keys), rows[i], np.int64), starts, sizes))
                 held += len(data)
                 if held > RUN_BYTES // 2:
-                    yield _run_block(some, buckets)
+                    yield from _run_block(some, buckets)
                     some, held = [], 0
             if some:
-                yield _run_block(some, buckets)
+                yield from _run_block(some, buckets)
     return blocks
 
 
-def _run_block(some: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
-    keys, *rest = (np.concatenate(c) for c in zip(*some, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    return blocks_by_bucket(((keys * _BASE) >> np.uint64(33)).astype(np.int64) % buckets, keys, *(c[order] for c in rest))
+def _run_block(some: list[tuple[np.ndarray, ...]], buckets: int):
+    columns = [np.concatenate(c) for c in zip(*some, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))  # stable, so equal pieces stay in the order of their places
+    columns = [c[order] for c in columns]
+    keys, marks = columns[:2]
+    again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (marks[1:] == marks[:-1])])[:len(keys)]
+    first = [c[~again] for c in columns]
+    yield blocks_by_bucket(((first[0] * _BASE) >> np.uint64(33)).astype(np.int64) % buckets, *first)
+    later = [c[again] for c in columns[3:]]
+    order = np.argsort(later[0], kind="stable")
+    yield blocks_by_bucket(np.full(len(order), -1, np.int64), *(c[order] for c in later))
+
+
+WANTED, LATER, HOT = 0, 1, 2
+_FOUND = "what long, key long, _row long, start long, windows long"
+
+
+def _found_batch(what, keys, row, start, size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in (what, keys.view(np.int64), row, start, size)], ["what", "key", "_row", "start", "windows"])
 
 
-def _repeated(batches):
-    """Of a bucket's runs, those whose key comes more than once."""
-    for _, (keys, *rest) in by_bucket(batches, np.uint64, np.int64, np.uint32, np.uint8):
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        row, start, size = (c[order][keep] for c in rest)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(row), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64))], ["key", "_row", "start", "windows"])
+def _repeated(hot_pieces: int):
+    """Of a bucket's runs, those whose key comes more than once: later places of a piece, and the pieces whose key has several."""
+    def repeated(batches):
+        for _, (keys, marks, ids, rows, starts, sizes) in by_bucket(batches, np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8):
+            order = np.argsort(keys)
+            same = keys[order][1:] == keys[order][:-1]
+            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(keys) else order
+            order = order[np.lexsort((starts[order], rows[order], ids[order], marks[order], keys[order]))]
+            keys, marks, rows, starts, sizes = keys[order], marks[order], rows[order], starts[order], sizes[order]
+            new_key = np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]
+            first = new_key | np.concatenate([[True], marks[1:] != marks[:-1]])[:len(keys)]
+            group = np.cumsum(new_key) - 1
+            pieces = np.bincount(group[first], minlength=int(new_key.sum()))[group] if len(keys) else group
+            what = np.where(~first, LATER, np.where(pieces > hot_pieces, HOT, WANTED))
+            kept = ~first | (pieces > 1)
+            yield _found_batch(what[kept], keys[kept], rows[kept], starts[kept], sizes[kept])
+    return repeated
 
 
-_PIECE = "key long, mark binary, _row long, doc_id long, start long, windows long, piece binary"
+def _places(batches):
+    for _, (rows, starts, sizes) in by_bucket(batches, np.int64, np.uint32, np.uint8):
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (rows, starts, sizes)], ["_row", "start", "windows"])
+
+
+_PIECE = "what long, key long, _row long, doc_id long, start long, windows long, piece binary"
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(),) * 6 + (pa.binary(),)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [p.split()[0] for p in _PIECE.split(", ")])
 
 
 def _cut(batches):
-    """The pieces of a row's repeated runs."""
+    """The pieces of a row's wanted runs; a hot key's are cut to single windows under their own hash."""
     for batch in batches:
         out = []
         for row, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "_text", "_runs")), strict=True):
             data = zstandard.decompress(text)
             for r in found:
-                piece = data[r["start"]:r["start"] + r["windows"] + LENGTH - 1]
-                out.append((r["key"], xxhash.xxh3_128_digest(piece), row, doc_id, r["start"], r["windows"], piece))
+                at, n = r["start"], r["windows"]
+                if r["what"] == HOT:
+                    some = [data[at + i:at + i + LENGTH] for i in range(n)]
+                    out.extend((HOT, xxhash.xxh3_64_intdigest(w, 7) - (1 << 63), row, doc_id, at + i, 1, w) for i, w in enumerate(some))
+                else:
+                    out.append((WANTED, r["key"], row, doc_id, at, n, data[at:at + n + LENGTH - 1]))
                 if len(out) >= 50_000:
                     yield _piece_batch(out)
                     out = []
         yield _piece_batch(out)
 
 
-def _cut_windows(batches):
-    for batch in batches:
-        out = []
-        for row, doc_id, start, windows, piece in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "start", "windows", "piece")), strict=True):
-            for i in range(windows):
-                window = piece[i:i + LENGTH]
-                out.append((xxhash.xxh3_64_intdigest(window, 7) - (1 << 63), xxhash.xxh3_128_digest(window), row, doc_id, start + i, 1, window))
-            if len(out) >= 50_000:
-                yield _piece_batch(out)
-                out = []
-        yield _piece_batch(out)
-
-
 def _removed(table: pa.Table) -> pa.Table:
     """Runs of removed windows of a bucket's pieces."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "_row", "start", "piece")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
@@ -280,11 +321,11 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_row", "_removed", "_spans", "_kept", "spans"])
 
 
-def _firsts(pieces: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Different pieces at their first place, and the places of their repetitions. A place is a row and a window."""
+def _firsts(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different windows at their first place, and the places of their repetitions. A place is a row and a window."""
     place = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("_row"), F.col("start"))
-    first = stored(pieces.groupBy("key", "mark").agg(F.min(place).alias("p")).select("p._row", "p.start"), f"{name}-first")
-    return pieces.join(first, ["_row", "start"]), pieces.select("_row", "start", "windows").join(first, ["_row", "start"], "left_anti")
+    first = stored(windows.groupBy("key", "piece").agg(F.min(place).alias("p")).select("p._row", "p.start"), "windows-first")
+    return windows.join(first, ["_row", "start"]), windows.select("_row", "start", "windows").join(first, ["_row", "start"], "left_anti")
 
 
 def _compact(df: DataFrame, name: str) -> DataFrame:
@@ -305,18 +346,17 @@ def repeated_spans(docs: DataFrame, hot_pieces: int = HOT_PIECES) -> DataFrame:
     size = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = size // RUN_BYTES + 1
     texts = given.mapInArrow(_packed_texts, "_row long, doc_id long, _text binary")
-    repeated = (given.mapInArrow(_run_blocks(buckets), "bucket long, block binary").repartition(buckets, "bucket")
-                .mapInArrow(_repeated, "key long, _row long, start long, windows long"))
-    by_row = repeated.groupBy("_row").agg(F.collect_list(F.struct("key", "start", "windows")).alias("_runs"))
-    pieces = _compact(texts.join(by_row, "_row").mapInArrow(_cut, _PIECE), "pieces")
-    firsts, later = _firsts(pieces, "pieces")
-    firsts = _compact(firsts, "firsts")
-    hot = stored(firsts.groupBy("key").count().filter(F.col("count") > hot_pieces).select("key"), "hot")
-    if not hot.isEmpty():
-        windows = _compact(firsts.join(hot, "key").mapInArrow(_cut_windows, _PIECE), "windows")
+    blocks = _compact(given.mapInArrow(_run_blocks(buckets), "bucket long, block binary"), "runs")
+    found = stored(blocks.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_repeated(hot_pieces), _FOUND), "repeated")
+    later = blocks.filter("bucket < 0").mapInArrow(_places, "_row long, start long, windows long").unionByName(found.filter(F.col("what") == LATER).select("_row", "start", "windows"))
+    wanted = found.filter(F.col("what") != LATER).groupBy("_row").agg(F.collect_list(F.struct("what", "key", "start", "windows")).alias("_runs"))
+    pieces = _compact(texts.join(wanted, "_row").mapInArrow(_cut, _PIECE), "pieces")
+    firsts = pieces.filter(F.col("what") == WANTED).drop("what")
+    windows = pieces.filter(F.col("what") == HOT).drop("what")
+    if not windows.isEmpty():
+        some, again = _firsts(windows)
         twice = windows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-        some, again = _firsts(_compact(windows.join(twice, "key").select(*windows.columns), "twice"), "windows")
-        firsts, later = firsts.join(hot, "key", "left_anti").unionByName(some), later.unionByName(again)
+        firsts, later = firsts.unionByName(some.join(twice, "key", "left_semi")), later.unionByName(again)
     held = firsts.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
     dealt = firsts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(held // COLLECTION_BYTES + 1)))
     inner = dealt.select("bucket", "doc_id", "_row", "start", "piece").groupBy("bucket").applyInArrow(_removed, "_row long, start long, windows long")
