@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from pagewright.operators.ordered import chunk_of, numbered, running_sum
 from pagewright.plans import corpora
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
@@ -19,7 +20,7 @@ def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream until its input is used up and return what it wrote.
 
     Append goes to a table of files. Update rewrites a row's state, so each batch is written beside its number and the
-    last state of a key is the answer: see the callers.
+    last state of a key is the answer: see the callers. Complete writes all rows anew; the last batch is the answer.
     """
     spark, out = stream.sparkSession, f"{folder}/out"
     if mode == "append":
@@ -27,19 +28,28 @@ def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     else:
         def write(batch: DataFrame, number: int) -> None:
             batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/_b={number}")
-        writer = stream.writeStream.foreachBatch(write).outputMode("update")
+        writer = stream.writeStream.foreachBatch(write).outputMode(mode)
     run = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
     run.awaitTermination()
+    if mode == "complete":
+        written = spark.read.parquet(out)
+        last = written.agg(F.max("_batch")).first()[0]
+        return written.filter(F.col("_batch") == F.lit(last)).drop("_batch", "_b")
     return spark.read.schema(stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).option("recursiveFileLookup", mode != "append").parquet(out)
 
 
 def _segments(spark: SparkSession, d: str) -> str:
-    """The transcripts as segment files: each session's records in one segment of its own folder."""
+    """The transcripts as segment files of some twenty records, in folders of their first byte; each goes on into the next one's first five."""
     folder = scratch(spark, "segments")
-    raw = corpora.transcripts(spark, d)
-    (raw.repartition("session_id").sortWithinPartitions("session_id", "index")
-     .select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), F.col("raw").alias("value"))
-     .write.partitionBy("session").option("compression", "none").text(folder))
+    raw = numbered(corpora.transcripts(spark, d), ["session_id"], ["index"], "n", chunk_of(F.col("index")))
+    placed = running_sum(raw, ["session_id"], ["n"], (F.octet_length("raw") + 1).cast("long"), "stop", chunk_of(F.col("n")))
+    own = F.floor(F.col("n") / 20)
+    parts = placed.withColumn("part", F.explode(F.when((F.col("n") % 20 < 5) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
+    firsts = parts.groupBy("session_id", "part").agg(F.min(F.col("stop") - F.octet_length("raw") - 1).alias("start"))
+    (parts.join(firsts, ["session_id", "part"]).withColumn("session", F.concat(F.lit("2024-01-01_"), "session_id"))
+     # the writer sorts anew unless the rows stand in the order of its folders
+     .repartition("session", "start").sortWithinPartitions("session", "start", "n").select("session", "start", F.col("raw").alias("value"))
+     .write.partitionBy("session", "start").option("compression", "none").text(folder))
     return folder
 
 
@@ -54,13 +64,13 @@ def _events(spark: SparkSession, d: str, files_per_trigger: int) -> DataFrame:
 @query("stream_transcripts", f"{E} SELECT session_id, count(*) AS records FROM ev GROUP BY session_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     source = _segments(spark, d)
-    records = live.stream_transcripts(spark, source, pattern="*.txt", segment=r"_([A-Za-z0-9]+)/part-()")
+    records = live.stream_transcripts(spark, source, pattern="*.txt", segment=r"_([A-Za-z0-9]+)/start=([0-9]+)/part-")
     return drain(records, "append", scratch(spark, "tail")).groupBy("session_id").agg(F.count("*").alias("records"))
 
 
 @query("stream_turn_state", f"""{E}, l AS (SELECT session_id, arg_max(lifecycle, idx) FILTER (lifecycle <> '') AS phase,
   arg_max(CASE WHEN kind = 'assistant' THEN stop ELSE '' END, idx) FILTER (kind IN ('user', 'assistant', 'tool_result')) AS spoken,
-  max(ts) AS last_ms, count(*) AS records, count(child) AS children_named FROM ev GROUP BY session_id)
+  max(ts) AS last_ms, count(*) AS records, count(DISTINCT child) AS children_named FROM ev GROUP BY session_id)
 SELECT session_id, NOT CASE WHEN phase IS NOT NULL THEN phase = 'finished' ELSE coalesce(spoken IN ('end', 'error'), false) END AS open,
   last_ms, records, children_named FROM l""")
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -75,11 +85,11 @@ m AS (SELECT session_id, min(ts) AS start_ms, max(ts) + 60000 AS end_ms, count(*
   arg_max(CASE WHEN kind = 'assistant' THEN stop ELSE '' END, idx) FILTER (kind IN ('user', 'assistant', 'tool_result')) AS spoken FROM b GROUP BY session_id, no)
 SELECT session_id, start_ms, end_ms, records,
   NOT CASE WHEN phase IS NOT NULL THEN phase = 'finished' ELSE coalesce(spoken IN ('end', 'error'), false) END AS open
-FROM m WHERE end_ms <= (SELECT max(ts) FROM ev) - 3600000""")
+FROM m""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    # sessions stand in the table in any order, so it is one batch; what its watermark has passed comes out
-    bursts = live.stream_idle(_events(spark, d, 1000), "1 minute", "1 hour")
-    done = drain(bursts, "append", scratch(spark, "idle"))
+    # sessions stand in the table in any order, so none may expire another: complete mode, without a watermark
+    bursts = live.stream_idle(_events(spark, d, 4), "1 minute", lateness=None)
+    done = drain(bursts, "complete", scratch(spark, "idle"))
     return done.select("session_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "records", "open")
 
 
@@ -87,13 +97,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM m),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS no FROM g),
 b AS (SELECT user_id, min(t) AS s, max(t) + 3600000000 AS e, count(*) AS n FROM s GROUP BY user_id, no)
-SELECT user_id, s AS start_us, e AS end_us, n FROM b WHERE e // 1000 <= (SELECT max(t) // 1000 FROM m) - 3600000""")
+SELECT user_id, s AS start_us, e AS end_us, n FROM b""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     table = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = table.select("user_id", F.timestamp_micros(corpora.micros(table, "ts")).alias("ts"))
-    bursts = live.stream_activity(stream, "1 hour", lateness="1 hour")
-    done = drain(bursts, "append", scratch(spark, "activity"))
+    bursts = live.stream_activity(stream, "1 hour", lateness=None)
+    done = drain(bursts, "complete", scratch(spark, "activity"))
     return done.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

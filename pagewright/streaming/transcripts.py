@@ -1,13 +1,16 @@
 """Following transcripts while they are written.
 
 A collector drops what a session's transcript gained as a segment file ``<date>_<session>/<byte start>.jsonl``: immutable,
-named by the byte of the transcript it starts at. The file source and the query's checkpoint then give each record once,
+named by the byte of the transcript it starts at. The file source, the query's checkpoint and each session's state then give each record once,
 across restarts; a segment delivered again under another name carries the same bytes and falls out by them.
 
-The states are native streaming aggregations: they combine before the shuffle, so one busy session is no hot spot.
+The other states are native streaming aggregations: they combine before the shuffle, so one busy session is no hot spot.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,39 +18,61 @@ from pagewright.operators.events import normalize_events
 
 #: The session and the byte a segment's path names.
 SEGMENT = r"_([A-Za-z0-9]+)/0*([0-9]+)[^/]*\.jsonl$"
-#: How much later than a newer one a segment may be found, and how long copies of its records are looked for.
-ARRIVAL = "1 day"
 #: How long a record may be late in its own time.
 LATENESS = "10 minutes"
 
 
-def stream_transcripts(spark: SparkSession, path: str, lateness: str = ARRIVAL, files_per_trigger: int = 1000,
-                       pattern: str = "*.jsonl", segment: str = SEGMENT) -> DataFrame:
-    """``(session_id, index, byte_start, raw, arrived)`` of every record that arrives under ``path``, each once.
+def _spans(text: str) -> list[list[int]]:
+    return [list(map(int, part.split("-"))) for part in text.split(",") if part]
+
 
-    ``index`` is the record's first byte in its transcript: it orders a session's records like their numbers do, and a
-    segment can be read without those before it. Only whole lines are records; a line cut off at a segment's end is left
-    to the segment that will hold it whole. A transcript that shrinks or vanishes takes nothing back. The watermark is on
-    the segments' arrival, not on the records' own time: an old session that turns up late loses nothing.
+def new_records(segments: list[tuple[int, bytes]], seen: list[list[int]]) -> tuple[list[tuple[int, str]], list[list[int]]]:
+    """Records ``(byte, text)`` of segments that no byte span seen before holds, and the spans seen now.
+
+    Only whole lines count; a line cut off at a segment's end is left to the segment that holds it whole. A pass over the segments' bytes.
+    """
+    out = []
+    for start, data in sorted(segments):
+        stop, at = start + data.rfind(b"\n") + 1, start
+        for line in data[:stop - start].split(b"\n")[:-1]:
+            place = bisect_right(seen, [at, 1 << 62]) - 1
+            if not (place >= 0 and at < seen[place][1]) and line.strip():
+                out.append((at, line.decode("utf-8", "replace")))
+            at += len(line) + 1
+        if stop > start:
+            merged: list[list[int]] = []
+            for a, b in sorted([*seen, [start, stop]]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            seen = merged
+    return out, seen
+
+
+def _follow(key, batches, state):
+    seen = _spans(state.get[0]) if state.exists else []
+    for batch in batches:
+        found, seen = new_records(list(zip(batch["start"].tolist(), map(bytes, batch["data"]), strict=True)), seen)
+        yield pd.DataFrame({"session_id": key[0], "index": [f[0] for f in found], "byte_start": [f[0] for f in found], "raw": [f[1] for f in found]},
+                           columns=["session_id", "index", "byte_start", "raw"]).astype({"session_id": "object", "index": "int64", "byte_start": "int64", "raw": "object"})
+    state.update((",".join(f"{a}-{b}" for a, b in seen),))
+
+
+def stream_transcripts(spark: SparkSession, path: str, files_per_trigger: int = 1000, pattern: str = "*.jsonl", segment: str = SEGMENT) -> DataFrame:
+    """``(session_id, index, byte_start, raw)`` of every record that arrives under ``path``, each once.
+
+    ``index`` is the record's first byte in its transcript: it orders a session's records like their numbers do, and a segment can be read
+    without those before it. Each session's state is what byte spans of its transcript were read, one span unless segments are missing, so
+    copies and overlaps fall out and no segment is too old. A file whose name tells no session and start byte is refused.
     """
-    segments = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-                .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).schema("value string").load(path)
-                .select(F.col("value"), F.col("_metadata.file_path").alias("_path"),
-                        F.col("_metadata.file_modification_time").alias("arrived")).withWatermark("arrived", lateness))
-    start = F.coalesce(F.regexp_extract("_path", segment, 2).try_cast("long"), F.lit(0).cast("long"))
-    whole = F.regexp_replace("value", r"[^\n]*\z", "")
-    # where each line starts, by running over one segment's lines; a segment is one append
-    lines = F.aggregate(
-        F.split(whole, "\n"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,raw:string>>").alias("rows")),
-        lambda s, line: F.struct((s["at"] + F.octet_length(line) + 1).cast("long").alias("at"),
-                                 F.concat(s["rows"], F.array(F.struct(s["at"].alias("at"), line.alias("raw")))).alias("rows")))
-    records = (segments.select("arrived", F.regexp_extract("_path", segment, 1).alias("session_id"), start.alias("_start"),
-                               F.explode(lines["rows"]).alias("_r"))
-               .select("session_id", (F.col("_start") + F.col("_r.at")).alias("byte_start"), F.col("_r.raw").alias("raw"), "arrived")
-               .filter(F.col("raw").rlike(r"\S")))
-    return (records.dropDuplicatesWithinWatermark(["session_id", "byte_start"])
-            .select("session_id", F.col("byte_start").alias("index"), "byte_start", "raw", "arrived"))
+    files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+             .option("maxFilesPerTrigger", files_per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
+    named = F.regexp_extract("path", segment, 2)
+    start = F.when(named.rlike("^[0-9]+$"), named.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("a segment's name must tell its session and first byte: "), F.col("path"))).cast("long"))
+    segments = files.select(F.regexp_extract("path", segment, 1).alias("session_id"), start.alias("start"), F.col("content").alias("data"))
+    return segments.groupBy("session_id").applyInPandasWithState(_follow, "session_id string, index long, byte_start long, raw string", "spans string", "append", "NoTimeout")
 
 
 def live_events(records: DataFrame) -> DataFrame:
@@ -60,7 +85,7 @@ def _last(condition: Column, code: Column) -> Column:
 
 
 def turn_state(events: DataFrame) -> DataFrame:
-    """Per session: whether its last turn is open, when it last wrote, and the children it named.
+    """Per session: whether its last turn is open, when it last wrote, and how many different children it named.
 
     Works on a stream (in update mode, or complete) and on a table alike; the batch form is the stream's check. The last
     record of a kind is a numeric maximum, see ``operators.turns.turns_of``.
@@ -70,7 +95,8 @@ def turn_state(events: DataFrame) -> DataFrame:
     states = events.groupBy("session_id").agg(
         _last(F.col("lifecycle") != "", phase).alias("_phase"),
         _last(F.col("kind").isin("user", "assistant", "tool_result"), spoken).alias("_spoken"),
-        F.max("at").alias("last_at"), F.count("*").alias("records"), F.sum(F.size("child_ids")).alias("children_named"))
+        F.max("at").alias("last_at"), F.count("*").alias("records"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("child_ids")))).cast("long").alias("children_named"))
     closed = F.when(F.col("_phase").isNotNull(), F.col("_phase") % 4 == 2).otherwise(F.coalesce((F.col("_spoken") % 4).isin(1, 2), F.lit(False)))
     return states.select("session_id", (~closed).alias("open"), "last_at", "records", "children_named")
 
@@ -80,14 +106,15 @@ def stream_turn_state(events: DataFrame) -> DataFrame:
     return turn_state(events)
 
 
-def stream_idle(events: DataFrame, idle: str = "10 minutes", lateness: str = LATENESS) -> DataFrame:
+def stream_idle(events: DataFrame, idle: str = "10 minutes", lateness: str | None = LATENESS) -> DataFrame:
     """Bursts of a session's activity that ended because nothing came for ``idle``: ``(session_id, start, end, records, open)``.
 
     ``open`` says the burst ended inside a turn: quiet past the limit, and abandoned. A child's records count for the
     session that gave it its task where ``events`` names that one as ``session_id``. In append mode a burst comes out once
-    the watermark has passed its limit, so the limit itself is the timer.
+    the watermark has passed its limit, so the limit itself is the timer; the watermark is all sessions' together, and a record later than
+    ``lateness`` behind it is lost. Without ``lateness`` write in complete mode: nothing is lost, and the last bursts come too.
     """
-    timed = events.withWatermark("at", lateness) if events.isStreaming else events
+    timed = events.withWatermark("at", lateness) if events.isStreaming and lateness else events
     phase = F.when(F.col("lifecycle") == "finished", 2).when(F.col("lifecycle") == "final-started", 1).otherwise(0)
     spoken = F.when(F.col("kind") != "assistant", 0).when(F.col("stop") == "end", 1).when(F.col("stop") == "error", 2).otherwise(3)
     bursts = timed.groupBy("session_id", F.session_window("at", idle).alias("burst")).agg(
@@ -97,10 +124,10 @@ def stream_idle(events: DataFrame, idle: str = "10 minutes", lateness: str = LAT
     return bursts.select("session_id", F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "records", (~closed).alias("open"))
 
 
-def stream_activity(events: DataFrame, gap: str = "10 minutes", key: str = "user_id", lateness: str = LATENESS) -> DataFrame:
+def stream_activity(events: DataFrame, gap: str = "10 minutes", key: str = "user_id", lateness: str | None = LATENESS) -> DataFrame:
     """Bursts of activity of each key, split where nothing happened for ``gap``: ``(key, start, end, n)``; ``end`` is the last
-    event plus the gap. ``events`` holds ``(key, ts)``."""
-    timed = events.withWatermark("ts", lateness) if events.isStreaming else events
+    event plus the gap. ``events`` holds ``(key, ts)``. ``lateness`` as in ``stream_idle``."""
+    timed = events.withWatermark("ts", lateness) if events.isStreaming and lateness else events
     return (timed.groupBy(key, F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("n"))
             .select(key, F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "n"))
 
@@ -108,12 +135,9 @@ def stream_activity(events: DataFrame, gap: str = "10 minutes", key: str = "user
 def stream_settled(parents: DataFrame, children: DataFrame, settle: str = "30 seconds") -> DataFrame:
     """``(run_id, child_id, ended_at, finished_at)``: children that finished within the settle window after their parent ended.
 
-    Two streams, ``(run_id, ended_at)`` and ``(run_id, child_id, finished_at)``, joined in event time: the watermarks bound
-    how long either side waits. A child without a row by then is an orphan.
+    Two streams, ``(run_id, ended_at)`` and ``(run_id, child_id, finished_at)``, joined by run. A child may finish any time before its parent ends and
+    either row may come late, so neither side expires: the state is one narrow row a run and one a child. A child without a row is an orphan.
     """
-    ended = parents.withWatermark("ended_at", settle).select(F.col("run_id").alias("_run"), "ended_at")
-    done = children.withWatermark("finished_at", settle)
-    # a child may also have finished before its parent did, by no more than a run lasts
-    near = ((F.col("run_id") == F.col("_run")) & (F.col("finished_at") <= F.col("ended_at") + F.expr(f"INTERVAL {settle}"))
-            & (F.col("finished_at") >= F.col("ended_at") - F.expr("INTERVAL 1 DAY")))
-    return done.join(ended, near).select("run_id", "child_id", "ended_at", "finished_at")
+    ended = parents.select(F.col("run_id").alias("_run"), "ended_at")
+    in_time = (F.col("run_id") == F.col("_run")) & (F.col("finished_at") <= F.col("ended_at") + F.expr(f"INTERVAL {settle}"))
+    return children.join(ended, in_time).select("run_id", "child_id", "ended_at", "finished_at")

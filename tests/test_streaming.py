@@ -1,12 +1,48 @@
 """Streams against their batch forms."""
 from __future__ import annotations
 
+import os
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans.stream_queries import drain
 from pagewright.streaming import transcripts as live
 
 
+def test_each_byte_of_a_transcript_is_read_once(spark, tmp_path) -> None:
+    """Segments that overlap, repeat, come in any order and over several runs; one is as old as a restored copy."""
+    rng = random.Random(5)
+    lines = [(f"record {i} " + "é" * rng.randint(0, 9) + "\n").encode() for i in range(60)]
+    starts = [sum(map(len, lines[:i])) for i in range(61)]
+    whole = b"".join(lines)
+    source, folder = tmp_path / "in", str(tmp_path / "q")
+    (source / "2025-05-06_Seg1").mkdir(parents=True)
+    cuts = [(0, 20), (15, 35), (35, 50), (10, 12), (48, 60), (0, 20)]
+    rng.shuffle(cuts)
+    arrived = set()
+    for n, (a, b) in enumerate(cuts):
+        file = source / "2025-05-06_Seg1" / f"{starts[a]:09d}-{n}.jsonl"
+        file.write_bytes(whole[starts[a]:starts[b]] + b"torn")
+        os.utime(file, (1_000_000 + n, 1_000_000 + n) if n == 1 else None)
+        arrived |= set(range(a, b))
+        if n % 2:
+            got = drain(live.stream_transcripts(spark, str(source)), "append", folder).collect()
+            assert sorted((r.session_id, r.byte_start, r.raw) for r in got) == sorted(("Seg1", starts[i], lines[i].decode().rstrip("\n")) for i in arrived)
+    (source / "2025-05-06_Seg1" / "nameless.jsonl").write_bytes(b"x\n")
+    with pytest.raises(Exception, match="first byte"):
+        drain(live.stream_transcripts(spark, str(source)), "append", folder)
+
+
+def test_a_long_segment_is_split_in_one_pass() -> None:
+    data = b"0123456789\n" * 400_000
+    began = time.process_time()
+    found, seen = live.new_records([(0, data)], [])
+    assert len(found) == 400_000 and seen == [[0, len(data)]] and time.process_time() - began < 10
+
+
 def test_turn_state_of_a_stream_is_the_tables(spark, tmp_path) -> None:
     data = [(f"s{i % 7}", i, "lifecycle" if i % 3 == 0 else "assistant", ["started", "final-started", "finished"][i % 9 // 3] if i % 3 == 0 else "",
              "" if i % 3 == 0 else ["tool", "end"][i % 2], [] if i % 5 else ["k"], 1000 * i) for i in range(200)]
