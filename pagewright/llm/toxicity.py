@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pagewright.session import stored
 WINDOW_BYTES = 128
 #: Labelled rows learned from, the smallest by a hash of their id: at most so many of either class.
 TOXIC_ROWS, ORDINARY_ROWS = 8_000, 16_000
-#: Windows of ordinary text the common dictionary is trained on, its bytes, and the bytes of fragments of each class.
+#: Windows of ordinary text the common dictionary is trained on (about so many, by a hash), its bytes, and the bytes of fragments of each class.
 TRAIN_WINDOWS, DICTIONARY_BYTES, FRAGMENT_BYTES = 40_000, 1 << 15, 1 << 10
 #: A fragment's least root of the likelihood ratio, and the least number of its class's texts that have it.
 LEAST_ROOT, LEAST_TEXTS = 4.5, 3
@@ -131,8 +132,11 @@ def _cut(batches):
 
 
 def _common(ordinary: DataFrame) -> bytes:
-    cut = ordinary.select("text").mapInArrow(_cut, "w binary")
-    sample = [bytes(r.w) for r in cut.withColumn("h", F.xxhash64("w")).orderBy("h", "w").limit(TRAIN_WINDOWS).collect()]
+    cut = ordinary.select("text").mapInArrow(_cut, "w binary").withColumn("h", F.xxhash64("w"))
+    n = cut.count()
+    some = cut.filter(F.pmod("h", F.lit(n)) < TRAIN_WINDOWS) if n > TRAIN_WINDOWS else cut
+    sample = [bytes(r.w) for r in some.select("w").collect()]
+    sample.sort(key=lambda w: (xxhash.xxh64_intdigest(w), w))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few windows to train on: their bytes themselves
