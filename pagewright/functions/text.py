@@ -48,8 +48,10 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def run_label(prompt: Column) -> Column:
-    """A name made of the prompt's own first words, composed (NFC) and safe as a path part. Uses an Arrow UDF for NFC."""
-    words = F.filter(F.split(_composed(prompt), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    """A name made of the prompt's own first words, composed (NFC) and safe as a path part. Only a prompt beyond ASCII goes to the Arrow UDF for NFC."""
+    other = prompt.rlike(r"[^\x00-\x7F]")
+    whole = F.when(other, _composed(F.when(other, prompt))).otherwise(prompt)
+    words = F.filter(F.split(whole, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     label = F.array_join(F.slice(words, 1, LABEL_WORDS), "-")
     return F.when(label == "", "run").otherwise(label)
 

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pagewright.operators.ordered import salted_join
 
 # The tags an answer cites with.
 TAG = re.compile(r"<(citation|quote)\b([^<>]*)>((?:(?!<(?:citation|quote)\b).)*?)</\1>", re.S)
 IDS = r"(?:refs|ref|source)\s*=\s*\"([^\"]*)\""
-#: Longest path a file system has.
-PATH_CHARS = 4096
 # What may stand before a relative mention and after any.
-MENTION = r"((?:sandbox:)?/[^\n\"'<>|]*?_[A-Za-z0-9]+/|(?<![^\s(\[<\"'`*])(?:sandbox:)?)artifacts/(?=([^\n]{1,%d}))" % PATH_CHARS
+MENTION = r"((?:sandbox:)?/[^\n\"'<>|]*?_[A-Za-z0-9]+/|(?<![^\s(\[<\"'`*])(?:sandbox:)?)artifacts/(?=([^\n]+))"
 AFTER = r"^(?:$|(?![\w%/~-]|\.\w))"
 
 
@@ -66,19 +65,19 @@ def artifact_mentions(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
 
     ``answers`` holds ``(run_id, author, answer)``: a path relative to ``artifacts/`` means the folder of the session that
     wrote the answer, an absolute one the session it names. ``artifacts`` holds ``(session_id, rel_path)``. A mention is
-    not tried against a session's files: it offers every name it could be, and they meet by equality.
+    not tried against a session's files: it offers a name of each length that session's names have, and they meet by equality.
     """
     found = answers.filter(F.contains("answer", F.lit("artifacts/"))).select(
         "run_id", "author", F.explode(F.arrays_zip(F.regexp_extract_all("answer", F.lit(MENTION), 1).alias("head"),
                                                    F.regexp_extract_all("answer", F.lit(MENTION), 2).alias("tail"))).alias("m"))
     folder = F.regexp_extract("m.head", r"_([A-Za-z0-9]+)/$", 1)
-    # every place in what follows where a name could end: names are met whole, by equality
-    ends = F.filter(F.sequence(F.lit(1), F.length("m.tail")), lambda n: F.rlike(F.substring(F.col("m.tail"), n + 1, F.lit(2)), F.lit(AFTER)))
-    mentions = found.select("run_id", F.when(folder != "", folder).otherwise(F.col("author")).alias("session_id"),
-                            F.col("m.head").alias("head"), F.col("m.tail").alias("_tail"), F.explode(ends).alias("_n")
-                            ).select("run_id", "session_id", "head", F.expr("left(_tail, _n)").alias("form"))
     forms = artifacts.select("session_id", "rel_path", F.explode(_forms(F.col("rel_path"))).alias("form"))
-    met = mentions.join(forms, ["session_id", "form"])
+    lengths = forms.select("session_id", F.length("form").alias("_n")).distinct()
+    tails = found.select("run_id", F.when(folder != "", folder).otherwise(F.col("author")).alias("session_id"), F.col("m.head").alias("head"), F.col("m.tail").alias("_tail"))
+    ended = (F.length("_tail") >= F.col("_n")) & F.rlike(F.substring(F.col("_tail"), F.col("_n") + 1, F.lit(2)), F.lit(AFTER))
+    mentions = salted_join(tails, lengths, ["session_id"], F.struct("run_id", "head", "_tail")).filter(ended).select(
+        "run_id", "session_id", "head", F.expr("left(_tail, _n)").alias("form"))
+    met = salted_join(mentions, forms, ["session_id", "form"], F.col("run_id"))
     return met.select("run_id", "session_id", "rel_path", F.concat("head", F.lit("artifacts/"), "form").alias("written")).distinct()
 
 

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import html_unescape_attr, main_text, same_site, site_of, url_key, word_count
-from pagewright.operators import links, pages, sitegraph
+from pagewright.operators import attempts, links, sitegraph
 from pagewright.plans import corpora, sqltext
+from pagewright.plans.page_queries import LAST
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
 from pagewright.session import reliable
@@ -176,8 +177,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return numbered(again, ["root"], ["part", "ord"], "n", place).select("root", "url", "n")
 
 
-@query("crawl_report", f"""WITH {corpora.FETCH_LOG_SQL}, {sqltext.JUDGED_SQL},
-items AS (SELECT {sqltext.site_of('url')} AS root, page_id AS n, url, status, http_status FROM jud WHERE attempt_no = 1),
+@query("crawl_report", f"""{LAST},
+items AS (SELECT {sqltext.site_of('f.url')} AS root, (SELECT min(page_id) FROM pages p WHERE p.url = f.url) AS n, f.url,
+  CASE WHEN t.url IS NOT NULL AND t.kind <> 'error' THEN t.status ELSE f.status END AS status,
+  CASE WHEN t.url IS NOT NULL AND t.kind <> 'error' THEN t.http_status ELSE f.http_status END AS http_status FROM f LEFT JOIN t ON t.url = f.url),
 per AS (SELECT root, status, count(*) AS c FROM items GROUP BY root, status),
 bad AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n, url) AS r FROM items WHERE status <> 'ok')
 SELECT root, sum(c)::BIGINT AS requested, coalesce(sum(c) FILTER (status = 'ok'), 0)::BIGINT AS saved,
@@ -185,8 +188,9 @@ SELECT root, sum(c)::BIGINT AS requested, coalesce(sum(c) FILTER (status = 'ok')
   coalesce((SELECT string_agg(url || ' ' || status || ' ' || http_status, ',' ORDER BY r) FROM bad b WHERE b.root = per.root AND r <= 10), '') AS not_ok
 FROM per GROUP BY root""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    judged = pages.page_status(corpora.fetch_log(spark, d).filter("attempt_no = 1"))
-    items = judged.select(site_of(F.col("url")).alias("root"), F.col("page_id").alias("n"), "url", "status", "http_status")
+    log = corpora.fetch_log(spark, d)
+    numbers = log.groupBy("url").agg(F.min("page_id").alias("n"))
+    items = attempts.resolve_attempts(log).join(numbers, "url").select(site_of(F.col("url")).alias("root"), "n", "url", "status", "http_status")
     # a crawl's items are read twice: once written down, the pages are not judged again
     report = sitegraph.crawl_report(reliable(items))
     said = F.transform("not_ok", lambda r: F.concat_ws(" ", r["url"], r["status"], r["http_status"].cast("string")))
