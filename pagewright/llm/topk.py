@@ -19,6 +19,8 @@ K = 5
 SCALE = 256
 #: Vectors of a block that is searched, and queries that search it together.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
+#: Places of each list that are read before the bound is first looked at; the next stretch is twice as long, and so on.
+FIRST_STEP = 16
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -34,27 +36,25 @@ class Lists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.sorted = np.argsort(self.x, axis=0, kind="stable")
+        self.lists = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32))
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the best ``k``, the best first, and the depth that was read."""
         n = len(self.ids)
-        used = np.flatnonzero(q)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         seen = np.zeros(n, bool)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, step = 0, 1
+        depth, step = 0, FIRST_STEP
         while depth < n:
-            reach = min(n, depth + step)
-            if len(used):
-                up = q[used] > 0
-                at = np.where(up, n - np.arange(depth + 1, reach + 1)[:, None], np.arange(depth, reach)[:, None])
-                rows = np.unique(self.sorted[at, used])
-                edge = self.x[self.sorted[np.where(up, n - reach, reach - 1), used], used]
-                bound = int(edge @ q[used])
-            else:
-                rows, reach, bound = np.arange(n), n, 0
-            rows = rows[~seen[rows]]
-            seen[rows] = True
+            reach = min(n, depth + step) if len(up) or len(down) else n
+            met = np.zeros(n, bool)
+            met[self.lists[up, n - reach:n - depth].ravel()] = True
+            met[self.lists[down, depth:reach].ravel()] = True
+            if not len(up) and not len(down):
+                met[:] = True
+            bound = int(self.x[self.lists[up, n - reach], up] @ q[up] + self.x[self.lists[down, reach - 1], down] @ q[down])
+            rows = np.flatnonzero(met & ~seen)
+            seen |= met
             rows = rows[self.ids[rows] != query_id]
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, self.x[rows] @ q])
             best = np.lexsort((ids, -scores))[:k]
