@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import ship_package
-from pagewright.operators.ordered import running_sum
+from pagewright.operators.ordered import last_before, running_sum
 from pagewright.session import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -105,10 +105,12 @@ def paths(conversations: DataFrame) -> DataFrame:
 
 
 def tree(walked: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The nodes of ``paths``: ``(node, tree, depth, tokens, loss_from, loss_to, at, position, attends)``.
+    """The nodes of ``paths``: ``(node, tree, depth, tokens, loss_from, loss_to, at, head_at, position, attends)``.
 
     ``node`` names a way down; ``at`` is its first token's place in its tree's depth-first sequence, ``position`` its position id, ``attends`` the
-    intervals ``[from, to)`` of its ancestors in the sequence, the root first. Token ``i`` of the node is learned from if ``loss_from <= i < loss_to``.
+    intervals ``[from, to)`` of its ancestors in the sequence, the root's first. Nodes without a branch between them lie end to end and make one
+    interval, so a long conversation has few; ``head_at`` is where a node's own stretch begins. Token ``i`` of the node is learned from if
+    ``loss_from <= i < loss_to``.
     """
     ship_package(walked.sparkSession)
     steps = walked.select("way", F.posexplode("turns").alias("i", "t"))
@@ -116,20 +118,26 @@ def tree(walked: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                         (F.col("i") + 1).cast("long").alias("depth"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
     once = node.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tree", "way", "depth", "role", "text")))
     spelled = stored(once.mapInArrow(_tokens(vocabulary), "node string, tree string, way array<string>, depth long, tokens array<int>, loss_from long, loss_to long"), "nodes")
-    sized = spelled.select("node", "tree", "way", "depth", F.size("tokens").cast("long").alias("n"))
+    sized = spelled.select("node", "tree", "way", "depth", F.size("tokens").cast("long").alias("n"), F.try_element_at("way", F.lit(-2)).alias("parent"))
     # the sequence: nodes of a tree in the order of their ways, in chunks by the first turn below the root, so that no tree is one task
-    below = F.coalesce(F.try_element_at("way", F.lit(2)), F.lit(""))
-    ends = running_sum(sized.withColumn("_below", F.substring(below, 1, 4)), ["tree"], ["way"], F.col("n"), "end", F.col("_below"))
-    placed = stored(ends.select("node", "way", "depth", (F.col("end") - F.col("n")).alias("at"), "end"), "placed")
-    above = placed.select(F.col("node").alias("child"), F.explode("way").alias("node"))
-    # a hot root is joined by all its descendants: they are the streamed side, split where it is skewed
-    lines = above.join(placed.select("node", "depth", "at", "end"), "node").groupBy("child").agg(F.array_sort(F.collect_list(F.struct("depth", "at", "end"))).alias("line"))
-    joined = spelled.join(lines.withColumnRenamed("child", "node"), "node")
-    own = F.element_at("line", -1)
-    up = F.slice("line", F.lit(1), F.col("depth").cast("int") - 1)
-    return joined.select("node", "tree", "depth", "tokens", "loss_from", "loss_to", own["at"].alias("at"),
-                         F.aggregate(up, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["at"]).alias("position"),
-                         F.transform(up, lambda x: F.struct(x["at"].alias("from"), x["end"].alias("to"))).alias("attends"))
+    below = F.substring(F.coalesce(F.try_element_at("way", F.lit(2)), F.lit("")), 1, 4)
+    placed = stored(running_sum(sized, ["tree"], ["way"], F.col("n"), "end", below).withColumn("at", F.col("end") - F.col("n")), "placed")
+    # a stretch begins at a root and below every branch; it goes on while each node is its parent's only child
+    branches = placed.groupBy("parent").agg(F.count("*").alias("_n")).filter("_n > 1 and parent is not null").select("parent", F.lit(True).alias("_branch"))
+    begun = placed.join(branches, "parent", "left").withColumn("_head", F.col("parent").isNull() | F.coalesce("_branch", F.lit(False)))
+    stretched = stored(last_before(begun, ["tree"], ["way"], {"head": F.when(F.col("_head"), F.col("node")), "head_at": F.when(F.col("_head"), F.col("at"))}, below, including=True)
+                       .select("node", "tree", "parent", "at", "end", "head", "head_at"), "stretches")
+    # each stretch's way up, one more branch a round
+    above = stretched.select(F.col("node").alias("parent"), F.col("head").alias("up"), F.struct(F.col("head_at").alias("from"), F.col("end").alias("to")).alias("piece"))
+    waiting = stored(stretched.filter("node = head and parent is not null").select("head", "parent").join(above, "parent").select("head", "up", "piece"), "branches")
+    known = stored(stretched.filter("node = head and parent is null").select("head", F.array().cast("array<struct<from: bigint, to: bigint>>").alias("ups")), "ways-up")
+    whole = known
+    while not known.isEmpty():
+        known = stored(waiting.join(known.withColumnRenamed("head", "up"), "up").select("head", F.concat("ups", F.array("piece")).alias("ups")), "ways-up")
+        whole = whole.unionByName(known)
+    own = F.when(F.col("at") > F.col("head_at"), F.array(F.struct(F.col("head_at").alias("from"), F.col("at").alias("to")))).otherwise(F.array().cast("array<struct<from: bigint, to: bigint>>"))
+    lines = stretched.join(whole, "head").select("node", "at", "head_at", F.concat("ups", own).alias("attends"))
+    return spelled.drop("way").join(lines, "node").withColumn("position", F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"]))
 
 
 def _read(vocabulary: str):
@@ -149,11 +157,12 @@ def _read(vocabulary: str):
 
 
 def read_back(walked: DataFrame, nodes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Digests of every conversation as its path through the tree's output says it: a leaf's ancestors are found by the intervals it attends to."""
-    ends = walked.select("conv_id", F.element_at("way", -1).alias("node")).join(nodes.select("node", "tree", "at", "attends"), "node")
-    places = F.concat(F.transform("attends", lambda x: x["from"]), F.array("at"))
-    steps = ends.select("conv_id", "tree", F.posexplode(places).alias("i", "at"))
-    here = nodes.select("tree", "at", (F.col("depth") - 1).cast("int").alias("i"), "tokens", "loss_from", "loss_to")
-    found = steps.join(here, ["tree", "at", "i"])
-    whole = found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "tokens", "loss_from", "loss_to"))).alias("pieces"))
+    """Digests of every conversation as its path through the tree's output says it: its last node's ancestors are those of the intervals it attends to."""
+    ends = walked.select("conv_id", F.element_at("way", -1).alias("node")).join(nodes.select("node", "tree", "at", "head_at", "attends"), "node")
+    other = F.filter("attends", lambda x: x["from"] != F.col("head_at"))
+    mine = F.array(F.struct(F.col("head_at").alias("from"), (F.col("at") + 1).alias("to")))
+    spans = ends.select("conv_id", "tree", F.explode(F.concat(other, mine)).alias("s")).select("conv_id", "tree", F.col("s.from").alias("head_at"), F.col("s.to").alias("_to"))
+    here = nodes.select("tree", "head_at", "at", "depth", "tokens", "loss_from", "loss_to")
+    found = spans.join(here, ["tree", "head_at"]).filter(F.col("at") < F.col("_to"))
+    whole = found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "tokens", "loss_from", "loss_to"))).alias("pieces"))
     return whole.mapInArrow(_read(vocabulary), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
