@@ -12,7 +12,7 @@ from pagewright.session import stored
 #: Bytes A-Z to a-z, every other byte as it is; parts of longer UTF-8 sequences lie outside A-Z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-__all__ = ["LOWER", "components", "fold", "lower_az", "ship_package", "table", "text_of", "unused"]
+__all__ = ["LOWER", "components", "fold", "lower_az", "numbered", "ship_package", "table", "text_of", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, row: str = "_row") -> DataFrame:
+    """``df`` with a number for each row, written once.
+
+    ``monotonically_increasing_id()`` counts within the splits of a job, which differ between jobs when executors come or go, so whatever is joined by a
+    row's number reads it, and the row's other columns, from the table written here.
+    """
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

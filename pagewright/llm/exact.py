@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import LOWER, ship_package, text_of, unused
+from pagewright.llm.common import LOWER, numbered, ship_package, text_of, unused
 from pagewright.session import stored
 
 PRIMES = (2147483647, 2147483629)
@@ -101,12 +101,16 @@ def exact_classes(docs: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
     """``(_row, doc_id, n_bytes, text_sha256, keep_id, group_size, kept)``, one row for each row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and empty texts are equal to each other. The row
-    with the largest ``doc_id`` stays (a null id is the smallest); of rows repeated under that id, one stays. ``docs`` is read twice, so
-    it must be a table or another plan that gives its rows alike each time; ``_row`` is ``monotonically_increasing_id()`` of that plan.
-    Other columns of ``docs`` are not looked at.
+    with the largest ``doc_id`` stays (a null id is the smallest); of rows repeated under that id, one stays. ``docs`` is read once: its ids
+    and texts are written with ``_row``, a number for each row, and read again from there. Other columns of ``docs`` are not looked at.
     """
-    ship_package(docs.sparkSession)
-    tagged = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return _classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))), hash_chunk)
+
+
+def _classes(rows: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
+    """``exact_classes`` of stored rows ``(_row, doc_id, text)``."""
+    ship_package(rows.sparkSession)
+    tagged = rows.select("_row", "doc_id", "text")
     marks = stored(tagged.mapInArrow(_marks(hash_chunk), "_row long, doc_id long, n_bytes long, _fp long, text_sha256 string"), "marks")
     settled, pending, turn = None, marks, 0
     while True:
@@ -135,7 +139,8 @@ def exact_classes(docs: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns."""
+    """The rows of ``docs`` that stay, all their columns. ``docs`` is read once."""
     row = unused(docs, "_row")
-    gone = exact_classes(docs).filter("not kept").select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    rows = numbered(docs, row)
+    classes = _classes(rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
+    return rows.join(classes.filter("not kept").select(F.col("_row").alias(row)), row, "left_anti").drop(row)

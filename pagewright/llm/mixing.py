@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_of, unused
+from pagewright.llm.common import numbered, text_of, unused
 from pagewright.operators.ordered import chunk_of, running_sum, salted_join
 from pagewright.session import stored
 
@@ -102,9 +102,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     """``(placed, mix)``: every row with its size, source size and target, and a row ``(_row, doc_id, idx, shard, turn, place)`` for each time one is taken.
 
     A null text has size 0; rows of a null source are a source of their own; rows repeated are rows like others; an empty table gives an empty
-    mix. ``place`` orders a shard. ``_row`` is ``monotonically_increasing_id()`` of ``docs``, which is read once here.
+    mix. ``place`` orders a shard. ``_row`` is a number for each row, given as ``docs`` is read, which is once.
     """
-    sized = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+    return _plan(docs.select("doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id()), weights, share, block_rows, shard_words, seed)
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block_rows: int = BLOCK_ROWS, shard_words: int = SHARD_WORDS,
+          seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``plan`` of rows ``(_row, doc_id, text, source)``."""
+    sized = stored(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"),
                                F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.col("source").cast("string").alias("source")), "sizes")
     named = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), weights, share)
     named = named.withColumn("nb", F.ceil(F.col("_n") / block_rows)).drop("_n")
@@ -153,10 +159,10 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, all their columns, rows taken twice coming twice; each partition in the order of its shards.
 
-    ``docs`` is read twice, so it must be a table or another plan that gives its rows alike each time.
+    ``docs`` is read once.
     """
-    _, mix = plan(docs, **options)
     row, shard, place = (unused(docs, c) for c in ("_row", "_shard", "_place"))
+    rows = numbered(docs, row)
+    _, mix = _plan(rows.select(F.col(row).alias("_row"), "doc_id", "text", "source"), **options)
     drawn = mix.select(F.col("_row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id()).join(drawn, row)
-    return numbered.repartition(shard).sortWithinPartitions(shard, place).drop(row, shard, place)
+    return rows.join(drawn, row).repartition(shard).sortWithinPartitions(shard, place).drop(row, shard, place)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_of
+from pagewright.llm.common import numbered, text_of
 from pagewright.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -113,9 +113,9 @@ def discovered(spans: DataFrame, found: DataFrame) -> DataFrame:
 def personal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, spans)``: every row's ``(_row, doc_id)``, and ``(_row, kind, start, end, value, base)``, discovered spans without those that touch a base one.
 
-    Code points, end exclusive. A null text is empty and has none. ``_row`` is ``monotonically_increasing_id()`` of ``docs``, read more than once.
+    Code points, end exclusive. A null text is empty and has none. ``docs`` is read once: ids and texts are written with ``_row``, a number for each row.
     """
-    given = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    given = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     spans = stored(base_spans(given.select("_row", "text")), "spans")
     found = stored(mentions(given.select("_row", "text")), "mentions")
     more = stored(discovered(spans, found), "more")

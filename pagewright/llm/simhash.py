@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import LOWER, components, ship_package, text_of, unused
+from pagewright.llm.common import LOWER, components, numbered, ship_package, text_of, unused
 from pagewright.session import stored
 
 SHINGLE_WORDS = 3
@@ -53,9 +53,12 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(_row, doc_id, fp)`` of every row; a null text is empty, an empty one has fingerprint 0."""
-    ship_package(docs.sparkSession)
-    return (docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-            .mapInArrow(_fingerprints, "_row long, doc_id long, fp long"))
+    return _printed(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
+
+
+def _printed(rows: DataFrame) -> DataFrame:
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(_fingerprints, "_row long, doc_id long, fp long")
 
 
 def cells(nodes: DataFrame) -> DataFrame:
@@ -89,9 +92,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """``(_row, doc_id, fp, component_id)`` of every row: the smallest ``doc_id`` reachable over links of at most two bits.
 
     Rows of one fingerprint are one node. Null ids are never a component's id unless all of its ids are null. ``docs`` may hold any other
-    columns. ``_row`` numbers the rows of the plan given, as ``monotonically_increasing_id()`` does.
+    columns. ``_row`` is a number for each row, given as ``docs`` is read, which is once.
     """
-    marks = stored(fingerprints(docs), "simhash")
+    return _classes(fingerprints(docs))
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    marks = stored(prints, "simhash")
     nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = components(links(nodes)).withColumnRenamed("node", "fp")
     linked = nodes.join(found, "fp")
@@ -104,10 +111,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns: of each component the row with the smallest id, one where it is repeated.
 
-    ``docs`` is read twice, so it must be a table or another plan that gives its rows alike each time.
+    ``docs`` is read once.
     """
     row = unused(docs, "_row")
-    classes = stored(near_classes(docs), "classes")
+    rows = numbered(docs, row)
+    classes = stored(_classes(_printed(rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))), "classes")
     apart = F.when(F.col("component_id").isNull(), F.col("fp")).alias("apart")  # rows that all lack an id are told apart by fingerprint
     kept = classes.groupBy("component_id", apart).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s")).select(F.col("s._row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrays import blocks_by_bucket, by_bucket
-from pagewright.llm.common import ship_package, text_of
+from pagewright.llm.common import numbered, ship_package, text_of
 from pagewright.session import shared_folder, stored
 
 LENGTH = 100
@@ -338,10 +338,10 @@ def repeated_spans(docs: DataFrame, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` of every row; ``spans`` are the removed byte ranges, null where there is none.
 
     Earlier means a smaller ``doc_id`` (null the smallest), or the same row and an earlier byte; rows of one id go in the order of the plan. A null text is
-    empty; texts under ``LENGTH`` bytes lose nothing. ``docs`` is read more than once, so it must be a table or another plan that gives its rows alike.
+    empty; texts under ``LENGTH`` bytes lose nothing. ``docs`` is read once: ids and texts are written with a number for each row.
     """
     ship_package(docs.sparkSession)
-    given = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    given = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).select("_row", "doc_id", "text")
     facts = stored(given.mapInArrow(_facts, "_row long, doc_id long, n_bytes long, _sha string"), "facts")
     size = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = size // RUN_BYTES + 1

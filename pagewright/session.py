@@ -66,8 +66,8 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table and read back: what several branches read, each only the columns it needs."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once as a table, with the writer's ``options``, and read back: what several branches read, each only the columns it needs."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -391,6 +391,51 @@ def test_no_labels_and_one_class(docs, spark):
     assert toxicity.scores(docs, toxicity.train(docs, one)).count() == len(sample())
 
 
+# --- rows whose splits change between jobs ---
+
+
+def test_rows_keep_their_texts_when_splits_change_between_jobs(spark, docs, monkeypatch):
+    """The files are cut anew at each job, as they are when executors come or go."""
+    least, cut = "spark.sql.files.minPartitionNum", iter(range(1000))
+    from pagewright.llm import common
+
+    def moving(df, name, written=common.stored, **options):
+        out = written(df, name, **options)
+        spark.conf.set(least, "1" if next(cut) % 2 == 0 else "64")
+        return out
+    for module in (common, exact, simhash, mixing, pii, suffix):
+        monkeypatch.setattr(module, "stored", moving)
+    monkeypatch.setattr(suffix, "_compact", moving)
+    rows, want = sample(), {low(r[1]) for r in sample()}
+    calm = lambda run: sorted(map(repr, run().collect()))
+    runs = (lambda: exact.exact_dedup(docs), lambda: pii.digests(docs), lambda: suffix.repeated_spans(docs), lambda: simhash.near_dedup(docs))
+    try:
+        spark.conf.set(least, "64")
+        assert sorted(low(r.text) for r in exact.exact_dedup(docs).collect()) == sorted(want)
+        groups = Counter(low(r[1]) for r in rows)
+        spark.conf.set(least, "64")
+        assert Counter(r.group_size for r in exact.exact_classes(docs).collect()) == Counter(groups[low(r[1])] for r in rows)
+        spark.conf.set(least, "64")
+        mixed = mixing.mixed(docs, block_rows=4, shard_words=50).collect()
+        size = lambda r: len((r.text or "").split())
+        full = Counter()
+        for r in mixed:
+            full[r.source] += size(r)
+        sizes = Counter()
+        for r in rows:
+            sizes[r[3]] += len((r[1] or "").split())
+        aims = plain_targets(sizes)
+        assert all(full[s] <= aims[s] + 1e-6 for s in aims)
+        first = []
+        for run in runs:
+            spark.conf.set(least, "64")
+            first.append(calm(run))
+    finally:
+        spark.conf.unset(least)
+        monkeypatch.undo()
+    assert [calm(run) for run in runs] == first
+
+
 # --- empty tables ---
 
 
