@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Documents of a source are dealt by a hash of their id into blocks of about ``BLOCK_ROWS``. A source's target gives the exact number of
-blocks it is drawn for: whole passes over its blocks, then a part of one more, whose last block is filled document by document. A binary
+blocks it is drawn for: whole passes over its blocks, then a part of one more, whose last block is filled document by document; what that
+leaves is filled from the blocks after it, smallest documents first, until none fits. A binary
 tree over the output shards splits these quotas: at each node the left half's slots are drawn without replacement from all blocks of the
 node, source by source, each count hypergeometric given those before it. The counts at the leaves cut each source's blocks into disjoint
 runs, one for each shard, and a shard's documents are ordered by a hash. All of it is DataFrame and SQL functions; all draws come from
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import numbered, text_of, unused
-from pagewright.operators.ordered import chunk_of, running_sum, salted_join
+from pagewright.operators.ordered import chunk_of, numbered as placed_in_order, running_sum, salted_join
 from pagewright.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -92,11 +93,25 @@ def split(nodes: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
 def _filled(blocks: DataFrame) -> DataFrame:
     """The rows taken of a source's last, partly drawn block: largest first, each that still fits. A block is a hash bucket of some ``BLOCK_ROWS`` rows."""
     gathered = blocks.groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("size", "_row", "doc_id")), asc=False).alias("_all"), F.first("left").alias("left"))
-    taken = F.expr("aggregate(_all, named_struct('left', left, 'out', cast(array() as array<struct<_row: bigint, doc_id: bigint>>)), (a, x) -> "
-                   "if(x.size <= a.left, named_struct('left', a.left - x.size, 'out', concat(a.out, array(named_struct('_row', x._row, 'doc_id', x.doc_id)))), a)).out")
+    taken = F.expr("aggregate(_all, named_struct('left', left, 'out', cast(array() as array<struct<_row: bigint, doc_id: bigint, size: bigint>>)), (a, x) -> "
+                   "if(x.size <= a.left, named_struct('left', a.left - x.size, 'out', concat(a.out, array(named_struct('_row', x._row, 'doc_id', x.doc_id, 'size', x.size)))), a)).out")
     return gathered.select("idx", "block", F.explode(taken).alias("t")).select("idx", "block", "t.*")
 
 
+def _after(later: DataFrame, seed: int) -> DataFrame:
+    """``(_row, doc_id, idx)`` of what is taken of a source's rows ``(_row, doc_id, size, idx, left)`` after its last block: the smallest, as many as fit in ``left``.
+
+    A window runs over a source's different sizes, not its rows: below one size all rows are taken, of that size as many as fit, by a hash.
+    """
+    sizes = later.groupBy("idx", "size").agg(F.count("*").alias("_n"), F.first("left").alias("left"))
+    before = F.coalesce(F.sum(F.col("_n") * F.col("size")).over(Window.partitionBy("idx").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = sizes.withColumn("_fit", F.least(F.col("_n"), F.floor((F.col("left") - before) / F.col("size")))).filter("_fit > 0").select("idx", "size", "_n", "_fit")
+    open_ = stored(salted_join(later, fits, ["idx", "size"], F.col("_row")), "later")
+    hashed = open_.filter("_fit < _n").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_row"))
+    some = placed_in_order(hashed, ["idx"], ["_hash", "_row"], "_at", F.shiftright("_hash", 44)).filter("_at < _fit")
+    return open_.filter("_fit = _n").select("_row", "doc_id", "idx").unionByName(some.select("_row", "doc_id", "idx"))
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block_rows: int = BLOCK_ROWS, shard_words: int = SHARD_WORDS,
          seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(placed, mix)``: every row with its size, source size and target, and a row ``(_row, doc_id, idx, shard, turn, place)`` for each time one is taken.
@@ -118,14 +133,17 @@ def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     named = stored(named.withColumn("turns", turns).withColumn("rest", F.col("target") - F.col("turns") * F.col("source_size"))
                    .withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "sources")
     keyed = sized.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    block = F.expr(f"cast(floor({_uniform(f'{seed}L', 'doc_id')} * nb) as bigint)")
-    placed = stored(salted_join(keyed, named, ["_key", "_null"], F.col("_row")).withColumn("block", block).drop("_key", "_null"), "placed")
+    # an id that says which row it is places it; rows of none or of one id are dealt by their numbers too, so they share no block
+    twice = stored(keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_twice")), "twice")
+    keyed = salted_join(keyed, twice, ["doc_id"], F.col("_row"), "left")
+    block = F.expr(f"cast(floor({_uniform(f'{seed}L', 'doc_id', 'if(doc_id is null or _twice, _row, null)')} * nb) as bigint)")
+    placed = stored(salted_join(keyed, named, ["_key", "_null"], F.col("_row")).withColumn("block", block).drop("_key", "_null", "_twice"), "placed")
 
     blocks = placed.groupBy("idx", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("nb", "turns", "rest")))
     summed = stored(running_sum(blocks, ["idx"], ["block"], F.col("words"), "upto", chunk_of(F.col("block"))), "blocks")
     ends = (summed.filter("upto > rest").groupBy("idx").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("e"))
             .select("idx", F.col("e.block").alias("last"), F.col("e.left").alias("left")))
-    quotas = stored(named.join(ends, "idx", "left").select("idx", "nb", "turns", "last", "left", (
+    quotas = stored(named.join(ends, "idx", "left").select("idx", "nb", "turns", "last", "left", "rest", (
         F.col("nb") * F.col("turns") + F.when(F.col("rest") > 0, F.coalesce(F.col("last") + 1, F.col("nb"))).otherwise(F.lit(0))).alias("quota")), "quotas")
 
     total, words = quotas.agg(F.sum("quota")).first()[0] or 0, named.agg(F.sum("target")).first()[0] or 0
@@ -144,8 +162,15 @@ def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     draws = stored(draws.withColumn("part", F.coalesce("part", F.lit(False))), "draws")
     rows = placed.select("_row", "doc_id", "idx", "block").join(draws.filter("not part").drop("part"), ["idx", "block"])
     lasts = quotas.filter("last is not null and left > 0").select("idx", F.col("last").alias("block"), "left")
-    some = _filled(placed.select("_row", "doc_id", "size", "idx", "block").join(lasts, ["idx", "block"])).join(draws.filter("part").drop("part"), ["idx", "block"])
-    mix = rows.unionByName(some).select("_row", "doc_id", "idx", "shard", "turn", F.xxhash64(F.lit(seed), "shard", "turn", "_row", "doc_id").alias("place"))
+    filled = stored(_filled(placed.select("_row", "doc_id", "size", "idx", "block").join(lasts, ["idx", "block"])), "filled")
+    some = filled.drop("size").join(draws.filter("part").drop("part"), ["idx", "block"])
+    spent = filled.groupBy("idx").agg(F.sum("size").alias("_spent"))
+    rests = stored(quotas.filter("last is not null and rest > 0").join(spent, "idx", "left").select("idx", "turns", "last", (F.col("left") - F.coalesce("_spent", F.lit(0))).alias("left")), "rests")
+    sought = placed.filter("size > 0").select("_row", "doc_id", "size", "idx", "block")
+    later = salted_join(sought, rests.drop("turns"), ["idx"], F.col("_row")).filter("block > last and size <= left").select("_row", "doc_id", "size", "idx", "left")
+    more = _after(later, seed).join(rests.select("idx", F.col("turns").alias("turn")), "idx").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_row"), F.lit(shards)))
+    taken_rows = ["_row", "doc_id", "idx", "shard", "turn"]
+    mix = rows.select(taken_rows).unionByName(some.select(taken_rows)).unionByName(more.select(taken_rows)).select("_row", "doc_id", "idx", "shard", "turn", F.xxhash64(F.lit(seed), "shard", "turn", "_row", "doc_id").alias("place"))
     return placed, mix
 
 

@@ -198,6 +198,24 @@ def test_mix_meets_its_targets_and_repeats(docs):
     assert mixing.mixed(docs, block_rows=4, shard_words=50).count() == len(drawn)
 
 
+def test_a_long_document_leaves_no_target_short(spark):
+    """Wherever a source's long one lies, what its block cannot fill is filled from the blocks after it; rows without an id of their own share no block."""
+    rows = [(k * 1000 + i, "w " * (12_000 if i == 10 * k else 40), f"s{k:02}") for k in range(12) for i in range(161)]
+    rows += [(None if i % 2 else 5, "w", "t") for i in range(400)]
+    placed, mix = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_rows=20)
+    times = Counter(r._row for r in mix.select("_row").collect())
+    words, free, target, dealt = Counter(), {}, {}, Counter()
+    for r in placed.collect():
+        target[r.idx] = r.target
+        dealt[r.idx, r.block] += 1
+        words[r.idx] += r.size * times[r._row]
+        if times[r._row] <= r.turns:
+            free[r.idx] = min(r.size, free.get(r.idx, r.size))
+    assert len(target) == 13 and all(target[i] - free.get(i, 1) < words[i] <= target[i] + 1e-6 for i in target)
+    assert mix.count() == mix.select("_row", "turn").distinct().count()
+    assert max(dealt.values()) < 60
+
+
 def test_splitting_draws_are_hypergeometric(spark):
     good, bad, draws, n = 12, 30, 17, 4000
     sql = mixing.hypergeometric(str(good), str(bad), str(draws), f"((id + 0.5D) / {n}D)")
