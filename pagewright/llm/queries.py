@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, exact, lm, mixing, packing, pii, simhash, suffix, topk, toxicity
+from pagewright.llm import chat, exact, licences, lm, mixing, packing, pii, simhash, suffix, topk, toxicity
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
 from pagewright.session import stored
@@ -84,3 +84,8 @@ def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_licence_scan")
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.labelled(table(spark, sf_dir, "documents"))
