@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, exact, licences, lm, mixing, packing, pii, simhash, suffix, topk, toxicity
+from pagewright.llm import chat, exact, licences, lm, mixing, packing, pii, simhash, suffix, topk, toxicity, trie
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
 from pagewright.session import stored
@@ -89,3 +89,30 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_licence_scan")
 def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.labelled(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of a decimal number as text: each byte goes into the register, which then moves eight bits.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}::varchar, ''),
+    lambda ch: [ord(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end))"""
+
+
+@query("op12_conversation_trie", rf"""
+with raw as (select conv_id, turn, length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '') as said,
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as w from conversations where conv_id is not null),
+t as (select conv_id, sha256(said) as mark, w, row_number() over (partition by conv_id order by turn nulls first, sha256(said)) - 1 as pos from raw),
+c as (select conv_id, conv_id - conv_id % 20 as lead, count(*) as n, {_CRC.format("conv_id")} % 4 as h from t group by conv_id),
+hd as (select c.conv_id, c.lead, c.h, least(c.h, coalesce(l.n, 0)) as head from c left join c l on l.conv_id = c.lead),
+r as (select hd.conv_id, t.pos, mark, w from hd join t on t.conv_id = hd.lead and t.pos < hd.head
+      union all select t.conv_id, t.pos - h + head, mark, w from t join hd on hd.conv_id = t.conv_id where t.pos >= h),
+p as (select c.conv_id, coalesce(list(mark order by pos) filter (mark is not null), []) as path, coalesce(list(w order by pos) filter (mark is not null), []) as ws
+      from c left join r on r.conv_id = c.conv_id group by c.conv_id),
+pre as (select conv_id, d, path[1:d] as key, case when d > 0 then ws[d] else 0 end as w, d = len(path) as last from p, lateral (select unnest(range(0, len(path) + 1)) as d)),
+node as (select d, key, count(*) as n, min(conv_id) as m, max(w) as w, string_agg(conv_id::varchar, ',' order by conv_id) filter (last) as ends from pre group by d, key),
+kid as (select d - 1 as d, key[1:d - 1] as key, count(*) as k from node where d > 0 group by all),
+f as (select node.*, coalesce(k, 0) as k from node left join kid on kid.d = node.d and kid.key = node.key),
+up as (select a as d, key[1:a] as key, count(*) filter (k = 0) as leaves, sum((n - 1) * w) as saved from f, lateral (select unnest(range(0, d + 1)) as a) group by all)
+select f.m as conv_id, f.d as depth, o.m as parent_conv_id, f.n as n_convs, f.k as n_children, up.leaves as n_leaves, cast(up.saved as bigint) as saved_tokens,
+       sha256(coalesce(f.ends, '')) as ends_sha256
+from f join up on up.d = f.d and up.key = f.key left join node o on o.d = f.d - 1 and o.key = f.key[1:f.d - 1]""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.led_trie(table(spark, sf_dir, "conversations"))
