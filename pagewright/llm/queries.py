@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, exact, licences, lm, mixing, packing, pii, simhash, suffix, topk, toxicity, trie
+from pagewright.llm import chat, exact, licences, lm, mixing, packing, phrases, pii, simhash, suffix, topk, toxicity, trie
 from pagewright.llm.common import table
 from pagewright.plans.registry import query
 from pagewright.session import stored
@@ -98,7 +98,8 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(l
 
 @query("op12_conversation_trie", rf"""
 with raw as (select conv_id, turn, length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '') as said,
-               len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as w from conversations where conv_id is not null),
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as w from conversations where conv_id is not null),
 t as (select conv_id, sha256(said) as mark, w, row_number() over (partition by conv_id order by turn nulls first, sha256(said)) - 1 as pos from raw),
 c as (select conv_id, conv_id - conv_id % 20 as lead, count(*) as n, {_CRC.format("conv_id")} % 4 as h from t group by conv_id),
 hd as (select c.conv_id, c.lead, c.h, least(c.h, coalesce(l.n, 0)) as head from c left join c l on l.conv_id = c.lead),
@@ -116,3 +117,22 @@ select f.m as conv_id, f.d as depth, o.m as parent_conv_id, f.n as n_convs, f.k
 from f join up on up.d = f.d and up.key = f.key left join node o on o.d = f.d - 1 and o.key = f.key[1:f.d - 1]""")
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.led_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_phrases", r"""
+with w as (select coalesce(lang, 'und') as lang, list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+    lambda p: regexp_extract_all(p, '[^\x20\x09]+')) as pieces from documents),
+p as (select lang, unnest(pieces) as ws from w),
+g as (select lang, ws[i:i + k - 1] as ph, k from p, lateral (select unnest(range(1, 5)) as k) x, lateral (select unnest(range(1, greatest(len(ws) - k + 2, 1))) as i) y),
+f as (select lang, ph, k, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select lang, ph, k, f as a from f where k > 1 and f >= 30),
+cut as (select c.lang, c.ph, c.k, c.a, u.i, l.f as l, r.f as r, cast(2000000::hugeint * c.a // (l.f + r.f) as bigint) as score
+    from c, lateral (select unnest(range(1, c.k)) as i) u join f l on l.lang = c.lang and l.ph = c.ph[1:u.i] join f r on r.lang = c.lang and r.ph = c.ph[u.i + 1:c.k]),
+best as (select lang, ph, a, k, min(score) as score, arg_min(l, score * 10 + i) as l, arg_min(r, score * 10 + i) as r from cut group by lang, ph, a, k),
+sub as (select lang, c.ph[i:i + s - 1] as ph, max(a) as most from c, lateral (select unnest(range(2, c.k)) as s) x, lateral (select unnest(range(1, c.k - s + 2)) as i) y group by all),
+kept as (select best.* from best left join sub on sub.lang = best.lang and sub.ph = best.ph where coalesce(100 * most < 80 * a, true)),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) as rank, array_to_string(ph, ' ') as phrase, a, l, r, score from kept)
+select o.lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from o join n on n.lang = o.lang where rank <= 2000""")
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.listed(table(spark, sf_dir, "documents"))
