@@ -27,7 +27,7 @@ LEAST, LISTED = 30, 2000
 #: One text of so many proposes; of the occurrences expected there a phrase needs ``LOWERED``, so that few frequent ones are missed.
 SAMPLE_OF, LOWERED = 4, 0.5
 #: Bytes of texts cut into words at once, words and counts a task holds, and phrases in one file of known ones.
-AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 4 << 20, 1 << 20, 1 << 22, 22
+AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 20, 1 << 18, 1 << 20, 22
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in _SEPARATORS else 32 if b == 9 else b for b in range(256))
