@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from pagewright.operators.events import normalize_events
 from pagewright.operators.ordered import chunk_of, numbered, running_sum
 from pagewright.plans import corpora
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
+from pagewright.session import stored
+from pagewright.streaming import runs as live_runs
 from pagewright.streaming import transcripts as live
 
 E = f"WITH {corpora.EVENTS_SQL}"
@@ -39,17 +42,26 @@ def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> str:
-    """The transcripts as segment files of some twenty records, in folders of their first byte; each goes on into the next one's first five."""
+    """The transcripts as segment files of some twenty records, in folders of their first byte. Each begins and ends inside a record, behind a quotation mark of its second
+    half, and holds the last five of the one before again."""
     folder = scratch(spark, "segments")
     raw = numbered(corpora.transcripts(spark, d), ["session_id"], ["index"], "n", chunk_of(F.col("index")))
     placed = running_sum(raw, ["session_id"], ["n"], (F.octet_length("raw") + 1).cast("long"), "stop", chunk_of(F.col("n")))
+    sizes = placed.groupBy("session_id").agg(F.max("n").alias("last"))
+    half = F.expr("locate('\"', raw, cast(length(raw) div 2 as int))")
+    cut = placed.join(sizes, "session_id").withColumn("h", half)
+    cut = cut.withColumns({"before": F.expr("left(raw, h - 1)"), "after": F.expr("substring(raw, h + 1)")})
     own = F.floor(F.col("n") / 20)
-    parts = placed.withColumn("part", F.explode(F.when((F.col("n") % 20 < 5) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
-    firsts = parts.groupBy("session_id", "part").agg(F.min(F.col("stop") - F.octet_length("raw") - 1).alias("start"))
-    (parts.join(firsts, ["session_id", "part"]).withColumn("session", F.concat(F.lit("2024-01-01_"), "session_id"))
-     # the writer sorts anew unless the rows stand in the order of its folders
-     .repartition("session", "start").sortWithinPartitions("session", "start", "n").select("session", "start", F.col("raw").alias("value"))
-     .write.partitionBy("session", "start").option("compression", "none").text(folder))
+    parts = cut.withColumn("part", F.explode(F.sequence(own, F.least(F.floor((F.col("n") + 6) / 20), F.floor(F.col("last") / 20)))))
+    opens, ends = (F.col("n") == F.col("part") * 20 - 6), (F.col("n") == F.col("part") * 20 + 19) & (F.col("n") < F.col("last"))
+    line = F.concat(F.when(opens, F.col("after")).when(ends, F.col("before")).otherwise(F.col("raw")), F.when(ends | (F.col("n") == F.col("last")), "").otherwise("\n"))
+    at = F.col("stop") - F.octet_length("raw") - 1 + F.when(opens, F.octet_length("before") + 1).otherwise(0)
+    whole = parts.groupBy("session_id", "part", "last").agg(F.min(at).alias("start"), F.max("n").alias("until"), F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("all"))
+    whole = stored(whole.select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), "start", (F.col("until") == F.col("last")).alias("done"),
+                                F.array_join(F.transform("all", lambda x: x["line"]), "").alias("value")), "segments")
+    for done, end in ((False, '"'), (True, "\n")):
+        (whole.filter(F.col("done") == done).drop("done").repartition("session", "start").write.mode("append").partitionBy("session", "start")
+         .option("compression", "none").option("lineSep", end).text(folder))
     return folder
 
 
@@ -61,11 +73,12 @@ def _events(spark: SparkSession, d: str, files_per_trigger: int) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-@query("stream_transcripts", f"{E} SELECT session_id, count(*) AS records FROM ev GROUP BY session_id")
+@query("stream_transcripts", f"""{E} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS n, kind, md5(content) AS content, ts FROM ev""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     source = _segments(spark, d)
     records = live.stream_transcripts(spark, source, pattern="*.txt", segment=r"_([A-Za-z0-9]+)/start=([0-9]+)/part-")
-    return drain(records, "append", scratch(spark, "tail")).groupBy("session_id").agg(F.count("*").alias("records"))
+    read = normalize_events(drain(records, "append", scratch(spark, "tail"))).select("session_id", "index", "kind", F.md5("content").alias("content"), "ts")
+    return numbered(stored(read, "read"), ["session_id"], ["index"], "n", chunk_of(F.col("index"), 1 << 22)).drop("index")
 
 
 @query("stream_turn_state", f"""{E}, l AS (SELECT session_id, arg_max(lifecycle, idx) FILTER (lifecycle <> '') AS phase,
@@ -120,3 +133,41 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     read = lambda name: spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).parquet(f"{folder}/{name}")
     joined = drain(live.stream_settled(read("parents"), read("children"), "1 second"), "append", scratch(spark, "settled"))
     return joined.select("run_id", "child_id", F.unix_millis("finished_at").alias("finished_ms"))
+
+
+_SEEN = f"(ts - {corpora.BASE_MS}) % 10000000 + CASE WHEN session_id LIKE 'K%' THEN ((ts - {corpora.BASE_MS}) {{div}} 100000) % 3 * 3000 ELSE 0 END"
+
+
+@query("stream_runs", f"""{E}, s AS (SELECT *, {_SEEN.format(div="//")} AS seen FROM tn),
+o AS (SELECT own.run_id, s.* FROM own JOIN s ON s.session_id = own.session_id AND s.idx = own.idx),
+e AS (SELECT run_id, min(seen) FILTER (lifecycle = 'finished' OR (conv % 4 = 0 AND kind = 'assistant' AND stop IN ('end', 'error'))) AS ended FROM o GROUP BY run_id),
+n AS (SELECT o.run_id, child AS child_id, min(seen) AS named FROM o JOIN e ON e.run_id = o.run_id WHERE child IS NOT NULL AND (ended IS NULL OR seen <= ended) GROUP BY ALL),
+nn AS (SELECT *, lead(named) OVER (PARTITION BY child_id ORDER BY named) AS taken FROM n),
+k AS (SELECT nn.run_id, nn.child_id, seen, lifecycle = 'finished' OR (conv % 4 = 0 AND kind = 'assistant' AND stop = 'end') AS done
+  FROM nn JOIN s ON s.session_id = nn.child_id AND seen >= named AND (taken IS NULL OR seen < taken)),
+act AS (SELECT run_id, seen FROM o UNION ALL SELECT run_id, seen FROM k),
+a AS (SELECT act.run_id, ended, seen, lead(seen) OVER (PARTITION BY act.run_id ORDER BY seen) AS later FROM act JOIN e ON e.run_id = act.run_id WHERE ended IS NULL OR seen <= ended),
+q AS (SELECT run_id, min(seen) AS quiet FROM a WHERE (later IS NULL AND ended IS NULL) OR later - seen > 120000 GROUP BY run_id),
+d AS (SELECT e.run_id, ended, quiet, coalesce(quiet + 120000, ended + 1000) AS due FROM e LEFT JOIN q ON q.run_id = e.run_id),
+cc AS (SELECT nn.*, d.due, (SELECT min(seen) FROM k WHERE k.run_id = nn.run_id AND k.child_id = nn.child_id AND done AND seen <= d.due) AS fin FROM nn JOIN d ON d.run_id = nn.run_id),
+w AS (SELECT max(seen) AS w FROM s),
+f AS (SELECT *, CASE WHEN fin IS NULL AND taken <= due THEN taken ELSE due END AS left_at, fin IS NULL AND coalesce(taken > due, true) AS late FROM cc),
+r AS (SELECT d.run_id, d.due, d.quiet, d.ended, coalesce(bool_or(late), false) AS late, max(coalesce(fin, left_at)) AS last FROM d LEFT JOIN f ON f.run_id = d.run_id GROUP BY ALL),
+v AS (SELECT run_id, '' AS child_id, 'named' AS what, named AS ms, false AS waits, child_id AS ch FROM n
+  UNION ALL SELECT run_id, '', 'settled', fin, false, child_id FROM f WHERE fin IS NOT NULL
+  UNION ALL SELECT run_id, '', 'orphan', left_at, late, child_id FROM f WHERE fin IS NULL
+  UNION ALL SELECT run_id, '', CASE WHEN quiet IS NOT NULL THEN 'abandoned' WHEN late THEN 'completed_with_orphans' ELSE 'completed' END,
+    CASE WHEN quiet IS NOT NULL OR late THEN due ELSE greatest(ended, coalesce(last, ended)) END, quiet IS NOT NULL OR late, '' FROM r)
+SELECT run_id, ch AS child_id, what, ms::BIGINT AS ms FROM v, w WHERE NOT waits OR ms < w""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # all sessions at one time, and children's records seen late; four files by time, written one after another, so that every session is cut between them
+    typed = live.live_events(corpora.transcripts(spark, d))
+    seen = F.timestamp_millis(F.expr(_SEEN.format(div="DIV")))
+    rows = stored(typed.select("session_id", "index", "kind", "lifecycle", "stop", "content", "child_ids", seen.alias("seen_at")), "seen")
+    least, most = rows.agg(F.min(F.unix_millis("seen_at")), F.max(F.unix_millis("seen_at"))).first()
+    folder, cuts = scratch(spark, "seen"), [least + (most + 1 - least) * i // 4 for i in range(5)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows.filter(F.unix_millis("seen_at").between(a, b - 1)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    said = drain(live_runs.stream_runs(stream, "2 minutes", "1 second"), "append", scratch(spark, "runs"))
+    return said.select("run_id", F.coalesce("child_id", F.lit("")).alias("child_id"), "what", "ms")

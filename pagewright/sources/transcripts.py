@@ -4,11 +4,12 @@ from __future__ import annotations
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from pagewright.operators.ordered import running_sums
+from pagewright.session import stored
 
 #: The session a transcript's path names: ``<date>_<id>/messages.jsonl``, or a copied ``<id>.jsonl``.
 SESSION = r"(?:_([A-Za-z0-9]+)/messages|/([A-Za-z0-9]+))\.jsonl$"
@@ -27,22 +28,37 @@ def scan_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl", sess
     A record ends at a line feed alone. Blank lines are no records, and neither is a last line that is not ended yet: its
     bytes would reach past the end of the file by the line feed it lacks. A transcript of any size is read in blocks.
     """
+    return whole_records(transcript_lines(spark, path, glob), session_named(session))
+
+
+def transcript_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Lines of transcripts with their file, its size, the block and the place they were read at: ``(raw, _f, _s, _b, _at)``.
+
+    Written once, in the order they were read: blocks are those of one scan, and what joins on them must not scan again in other blocks.
+    """
     lines = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
              .text(path)
              .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_f"),
                      F.col("_metadata.file_size").alias("_s"), F.col("_metadata.file_block_start").alias("_b"),
                      F.monotonically_increasing_id().alias("_at")))
+    return stored(lines, "lines")
+
+
+def session_named(session: str = SESSION) -> Column:
+    """The session that the file ``_f`` of a line is named for: the first group of the pattern that holds one."""
     groups = session.count("(") - session.count("(?:")
-    named = F.coalesce(*(F.nullif(F.regexp_extract("_f", session, g + 1), F.lit("")) for g in range(groups)))
-    return whole_records(lines, named)
+    return F.coalesce(*(F.nullif(F.regexp_extract("_f", session, g + 1), F.lit("")) for g in range(groups)))
 
 
-def whole_records(lines: DataFrame, session: F.Column) -> DataFrame:
-    """The records among lines read with their file, its size, the block and the place they were read at (``raw, _f, _s, _b, _at``)."""
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """Lines with the byte behind their line end (``_end``) and the number of records up to them (``_n``) in their file."""
     record = lines["raw"].rlike(r"\S")
-    placed = running_sums(lines, ["_f"], ["_b", "_at"],
-                          {"_end": (F.octet_length("raw") + 1).cast("long"), "_n": record.cast("long")}, F.col("_b"))
-    whole = placed.filter(F.col("raw").rlike(r"\S") & (F.col("_end") <= F.col("_s")))
+    return running_sums(lines, ["_f"], ["_b", "_at"], {"_end": (F.octet_length("raw") + 1).cast("long"), "_n": record.cast("long")}, F.col("_b"))
+
+
+def whole_records(lines: DataFrame, session: Column) -> DataFrame:
+    """The records among lines read with their file, its size, the block and the place they were read at (``raw, _f, _s, _b, _at``)."""
+    whole = placed_lines(lines).filter(F.col("raw").rlike(r"\S") & (F.col("_end") <= F.col("_s")))
     return whole.select(session.alias("session_id"), (F.col("_n") - 1).alias("index"),
                         (F.col("_end") - F.octet_length("raw") - 1).alias("byte_start"), "raw")
 

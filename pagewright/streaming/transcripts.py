@@ -1,20 +1,23 @@
 """Following transcripts while they are written.
 
 A collector drops what a session's transcript gained as a segment file ``<date>_<session>/<byte start>.jsonl``: immutable,
-named by the byte of the transcript it starts at. The file source, the query's checkpoint and each session's state then give each record once,
-across restarts; a segment delivered again under another name carries the same bytes and falls out by them.
+named by the byte of the transcript it starts at, cut wherever the transcript stood. The file source, the query's checkpoint and each session's state then give
+each record once and whole, across restarts; a segment delivered again under another name carries the same bytes and falls out by them.
 
-The other states are native streaming aggregations: they combine before the shuffle, so one busy session is no hot spot.
+The other states of this module are native streaming aggregations: they combine before the shuffle, so one busy session is no hot spot.
 """
 from __future__ import annotations
 
 from bisect import bisect_right
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pagewright.operators.events import normalize_events
+from pagewright.sources.transcripts import SESSION, placed_lines, session_named, transcript_lines
 
 #: The session and the byte a segment's path names.
 SEGMENT = r"_([A-Za-z0-9]+)/0*([0-9]+)[^/]*\.jsonl$"
@@ -22,57 +25,124 @@ SEGMENT = r"_([A-Za-z0-9]+)/0*([0-9]+)[^/]*\.jsonl$"
 LATENESS = "10 minutes"
 
 
-def _spans(text: str) -> list[list[int]]:
-    return [list(map(int, part.split("-"))) for part in text.split(",") if part]
+@dataclass
+class Island:
+    """A stretch of bytes that were read, ``start`` to ``stop``, with what of it is no whole record yet.
 
-
-def new_records(segments: list[tuple[int, bytes]], seen: list[list[int]]) -> tuple[list[tuple[int, str]], list[list[int]]]:
-    """Records ``(byte, text)`` of segments that no byte span seen before holds, and the spans seen now.
-
-    Only whole lines count; a line cut off at a segment's end is left to the segment that holds it whole. A pass over the segments' bytes.
+    ``head`` is its first bytes up to the first line end, while it is not known whether a line begins at ``start``; None once it is. ``tail`` is what follows the last
+    line end; None while the stretch has no line end and ``head`` is all of it.
     """
-    out = []
-    for start, data in sorted(segments):
-        stop, at = start + data.rfind(b"\n") + 1, start
-        for line in data[:stop - start].split(b"\n")[:-1]:
-            place = bisect_right(seen, [at, 1 << 62]) - 1
-            if not (place >= 0 and at < seen[place][1]) and line.strip():
-                out.append((at, line.decode("utf-8", "replace")))
-            at += len(line) + 1
-        if stop > start:
-            merged: list[list[int]] = []
-            for a, b in sorted([*seen, [start, stop]]):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            seen = merged
-    return out, seen
-
-
-def _follow(key, batches, state):
-    seen = _spans(state.get[0]) if state.exists else []
-    for batch in batches:
-        found, seen = new_records(list(zip(batch["start"].tolist(), map(bytes, batch["data"]), strict=True)), seen)
-        yield pd.DataFrame({"session_id": key[0], "index": [f[0] for f in found], "byte_start": [f[0] for f in found], "raw": [f[1] for f in found]},
+    start: int
+    stop: int
+    head: bytes | None
+    tail: bytes | None
+
+
+def _joined(left: Island | None, start: int, data: bytes, right: Island | None) -> tuple[list[tuple[int, bytes]], Island]:
+    """The records that ``data`` makes whole between its neighbours, and the one stretch all three are then."""
+    # what the left one has left over comes before the data, what the right one began with after it
+    before = (left.head if left.tail is None else left.tail) if left else b""
+    known = start == 0 if left is None else left.tail is not None
+    head = (left.head if left.tail is not None else b"") if left else None if start == 0 else b""
+    whole = before + data + (right.head if right else b"")
+    lines = whole.split(b"\n")
+    at, records = start - len(before), []
+    tail: bytes | None = lines.pop()
+    if not known:
+        if lines:
+            head = lines.pop(0) + b"\n"
+            at += len(head)
+        else:
+            head, tail = whole, None
+    for line in lines:
+        if line.strip():
+            records.append((at, line))
+        at += len(line) + 1
+    if right and right.tail is not None:
+        tail = right.tail
+    return records, Island(left.start if left else start, right.stop if right else start + len(data), head, tail)
+
+
+def new_records(segments: list[tuple[int, bytes]], islands: list[Island]) -> tuple[list[tuple[int, str]], list[Island]]:
+    """Records ``(byte, text)`` that segments make whole, by their bytes, and the stretches read now. Bytes read before fall out, wherever a segment was cut."""
+    out: list[tuple[int, bytes]] = []
+    islands = list(islands)
+    for start, data in segments:
+        at, stop = start, start + len(data)
+        while at < stop:
+            place = bisect_right([i.start for i in islands], at)
+            left = islands[place - 1] if place else None
+            if left and at < left.stop:
+                at = left.stop
+                continue
+            right = islands[place] if place < len(islands) else None
+            until = min(stop, right.start) if right else stop
+            near = [left if left and left.stop == at else None, right if right and right.start == until else None]
+            found, merged = _joined(near[0], at, data[at - start:until - start], near[1])
+            out += found
+            islands[place - (near[0] is not None):place + (near[1] is not None)] = [merged]
+            at = until
+    return [(at, line.decode("utf-8", "replace")) for at, line in sorted(out)], islands
+
+
+class _Follow(StatefulProcessor):
+    """A session's records: its state is the stretches read, one unless segments are missing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.read = handle.getListState("read", "start long, stop long, head binary, tail binary")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for stop, tail in zip(initialState["stop"].tolist(), initialState["tail"], strict=True):
+            if stop:
+                self.read.put([(0, int(stop), None, bytes(tail or b""))])
+
+    def handleInputRows(self, key, rows, timerValues):
+        islands = [Island(start, stop, None if head is None else bytes(head), None if tail is None else bytes(tail)) for start, stop, head, tail in self.read.get()]
+        out = []
+        for batch in rows:
+            found, islands = new_records(list(zip(batch["start"].tolist(), map(bytes, batch["data"]), strict=True)), islands)
+            out += found
+        out.sort()
+        self.read.put([(i.start, i.stop, i.head, i.tail) for i in islands])
+        yield pd.DataFrame({"session_id": key[0], "index": [f[0] for f in out], "byte_start": [f[0] for f in out], "raw": [f[1] for f in out]},
                            columns=["session_id", "index", "byte_start", "raw"]).astype({"session_id": "object", "index": "int64", "byte_start": "int64", "raw": "object"})
-    state.update((",".join(f"{a}-{b}" for a, b in seen),))
 
 
-def stream_transcripts(spark: SparkSession, path: str, files_per_trigger: int = 1000, pattern: str = "*.jsonl", segment: str = SEGMENT) -> DataFrame:
-    """``(session_id, index, byte_start, raw)`` of every record that arrives under ``path``, each once.
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state with lists, maps and timers needs the engine's embedded store; a session that names none gets it."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(store, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def copied_so_far(spark: SparkSession, path: str, glob: str = "*.jsonl", session: str = SESSION) -> DataFrame:
+    """``(session_id, stop, tail)`` of the transcripts under ``path``: the bytes of each, and those of its last line that is not ended yet."""
+    lines = transcript_lines(spark, path, glob)
+    placed = placed_lines(lines)
+    cut = F.when(F.col("_end") > F.col("_s"), F.struct(F.col("raw").cast("binary").alias("tail")))
+    return (placed.groupBy(session_named(session).alias("session_id"), "_f").agg(F.max("_s").alias("stop"), F.max_by(cut, "_end")["tail"].alias("tail"))
+            .groupBy("session_id").agg(F.max_by(F.struct("stop", "tail"), "stop").alias("c")).select("session_id", "c.stop", F.coalesce("c.tail", F.lit(b"")).alias("tail")))
+
+
+def stream_transcripts(spark: SparkSession, path: str, files_per_trigger: int = 1000, pattern: str = "*.jsonl", segment: str = SEGMENT,
+                       copied: DataFrame | None = None) -> DataFrame:
+    """``(session_id, index, byte_start, raw)`` of every record that arrives under ``path``, each once and whole.
 
-    ``index`` is the record's first byte in its transcript: it orders a session's records like their numbers do, and a segment can be read
-    without those before it. Each session's state is what byte spans of its transcript were read, one span unless segments are missing, so
-    copies and overlaps fall out and no segment is too old. A file whose name tells no session and start byte is refused.
+    ``index`` is the record's first byte in its transcript: it orders a session's records like their numbers do. A segment may be cut anywhere: a record comes out
+    when all its bytes are there, from however many segments. A segment can be read without those before it; only its first, perhaps cut line waits
+    for them. Each session's state is the byte stretches that were read, one unless segments are missing, with the line ends they lack, so copies and overlaps
+    fall out and no segment is too old. ``copied`` ``(session_id, stop, tail)``, as from ``copied_so_far``, is what an earlier copy holds already: none of its
+    records comes again, and its unfinished line goes on. A file whose name tells no session and start byte is refused.
     """
+    keyed_state(spark)
     files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
              .option("maxFilesPerTrigger", files_per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
     named = F.regexp_extract("path", segment, 2)
     start = F.when(named.rlike("^[0-9]+$"), named.cast("long")).otherwise(
         F.raise_error(F.concat(F.lit("a segment's name must tell its session and first byte: "), F.col("path"))).cast("long"))
     segments = files.select(F.regexp_extract("path", segment, 1).alias("session_id"), start.alias("start"), F.col("content").alias("data"))
-    return segments.groupBy("session_id").applyInPandasWithState(_follow, "session_id string, index long, byte_start long, raw string", "spans string", "append", "NoTimeout")
+    first = None if copied is None else copied.select("session_id", "stop", "tail").groupBy("session_id")
+    return segments.groupBy("session_id").transformWithStateInPandas(_Follow(), "session_id string, index long, byte_start long, raw string", "append", "None", first)
 
 
 def live_events(records: DataFrame) -> DataFrame:
