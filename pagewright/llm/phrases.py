@@ -1,13 +1,14 @@
 r"""Phrase mining after Toivonen: a sample proposes frequent phrases, a full pass counts them and their negative border, misses on the border lead to further passes.
 
 A phrase is a run of words inside a piece of a text, counted within one language. It can only be frequent if what it is without its last and without its first
-word are. The sample's frequent phrases (at a lowered threshold) are kept as sorted hash arrays in the shared folder, which workers map. A full pass counts,
-exactly and over every text, all words, and each longer phrase whose two shorter ones are known: the sample's phrases themselves, and the negative border, those
-that a sample without them has just not reached. A border phrase that turns out frequent joins the known ones, and a further pass counts what it and its like
+word are. Words are counted over all texts first. The frequent ones, and the longer phrases frequent in the sample (at a lowered threshold), are kept as sorted hash
+arrays in the shared folder, which workers map. A full pass counts, exactly and over every text, each longer phrase whose two shorter ones are known: the
+sample's phrases themselves, and the negative border, those that a sample without them has just not reached. A border phrase that turns out frequent joins the known ones, and a further pass counts what it and its like
 admit, until no border phrase is frequent. Counts are summed in a task's arrays and then by Spark; only frequent phrases are ever spelled out.
 """
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ MOST_WORDS = 4
 #: Occurrences a candidate needs, and how many a language's list holds.
 LEAST, LISTED = 30, 2000
 #: One text of so many proposes; of the occurrences expected there a phrase needs ``LOWERED``, so that few frequent ones are missed.
-SAMPLE_OF, LOWERED = 4, 0.5
+SAMPLE_OF, LOWERED = 4, 0.7
 #: Bytes of texts cut into words at once, words and counts a task holds, and phrases in one file of known ones.
 AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 20, 1 << 18, 1 << 20, 22
 
@@ -33,7 +34,6 @@ _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in _SEPARATORS else 32 if b == 9 else b for b in range(256))
 _K, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CHECK = [np.uint64(2 * x + 1) for x in (0x2545F4914F6CDD1D, 0x1B03738712FAD5C9, 0x3C6EF372FE94F82B, 0x510E527FADE682D1)]
-COUNTED = "level int, lang string, word binary, prev long, last long, n long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,15 +96,14 @@ class Known:
 
 
 class _Words:
-    """The different words a task has met in one language, with their hashes, counts, and whether they are known."""
+    """The different words a task has met in one language, with their hashes, and whether they are known."""
 
-    def __init__(self, lang: str, known: Known | None):
-        self.lang, self.known_phrases, self.start = lang, known, start_of(lang)
+    def __init__(self, lang: str, known: Known):
+        self.known_phrases, self.start = known, start_of(lang)
         self.number: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.a = self.b = self.key = np.zeros(0, np.uint64)
         self.known = self.new = np.zeros(0, bool)
-        self.count = np.zeros(0, np.int64)
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         number, words = self.number, self.words
@@ -114,109 +113,135 @@ class _Words:
         if len(words) > len(self.a):
             a, b = word_hashes(words[len(self.a):])
             key = longer(np.full(len(a), self.start), a)
-            known, new = self.known_phrases.find(1, key, lambda at: b[at] * _CHECK[0]) if self.known_phrases else (np.zeros(len(a), bool),) * 2
+            known, new = self.known_phrases.find(1, key, lambda at: b[at] * _CHECK[0])
             self.a, self.b, self.key = (np.concatenate(x) for x in ((self.a, a), (self.b, b), (self.key, key)))
             self.known, self.new = np.concatenate([self.known, known]), np.concatenate([self.new, new])
-            self.count = np.concatenate([self.count, np.zeros(len(a), np.int64)])
         return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
 
 
-def summed(prev: np.ndarray, last: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    order = np.argsort(longer(prev, last), kind="stable")
-    prev, last, n = prev[order], last[order], n[order]
-    if not len(prev):
-        return [prev, last, n]
-    first = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (last[1:] != last[:-1])]))
-    return [prev[first], last[first], np.add.reduceat(n, first)]
+def summed(prev: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs, and how often each comes."""
+    order = np.argsort(longer(prev, last))
+    prev, last = prev[order], last[order]
+    first = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (last[1:] != last[:-1])])) if len(prev) else np.zeros(0, np.int64)
+    return prev[first], last[first], np.diff(np.append(first, len(prev)))
+
+
+def _tokens(data: bytes) -> list[bytes]:
+    """The words of texts, an empty one at each further blank, and a line feed where a piece ends."""
+    return data.replace(b"\n", b" \n ").split(b" ")
+
+
+def _in_turns(batches):
+    """``(lang, bytes)`` of some texts of one language, a bounded number of bytes at a time; long texts are cut between pieces."""
+    for batch in batches:
+        held: dict[str, list[bytes]] = {}
+        size = 0
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, at = text.as_py().translate(_BYTES), 0
+            while len(data) - at > AT_ONCE and (cut := data.find(b"\n", at + AT_ONCE)) >= 0:
+                yield lang, data[at:cut]
+                at = cut + 1
+            held.setdefault(lang, []).append(data[at:])
+            size += len(data) - at
+            if size > AT_ONCE:
+                yield from ((one, b"\n".join(texts)) for one, texts in held.items())
+                held, size = {}, 0
+        yield from ((one, b"\n".join(texts)) for one, texts in held.items())
+
+
+def _count_words(batches):
+    counts: dict[str, Counter] = {}
+    for lang, data in _in_turns(batches):
+        found = counts.setdefault(lang, Counter())
+        found.update(_tokens(data))
+        if sum(map(len, counts.values())) > HELD_WORDS:
+            yield from _word_rows(counts)
+            counts = {}
+    yield from _word_rows(counts)
+
+
+def _word_rows(counts: dict[str, Counter]):
+    for lang, found in counts.items():
+        found.pop(b"", None)
+        found.pop(b"\n", None)
+        # a row without a word holds the number of all
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1), pa.string()), pa.array([None, *found], pa.binary()),
+                                          pa.array([found.total(), *found.values()], pa.int64())], ["lang", "word", "n"])
+
+
+def words_of(texts: DataFrame, least: int) -> DataFrame:
+    """``(lang, word, n)`` of texts ``(lang, text)`` (bytes, no nulls): words that occur ``least`` times, and in a row without a word how many all are."""
+    met = texts.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return stored(met.filter((F.col("n") >= least) | F.col("word").isNull()).select("lang", F.col("word").cast("string").alias("word"), "n"), "words")
 
 
 class _Counts:
-    """What one task counts: words, and phrases of the levels asked for whose two shorter ones are known, one of them anew."""
+    """What one task counts: phrases of the levels asked for whose two shorter ones are known, one of them anew."""
 
-    def __init__(self, known: Known | None, words: bool, levels: list[int]):
-        self.known, self.count_words, self.levels = known, words, levels
+    def __init__(self, known: Known, levels: list[int]):
+        self.known, self.levels = known, levels
         self.words: dict[str, _Words] = {}
-        self.pairs: dict[int, list[list[np.ndarray]]] = {k: [] for k in levels}
+        self.pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in levels}
+        self.held = 0
 
     def add(self, lang: str, data: bytes) -> None:
-        tokens = data.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
+        tokens = _tokens(data)
         held = self.words.setdefault(lang, _Words(lang, self.known))
         number = held.numbers(tokens)
+        del tokens
         number = number[number != held.number.get(b"", -1)]
-        held.count += np.bincount(number, minlength=len(held.count))
-        if not self.levels:
-            return
-        gap = number == held.number.get(b"\n", -1)
-        known, new = held.known[number] & ~gap, held.new[number]
-        key, a, b = held.key[number], held.a[number], held.b[number]
+        known, new = held.known[number], held.new[number]
         for level in range(2, max(self.levels) + 1):
             # position i stands for the phrase of ``level`` words from i: what it is without its last word is there, without its first at i + 1
             at = np.flatnonzero(known[:-1] & known[1:])
-            prev, last = key[at], a[at + level - 1]
+            prev = held.key[number[at]] if level == 2 else key[at]  # noqa: F821
+            last = held.a[number[at + level - 1]]
             if level in self.levels:
                 fresh = np.flatnonzero(new[at] | new[at + 1])
-                self.pairs[level].append(summed(prev[fresh], last[fresh], np.ones(len(fresh), np.int64)))
+                self.pairs[level].append((prev, last) if len(fresh) == len(at) else (prev[fresh], last[fresh]))
+                self.held += len(fresh)
             if level < max(self.levels):
                 keys = longer(prev, last)
-                checks = lambda some, at=at, level=level: sum((b[at[some] + j] * _CHECK[j] for j in range(level)), np.zeros(len(some), np.uint64))
+                checks = lambda some, at=at, level=level: sum((held.b[number[at[some] + j]] * _CHECK[j] for j in range(level)), np.zeros(len(some), np.uint64))
                 found, anew = self.known.find(level, keys, checks)
                 key, known, new = np.zeros(len(number), np.uint64), np.zeros(len(number), bool), np.zeros(len(number), bool)
                 key[at], known[at], new[at] = keys, found, anew
 
     def full(self) -> bool:
-        return sum(len(w.words) for w in self.words.values()) > HELD_WORDS or sum(len(p[0]) for ps in self.pairs.values() for p in ps) > HELD_COUNTS
+        return self.held > HELD_COUNTS
 
     def rows(self):
-        """Batches of all counts held, which are then forgotten. A row without a word holds a language's number of all words."""
-        for lang, held in self.words.items():
-            if self.count_words:
-                real = [i for i, w in enumerate(held.words) if w not in (b"", b"\n") and held.count[i]]
-                counts = held.count[real]
-                total = int(counts.sum())
-                n = len(real) + 1
-                yield _batch(1, [lang] * n, [None, *(held.words[i] for i in real)], [None] * n, [None] * n, [total, *counts.tolist()])
+        """Batches of all counts held, which are then forgotten."""
         for level, parts in self.pairs.items():
             if parts:
-                prev, last, n = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-                yield _batch(level, [None] * len(n), [None] * len(n), prev.view(np.int64), last.view(np.int64), n)
-        self.words, self.pairs = {}, {k: [] for k in self.levels}
+                prev, last = (np.concatenate(c) for c in zip(*parts, strict=True))
+                prev, last, n = summed(prev, last)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(prev.view(np.int64)), pa.array(last.view(np.int64)), pa.array(n)],
+                                                 ["level", "prev", "last", "n"])
+        self.pairs, self.held = {k: [] for k in self.levels}, 0
+        if sum(len(w.words) for w in self.words.values()) > HELD_WORDS:
+            self.words = {}
 
 
-def _batch(level: int, *columns) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), level, np.int32)), *arrays], ["level", "lang", "word", "prev", "last", "n"])
-
-
-def _counter(known: Known | None, words: bool, levels: list[int]):
+def _counter(known: Known, levels: list[int]):
     def counter(batches):
-        counts = _Counts(known, words, levels)
-        for batch in batches:
-            held: dict[str, list[bytes]] = {}
-            size = 0
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                held.setdefault(lang, []).append(text.as_py())
-                size += len(held[lang][-1])
-                if size > AT_ONCE:
-                    with np.errstate(over="ignore"):
-                        for one, texts in held.items():
-                            counts.add(one, b"\n".join(texts))
-                    held, size = {}, 0
-                    if counts.full():
-                        yield from counts.rows()
-            for one, texts in held.items():
-                counts.add(one, b"\n".join(texts))
-            if counts.full():
-                yield from counts.rows()
-        yield from counts.rows()
+        counts = _Counts(known, levels)
+        with np.errstate(over="ignore"):
+            for lang, data in _in_turns(batches):
+                counts.add(lang, data)
+                if counts.full():
+                    yield from counts.rows()
+            yield from counts.rows()
     return counter
 
 
-def counts(texts: DataFrame, known: Known | None, words: bool, levels: list[int], least: int) -> DataFrame:
-    """``(level, lang, word, prev, last, n)`` of texts ``(lang, text)`` (no nulls): words and phrases counted at least ``least`` times, and each language's number of all words."""
-    met = texts.mapInArrow(_counter(known, words, levels), COUNTED)
-    whole = met.groupBy("level", "lang", "word", "prev", "last").agg(F.sum("n").alias("n"))
-    return stored(whole.filter((F.col("n") >= least) | ((F.col("level") == 1) & F.col("word").isNull())), "counts")
+def counts(texts: DataFrame, known: Known, levels: list[int], least: int) -> DataFrame:
+    """``(level, prev, last, n)`` of texts ``(lang, text)`` (bytes, no nulls): phrases of the levels, whose two shorter ones are known and one new, counted at least ``least`` times."""
+    met = texts.mapInArrow(_counter(known, levels), "level int, prev long, last long, n long")
+    # tasks have summed theirs; rows are dealt before Spark sums, so it need not look for equal ones among rows that hardly have any
+    whole = met.repartition("prev", "last").groupBy("level", "prev", "last").agg(F.sum("n").alias("n"))
+    return stored(whole.filter(F.col("n") >= least), "counts")
 
 
 def _hashed(batches):
@@ -236,8 +261,6 @@ def hashed(phrases: DataFrame) -> DataFrame:
 
 def spelled(found: DataFrame, level: int, known: DataFrame, words: DataFrame) -> DataFrame:
     """``(lang, phrase, level, f)`` of counted phrases of ``level`` words. ``known`` and ``words`` are hashed phrases: those that hold what comes before the last word, and single words."""
-    if level == 1:
-        return found.filter("level = 1 and word is not null").select("lang", F.col("word").cast("string").alias("phrase"), "level", F.col("n").alias("f"))
     ends = words.select("lang", "last", F.col("phrase").alias("_last"))
     before = known.filter(F.col("level") == level - 1).select("lang", F.col("key").alias("prev"), F.col("phrase").alias("_prev"))
     here = found.filter(F.col("level") == level).select("prev", "last", F.col("n").alias("f"))
@@ -280,36 +303,33 @@ def known_phrases(phrases: DataFrame) -> Known:
 
 def frequent(docs: DataFrame, least: int = LEAST, sample_of: int = SAMPLE_OF) -> tuple[DataFrame, DataFrame, int]:
     """``(phrases, sizes, passes)``: every phrase of one to ``MOST_WORDS`` words that occurs ``least`` times in its language, ``(lang, phrase, level, f)``; ``(lang, n)``, all
-    words of each language; and how many passes over all texts it took.
+    words of each language; and how many passes over all texts longer phrases took.
 
     The counts are those of all texts; the sample, texts chosen by a hash of their own, only decides what the first pass looks for.
     """
     ship_package(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().cast("binary").alias("text"))
+    met = words_of(texts, least)
+    sizes = met.filter("word is null").select("lang", "n")
+    words = stored(hashed(met.filter("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("level"), F.col("n").alias("f"))), "frequent")
+
+    # words are known from all texts; the sample proposes what is longer
     sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(sample_of)) == 0)
     lowered = max(2, int(least / sample_of * LOWERED))
+    known = words
+    for level in range(2, MOST_WORDS):
+        found = counts(sample, known_phrases(known.withColumn("new", F.lit(True))), [level], lowered)
+        known = known.unionByName(stored(hashed(spelled(found, level, known, words)), "proposed"))
 
-    known = words = None
-    for level in range(1, MOST_WORDS):
-        files = None if known is None else known_phrases(known.withColumn("new", F.lit(True)))
-        found = counts(sample, files, level == 1, [] if level == 1 else [level], lowered)
-        more = stored(hashed(spelled(found, level, known, words)), "proposed")
-        words = more if level == 1 else words
-        known = more if known is None else known.unionByName(more)
-
-    known, phrases, sizes, passes = stored(known.withColumn("new", F.lit(True)), "known"), None, None, 0
+    known, phrases, passes = stored(known.withColumn("new", F.lit(True)), "known"), words, 0
     while True:
         passes += 1
-        found = counts(texts, known_phrases(known), passes == 1, list(range(2, MOST_WORDS + 1)), least)
-        if sizes is None:
-            sizes = found.filter("level = 1 and word is null").select("lang", F.col("n").alias("n"))
-        words = known.filter("level = 1")
-        met = [spelled(found, level, known, words) for level in range(1 if passes == 1 else 2, MOST_WORDS + 1)]
-        here = met[0]
-        for one in met[1:]:
-            here = here.unionByName(one)
+        found = counts(texts, known_phrases(known), list(range(2, MOST_WORDS + 1)), least)
+        here = spelled(found, 2, known, words)
+        for level in range(3, MOST_WORDS + 1):
+            here = here.unionByName(spelled(found, level, known, words))
         here = stored(hashed(here), "found")
-        phrases = here if phrases is None else phrases.unionByName(here)
+        phrases = phrases.unionByName(here)
         missed = here.filter(F.col("level") < MOST_WORDS).join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti").withColumn("new", F.lit(True))
         missed = stored(missed.select(known.columns), "missed")
         if missed.isEmpty():
