@@ -92,14 +92,14 @@ def split(nodes: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
 
 def _filled(blocks: DataFrame) -> DataFrame:
     """The rows taken of a source's last, partly drawn block: largest first, each that still fits. A block is a hash bucket of some ``BLOCK_ROWS`` rows."""
-    gathered = blocks.groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("size", "_row", "doc_id")), asc=False).alias("_all"), F.first("left").alias("left"))
-    taken = F.expr("aggregate(_all, named_struct('left', left, 'out', cast(array() as array<struct<_row: bigint, doc_id: bigint, size: bigint>>)), (a, x) -> "
-                   "if(x.size <= a.left, named_struct('left', a.left - x.size, 'out', concat(a.out, array(named_struct('_row', x._row, 'doc_id', x.doc_id, 'size', x.size)))), a)).out")
+    gathered = blocks.groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("size", "_key", "_row")), asc=False).alias("_all"), F.first("left").alias("left"))
+    taken = F.expr("aggregate(_all, named_struct('left', left, 'out', cast(array() as array<struct<_row: bigint, _key: bigint, size: bigint>>)), (a, x) -> "
+                   "if(x.size <= a.left, named_struct('left', a.left - x.size, 'out', concat(a.out, array(named_struct('_row', x._row, '_key', x._key, 'size', x.size)))), a)).out")
     return gathered.select("idx", "block", F.explode(taken).alias("t")).select("idx", "block", "t.*")
 
 
 def _after(later: DataFrame, seed: int) -> DataFrame:
-    """``(_row, doc_id, idx)`` of what is taken of a source's rows ``(_row, doc_id, size, idx, left)`` after its last block: the smallest, as many as fit in ``left``.
+    """``(_row, _key, idx)`` of what is taken of a source's rows ``(_row, _key, size, idx, left)`` after its last block: the smallest, as many as fit in ``left``.
 
     A window runs over a source's different sizes, not its rows: below one size all rows are taken, of that size as many as fit, by a hash.
     """
@@ -107,17 +107,19 @@ def _after(later: DataFrame, seed: int) -> DataFrame:
     before = F.coalesce(F.sum(F.col("_n") * F.col("size")).over(Window.partitionBy("idx").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fits = sizes.withColumn("_fit", F.least(F.col("_n"), F.floor((F.col("left") - before) / F.col("size")))).filter("_fit > 0").select("idx", "size", "_n", "_fit")
     open_ = stored(salted_join(later, fits, ["idx", "size"], F.col("_row")), "later")
-    hashed = open_.filter("_fit < _n").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_row"))
-    some = placed_in_order(hashed, ["idx"], ["_hash", "_row"], "_at", F.shiftright("_hash", 44)).filter("_at < _fit")
-    return open_.filter("_fit = _n").select("_row", "doc_id", "idx").unionByName(some.select("_row", "doc_id", "idx"))
+    hashed = open_.filter("_fit < _n").withColumn("_hash", F.xxhash64(F.lit(seed), "_key"))
+    # the rows of each size are ordered apart from those of another
+    some = placed_in_order(hashed, ["idx", "size"], ["_hash", "_key", "_row"], "_at", F.shiftright("_hash", 44)).filter("_at < _fit")
+    return open_.filter("_fit = _n").select("_row", "_key", "idx").unionByName(some.select("_row", "_key", "idx"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block_rows: int = BLOCK_ROWS, shard_words: int = SHARD_WORDS,
          seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(placed, mix)``: every row with its size, source size and target, and a row ``(_row, doc_id, idx, shard, turn, place)`` for each time one is taken.
+    """``(placed, mix)``: every row with its size, source size and target, and a row ``(_row, idx, shard, turn, place)`` for each time one is taken.
 
     A null text has size 0; rows of a null source are a source of their own; rows repeated are rows like others; an empty table gives an empty
-    mix. ``place`` orders a shard. ``_row`` is a number for each row, given as ``docs`` is read, which is once.
+    mix. ``place`` orders a shard. The mix is the same whatever files and splits the rows come in; of equal rows it may be another that is taken.
+    ``_row`` is a number for each row, given as ``docs`` is read, which is once.
     """
     return _plan(docs.select("doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id()), weights, share, block_rows, shard_words, seed)
 
@@ -125,7 +127,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block_rows: int = BLOCK_ROWS, shard_words: int = SHARD_WORDS,
           seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """``plan`` of rows ``(_row, doc_id, text, source)``."""
-    sized = stored(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"),
+    sized = stored(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("_said"),
                                F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.col("source").cast("string").alias("source")), "sizes")
     named = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), weights, share)
     named = named.withColumn("nb", F.ceil(F.col("_n") / block_rows)).drop("_n")
@@ -133,11 +135,16 @@ def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     named = stored(named.withColumn("turns", turns).withColumn("rest", F.col("target") - F.col("turns") * F.col("source_size"))
                    .withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "sources")
     keyed = sized.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    # an id that says which row it is places it; rows of none or of one id are dealt by their numbers too, so they share no block
+    # an id that says which row it is places it; rows of none or of one id are told apart by their texts, and equal ones counted, so they share no block. Nothing that
+    # decides hangs on a row's number, which is that of its place in a file, but for which of two equal rows it is
     twice = stored(keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_twice")), "twice")
-    keyed = salted_join(keyed, twice, ["doc_id"], F.col("_row"), "left")
-    block = F.expr(f"cast(floor({_uniform(f'{seed}L', 'doc_id', 'if(doc_id is null or _twice, _row, null)')} * nb) as bigint)")
-    placed = stored(salted_join(keyed, named, ["_key", "_null"], F.col("_row")).withColumn("block", block).drop("_key", "_null", "_twice"), "placed")
+    keyed = stored(salted_join(keyed, twice, ["doc_id"], F.col("_row"), "left").withColumn("_odd", F.col("doc_id").isNull() | F.coalesce("_twice", F.lit(False))).drop("_twice"), "keyed")
+    odd = placed_in_order(keyed.filter("_odd"), ["_said", "_key", "_null"], ["_row"], "_nth", chunk_of(F.col("_row")))
+    keyed = keyed.filter("not _odd").withColumn("_nth", F.lit(0).cast("long")).unionByName(odd).withColumnRenamed("_key", "_source")
+    keyed = keyed.withColumn("_key", F.xxhash64("doc_id", "_said", "_nth"))
+    named = named.withColumnRenamed("_key", "_source")
+    block = F.expr(f"cast(floor({_uniform(f'{seed}L', 'doc_id', 'if(_odd, _key, null)')} * nb) as bigint)")
+    placed = stored(salted_join(keyed, named, ["_source", "_null"], F.col("_row")).withColumn("block", block).drop("_source", "_null", "_odd", "_nth", "_said"), "placed")
 
     blocks = placed.groupBy("idx", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("nb", "turns", "rest")))
     summed = stored(running_sum(blocks, ["idx"], ["block"], F.col("words"), "upto", chunk_of(F.col("block"))), "blocks")
@@ -160,17 +167,17 @@ def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
              .select("shard", "idx", F.expr("draw div nb").alias("turn"), F.expr("draw % nb").alias("block"),
                      F.expr("draw div nb = turns and draw % nb = last").alias("part")))
     draws = stored(draws.withColumn("part", F.coalesce("part", F.lit(False))), "draws")
-    rows = placed.select("_row", "doc_id", "idx", "block").join(draws.filter("not part").drop("part"), ["idx", "block"])
+    rows = placed.select("_row", "_key", "idx", "block").join(draws.filter("not part").drop("part"), ["idx", "block"])
     lasts = quotas.filter("last is not null and left > 0").select("idx", F.col("last").alias("block"), "left")
-    filled = stored(_filled(placed.select("_row", "doc_id", "size", "idx", "block").join(lasts, ["idx", "block"])), "filled")
+    filled = stored(_filled(placed.select("_row", "_key", "size", "idx", "block").join(lasts, ["idx", "block"])), "filled")
     some = filled.drop("size").join(draws.filter("part").drop("part"), ["idx", "block"])
     spent = filled.groupBy("idx").agg(F.sum("size").alias("_spent"))
     rests = stored(quotas.filter("last is not null and rest > 0").join(spent, "idx", "left").select("idx", "turns", "last", (F.col("left") - F.coalesce("_spent", F.lit(0))).alias("left")), "rests")
-    sought = placed.filter("size > 0").select("_row", "doc_id", "size", "idx", "block")
-    later = salted_join(sought, rests.drop("turns"), ["idx"], F.col("_row")).filter("block > last and size <= left").select("_row", "doc_id", "size", "idx", "left")
-    more = _after(later, seed).join(rests.select("idx", F.col("turns").alias("turn")), "idx").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_row"), F.lit(shards)))
-    taken_rows = ["_row", "doc_id", "idx", "shard", "turn"]
-    mix = rows.select(taken_rows).unionByName(some.select(taken_rows)).unionByName(more.select(taken_rows)).select("_row", "doc_id", "idx", "shard", "turn", F.xxhash64(F.lit(seed), "shard", "turn", "_row", "doc_id").alias("place"))
+    sought = placed.filter("size > 0").select("_row", "_key", "size", "idx", "block")
+    later = salted_join(sought, rests.drop("turns"), ["idx"], F.col("_row")).filter("block > last and size <= left").select("_row", "_key", "size", "idx", "left")
+    more = _after(later, seed).join(rests.select("idx", F.col("turns").alias("turn")), "idx").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(shards)))
+    taken_rows = ["_row", "_key", "idx", "shard", "turn"]
+    mix = rows.select(taken_rows).unionByName(some.select(taken_rows)).unionByName(more.select(taken_rows)).select("_row", "idx", "shard", "turn", F.xxhash64(F.lit(seed), "shard", "turn", "_key").alias("place"))
     return placed, mix
 
 

@@ -409,6 +409,26 @@ def test_no_labels_and_one_class(docs, spark):
     assert toxicity.scores(docs, toxicity.train(docs, one)).count() == len(sample())
 
 
+def test_a_mix_is_the_same_whatever_files_its_rows_lie_in(spark, tmp_path):
+    """Many texts of one size tie, some rows share an id or have none, some are repeated whole."""
+    rng = np.random.default_rng(8)
+    words = ["w", "x", "y", "zz"]
+    rows = [(int(i) if i % 9 else None if i % 2 else 5, " ".join(rng.choice(words, 40 if i % 50 else 900)), "abcd"[i % 4]) for i in range(1500)]
+    rows += [(5, "again and again", "a")] * 60 + [(None, "no id", "b")] * 60
+    seen = []
+    for n, order in ((1, "doc_id"), (7, "text"), (3, "source")):
+        path = str(tmp_path / str(n))
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(n, order).write.parquet(path)
+        docs = spark.read.parquet(path)
+        mixed = [tuple(r) for r in mixing.mixed(docs, block_rows=16, shard_words=9000).collect()]
+        seen.append((sorted(map(repr, mixing.taken(docs, block_rows=16).collect())), sorted(map(repr, mixed))))
+        size = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in "abcd"}
+        aims = plain_targets(size)
+        for s in "abcd":
+            assert 0 <= aims[s] - sum(len(r[1].split()) for r in mixed if r[2] == s) < 41
+    assert seen[0] == seen[1] == seen[2]
+
+
 # --- rows whose splits change between jobs ---
 
 
