@@ -4,7 +4,7 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import stored
@@ -36,12 +36,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Files of a table whose numbers are sent to every worker; the rows of one with more are written anew.
+MOST_FILES = 100_000
+
+
+def rows_of_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a file: a scan, its rows perhaps chosen and its columns changed, and nothing else."""
+    try:
+        node = df._jdf.queryExecution().analyzed()
+        while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+            node = node.children().head()
+        return node.nodeName() == "LogicalRelation" and len(df.select("_metadata.row_index", "_metadata.file_path").columns) == 2
+    except Exception:  # no such plan, or no such columns: the rows are not a file's own
+        return False
+
+
 def numbered(df: DataFrame, row: str = "_row") -> DataFrame:
-    """``df`` with a number for each row, written once.
+    """``df`` with a number for each row that stays with it in every job.
 
-    ``monotonically_increasing_id()`` counts within the splits of a job, which differ between jobs when executors come or go, so whatever is joined by a
-    row's number reads it, and the row's other columns, from the table written here.
+    ``monotonically_increasing_id()`` counts within the splits of a job, which differ between jobs when executors come or go. A row read from a file has a
+    number of its own there, however the file is split; the files are numbered by their paths, in a table of at most ``MOST_FILES`` rows that is
+    broadcast. Rows that are not a file's own, or of more files, are written once with their numbers and read from there.
     """
+    path, index, first = (unused(df, c) for c in ("_file", "_index", "_first"))
+    if rows_of_files(df):
+        placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+        files = stored(placed.select(path).distinct(), "files")
+        if files.count() <= MOST_FILES:
+            no = F.row_number().over(Window.orderBy(path)).cast("long")
+            named = stored(files.coalesce(1).select(path, F.shiftleft(no, 40).alias(first)), "files")
+            return placed.join(F.broadcast(named), path).withColumn(row, F.col(first) + F.col(index)).drop(path, index, first)
     return stored(df.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
 
 
