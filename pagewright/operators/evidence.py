@@ -52,6 +52,15 @@ def merge_sources(scoped: DataFrame) -> DataFrame:
     return counted.select("run_id", "n", "url", F.coalesce("title", F.lit("")).alias("title"), "opened")
 
 
+def with_files(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """Rows ``(run_id, url, ...)``, one a source, with ``file``: where the document that is this source's was saved, null where there is none.
+
+    ``owned`` as from ``turns.download_owner``: of a URL's downloads the last one that was not written over. Text kept in a file is a page's, no document.
+    """
+    files = owned.filter("is_url_file").select("run_id", "url", F.col("saved_path").alias("file"))
+    return rows.join(files, ["run_id", "url"], "left")
+
+
 def source_ids(scoped: DataFrame) -> DataFrame:
     """``(run_id, url, id)``: every id a run's records gave a page. Either of them cites it."""
     return scoped_sources(scoped).filter(F.col("id") != "").select("run_id", "url", "id").distinct()
@@ -105,6 +114,15 @@ def tool_result_no(own: DataFrame) -> DataFrame:
     return placed.select("run_id", "no", "session_id", "index", "tool_name", "content")
 
 
+def tool_result_at(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(run_id, no, found, results, tool_name, content)`` of the tool results asked for by ``(run_id, no)``: ``results`` is how many the run has, also where ``no`` is none of them."""
+    there = tool_result_no(own)
+    counts = there.groupBy("run_id").agg(F.count("*").alias("results"))
+    wanted = salted_join(asked.select("run_id", "no").distinct(), counts, ["run_id"], F.col("no"), "left")
+    met = wanted.join(there.select("run_id", "no", "tool_name", "content", F.lit(True).alias("found")), ["run_id", "no"], "left")
+    return met.select("run_id", "no", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("results", F.lit(0)).alias("results"), "tool_name", "content")
+
+
 def final_answer(runs: DataFrame, events: DataFrame) -> DataFrame:
     """``(run_id, answer)``: the last message of a finished turn that stopped to answer; nothing of an unfinished one.
 

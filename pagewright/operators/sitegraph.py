@@ -24,13 +24,14 @@ def sortable(n: Column) -> Column:
     return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
 
 
-def discover(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def discover(edges: DataFrame, roots: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
     """Walk every root's site breadth-first: ``(root, url, depth, ord, read)``.
 
     ``edges`` holds ``(src, pos, dst)`` with a row without ``dst`` for a page without links. Each page comes once, under
     the first spelling met, in order of discovery. Pages above ``depth`` are read; ``read`` says whether they could be,
     and is null on the last level. One job a level for all roots together; each level is checkpointed, so a lost executor
-    repeats one level and the plan does not grow.
+    repeats one level and the plan does not grow. A root with ``cap`` pages or more leaves the walk with the level that brought them: its pages
+    found so far are asked, so a miss among them counts, but none of their links is followed. Its first ``cap`` pages are those of the whole walk.
     """
     # copies of a page repeat its links: one row per target, counted before the first shuffle
     # a root's pages all lie on its site, so links that leave their own page's site go before anything is written
@@ -52,8 +53,11 @@ def discover(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         visited = level if visited is None else visited.unionByName(level)
         if not asked or level.isEmpty():
             break
-        steps = (level.filter("read").select("root", "way", F.col("key").alias("src_key"))
-                 .join(linked, "src_key"))
+        going = level.filter("read")
+        if cap is not None:
+            full = reliable(visited.groupBy("root").agg(F.count("*").alias("_n")).filter(F.col("_n") >= cap).select("root"))
+            going = salted_join(going, full, ["root"], F.col("key"), how="left_anti")
+        steps = going.select("root", "way", F.col("key").alias("src_key")).join(linked, "src_key")
         way = F.concat("way", sortable(F.col("pos")))
         found = (steps.groupBy("root", url_key(F.col("dst")).alias("key")).agg(F.min(F.struct(way.alias("way"), "dst")).alias("_first"))
                  .select("root", "key", F.col("_first.way").alias("way"), F.col("_first.dst").alias("url")))

@@ -232,6 +232,15 @@ def recent_runs(runs: DataFrame, k: int = 10) -> DataFrame:
     return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(k)
 
 
+def offered_instead(runs: DataFrame, resolved: DataFrame, k: int = 10) -> DataFrame:
+    """``(ref, place, run_id)``: for each reference that ``resolve_run_ref`` found to name no run, the ``k`` latest runs, from 1."""
+    # one row by construction, of at most k ids; of one time the larger id comes first
+    latest = recent_runs(runs, k).agg(F.sort_array(F.collect_list(F.struct("created_at", "run_id")), asc=False).alias("_all"))
+    one = latest.select(F.lit("unknown").alias("verdict"), F.transform("_all", lambda r: r["run_id"]).alias("_ids"))
+    unknown = resolved.filter("verdict = 'unknown'").select("ref", "verdict")
+    return unknown.join(F.broadcast(one), "verdict").select("ref", F.posexplode("_ids").alias("_at", "run_id")).select("ref", (F.col("_at") + 1).alias("place"), "run_id")
+
+
 def latest_group(runs: DataFrame) -> DataFrame:
     """The runs of the most recent group, or the most recent run where it has none."""
     unit = F.coalesce(F.col("group"), F.col("run_id"))

@@ -49,8 +49,9 @@ def _sitemap(spark: SparkSession, d: str) -> DataFrame:
     return _own_lists(spark, d).filter(F.col("root").startswith("https://"))
 
 
-def _listing(spark: SparkSession, d: str) -> DataFrame:
-    return sitegraph.choose_listing(_walk(spark, d), _sitemap(spark, d))
+def _listing(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
+    walk = sitegraph.discover(corpora.site_edges(spark, d), corpora.site_roots(spark, d), DEPTH, cap)
+    return sitegraph.choose_listing(walk, _sitemap(spark, d))
 
 
 @query("extract_links", f"{LINKS} SELECT url, pos, href FROM links")
@@ -120,6 +121,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _walk(spark, d)
 
 
+@query("discover_capped", f"""{WALK}, fill AS (
+  SELECT root, min(depth) AS last FROM (SELECT root, depth, sum(count(*)) OVER (PARTITION BY root ORDER BY depth) AS kept FROM walked GROUP BY root, depth)
+  WHERE kept >= {MAX_URLS} GROUP BY root)
+SELECT w.root, url, depth, ord, read FROM walked w LEFT JOIN fill ON fill.root = w.root WHERE depth <= coalesce(last, {DEPTH})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return sitegraph.discover(corpora.site_edges(spark, d), corpora.site_roots(spark, d), DEPTH, MAX_URLS)
+
+
 @query("choose_listing", f"{LISTING} SELECT root, url, ord, from_sitemap FROM listing")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _listing(spark, d)
@@ -127,7 +136,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cap_urls", f"{LISTING} SELECT root, url, ord FROM ranked WHERE r <= {MAX_URLS}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return sitegraph.cap_urls(_listing(spark, d), MAX_URLS).select("root", "url", "ord")
+    return sitegraph.cap_urls(_listing(spark, d, MAX_URLS), MAX_URLS).select("root", "url", "ord")
 
 
 @query("coverage", f"""{LISTING},

@@ -173,7 +173,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("browser_pages", f"""SELECT page_id, pos, u AS url FROM (SELECT page_id, unnest([0, 1]) AS pos, unnest([url, url || '_(x)']) AS u FROM pages)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    printed = F.concat(F.lit('- title: "T" [url='), F.col("url"), F.lit(']\n  The docs say page → Other (https://e.test/other)\n✔︎ Opened a new tab '
+    printed = F.concat(F.lit('- title: "T" [url='), F.col("url"), F.lit(']\n  It links from this page → Elsewhere (https://e.test/else)\n✔︎ Opened a new tab '
                        "and set it active: tabs[1], page → T ("), F.col("url"), F.lit(")\n✔︎ Opened a new tab, page → B ("), F.col("url"), F.lit("_(x))"))
     record = F.to_json(F.struct(F.lit("toolResult").alias("role"), F.lit("repl").alias("toolName"),
                                 F.array(F.struct(F.lit("text").alias("type"), printed.alias("text"))).alias("content")))
@@ -266,6 +266,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.resolve_run_ref(runs, typed)
 
 
+@query("recent_runs", f"""{E}, {REFS}, late AS (SELECT run_id, row_number() OVER (ORDER BY created_at DESC, run_id DESC) AS place FROM runs)
+SELECT ref, place, run_id FROM late, (SELECT DISTINCT ref FROM refs WHERE NOT EXISTS (SELECT 1 FROM runs WHERE starts_with(run_id, ref))) WHERE place <= 10""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    runs = Store(spark, d).runs
+    typed = runs.select(F.explode(F.array(F.substring("run_id", 1, 13), F.concat(F.lit("nosuch"), "group"))).alias("ref"))
+    return turns.offered_instead(runs, turns.resolve_run_ref(runs, typed))
+
+
 @query("latest_group", f"{E} SELECT run_id, grp AS \"group\" FROM runs WHERE grp = (SELECT grp FROM runs ORDER BY created_at DESC, grp DESC LIMIT 1)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.latest_group(Store(spark, d).runs).select("run_id", "group")
@@ -322,6 +330,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evidence.merge_sources(Store(spark, d).scoped)
 
 
+OWNED = """dl AS (SELECT * FROM ssrc WHERE saved_path <> ''),
+p AS (SELECT *, row_number() OVER (PARTITION BY run_id, saved_path ORDER BY ts DESC, session_id DESC, idx DESC) = 1 AS owns_path FROM dl),
+file AS (SELECT run_id, url, saved_path AS file FROM p WHERE owns_path QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY ts DESC, session_id DESC, idx DESC) = 1)"""
+
+
+@query("source_files", f"{E}, {MERGED}, {OWNED} SELECT run_id, n, url, title, opened, file FROM numbered LEFT JOIN file USING (run_id, url)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    store = Store(spark, d)
+    return evidence.with_files(evidence.merge_sources(store.scoped), turns.download_owner(events.downloads(store.scoped)))
+
+
 @query("source_ids", f"{E} SELECT DISTINCT run_id, url, id FROM ssrc")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return evidence.source_ids(Store(spark, d).scoped)
@@ -349,6 +368,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evidence.tool_result_no(Store(spark, d).own).select("run_id", "no", "index", "tool_name")
 
 
+@query("tool_result_at", f"""{E}, tr AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY idx) - 1 AS no, tool_name, md5(content) AS content FROM own
+  WHERE kind = 'tool_result'), n AS (SELECT run_id, count(*) AS results FROM tr GROUP BY run_id), asked AS (SELECT run_id, unnest([0, 3, 9]) AS no FROM runs)
+SELECT run_id, no, tool_name IS NOT NULL AS found, coalesce(results, 0) AS results, tool_name, content FROM asked LEFT JOIN n USING (run_id) LEFT JOIN tr USING (run_id, no)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    store = Store(spark, d)
+    asked = store.runs.select("run_id", F.explode(F.array(*(F.lit(i).cast("long") for i in (0, 3, 9)))).alias("no"))
+    return evidence.tool_result_at(store.own, asked).withColumn("content", F.md5("content"))
+
+
 @query("final_answer", f"{E}, {SAID} SELECT run_id, answer FROM said")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return Store(spark, d).answers
