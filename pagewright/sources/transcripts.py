@@ -1,12 +1,12 @@
 """Transcripts, run logs and saved files."""
 from __future__ import annotations
 
-from pathlib import Path
+import os
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pagewright.operators.ordered import running_sums
 from pagewright.session import stored
@@ -84,25 +84,65 @@ def stdout_answer(logs: DataFrame) -> DataFrame:
     return logs.select("run_id", answer.alias("answer"), urls.alias("urls"))
 
 
-@F.pandas_udf(BooleanType())
-def _through_link(paths: pd.Series) -> pd.Series:
-    """Whether a local file is a link, or stands in a linked folder at or below its session's ``artifacts``."""
-    def linked(path: str) -> bool:
-        file = Path(path.removeprefix("file:"))
-        return any(p.is_symlink() for p in (file, *file.parents) if "artifacts" in p.parts)
-    return paths.map(linked)
+LISTED = "path string, rel string, mtime timestamp, length long"
+_FOLDERS = "folder string, rel string"
+
+
+def _local(path: str) -> str:
+    return unquote(path.removeprefix("file:")) if path.startswith("file:") else path
+
+
+def _folders(batches):
+    """What stands in folders ``(folder, rel)``: the folders in them; links are not followed."""
+    for batch in batches:
+        rows = [(entry.path, f"{rel}/{entry.name}") for folder, rel in zip(batch["folder"], batch["rel"], strict=True)
+                for entry in os.scandir(folder) if entry.is_dir(follow_symlinks=False)]
+        yield pd.DataFrame(rows, columns=["folder", "rel"], dtype="object")
+
+
+def _files(deep: bool):
+    """The files in folders ``(folder, rel)``, links left out, and with ``deep`` those of the folders below too."""
+    def files(batches):
+        for batch in batches:
+            for folder, rel in zip(batch["folder"], batch["rel"], strict=True):
+                at = [(folder, rel)]
+                while at:
+                    here, name = at.pop()
+                    rows = []
+                    for entry in os.scandir(here):
+                        if entry.is_dir(follow_symlinks=False):
+                            if deep:
+                                at.append((entry.path, f"{name}/{entry.name}"))
+                        elif entry.is_file(follow_symlinks=False):
+                            stat = entry.stat(follow_symlinks=False)
+                            rows.append((entry.path, f"{name}/{entry.name}", pd.Timestamp(stat.st_mtime_ns // 1000, unit="us"), stat.st_size))
+                    yield pd.DataFrame(rows, columns=["path", "rel", "mtime", "length"]).astype({"path": "object", "rel": "object", "mtime": "datetime64[us]", "length": "int64"})
+    return files
+
+
+def listed_files(spark: SparkSession, path: str, spread: int = 2) -> DataFrame:
+    """``(path, rel, mtime, length)`` of every file under a mounted folder, whatever its name, empty ones too; ``rel`` is its path below ``path``, after a slash.
+
+    The folders of the first ``spread`` levels are listed level by level and dealt out, each then walked by one task, a row a file.
+    """
+    level = spark.createDataFrame([(_local(path).rstrip("/"), "")], _FOLDERS)
+    found = level.mapInPandas(_files(spread == 0), LISTED)
+    for d in range(1, spread + 1):
+        level = level.mapInPandas(_folders, _FOLDERS).repartition("folder")
+        found = found.unionByName(level.mapInPandas(_files(d == spread), LISTED))
+    return found
 
 
 def scan_artifacts(spark: SparkSession, path: str, place: str = ARTIFACT) -> DataFrame:
     """``(session_id, rel_path, path, mtime, length)`` of every file under a session's ``artifacts`` folder.
 
-    Only metadata is read. The engine's file sources list neither empty files nor names that start with ``_`` or ``.``; such files are
-    missing here. Links are left out; they exist on local file systems only, so only those paths are checked.
+    Only metadata is read. A mounted folder is listed by tasks of its own: empty files and names that start with ``_`` or ``.`` are files like others, links and what
+    stands behind them are left out. Elsewhere the engine's file source lists, which has neither such files nor links.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .select("path", F.col("modificationTime").alias("mtime"), "length"))
-    found = files.select(F.regexp_extract("path", place, 1).alias("session_id"), F.regexp_extract("path", place, 2).alias("rel_path"),
-                         "path", "mtime", "length").filter(F.col("rel_path") != "")
     if path.startswith(("/", "file:")):
-        found = found.filter(~_through_link(F.col("path")))
-    return found
+        files = listed_files(spark, path).select(F.concat(F.lit("file:"), "path").alias("path"), F.col("path").alias("_p"), "mtime", "length")
+    else:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                 .select("path", F.col("path").alias("_p"), F.col("modificationTime").alias("mtime"), "length"))
+    return files.select(F.regexp_extract("_p", place, 1).alias("session_id"), F.regexp_extract("_p", place, 2).alias("rel_path"),
+                        "path", "mtime", "length").filter(F.col("rel_path") != "")

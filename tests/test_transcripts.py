@@ -464,8 +464,13 @@ def test_saved_files_without_links(spark, tmp_path) -> None:
     (home / "one").write_text("1")
     (tmp_path / "2025-03-04_Zz9" / "notes.txt").write_text("not saved")
     (home / "link").symlink_to(home / "one")
+    (home / "sub" / "deep" / "er").mkdir(parents=True)
+    (home / "sub" / "deep" / "er" / "_x").write_text("123")
+    (home / ".hidden").write_text("12")
+    (home / "_empty").touch()
+    (home / "away").symlink_to(tmp_path)
     got = {(r.session_id, r.rel_path, r.length) for r in transcripts.scan_artifacts(spark, str(tmp_path)).collect()}
-    assert got == {("Zz9", "sub/two words.txt", 5), ("Zz9", "one", 1)}
+    assert got == {("Zz9", "sub/two words.txt", 5), ("Zz9", "one", 1), ("Zz9", "sub/deep/er/_x", 3), ("Zz9", ".hidden", 2), ("Zz9", "_empty", 0)}
 
 
 # --- audits ---
