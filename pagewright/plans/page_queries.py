@@ -108,10 +108,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return corpora.pages(spark, d).select("page_id", main_text(F.col("text")).alias("content"))
 
 
-@query("html_to_markdown", f"SELECT page_id, {sqltext.html_to_markdown('html')} AS markdown FROM pages WHERE NOT {sqltext.is_challenge('html')}")
+# What is put behind each page's article, and the Markdown of it: attributes quoted every way, nested and numbered lists, a table, code with its blanks.
+MARKUP = ("<p>See <a rel=x href='{url}'>this <strong class=\"k\">page</strong></a>, <img src={url} alt=\"its picture\">.</p><ol start=\"9\"><li>first<ul><li>inner <i>one</i></li><li>two</li></ul></li>"
+          "<li><p>second</p></li></ol><table>\n<tr>\n<th>k</th>\n<th>v|w</th></tr><tr><td>{id}</td><td>b</td></tr>\n</table><pre><code class='x'>\nif a:\n    b  =  1\n\n\treturn &lt;b&gt;\n</code></pre>")
+MARKDOWN = ("See [this **page**]({url}), ![its picture]({url}).\n\n9. first\n   - inner *one*\n   - two\n10. second\n\n| k | v\\|w |\n| --- | --- |\n| {id} | b |\n\n"
+            "```\n\nif a:\n    b  =  1\n\n\treturn <b>\n```")
+
+
+@query("html_to_markdown", f"""SELECT page_id, {sqltext.html_to_markdown('html')} || CASE WHEN html ILIKE '%</article>%' THEN chr(10) || chr(10) ||
+  replace(replace({sqltext.lit(MARKDOWN)}, '{{url}}', replace(url, ' ', '%20')), '{{id}}', page_id::VARCHAR) ELSE '' END AS markdown
+FROM pages WHERE NOT {sqltext.is_challenge('html')}""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     read = corpora.pages(spark, d).filter(~is_challenge(F.col("text")))
-    return read.select("page_id", html_to_markdown(F.col("text")).alias("markdown"))
+    more = F.replace(F.replace(F.lit(MARKUP), F.lit("{url}"), F.col("url")), F.lit("{id}"), F.col("page_id").cast("string"))
+    longer = F.replace("text", F.lit("</article>"), F.concat(more, F.lit("</article>")))
+    return read.select("page_id", html_to_markdown(longer).alias("markdown"))
 
 
 @query("word_count", f"SELECT doc_id, lang, {sqltext.words('text')} AS words FROM documents")

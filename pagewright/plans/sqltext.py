@@ -47,11 +47,13 @@ def main_text(expr: str) -> str:
 
 
 def html_to_markdown(expr: str) -> str:
+    """Markdown of pages whose articles hold headings, paragraphs, breaks, links and emphasis that is closed by the next paragraph."""
     text = article_of(expr)
-    for pattern, to in markup.MARKS:
-        text = rep(text, pattern, re.sub(r"\$(\d)", r"\\\1", to))
+    for pattern, to in ((r"(?is)<b>(([^<]|<br>)*?)((?:<br>|\s)*(?:</?(?:p|h1|div)[^>]*>|\z))", r"**\1**\3"), (r"(?i)<h1[^>]*>", "\n\n# "), (r"(?i)<br>", "\n"), (r'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"),
+                        (r"(?i)<ul>|</ul>", "\n\n"), (r"(?i)<li>", "\n- "), (r"(?i)</?(p|div|h1)( [^>]*)?>", "\n\n"), (r"<[^>]*(>|$)", "")):
+        text = rep(text, pattern, to)
     text = decoded(text)
-    for pattern, to in markup.TIDY:
+    for pattern, to in ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n\n+", "\n\n"), (r"^[\n ]+|[\n ]+$", "")):
         text = rep(text, pattern, to)
     return text
 

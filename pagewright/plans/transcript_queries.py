@@ -647,4 +647,4 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     files = corpora.artifacts(spark, d)
     made = files.select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), F.col("rel_path").alias("file"), F.col("path").alias("value"))
     made.write.partitionBy("session", "file").text(folder)
-    return transcripts.scan_artifacts(spark, folder, r"_([A-Za-z0-9]+)/file=([^/]+)/").select("session_id", "rel_path")
+    return transcripts.scan_artifacts(spark, folder, r"_([A-Za-z0-9]+)/file=([^/]+)/part-[^/]*$").select("session_id", "rel_path")

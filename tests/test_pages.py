@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import body_kind, frontmatter, html_title, html_to_markdown, main_text, not_utf8, preview, run_label, url_slug, word_count
+from pagewright.functions.markup import folded
 from pagewright.operators import pages
 from pagewright.sources.pages import UNREADABLE, batch_trailers, scan_fetch_log
 
@@ -128,7 +129,54 @@ def test_markdown_keeps_structure(table) -> None:
     body = ('<nav>menu</nav><article><h2>Head &amp; <b>tail</b></h2><p>See <a href="https://x.test/?a=1&amp;b=2">the <em>link</em></a> and <code>x</code>.</p><ul><li>one</li><li>two</li></ul>'
             '<pre>code\nlines</pre><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table><hr><img alt="pic" src="/p.png"></article>')
     got = table("b string", [(body,)]).select(html_to_markdown(F.col("b")).alias("m")).first().m
-    assert got.split("\n\n") == ["## Head & **tail**", "See [the *link*](https://x.test/?a=1&b=2) and `x`.", "- one\n- two", "```\ncode\nlines\n```", "| k | v |\n| 1 | 2 |", "---", "![pic](/p.png)"]
+    assert got.split("\n\n") == ["## Head & **tail**", "See [the *link*](https://x.test/?a=1&b=2) and `x`.", "- one\n- two", "```\ncode\nlines\n```", "| k | v |\n| --- | --- |\n| 1 | 2 |", "---", "![pic](/p.png)"]
+
+
+def test_markdown_of_every_quoting_nesting_and_what_is_never_closed(table) -> None:
+    bodies = {
+        "<p>a <b class=x>bold</b> <a href='/q?a=1'>s</a> <a href=/bare>b</a> <a name=z>no link</a></p>": "a **bold** [s](/q?a=1) [b](/bare) no link",
+        "<ol><li>one<li>two<ul><li>in</li></ul><li>three</ol><p>after": "1. one\n2. two\n   - in\n3. three\n\nafter",
+        "<ul><li>a<ol start='3'><li>x</li><li>y</li></ol></li></ul>": "- a\n  3. x\n  4. y",
+        "<pre>\n  two  blanks\n\tand a tab\n</pre>x": "```\n  two  blanks\n\tand a tab\n```\n\nx",
+        "<pre><code>a &lt; b\n\n\n\nc</code></pre>": "```\na < b\n\n\n\nc\n```",
+        "<table><tr><td>a<td>b<tr><td>c<br>d<td></table>": "| a | b |\n| --- | --- |\n| c d | |",
+        "<p>un<b>closed<p>next</i> </b>": "un**closed**\n\nnext",
+        "<p>a<img src='x y.png'><img alt=none></p><hr><h3>T</h3>t": "a![](x%20y.png)\n\n---\n\n### T\n\nt",
+        '<p title="a > b">kept</p><a href="/x" title="lost>text</a> more': "kept\n\ntext more",
+        "<pre>never closed\n  x": "```\nnever closed\n  x\n```",
+        "": "",
+    }
+    rows = table("b string", [(b,) for b in bodies])
+    got = {r.b: r.m for r in rows.select("b", html_to_markdown(F.col("b")).alias("m")).collect()}
+    assert got == bodies
+    assert table("b string", [(None,)]).select(html_to_markdown(F.col("b")).alias("m")).first().m is None
+
+
+def test_markdown_lists_and_tables_equal_a_tree_written_plainly() -> None:
+    """Random trees: the markup is written with any quoting and without some end tags, the Markdown straight from the tree."""
+    rng = random.Random(4)
+
+    def lists(depth: int, at: int) -> tuple[str, list[str]]:
+        ordered, first = rng.random() < 0.5, rng.randint(1, 12)
+        html_, lines = "", []
+        for i in range(rng.randint(1, 3)):
+            mark = f"{first + i}. " if ordered else "- "
+            inner, below = lists(depth + 1, at + len(mark)) if depth < 3 and rng.random() < 0.4 else ("", [])
+            html_ += f"<li>w{i}{inner}" + rng.choice(["</li>", ""])
+            lines += [" " * at + mark + f"w{i}", *below]
+        name = "ol" if ordered else "ul"
+        start = rng.choice([f" start={first}", f" start='{first}'", f' class="a" start="{first}"']) if ordered else ""
+        return f"<{name}{start}>{html_}</{name}>", lines
+    for _ in range(150):
+        html_, lines = lists(0, 0)
+        text = re.sub("[\x01\x02\x03]", lambda m: {"\x01": " ", "\x02": "\n", "\x03": "\t"}[m.group()], folded(html_))
+        assert [line for line in text.split("\n") if line.strip()] == lines
+        rows = [[f"c{rng.randint(0, 9)}" for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        cell = rng.choice(["td", "th"])
+        html_ = "<table>" + "".join("<tr>" + "".join(f"<{cell} x='1'>{c}" + rng.choice([f"</{cell}>", ""]) for c in row) + rng.choice(["</tr>\n", ""]) for row in rows) + "</table>"
+        want = ["| " + " | ".join(row) + " |" for row in rows]
+        want.insert(1, "|" + " --- |" * len(rows[0]))
+        assert [line for line in folded(html_).split("\n") if line.strip()] == want
 
 
 def test_words_labels_names(table) -> None:
