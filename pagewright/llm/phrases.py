@@ -1,7 +1,7 @@
 r"""Phrase mining after Toivonen: a sample proposes frequent phrases, a full pass counts them and their negative border, misses on the border lead to further passes.
 
 A phrase is a run of words inside a piece of a text, counted within one language. It can only be frequent if what it is without its last and without its first
-word are. Words are counted over all texts first. The frequent ones, and the longer phrases frequent in the sample (at a lowered threshold), are kept as sorted hash
+word are. Texts are cut into words once, and words counted over all of them first. The frequent ones, and the longer phrases frequent in the sample (at a lowered threshold), are kept as sorted hash
 arrays in the shared folder, which workers map. A full pass counts, exactly and over every text, each longer phrase whose two shorter ones are known: the
 sample's phrases themselves, and the negative border, those that a sample without them has just not reached. A border phrase that turns out frequent joins the known ones, and a further pass counts what it and its like
 admit, until no border phrase is frequent. Counts are summed in a task's arrays and then by Spark; only frequent phrases are ever spelled out.
@@ -28,7 +28,7 @@ LEAST, LISTED = 30, 2000
 #: One text of so many proposes; of the occurrences expected there a phrase needs ``LOWERED``, so that few frequent ones are missed.
 SAMPLE_OF, LOWERED = 4, 0.7
 #: Bytes of texts cut into words at once, words and counts a task holds, and phrases in one file of known ones.
-AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 20, 1 << 18, 1 << 20, 22
+AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 18, 1 << 18, 1 << 20, 22
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in _SEPARATORS else 32 if b == 9 else b for b in range(256))
@@ -95,30 +95,6 @@ class Known:
         return known, new
 
 
-class _Words:
-    """The different words a task has met in one language, with their hashes, and whether they are known."""
-
-    def __init__(self, lang: str, known: Known):
-        self.known_phrases, self.start = known, start_of(lang)
-        self.number: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.a = self.b = self.key = np.zeros(0, np.uint64)
-        self.known = self.new = np.zeros(0, bool)
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        number, words = self.number, self.words
-        for token in set(tokens).difference(number):
-            number[token] = len(words)
-            words.append(token)
-        if len(words) > len(self.a):
-            a, b = word_hashes(words[len(self.a):])
-            key = longer(np.full(len(a), self.start), a)
-            known, new = self.known_phrases.find(1, key, lambda at: b[at] * _CHECK[0])
-            self.a, self.b, self.key = (np.concatenate(x) for x in ((self.a, a), (self.b, b), (self.key, key)))
-            self.known, self.new = np.concatenate([self.known, known]), np.concatenate([self.new, new])
-        return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-
-
 def summed(prev: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different pairs, and how often each comes."""
     order = np.argsort(longer(prev, last))
@@ -133,28 +109,41 @@ def _tokens(data: bytes) -> list[bytes]:
 
 
 def _in_turns(batches):
-    """``(lang, bytes)`` of some texts of one language, a bounded number of bytes at a time; long texts are cut between pieces."""
+    """``(lang, sampled, bytes)`` of some texts of one language, a bounded number of bytes at a time; long texts are cut between pieces."""
     for batch in batches:
-        held: dict[str, list[bytes]] = {}
-        size = 0
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        held: dict[tuple[str, bool], list[bytes]] = {}
+        size: Counter = Counter()
+        for *key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            group = tuple(key)
             data, at = text.as_py().translate(_BYTES), 0
             while len(data) - at > AT_ONCE and (cut := data.find(b"\n", at + AT_ONCE)) >= 0:
-                yield lang, data[at:cut]
+                yield *group, data[at:cut]
                 at = cut + 1
-            held.setdefault(lang, []).append(data[at:])
-            size += len(data) - at
-            if size > AT_ONCE:
-                yield from ((one, b"\n".join(texts)) for one, texts in held.items())
-                held, size = {}, 0
-        yield from ((one, b"\n".join(texts)) for one, texts in held.items())
+            held.setdefault(group, []).append(data[at:])
+            size[group] += len(data) - at
+            if size[group] > AT_ONCE:
+                yield *group, b"\n".join(held.pop(group))
+                del size[group]
+        yield from ((*group, b"\n".join(texts)) for group, texts in held.items())
 
 
-def _count_words(batches):
+READ = "lang string, sampled boolean, tokens binary, a binary, b binary, word binary, n long"
+
+
+def _read(batches):
+    """Texts ``(lang, sampled, text)`` as rows of two kinds: some texts' tokens, numbers of the words whose hashes are beside them (0 where a piece ends), and counts of words."""
     counts: dict[str, Counter] = {}
-    for lang, data in _in_turns(batches):
-        found = counts.setdefault(lang, Counter())
-        found.update(_tokens(data))
+    for lang, sampled, data in _in_turns(batches):
+        tokens = _tokens(data)
+        found = Counter(tokens)
+        found.pop(b"", None)
+        found.pop(b"\n", None)
+        number = {word: i for i, word in enumerate(found, 1)}
+        number[b""], number[b"\n"] = -1, 0
+        tokens = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+        a, b = word_hashes(list(found))
+        yield _read_rows([lang], [sampled], [tokens[tokens >= 0].tobytes()], [a.tobytes()], [b.tobytes()], [None], [None])
+        counts.setdefault(lang, Counter()).update(found)
         if sum(map(len, counts.values())) > HELD_WORDS:
             yield from _word_rows(counts)
             counts = {}
@@ -163,16 +152,19 @@ def _count_words(batches):
 
 def _word_rows(counts: dict[str, Counter]):
     for lang, found in counts.items():
-        found.pop(b"", None)
-        found.pop(b"\n", None)
         # a row without a word holds the number of all
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(found) + 1), pa.string()), pa.array([None, *found], pa.binary()),
-                                          pa.array([found.total(), *found.values()], pa.int64())], ["lang", "word", "n"])
+        n = len(found) + 1
+        yield _read_rows([lang] * n, *[[None] * n] * 4, [None, *found], [found.total(), *found.values()])
 
 
-def words_of(texts: DataFrame, least: int) -> DataFrame:
-    """``(lang, word, n)`` of texts ``(lang, text)`` (bytes, no nulls): words that occur ``least`` times, and in a row without a word how many all are."""
-    met = texts.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def _read_rows(*columns: list) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [part.split()[0] for part in READ.split(", ")])
+
+
+def words_of(read: DataFrame, least: int) -> DataFrame:
+    """``(lang, word, n)``: words that occur ``least`` times, and in a row without a word how many all are."""
+    met = read.filter("tokens is null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return stored(met.filter((F.col("n") >= least) | F.col("word").isNull()).select("lang", F.col("word").cast("string").alias("word"), "n"), "words")
 
 
@@ -181,32 +173,34 @@ class _Counts:
 
     def __init__(self, known: Known, levels: list[int]):
         self.known, self.levels = known, levels
-        self.words: dict[str, _Words] = {}
         self.pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in levels}
         self.held = 0
 
-    def add(self, lang: str, data: bytes) -> None:
-        tokens = _tokens(data)
-        held = self.words.setdefault(lang, _Words(lang, self.known))
-        number = held.numbers(tokens)
-        del tokens
-        number = number[number != held.number.get(b"", -1)]
-        known, new = held.known[number], held.new[number]
+    def add(self, lang: str, tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Tokens are numbers of words, from 1, and 0 where a piece ends; ``a`` and ``b`` the words' hashes."""
+        word = longer(np.full(len(a), start_of(lang)), a)
+        found, anew = self.known.find(1, word, lambda at: b[at] * _CHECK[0])
+        # number 0 is no word: it is not known, and so in no phrase
+        a, b, word = (np.concatenate([np.zeros(1, np.uint64), x]) for x in (a, b, word))
+        found, anew = np.concatenate([[False], found]), np.concatenate([[False], anew])
+        places, known, new = np.arange(len(tokens)), found[tokens], anew[tokens]
+        key = word[tokens]
         for level in range(2, max(self.levels) + 1):
-            # position i stands for the phrase of ``level`` words from i: what it is without its last word is there, without its first at i + 1
-            at = np.flatnonzero(known[:-1] & known[1:])
-            prev = held.key[number[at]] if level == 2 else key[at]  # noqa: F821
-            last = held.a[number[at + level - 1]]
+            # a place stands for the phrase of ``level`` words from there: what it is without its last word is there, without its first one place on
+            both = np.flatnonzero(known[:-1] & known[1:] & (places[1:] == places[:-1] + 1))
+            at = places[both]
+            prev, last = key[both], a[tokens[at + level - 1]]
             if level in self.levels:
-                fresh = np.flatnonzero(new[at] | new[at + 1])
-                self.pairs[level].append((prev, last) if len(fresh) == len(at) else (prev[fresh], last[fresh]))
-                self.held += len(fresh)
+                fresh = np.flatnonzero(new[both] | new[both + 1])
+                if len(fresh):
+                    self.pairs[level].append((prev, last) if len(fresh) == len(at) else (prev[fresh], last[fresh]))
+                    self.held += len(fresh)
             if level < max(self.levels):
-                keys = longer(prev, last)
-                checks = lambda some, at=at, level=level: sum((held.b[number[at[some] + j]] * _CHECK[j] for j in range(level)), np.zeros(len(some), np.uint64))
-                found, anew = self.known.find(level, keys, checks)
-                key, known, new = np.zeros(len(number), np.uint64), np.zeros(len(number), bool), np.zeros(len(number), bool)
-                key[at], known[at], new[at] = keys, found, anew
+                key = longer(prev, last)
+                checks = lambda some, at=at, level=level: sum((b[tokens[at[some] + j]] * _CHECK[j] for j in range(level)), np.zeros(len(some), np.uint64))
+                known, new = self.known.find(level, key, checks)
+                # only what is known can be part of something longer
+                places, key, new, known = at[known], key[known], new[known], known[known]
 
     def full(self) -> bool:
         return self.held > HELD_COUNTS
@@ -215,30 +209,29 @@ class _Counts:
         """Batches of all counts held, which are then forgotten."""
         for level, parts in self.pairs.items():
             if parts:
-                prev, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-                prev, last, n = summed(prev, last)
+                prev, last, n = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(prev.view(np.int64)), pa.array(last.view(np.int64)), pa.array(n)],
                                                  ["level", "prev", "last", "n"])
         self.pairs, self.held = {k: [] for k in self.levels}, 0
-        if sum(len(w.words) for w in self.words.values()) > HELD_WORDS:
-            self.words = {}
 
 
 def _counter(known: Known, levels: list[int]):
     def counter(batches):
         counts = _Counts(known, levels)
         with np.errstate(over="ignore"):
-            for lang, data in _in_turns(batches):
-                counts.add(lang, data)
-                if counts.full():
-                    yield from counts.rows()
+            for batch in batches:
+                for lang, *arrays in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), strict=True):
+                    tokens, a, b = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(arrays, (np.int32, np.uint64, np.uint64), strict=True))
+                    counts.add(lang, tokens, a, b)
+                    if counts.full():
+                        yield from counts.rows()
             yield from counts.rows()
     return counter
 
 
-def counts(texts: DataFrame, known: Known, levels: list[int], least: int) -> DataFrame:
-    """``(level, prev, last, n)`` of texts ``(lang, text)`` (bytes, no nulls): phrases of the levels, whose two shorter ones are known and one new, counted at least ``least`` times."""
-    met = texts.mapInArrow(_counter(known, levels), "level int, prev long, last long, n long")
+def counts(read: DataFrame, known: Known, levels: list[int], least: int) -> DataFrame:
+    """``(level, prev, last, n)``: phrases of the levels, whose two shorter ones are known and one new, counted at least ``least`` times in texts that were read."""
+    met = read.filter("tokens is not null").select("lang", "tokens", "a", "b").mapInArrow(_counter(known, levels), "level int, prev long, last long, n long")
     # tasks have summed theirs; rows are dealt before Spark sums, so it need not look for equal ones among rows that hardly have any
     whole = met.repartition("prev", "last").groupBy("level", "prev", "last").agg(F.sum("n").alias("n"))
     return stored(whole.filter(F.col("n") >= least), "counts")
@@ -308,13 +301,16 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_of: int = SAMPLE_OF) ->
     The counts are those of all texts; the sample, texts chosen by a hash of their own, only decides what the first pass looks for.
     """
     ship_package(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().cast("binary").alias("text"))
-    met = words_of(texts, least)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), (F.pmod(F.xxhash64(text_of()), F.lit(sample_of)) == 0).alias("sampled"),
+                        text_of().cast("binary").alias("text"))
+    # texts are cut into words once
+    read = stored(texts.mapInArrow(_read, READ), "tokens", compression="zstd")
+    met = words_of(read, least)
     sizes = met.filter("word is null").select("lang", "n")
     words = stored(hashed(met.filter("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("level"), F.col("n").alias("f"))), "frequent")
 
     # words are known from all texts; the sample proposes what is longer
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(sample_of)) == 0)
+    sample = read.filter("sampled")
     lowered = max(2, int(least / sample_of * LOWERED))
     known = words
     for level in range(2, MOST_WORDS):
@@ -324,7 +320,7 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_of: int = SAMPLE_OF) ->
     known, phrases, passes = stored(known.withColumn("new", F.lit(True)), "known"), words, 0
     while True:
         passes += 1
-        found = counts(texts, known_phrases(known), list(range(2, MOST_WORDS + 1)), least)
+        found = counts(read, known_phrases(known), list(range(2, MOST_WORDS + 1)), least)
         here = spelled(found, 2, known, words)
         for level in range(3, MOST_WORDS + 1):
             here = here.unionByName(spelled(found, level, known, words))
