@@ -116,3 +116,14 @@ def resolve_attempts(log: DataFrame, min_words: int = 80) -> DataFrame:
     return rows.select("url", best("status").alias("status"), best("http_status").alias("http_status"), error.alias("error"),
                        F.when(from_tab, "tab").otherwise("fetch").alias("via"), best("words").alias("words"),
                        best("title").alias("title"), best("ext").alias("ext"), (F.col("_nf") + F.col("_nt")).alias("attempts"))
+
+
+def resolved_statuses(log: DataFrame, min_words: int = 80, **also: Column) -> DataFrame:
+    """``(url, status, http_status)`` as ``resolve_attempts`` has them, in one aggregate: titles, messages and hosts are not looked at. ``also`` are aggregates of the log."""
+    narrow = page_status(log, min_words)
+    fields = F.struct("kind", "status", "http_status")
+    fetch, tab = _fetch(), F.col("via") == "tab"
+    last = narrow.groupBy("url").agg(F.max_by(fields, F.when(fetch, F.col("attempt_no"))).alias("f"), F.max_by(fields, F.when(tab, F.col("attempt_no"))).alias("t"),
+                                     F.count_if(fetch).alias("_nf"), F.count_if(tab).alias("_nt"), *(c.alias(k) for k, c in also.items()))
+    from_tab = ((F.col("_nt") > 0) & (F.col("t.kind") != "error")) | (F.col("_nf") == 0)
+    return last.select("url", *(F.when(from_tab, F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("status", "http_status")), *also)

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import stored
+
 #: Rows of one group that share a chunk where the order is a dense position.
 CHUNK_ROWS = 4096
 
@@ -22,6 +24,42 @@ def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / F.lit(rows))
 
 
+#: Rows of a group from which on its order is cut into ranges, and ranges of the larger and the smaller kind.
+HOT_ROWS, RANGES = 1 << 17, 32
+#: Hot groups whose bounds are sent to every worker, some 8 KB each; those of more are joined.
+MOST_HOT = 2000
+
+
+def by_range(df: DataFrame, keys: list[str], at: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with ``_range``, a chunk for orders that begin with the number ``at``: 0 in a group of at most ``hot_rows`` rows, else one of some thousand ranges of about equal size.
+
+    Where the values lie does not matter: a group that has all its rows in one second is cut inside it. Rows of one value share a range. Bounds are approximate quantiles of
+    the hot groups alone, made by partial aggregation; a row finds its range by two comparisons with 32 bounds each, in generated code.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
+    hot = stored(sizes, "hot")
+    n = hot.count()
+    if not n:
+        return df.withColumn("_range", F.lit(0))
+    named = hot.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(named[f"_of_{k}"]) for k in keys))
+    shares = [i / (RANGES * RANGES) for i in range(1, RANGES * RANGES)]
+    few = n <= MOST_HOT
+    rows = df.join(F.broadcast(named) if few else named, same, "left_semi")
+    bounds = stored(rows.groupBy(*keys).agg(F.percentile_approx(at, shares, 20_000).alias("_bounds")), "bounds").withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(bounds[f"_of_{k}"]) for k in keys))
+    if few:
+        placed = df.join(F.broadcast(bounds), same, "left")
+    else:
+        salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        left = df.withColumn("_salt", F.pmod(F.xxhash64(at), F.lit(16)).cast("int"))
+        placed = left.join(salted, reduce(lambda a, b: a & b, (left[k].eqNullSafe(salted[f"_of_{k}"]) for k in keys)) & (left["_salt"] == salted["_salt"]), "left").drop("_salt")
+    above = lambda step, first: sum((F.when(F.col(at) >= F.element_at("_bounds", first + i * step), 1).otherwise(0) for i in range(1, RANGES)), F.lit(0))
+    large = placed.withColumn("_large", F.when(F.col("_bounds").isNotNull(), above(RANGES, F.lit(0))).otherwise(0))
+    small = F.when(F.col("_bounds").isNotNull(), F.col("_large") * RANGES + above(1, F.col("_large") * RANGES)).otherwise(0)
+    return large.withColumn("_range", small).drop("_large", "_bounds", *(f"_of_{k}" for k in keys))
+
+
 def _carried(df: DataFrame, keys: list[str], totals: list[Column], carries: list[Column]) -> DataFrame:
     """``df`` with each chunk's carry columns. ``df`` holds ``_chunk``."""
     per_chunk = df.groupBy(*keys, "_chunk").agg(*totals)

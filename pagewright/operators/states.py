@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.ordered import last_before, salted_join
+from pagewright.operators.ordered import HOT_ROWS, by_range, last_before, salted_join
 
 #: Quiet time after which a turn is no longer waited for, and how long a reserved run may stay without a supervisor.
 IDLE = "10 minutes"
@@ -99,15 +99,15 @@ def group_verdict(results: DataFrame) -> DataFrame:
     return grouped.select("group", F.when(F.col("_bad"), FAILED).when(F.col("_empty"), EMPTY).otherwise(OK).alias("verdict"), "going")
 
 
-def activity_sessions(events: DataFrame, gap_ms: int, key: str = "user_id") -> DataFrame:
+def activity_sessions(events: DataFrame, gap_ms: int, key: str = "user_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(key, start_ts, end_ts, n)``: bursts of activity, split where nothing happened for ``gap_ms``.
 
     ``events`` holds ``(key, ts)`` in milliseconds and ``event_id``. The batch form of a session window, without gathering
     a key: see ``ordered``.
     """
-    day = F.floor(F.col("ts") / 86_400_000)
-    order = ["ts", "event_id"]
-    before = last_before(events.select(key, "ts", "event_id"), [key], order, {"_prev": F.col("ts")}, day)
+    order, chunk = ["ts", "event_id"], F.col("_range")
+    ranged = by_range(events.select(key, "ts", "event_id"), [key], "ts", hot_rows)
+    before = last_before(ranged, [key], order, {"_prev": F.col("ts")}, chunk)
     opens = F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") >= gap_ms)
-    begun = last_before(before, [key], order, {"start_ts": F.when(opens, F.col("ts"))}, day, including=True)
+    begun = last_before(before, [key], order, {"start_ts": F.when(opens, F.col("ts"))}, chunk, including=True)
     return begun.groupBy(key, "start_ts").agg(F.max("ts").alias("end_ts"), F.count("*").alias("n"))

@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.ordered import chunk_of, first_n, last_before, running_sum, salted_join
+from pagewright.operators.ordered import by_range, chunk_of, first_n, last_before, running_sum, salted_join
+from pagewright.session import stored
 
 #: What a run's prompt carries so that its session can be found: ``(<MARKER>:<run id> — ...)``.
 MARKER = "run-marker"
 # The records that frame a turn.
 STARTED, FINAL, FINISHED = "started", "final-started", "finished"
-#: Milliseconds of a timeline that share a chunk.
-DAY_MS = 86_400_000
-
-
 
 def segment_turns(events: DataFrame) -> DataFrame:
     """``events`` with ``turn_no``: 0 before the first turn, then 1, 2, ...
@@ -168,9 +165,9 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
                                   "at", F.lit(2).alias("what"), none.alias("next_ts"))))
     start, task = F.col("what") == 1, F.col("what") == 2
     seen = last_before(
-        line, ["child_id", "parent"], ["at", "what", "turn_no", "run_id"],
+        by_range(stored(line, "timeline"), ["child_id", "parent"], "at"), ["child_id", "parent"], ["at", "what", "turn_no", "run_id"],
         {"_run": F.when(start, F.struct("run_id", "mention", "next_ts")), "_task": F.when(task, F.col("turn_no"))},
-        F.floor(F.col("at") / DAY_MS))
+        F.col("_range")).drop("_range")
     given = task & F.col("_run").isNotNull() & (F.col("_run.next_ts").isNull() | (F.col("at") < F.col("_run.next_ts")))
     late = (F.col("what") == 0) & F.col("_task").isNotNull()
     found = seen.filter(given | late).select(
@@ -258,8 +255,7 @@ def artifact_turn(artifacts: DataFrame, turns: DataFrame) -> DataFrame:
                                                 F.lit(0).alias("what"), F.col("turn_no").alias("_turn"))
     files = artifacts.select("session_id", F.col("mtime").alias("at"), F.lit(1).alias("what"), "rel_path", "path")
     line = files.unionByName(starts, allowMissingColumns=True)
-    owned = last_before(line, ["session_id"], ["at", "what", "_turn", "rel_path"], {"turn_no": F.col("_turn")},
-                        F.floor(F.col("at") / DAY_MS))
+    owned = last_before(by_range(line, ["session_id"], "at"), ["session_id"], ["at", "what", "_turn", "rel_path"], {"turn_no": F.col("_turn")}, F.col("_range"))
     return owned.filter("what = 1").select("session_id", "rel_path", "path", F.col("at").alias("mtime"),
                                            F.coalesce("turn_no", F.lit(0).cast("long")).alias("turn_no"))
 

@@ -20,7 +20,7 @@ E = f"WITH {corpora.EVENTS_SQL}"
 
 @dataclass
 class Store:
-    """The transcript store of one query. Events are typed once and written, their turns beside them; every branch reads the columns it needs."""
+    """The transcript store of one query: events typed and written once, with their turns; every branch reads the columns it needs."""
     spark: SparkSession
     sf_dir: str
 
@@ -34,10 +34,9 @@ class Store:
 
     @cached_property
     def events(self) -> DataFrame:
-        # written once; a record's turn lies in a narrow table, and each branch joins the columns it needs
-        typed = stored(self.typed, "events")
-        counted = turns.segment_turns(typed.select("session_id", "index", "kind", "lifecycle")).select("session_id", "index", "turn_no")
-        return typed.join(stored(counted, "turn-numbers"), ["session_id", "index"])
+        # turns are numbered from a narrow reading of the records; events are then written once, each with its turn, and every branch reads the columns it needs
+        counted = stored(turns.segment_turns(self.typed.select("session_id", "index", "kind", "lifecycle")).select("session_id", "index", "turn_no"), "turn-numbers")
+        return stored(self.typed.join(counted, ["session_id", "index"]), "events")
 
     @cached_property
     def turns(self) -> DataFrame:

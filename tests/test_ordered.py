@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.operators import ordered
+from pagewright.operators.states import activity_sessions
 
 
 def hot(spark, n: int = 3000):
@@ -38,6 +39,47 @@ def test_last_before(spark) -> None:
         assert same(key(got), key(want))
 
 
+def test_ranges_cut_a_group_that_lies_in_one_second(spark, monkeypatch) -> None:
+    """Groups of very different spreads, a null group, values that repeat, whichever way bounds reach the rows."""
+    rng = random.Random(2)
+    data = [("hot", rng.randint(0, 900) if i % 3 else 5, i) for i in range(4000)] + [(None, rng.randint(0, 10 ** 12), i) for i in range(900)]
+    data += [(f"g{i % 40}", rng.choice([None, i]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, at bigint, i bigint")
+    order = ["at", "i"]
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("l", F.last("i", ignorenulls=True).over(w))
+    for most in (2000, 0):
+        monkeypatch.setattr(ordered, "MOST_HOT", most)
+        ranged = ordered.by_range(df, ["g"], "at", 500)
+        rows = ranged.collect()
+        assert len(rows) == len(data) and {r._range for r in rows if r.g not in ("hot", None)} == {0}
+        sizes = {}
+        for r in rows:
+            sizes.setdefault(r.g, {}).setdefault(r._range, []).append(r.at)
+        assert len(sizes["hot"]) > 300 and len(sizes[None]) > 500
+        assert max(len(v) for k, v in sizes["hot"].items() if 5 not in v) < 60 and max(map(len, sizes[None].values())) < 10
+        for held in sizes.values():
+            bounds = [(min(v), max(v)) for _, v in sorted(held.items()) if None not in v]
+            assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+        assert same(ordered.last_before(ranged, ["g"], order, {"l": F.col("i")}, F.col("_range")).select("g", "i", "l"), want.select("g", "i", "l"))
+
+
+def test_bursts_of_a_user_with_one_day_equal_plain_windows(spark) -> None:
+    rng = random.Random(3)
+    rows = [("busy", rng.randint(0, 60_000), i) for i in range(3000)] + [(f"u{i % 9}", rng.randint(0, 10 ** 9), i) for i in range(200)]
+    got = {(r.user_id, r.start_ts, r.end_ts, r.n) for r in activity_sessions(spark.createDataFrame(rows, "user_id string, ts bigint, event_id bigint"), 90, hot_rows=200).collect()}
+    want = set()
+    for user in {r[0] for r in rows}:
+        times = sorted(r[1] for r in rows if r[0] == user)
+        start, n = times[0], 0
+        for at, after in zip(times, [*times[1:], None]):
+            n += 1
+            if after is None or after - at >= 90:
+                want.add((user, start, at, n))
+                start, n = after, 0
+    assert got == want and sum(w[0] == "busy" for w in want) > 20
+
+
 def test_first_n(spark) -> None:
     df, w = hot(spark), Window.partitionBy("g").orderBy("i")
     want = df.withColumn("_rank", F.row_number().over(w)).filter("_rank <= 7")

@@ -105,6 +105,23 @@ def test_walks_are_breadth_first(table, seed, width) -> None:
             assert mine == want
 
 
+@pytest.mark.parametrize("cap", [1, 2, 7, 30, 1000])
+def test_a_walk_that_stops_at_its_cap_lists_what_the_whole_walk_does(table, cap) -> None:
+    rng = random.Random(cap)
+    names = {s: [f"https://{s}.test/p{i:02}" for i in range(n)] for s, n in (("a", 60), ("b", 12), ("c", 3))}
+    rows = [(src, pos, rng.choice(own)) for own in names.values() for src in own if rng.random() < 0.8 for pos in range(rng.randint(0, 3))]
+    edges, roots = table("src string, pos bigint, dst string", rows), table("root string", [(own[0],) for own in names.values()])
+    whole, cut = (sitegraph.discover(edges, roots, 5, c).collect() for c in (None, cap))
+    for own in names.values():
+        mine = [r for r in whole if r.root == own[0]]
+        kept = [sum(r.depth <= d for r in mine) for d in range(6)]
+        last = next((d for d, n in enumerate(kept) if n >= cap), 5)
+        # the level that fills it is asked, so its misses count; nothing below it is read
+        assert {tuple(r) for r in cut if r.root == own[0]} == {tuple(r) for r in mine if r.depth <= last}
+    first = lambda walk: sorted(map(tuple, sitegraph.cap_urls(walk, cap).collect()))
+    assert first(sitegraph.discover(edges, roots, 5, cap)) == first(sitegraph.discover(edges, roots, 5))
+
+
 def test_numbers_sort_as_text(table) -> None:
     n = [0, 9, 10, 99, 100, 12_345_678, 10**17, 2**62]
     got = [r.s for r in table("n bigint", [(x,) for x in n]).select(sitegraph.sortable(F.col("n")).alias("s")).collect()]
@@ -252,6 +269,8 @@ def test_attempts_resolve_like_a_plain_reading(table, seed) -> None:
             error = "; ".join(e for e in (base, f"in a tab: {tell(tab)}") if e) if tab else f"{base}; in a tab: {tell(said[host(r.url)])}" if fetch == "threw" and host(r.url) in said else base
             assert (r.via, r.status, r.error) == ("fetch", fetch if fetch in BODIES else "error", error)
         assert r.attempts == len(log[r.url])
+    narrow = {(r.url, r.status, r.http_status) for r in attempts.resolved_statuses(rows).collect()}
+    assert narrow == {(r.url, r.status, r.http_status) for r in attempts.resolve_attempts(rows).collect()}
 
 
 def test_batches(table) -> None:
