@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.events import event_sources, tool_calls
+from pagewright.operators.events import UNREAD, event_sources, tool_calls
 
 # Tools whose results this reads.
 KNOWN_TOOLS = ["websearch", "webfetch", "repl", "bash", "read_file", "subagent", "subagent_wait", "write_todos", "get_time",
@@ -18,8 +18,8 @@ def known_tools_audit(events: DataFrame, known: list[str] | None = None) -> Data
 
 
 def unread_records(events: DataFrame) -> DataFrame:
-    """``(session_id, unread)`` of sessions with records of an unknown role."""
-    return events.filter(F.col("kind") == "raw").groupBy("session_id").agg(F.count("*").alias("unread"))
+    """``(session_id, unread)`` of sessions with records of an unknown role, or too large to read."""
+    return events.filter(F.col("kind").isin(*UNREAD)).groupBy("session_id").agg(F.count("*").alias("unread"))
 
 
 def record_counts(records: DataFrame, events: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def session_profile(events: DataFrame) -> DataFrame:
 
 def session_kinds(events: DataFrame) -> DataFrame:
     """Per session: events of each kind, tokens, and the time from its first record to its last."""
-    kinds = ["user", "assistant", "tool_result", "system", "lifecycle", "meta", "raw"]
+    kinds = ["user", "assistant", "tool_result", "system", "lifecycle", "meta", *UNREAD]
     return events.groupBy("session_id").agg(
         *(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.sum("usage.total_tokens").alias("total_tokens"),
         (F.max("ts") - F.min("ts")).alias("span_ms"))

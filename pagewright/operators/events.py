@@ -153,6 +153,8 @@ def _usage(record: Column) -> Column:
                     F.coalesce(_get(record, "$.usage.cost.total", "double"), F.lit(0.0)).alias("cost"))
 
 
+#: Kinds of records that could not be read: of an unknown role or no JSON, and larger than the engine's variant type holds.
+UNREAD = ("raw", "oversized")
 #: From this size on a record may not fit the engine's variant type.
 VARIANT_BYTES = 128 * 1024 * 1024
 
@@ -170,7 +172,7 @@ def normalize_events(records: DataFrame) -> DataFrame:
              .withColumn("tool_name", F.coalesce(_get(F.col("_r"), "$.toolName"), F.lit("")))
              .withColumn("is_error", F.coalesce(_get(F.col("_r"), "$.isError", "boolean"), F.lit(False))))
     is_result, is_message = F.col("kind") == "tool_result", F.col("kind").isin("assistant", "user")
-    content = (F.when(is_message, spoken_text(F.col("_content"))).when(F.col("kind").isin("raw", "oversized"), F.col("raw"))
+    content = (F.when(is_message, spoken_text(F.col("_content"))).when(F.col("kind").isin(*UNREAD), F.col("raw"))
                .otherwise(flatten_content(F.col("_content"))))
     read = typed.withColumn("content", F.coalesce(content, F.lit("")))
     stop = F.when(F.col("kind") == "assistant", F.coalesce(mapped(STOPS, _get(F.col("_r"), "$.stopReason")), F.lit(""))).otherwise("")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from pagewright.operators.events import UNREAD
 from pagewright.operators.ordered import chunk_of, numbered, running_sum
 
 LEVELS = ["progress", "steps", "full", "raw"]
@@ -103,13 +104,13 @@ def _detail(full: bool, widths: Widths) -> Column:
                     F.length("content").cast("string"), F.lit("B"),
                     F.when(count > 0, F.concat(F.lit(" sources="), count.cast("string"))).otherwise(""))
     result = F.array(line, F.when(F.lit(full) & (F.col("content") != ""), text(OUTPUT_CHARS)))
-    raw = F.concat(F.lit("raw["), F.col("index").cast("string"), F.lit("] "), cut(F.col("content"), widths.raw))
+    raw = F.concat(F.col("kind"), F.lit("["), F.col("index").cast("string"), F.lit("] "), cut(F.col("content"), widths.raw))
     return (F.when(F.col("kind") == "user", F.array(F.concat(F.lit("user: "), text(widths.prompt))))
             .when(F.col("kind") == "assistant", message)
             .when(F.col("kind") == "tool_result", result)
             .when(F.col("kind") == "system", F.array(F.concat(F.lit("system: "), text(widths.system))))
             .when(F.col("kind") == "lifecycle", F.array(F.concat(F.lit("turn "), F.col("lifecycle"))))
-            .when(F.col("kind") == "raw", F.array(raw)))
+            .when(F.col("kind").isin(*UNREAD), F.array(raw)))
 
 
 def log_lines(scoped: DataFrame, level: str = "progress", widths: Widths = Widths()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.events import UNREAD
 from pagewright.operators.ordered import HOT_ROWS, by_range, last_before, salted_join
 
 #: Quiet time after which a turn is no longer waited for, and how long a reserved run may stay without a supervisor.
@@ -83,7 +84,7 @@ def empty_result(results: DataFrame) -> DataFrame:
 
 def unread_note(scoped: DataFrame) -> DataFrame:
     """``(run_id, unread, note)`` of runs with records that could not be read."""
-    counted = scoped.groupBy("run_id").agg(F.count_if(F.col("kind") == "raw").alias("unread")).filter("unread > 0")
+    counted = scoped.groupBy("run_id").agg(F.count_if(F.col("kind").isin(*UNREAD)).alias("unread")).filter("unread > 0")
     return counted.withColumn("note", F.concat(
         F.col("unread").cast("string"), F.when(F.col("unread") == 1, " record").otherwise(" records"),
         F.lit(" in this run's transcript could not be read")))

@@ -5,6 +5,6 @@ from pyspark.sql import DataFrame
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table that was just read, dealt over the cores if it has fewer files than there are cores; the operators take any layout."""
+    """A table that was just read, dealt over the cores if it comes in fewer splits than there are cores; the operators take any layout."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if len(table.inputFiles()) >= cores else table.repartition(cores, key)
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

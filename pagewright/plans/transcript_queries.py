@@ -597,7 +597,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("session_kinds", f"""{E} SELECT session_id, count(*) FILTER (kind = 'user') AS "user", count(*) FILTER (kind = 'assistant') AS assistant,
   count(*) FILTER (kind = 'tool_result') AS tool_result, count(*) FILTER (kind = 'system') AS "system", count(*) FILTER (kind = 'lifecycle') AS lifecycle,
-  0 AS meta, 0 AS raw, sum(tokens)::BIGINT AS total_tokens, max(ts) - min(ts) AS span_ms FROM ev GROUP BY session_id""")
+  0 AS meta, 0 AS raw, 0 AS oversized, sum(tokens)::BIGINT AS total_tokens, max(ts) - min(ts) AS span_ms FROM ev GROUP BY session_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return audit.session_kinds(Store(spark, d).typed)
 

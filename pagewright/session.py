@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,17 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package on a cluster that has not installed it: the source tree goes along as a zip file, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_pagewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp()) / "pagewright_workers.zip"
+    with zipfile.ZipFile(zipped, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(Path("pagewright") / file.relative_to(root)))
+    context.addPyFile(str(zipped))
+    context._pagewright_shipped = True

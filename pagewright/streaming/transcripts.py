@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pagewright.operators.events import normalize_events
+from pagewright.session import ship_package
 from pagewright.sources.transcripts import SESSION, placed_lines, session_named, transcript_lines
 
 #: The session and the byte a segment's path names.
@@ -109,7 +110,8 @@ class _Follow(StatefulProcessor):
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """Keyed state with lists, maps and timers needs the engine's embedded store; a session that names none gets it."""
+    """Keyed state with lists, maps and timers needs the engine's embedded store; a session that names none gets it. Workers get this package, which says what state does."""
+    ship_package(spark)
     store = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(store, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

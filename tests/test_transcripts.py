@@ -378,6 +378,18 @@ def test_group_verdicts(table) -> None:
         assert got[str(i)] == (4 if bad else 5 if all(e and s != "running" for s, e in g) else 0, going)
 
 
+def test_a_record_too_large_to_read_is_shown_and_counted(table, scripted, monkeypatch) -> None:
+    monkeypatch.setattr(events, "VARIANT_BYTES", 40)
+    typed = events.normalize_events(table("session_id string, index bigint, raw string", [("s", 0, "not json " * 9), ("s", 1, "short"), ("s", 2, '{"role": "user", "content": "' + "x" * 90 + '"}')]))
+    assert [r.kind for r in typed.orderBy("index").collect()] == ["oversized", "raw", "user"]
+    assert audit.unread_records(typed).first().unread == 2
+    counts = audit.session_kinds(typed).first()
+    assert (counts.oversized, counts.raw, counts.user) == (1, 1, 1)
+    scoped = typed.selectExpr("*", "'r' as run_id", "'' as child_id", "-1L as stream")
+    assert states.unread_note(scoped).first().unread == 2
+    assert [r.line.split("]")[0] for r in logs.log_lines(scoped, "steps").orderBy("line_no").collect()][:2] == ["oversized[0", "raw[1"]
+
+
 def test_empty_and_unread(table, scripted) -> None:
     rows = table("run_id string, answer string, sources_total bigint", [("a", " \n", None), ("b", "nothing was found", 0), ("c", None, 2), ("d", None, 0)])
     assert {r.run_id for r in states.empty_result(rows).filter("empty").collect()} == {"a", "d"}
