@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 import sys
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import stored
+from pagewright.session import ship_package, stored
 
 #: Bytes A-Z to a-z, every other byte as it is; parts of longer UTF-8 sequences lie outside A-Z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -74,22 +73,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package on a cluster that has not installed it: the source tree goes along as a zip file, once a session."""
-    context = spark.sparkContext
-    if getattr(context, "_pagewright_shipped", False):
-        return
-    import tempfile
-    import zipfile
-    root = Path(__file__).resolve().parent.parent
-    zipped = Path(tempfile.mkdtemp()) / "pagewright_workers.zip"
-    with zipfile.ZipFile(zipped, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, str(Path("pagewright") / file.relative_to(root)))
-    context.addPyFile(str(zipped))
-    context._pagewright_shipped = True
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: ``(node, root)``, root the smallest node reachable.
 
