@@ -10,7 +10,7 @@ from pagewright.plans import corpora, sqltext
 from pagewright.plans.page_queries import LAST
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch
-from pagewright.session import reliable
+from pagewright.session import reliable, stored
 from pagewright.sources import manifests
 
 DEPTH = 3
@@ -95,6 +95,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return links.dropped_other_origin(corpora.sitemap_records(spark, d).select("root", "url"))
 
 
+@query("dropped_over_crawls", f"""{LISTED} SELECT root, count(DISTINCT url) AS n FROM listed
+  WHERE url LIKE 'http%' AND {sqltext.site_of('url')} <> {sqltext.site_of('root')} GROUP BY root""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # three crawls that saw different parts, written down as sketches
+    crawled = corpora.sitemap_records(spark, d).select("root", "url", F.pmod("ord", F.lit(3)).alias("crawl_id"))
+    return links.dropped_over_crawls(stored(links.dropped_sketches(crawled), "sketches"))
+
+
 @query("sitemap_candidates", f"""{SITES} SELECT root, o || p AS url FROM (
   SELECT root, {sqltext.ext('root', '^([A-Za-z]+://[^/?#]*)')} AS o, unnest(['/sitemap.xml', '/robots.txt']) AS p FROM roots)""")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -209,6 +209,19 @@ def test_other_documents_are_refused(spark, tmp_path, doc) -> None:
         manifests.read_manifest(spark, str(tmp_path)).collect()
 
 
+def test_sketches_of_crawls_unite_within_their_error(table) -> None:
+    rng = random.Random(1)
+    rows = [(f"https://{'ab'[i % 2]}.test/", f"https://o{rng.randrange(30_000 if i % 2 else 200)}.test/p#{i}", i % 5) for i in range(60_000)]
+    rows += [("https://a.test/", "https://a.test/own", 1), ("https://a.test/", "mailto:x@y", 1)]
+    found = table("root string, url string, crawl_id int", rows)
+    sketches = links.dropped_sketches(found, bits=12)
+    exact = {r.root: r.n for r in links.dropped_other_origin(found.select("root", "url")).collect()}
+    got = {r.root: r.n for r in links.dropped_over_crawls(sketches).collect()}
+    assert exact["https://a.test/"] == got["https://a.test/"] == 200
+    assert abs(got["https://b.test/"] - exact["https://b.test/"]) < 3 * 1.04 / 64 * exact["https://b.test/"]
+    assert sketches.count() == 10
+
+
 # --- attempts ---
 
 LOG = "url string, attempt_no int, via string, status int, content_type string, kind string, text string, error string, threw boolean"
