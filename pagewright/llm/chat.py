@@ -95,7 +95,8 @@ def paths(conversations: DataFrame) -> DataFrame:
     """``(conv_id, way, turns)``: each conversation with its turns in order and its way down, a hash of all turns so far for each turn.
 
     Null roles and texts are empty. Turns of equal number go by role and text; a null number comes first; rows repeated are turns of their own. A
-    conversation is one row: its size is its own.
+    conversation is one row: its size is its own. Rows without a ``conv_id`` are one conversation. An empty table gives no rows; columns beside ``conv_id, turn, role,
+    text`` are not looked at.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -101,8 +101,8 @@ def exact_classes(docs: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
     """``(_row, doc_id, n_bytes, text_sha256, keep_id, group_size, kept)``, one row for each row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and empty texts are equal to each other. The row
-    with the largest ``doc_id`` stays (a null id is the smallest); of rows repeated under that id, one stays. ``docs`` is read once: its ids
-    and texts are written with ``_row``, a number for each row, and read again from there. Other columns of ``docs`` are not looked at.
+    with the largest ``doc_id`` stays (a null id is the smallest); of rows repeated under that id, one stays. ``_row`` is a number that stays with each row. Long texts
+    are compared chunk by chunk; an empty table gives no rows; other columns of ``docs`` are not looked at.
     """
     return _classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))), hash_chunk)
 

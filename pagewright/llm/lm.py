@@ -283,7 +283,8 @@ def perplexities(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     """Every row's log10 probability under a model of the rows whose fold of ``held_out_of`` is not 0, beside a base's.
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; perplexity is ``10 ** (-score / n_tokens)``. A null text is empty and
-    has one token, its end. A null id's fold is that of the empty text. Without training rows every word has the same probability.
+    has one token, its end. A null id's fold is that of the empty text. Without training rows every word has the same probability. Long texts are scored whole; rows
+    repeated count as often in training and are each scored; an empty table gives no rows; other columns of ``docs`` are not looked at.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), held_out_of) == 0).alias("held_out"), text_of().alias("text"))
     learned = given.filter("not held_out").select("text")

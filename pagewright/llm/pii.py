@@ -113,7 +113,8 @@ def discovered(spans: DataFrame, found: DataFrame) -> DataFrame:
 def personal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, spans)``: every row's ``(_row, doc_id)``, and ``(_row, kind, start, end, value, base)``, discovered spans without those that touch a base one.
 
-    Code points, end exclusive. A null text is empty and has none. ``docs`` is read once: ids and texts are written with ``_row``, a number for each row.
+    Code points, end exclusive. A null text is empty and has none; a long one is read whole; rows repeated have their spans each; of kinds that tie for a discovered
+    one the first in ``KINDS`` counts; an empty table has neither rows nor spans; other columns of ``docs`` are not looked at. ``docs`` is read once: ids and texts are written with ``_row``, a number for each row.
     """
     given = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     spans = stored(base_spans(given.select("_row", "text")), "spans")

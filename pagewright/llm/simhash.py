@@ -92,7 +92,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """``(_row, doc_id, fp, component_id)`` of every row: the smallest ``doc_id`` reachable over links of at most two bits.
 
     Rows of one fingerprint are one node. Null ids are never a component's id unless all of its ids are null. ``docs`` may hold any other
-    columns. ``_row`` is a number for each row, given as ``docs`` is read, which is once.
+    columns. ``_row`` is a number for each row, given as ``docs`` is read, which is once. Long texts are read whole, an empty table gives no rows.
     """
     return _classes(fingerprints(docs))
 

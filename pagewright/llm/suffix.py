@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` of every row; ``spans`` are the removed byte ranges, null where there is none.
 
     Earlier means a smaller ``doc_id`` (null the smallest), or the same row and an earlier byte; rows of one id go in the order of the plan. A null text is
-    empty; texts under ``LENGTH`` bytes lose nothing. ``docs`` is read once: ids and texts are written with a number for each row.
+    empty; texts under ``LENGTH`` bytes lose nothing. An empty table gives no rows; other columns of ``docs`` are not looked at. Rows have numbers that stay with them.
     """
     ship_package(docs.sparkSession)
     given = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).select("_row", "doc_id", "text")

@@ -104,6 +104,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
 
 
 def search_table(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
-    """The search whose queries are the rows with an id divisible by ``every``."""
+    """The search whose queries are the rows with an id divisible by ``every``. Vectors that are null or hold a component that is null or not finite take no part, nor do
+    rows without an id; ties go to the smaller id; an empty table finds nothing; other columns are not looked at."""
     x = integers(vectors)
     return search(x.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), x, k)

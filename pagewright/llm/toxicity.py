@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     """A model of the labelled rows whose fold of four is not 2: folds 0 and 1 make the dictionaries, fold 3 calibrates.
 
     The sample's rows, windows and fragments are bounded by the parameters; everything counted over it is counted in Spark. Labels that are null or
-    neither 0 nor 1 are left out; a document labelled twice counts by its larger label. Without labels every score is one half.
+    neither 0 nor 1 are left out; a document labelled twice counts by its larger label. Without labels every score is one half. Texts are windowed whole, however
+    long; rows repeated count as often as they come; of ids with one hash the smaller is sampled first. Other columns are not looked at.
     """
     ship_package(docs.sparkSession)
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -197,13 +198,18 @@ def _above(seen: dict[float, int], share: float) -> float:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; a null text counts as empty."""
+    """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; a null text counts as empty.
+
+    Texts are scored whole, however long; rows repeated have one score and come as often; a null id is in the fold of the empty text; an empty table gives no rows.
+    Other columns of ``docs`` are not looked at.
+    """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), model.column().alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that do not count as toxic, all their columns."""
+    """The rows of ``docs`` that do not count as toxic, all their columns, whatever their names. A null text counts as empty; rows repeated stay or go together;
+    a score at the limit goes; an empty table stays empty."""
     model = train(docs, labels)
     score = unused(docs, "_score")
     return docs.withColumn(score, model.column()).filter(F.col(score) < REJECT).drop(score)
