@@ -24,10 +24,16 @@ FIRST_STEP = 16
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``(vec_id, x)``: components floored to integers. Vectors that are null, empty or hold a null or non-finite component, or without an id, are left out."""
+    """``(vec_id, x)``: components floored to integers. Vectors that are null, empty or hold a null or non-finite component, or without an id, are left out.
+
+    A vector with a component so large that an inner product could pass 64 bits is refused with an error: no score is ever wrong.
+    """
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.filter("vec_id is not null").filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"),
-                                                                    F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("x"))
+    most = F.sqrt(F.lit(float(1 << 62)) / F.size("embedding"))
+    small = F.forall("embedding", lambda c: F.abs(c.cast("double") * scale) <= most)
+    floored = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("long"))
+    refused = F.raise_error(F.concat(F.lit("products of this vector's components could pass 64 bits: "), F.col("vec_id").cast("string"))).cast("array<bigint>")
+    return vectors.filter("vec_id is not null").filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.when(small, floored).otherwise(refused).alias("x"))
 
 
 class Lists:

@@ -83,6 +83,16 @@ def test_exact_classes_equal_a_plain_grouping(docs, hash_chunk):
     assert set(kept.values()) == {1}
 
 
+def test_groups_of_many_copies_are_compared_beside_several_of_the_first(spark, monkeypatch):
+    """Of some 2,000 rows of one fingerprint two texts are meant; each is a class of its own."""
+    monkeypatch.setattr(exact, "GROUP_ROWS", 50)
+    rows = [(i, "SAME text" if i % 3 else "some TEXT", "en", "a", 1, "mine", 7) for i in range(2000)] + [(5000, "long " * 40_000, "en", "a", 1, "mine", 7)] * 120
+    got = exact.exact_classes(spark.createDataFrame(rows, SCHEMA).repartition(5), lambda chunk: (len(chunk), 1, 2)).collect()
+    sizes = Counter((low(r[1])) for r in rows)
+    assert Counter(r.group_size for r in got) == Counter(sizes[low(r[1])] for r in rows) and sum(r.kept for r in got) == 3
+    assert {(r.keep_id, r.group_size) for r in got} == {(1999, 1333), (1998, 667), (5000, 120)}
+
+
 def test_exact_dedup_keeps_one_row_of_each_text_and_its_columns(docs):
     out = exact.exact_dedup(docs)
     assert out.columns == docs.columns
@@ -409,6 +419,28 @@ def test_no_labels_and_one_class(docs, spark):
     assert toxicity.scores(docs, toxicity.train(docs, one)).count() == len(sample())
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_a_piece_goes_to_the_tightest_of_all_compatible_bins(seed):
+    """Beside trying every bin: of equal residuals the one that has had its residual longest."""
+    rng = np.random.default_rng(seed)
+    capacity, most = 60, 2
+    bins, plain_bins = packing.Bins(capacity, most), []
+    for step in range(400):
+        size, source, cluster = int(rng.integers(0, 40)), int(rng.integers(0, 5)), int(rng.integers(0, 200)) * 64 * int(rng.integers(0, 2)) + int(rng.integers(0, 90))
+        fits = [(b["left"], b["since"], i) for i, b in enumerate(plain_bins)
+                if b["left"] >= size and cluster not in b["clusters"] and len(b["sources"] | {source}) <= max(most, len(b["sources"]))]
+        if fits:
+            chosen = min(fits)[2]
+        else:
+            chosen = len(plain_bins)
+            plain_bins.append({"left": capacity, "since": step, "clusters": set(), "sources": set()})
+        b = plain_bins[chosen]
+        assert bins.put(size, source, cluster) == (chosen, capacity - b["left"])
+        b["left"], b["since"] = b["left"] - size, step
+        b["clusters"].add(cluster)
+        b["sources"].add(source)
+
+
 def test_a_mix_is_the_same_whatever_files_its_rows_lie_in(spark, tmp_path):
     """Many texts of one size tie, some rows share an id or have none, some are repeated whole."""
     rng = np.random.default_rng(8)

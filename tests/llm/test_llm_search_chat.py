@@ -26,6 +26,26 @@ def test_threshold_search_equals_all_products(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_search_over_several_blocks_of_either_side(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-4, 5, (700, 5))
+    got = [tuple(r) for r in topk.search_table(spark.createDataFrame([(i, [float(c) / 256 for c in v]) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()]
+    want = []
+    for q in range(0, 700, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:5]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_products_past_64_bits_are_refused(spark):
+    table = lambda v: spark.createDataFrame([(0, [1.0, 1.0]), (1, v)], "vec_id long, embedding array<double>")
+    assert topk.search_table(table([5e6, -5e6])).count() == 2 - 1
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search_table(table([1e17, 1.0])).collect()
+
+
 def test_search_stops_before_the_end():
     rng = np.random.default_rng(0)
     x = rng.integers(-50, 50, (2000, 3))
