@@ -157,18 +157,20 @@ def _last(condition: Column, code: Column) -> Column:
 
 
 def turn_state(events: DataFrame) -> DataFrame:
-    """Per session: whether its last turn is open, when it last wrote, and how many different children it named.
+    """Per session: whether its last turn is open, when it last wrote, and how many different children it named; which of them are pending, ``runs.stream_runs`` says.
 
     Works on a stream (in update mode, or complete) and on a table alike; the batch form is the stream's check. The last
     record of a kind is a numeric maximum, see ``operators.turns.turns_of``.
     """
     phase = F.when(F.col("lifecycle") == "finished", 2).when(F.col("lifecycle") == "final-started", 1).otherwise(0)
     spoken = F.when(F.col("kind") != "assistant", 0).when(F.col("stop") == "end", 1).when(F.col("stop") == "error", 2).otherwise(3)
-    states = events.groupBy("session_id").agg(
+    # a row for each child a record names, so the state holds each child once, however often it is named
+    named = events.select("session_id", "index", "kind", "lifecycle", "stop", "at", F.posexplode_outer("child_ids").alias("_pos", "_child"))
+    states = named.groupBy("session_id").agg(
         _last(F.col("lifecycle") != "", phase).alias("_phase"),
         _last(F.col("kind").isin("user", "assistant", "tool_result"), spoken).alias("_spoken"),
-        F.max("at").alias("last_at"), F.count("*").alias("records"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("child_ids")))).cast("long").alias("children_named"))
+        F.max("at").alias("last_at"), F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).alias("records"),
+        F.size(F.collect_set("_child")).cast("long").alias("children_named"))
     closed = F.when(F.col("_phase").isNotNull(), F.col("_phase") % 4 == 2).otherwise(F.coalesce((F.col("_spoken") % 4).isin(1, 2), F.lit(False)))
     return states.select("session_id", (~closed).alias("open"), "last_at", "records", "children_named")
 

@@ -459,6 +459,40 @@ def test_transcripts_are_cut_at_line_feeds_alone(spark, tmp_path) -> None:
         assert data[r.byte_start:].decode("utf-8", "ignore").startswith(r.raw)
 
 
+def test_records_are_the_same_however_files_are_split_and_when_that_changes(spark, tmp_path, monkeypatch) -> None:
+    """Blocks of one scan only: the size of a split changes right after the lines were read."""
+    rng = random.Random(6)
+    want = {}
+    for s in range(3):
+        lines = ["" if rng.random() < 0.1 else f"{i} " + "é" * rng.randint(0, 60) for i in range(400 * (s + 1))]
+        (tmp_path / f"2025-03-04_T{s}").mkdir()
+        (tmp_path / f"2025-03-04_T{s}" / "messages.jsonl").write_text("\n".join(lines) + "\nnot ended")
+        at = n = 0
+        for line in lines:
+            if line:
+                want[f"T{s}", n] = (at, line)
+                n += 1
+            at += len(line.encode()) + 1
+    size, least = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
+    was, written = spark.conf.get(size), transcripts.stored
+
+    def moving(df, name, **options):
+        out = written(df, name, **options)
+        spark.conf.set(size, "20000")
+        spark.conf.set(least, "1")
+        return out
+    monkeypatch.setattr(transcripts, "stored", moving)
+    try:
+        for bytes_, parts in ((4000, 8), (50_000, 1)):
+            spark.conf.set(size, str(bytes_))
+            spark.conf.set(least, str(parts))
+            got = {(r.session_id, r["index"]): (r.byte_start, r.raw) for r in transcripts.scan_transcripts(spark, str(tmp_path)).collect()}
+            assert got == want
+    finally:
+        spark.conf.set(size, was)
+        spark.conf.unset(least)
+
+
 def test_printed_answers(spark, tmp_path) -> None:
     dim = lambda s: f"\x1b[2m{s}\x1b[0m"
     logs_ = {"plain": "  only\nwords \n", "tools": f"get(https://t.test/1,) {dim('out')} go https://t.test/2\n{dim('more')}\n\x1b[1mFinal\x1b[0m words\n", "silent": dim("nothing after")}
