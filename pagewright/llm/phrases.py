@@ -28,7 +28,9 @@ LEAST, LISTED = 30, 2000
 #: One text of so many proposes; of the occurrences expected there a phrase needs ``LOWERED``, so that few frequent ones are missed.
 SAMPLE_OF, LOWERED = 4, 0.7
 #: Bytes of texts cut into words at once, words and counts a task holds, and phrases in one file of known ones.
-AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 18, 1 << 18, 1 << 20, 22
+AT_ONCE, HELD_WORDS, HELD_COUNTS, FILE_BITS = 1 << 18, 1 << 20, 1 << 21, 22
+#: Tasks that rows of one hot phrase or word are dealt to, and copies of the other side.
+SALTS = 4
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in _SEPARATORS else 32 if b == 9 else b for b in range(256))
@@ -257,8 +259,8 @@ def spelled(found: DataFrame, level: int, known: DataFrame, words: DataFrame) ->
     ends = words.select("lang", "last", F.col("phrase").alias("_last"))
     before = known.filter(F.col("level") == level - 1).select("lang", F.col("key").alias("prev"), F.col("phrase").alias("_prev"))
     here = found.filter(F.col("level") == level).select("prev", "last", F.col("n").alias("f"))
-    one = salted_join(here, before, ["prev"], F.col("last"))
-    two = salted_join(one, ends, ["lang", "last"], F.col("prev"))
+    one = salted_join(here, before, ["prev"], F.col("last"), salts=SALTS)
+    two = salted_join(one, ends, ["lang", "last"], F.col("prev"), salts=SALTS)
     return two.select("lang", F.concat_ws(" ", "_prev", "_last").alias("phrase"), F.lit(level).alias("level"), "f")
 
 
@@ -341,7 +343,7 @@ def scored(phrases: DataFrame) -> DataFrame:
     joined = lambda part: F.array_join(part, " ")
     cuts = cuts.select("lang", "phrase", "a", "k", joined(F.slice("_w", F.lit(1), F.col("k"))).alias("_first"), joined(F.slice("_w", F.col("k") + 1, F.size("_w"))).alias("_rest"))
     for part, out in (("_first", "l"), ("_rest", "r")):
-        cuts = salted_join(cuts, phrases.select("lang", F.col("phrase").alias(part), F.col("f").alias(out)), ["lang", part], F.col("phrase"))
+        cuts = salted_join(cuts, phrases.select("lang", F.col("phrase").alias(part), F.col("f").alias(out)), ["lang", part], F.col("phrase"), salts=SALTS)
     exact = F.expr("cast(cast(a as decimal(20,0)) * cast(2000000 as decimal(7,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0))) as bigint)")
     best = cuts.withColumn("score", exact).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     return best.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
