@@ -42,29 +42,36 @@ def detached_retry(log: DataFrame) -> DataFrame:
             .filter((F.col("_n") == 1) & (F.col("_d") == 1)).select("url"))
 
 
-def judged(log: DataFrame, min_words: int = 80) -> DataFrame:
+def judged(log: DataFrame, min_words: int = 80, place: str | None = None) -> DataFrame:
     """Each attempt with its status, without its body."""
     ready = log.withColumn("_threw", F.coalesce(F.col("threw"), F.lit(False)))
     return page_status(ready, min_words).select("url", "attempt_no", "via", F.col("kind"), F.col("_threw").alias("threw"), "status",
-                                                "http_status", "error", "words", "title", "body_kind", "ext")
+                                                "http_status", "error", "words", "title", "body_kind", "ext", *([place] if place else []))
 
 
-def _per_url(attempts: DataFrame) -> DataFrame:
+def _number(place: str | None) -> Column:
+    """What the last attempt is the largest of: its number, and of one number, where a URL was listed more than once, the first ``place``."""
+    if place is None:
+        return F.col("attempt_no")
+    return F.when(F.col("attempt_no").isNotNull(), F.struct("attempt_no", (-F.col(place)).alias("_place")))
+
+
+def _per_url(attempts: DataFrame, place: str | None = None) -> DataFrame:
     """The last fetch and the last tab of each URL."""
     fields = F.struct("kind", "threw", "status", "http_status", "error", "words", "title", "body_kind", "ext")
     fetch, tab = _fetch(), F.col("via") == "tab"
     return attempts.groupBy("url").agg(
-        F.max_by(fields, F.when(fetch, F.col("attempt_no"))).alias("_f_any"),
-        F.max_by(fields, F.when(tab, F.col("attempt_no"))).alias("_t_any"),
+        F.max_by(fields, F.when(fetch, _number(place))).alias("_f_any"),
+        F.max_by(fields, F.when(tab, _number(place))).alias("_t_any"),
         F.count_if(fetch).alias("_nf"), F.count_if(tab).alias("_nt"),
         F.min("attempt_no").alias("_first")).select(
             "url", "_nf", "_nt", "_first", F.when(F.col("_nf") > 0, F.col("_f_any")).alias("f"),
             F.when(F.col("_nt") > 0, F.col("_t_any")).alias("t"))
 
 
-def _outcomes(log: DataFrame, min_words: int) -> DataFrame:
+def _outcomes(log: DataFrame, min_words: int, place: str | None) -> DataFrame:
     """``_per_url`` of a log, written once: what hosts said is read from it again, and no page is judged twice."""
-    return stored(_per_url(judged(log, min_words)), "outcomes")
+    return stored(_per_url(judged(log, min_words, place), place), "outcomes")
 
 
 def _hosts(last: DataFrame) -> DataFrame:
@@ -77,13 +84,13 @@ def _hosts(last: DataFrame) -> DataFrame:
         F.min(F.when(F.col("f.threw") & F.col("t").isNull(), F.col("url"))).alias("first_thrown"))
 
 
-def escalation_set(log: DataFrame, min_words: int = 80) -> DataFrame:
+def escalation_set(log: DataFrame, min_words: int = 80, place: str | None = None) -> DataFrame:
     """URLs to read in a browser tab: shells, bot checks, misread pages and fetches that threw.
 
     Not those a tab already read, and none of a host where a tab could not be opened. Where nothing is known of a host's
     tabs, the first URL a fetch threw on goes alone: its tab answers for the host.
     """
-    last = _outcomes(log, min_words).filter(F.col("f").isNotNull() | F.col("t").isNotNull())
+    last = _outcomes(log, min_words, place).filter(F.col("f").isNotNull() | F.col("t").isNotNull())
     page = F.col("f.status").isin("shell", "challenge")
     wanted = last.filter(F.col("t").isNull() & (page | F.col("f.threw"))).withColumn("host", authority_host(F.col("url")))
     placed = salted_join(wanted, _hosts(last), ["host"], F.col("url"))
@@ -92,9 +99,12 @@ def escalation_set(log: DataFrame, min_words: int = 80) -> DataFrame:
     return placed.filter(goes).select("url", F.col("f.status").alias("status"))
 
 
-def resolve_attempts(log: DataFrame, min_words: int = 80) -> DataFrame:
-    """One item per URL: the tab's answer where it gave one, else the fetch's, with what each of them said."""
-    last = _outcomes(log, min_words).withColumn("host", authority_host(F.col("url")))
+def resolve_attempts(log: DataFrame, min_words: int = 80, place: str | None = None) -> DataFrame:
+    """One item per URL: the tab's answer where it gave one, else the fetch's, with what each of them said.
+
+    A URL may be listed more than once and its attempts share their numbers; ``place`` names a number of the log that says which was listed first, and that one counts.
+    """
+    last = _outcomes(log, min_words, place).withColumn("host", authority_host(F.col("url")))
     failed = _hosts(last).filter("tab_failed").select("host", F.col("_said").alias("_host_said"))
     rows = salted_join(last, failed, ["host"], F.col("url"), how="left")
     tab_error = F.col("t.kind") == "error"
@@ -118,12 +128,12 @@ def resolve_attempts(log: DataFrame, min_words: int = 80) -> DataFrame:
                        best("title").alias("title"), best("ext").alias("ext"), (F.col("_nf") + F.col("_nt")).alias("attempts"))
 
 
-def resolved_statuses(log: DataFrame, min_words: int = 80, **also: Column) -> DataFrame:
+def resolved_statuses(log: DataFrame, min_words: int = 80, place: str | None = None, **also: Column) -> DataFrame:
     """``(url, status, http_status)`` as ``resolve_attempts`` has them, in one aggregate: titles, messages and hosts are not looked at. ``also`` are aggregates of the log."""
     narrow = page_status(log, min_words)
     fields = F.struct("kind", "status", "http_status")
     fetch, tab = _fetch(), F.col("via") == "tab"
-    last = narrow.groupBy("url").agg(F.max_by(fields, F.when(fetch, F.col("attempt_no"))).alias("f"), F.max_by(fields, F.when(tab, F.col("attempt_no"))).alias("t"),
+    last = narrow.groupBy("url").agg(F.max_by(fields, F.when(fetch, _number(place))).alias("f"), F.max_by(fields, F.when(tab, _number(place))).alias("t"),
                                      F.count_if(fetch).alias("_nf"), F.count_if(tab).alias("_nt"), *(c.alias(k) for k, c in also.items()))
     from_tab = ((F.col("_nt") > 0) & (F.col("t.kind") != "error")) | (F.col("_nf") == 0)
     return last.select("url", *(F.when(from_tab, F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("status", "http_status")), *also)

@@ -205,7 +205,7 @@ SELECT root, sum(c)::BIGINT AS requested, coalesce(sum(c) FILTER (status = 'ok')
   coalesce((SELECT string_agg(url || ' ' || status || ' ' || http_status, ',' ORDER BY r) FROM bad b WHERE b.root = per.root AND r <= 10), '') AS not_ok
 FROM per GROUP BY root""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    items = (attempts.resolved_statuses(corpora.fetch_log(spark, d), n=F.min("page_id"))
+    items = (attempts.resolved_statuses(corpora.fetch_log(spark, d), place="page_id", n=F.min("page_id"))
              .select(site_of(F.col("url")).alias("root"), "n", "url", "status", "http_status"))
     # a crawl's items are read twice: once written down, the pages are not judged again
     report = sitegraph.crawl_report(reliable(items))

@@ -286,6 +286,15 @@ def test_attempts_resolve_like_a_plain_reading(table, seed) -> None:
     assert narrow == {(r.url, r.status, r.http_status) for r in attempts.resolve_attempts(rows).collect()}
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_a_url_listed_twice_counts_as_first_listed(table, order) -> None:
+    made = [(place, attempt(u, no, via, what)) for u in "ABC" for place, tries in ((7, [("fetch", "challenge")]), (3, [("fetch", "ok"), ("tab", "lost")]), (9, [("fetch", "shell"), ("tab", "ok")]))
+            for no, (via, what) in enumerate(tries, 1)]
+    rows = table(LOG + ", page_id bigint", [{**a, "url": f"https://{a['url']}.test/", "page_id": place} for place, a in made[::order]]).repartition(4)
+    assert [(r.status, r.via, r.error, r.attempts) for r in attempts.resolve_attempts(rows, place="page_id").collect()] == [("ok", "fetch", "in a tab: CDP session detached: x", 5)] * 3
+    assert [(r.status, r.http_status, r.n) for r in attempts.resolved_statuses(rows, place="page_id", n=F.min("page_id")).collect()] == [("ok", 200, 3)] * 3
+
+
 def test_batches(table) -> None:
     listing = table("root string, ord bigint, url string", [(root, i, f"u{i}") for root in ("R", None) for i in range(10)])
     got = defaultdict(list)
