@@ -192,16 +192,23 @@ def normalize_events(records: DataFrame) -> DataFrame:
             .drop("_r", "_role", "_content"))
 
 
+def _each(events: DataFrame, keep: list[str], array: str, out: str) -> DataFrame:
+    """``keep`` with one row an entry of ``array``, and its place ``pos``.
+
+    Exploded outer: an inner explode also filters rows by the array's size, below the typing, where a column made from a record is worked out anew for each condition.
+    """
+    return events.select(*keep, F.posexplode_outer(array).alias("pos", out)).filter(F.col("pos").isNotNull())
+
+
 def tool_calls(events: DataFrame) -> DataFrame:
     """``(session_id, index, pos, name, target)``: what was called, and in one line what for."""
-    return (events.select("session_id", "index", F.posexplode("tool_calls").alias("pos", "_c"))
-            .select("session_id", "index", "pos", "_c.name", "_c.target"))
+    return _each(events, ["session_id", "index"], "tool_calls", "_c").select("session_id", "index", "pos", "_c.name", "_c.target")
 
 
 def event_sources(events: DataFrame, *also: str) -> DataFrame:
     """One row a source an event names, with its place in the event."""
     keep = [c for c in ("run_id", "child_id", "stream", "session_id", "turn_no", "index", "ts", "tool_name", *also) if c in events.columns]
-    return events.select(*keep, F.posexplode("sources").alias("pos", "_s")).select(*keep, "pos", "_s.*")
+    return _each(events, keep, "sources", "_s").select(*keep, "pos", "_s.*")
 
 
 def downloads(events: DataFrame) -> DataFrame:
@@ -223,4 +230,4 @@ def usage_rows(events: DataFrame) -> DataFrame:
 
 def child_ids(events: DataFrame) -> DataFrame:
     """``(session_id, index, child_id)``: child sessions an event names."""
-    return events.select("session_id", "index", F.explode("child_ids").alias("child_id"))
+    return _each(events, ["session_id", "index"], "child_ids", "child_id").select("session_id", "index", "child_id")

@@ -150,6 +150,8 @@ def sitemap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # task per assistant row and are reused by later turns.
 
 BASE_MS = 1_700_000_000_000
+#: Rows of conversations that one task makes records of, some ten a row.
+TASK_TURNS = 4096
 _NONE = {"event": "STRING", "content": "ARRAY<STRUCT<type: STRING, text: STRING, name: STRING, arguments: STRUCT<url: STRING, objective: STRING, description: STRING>>>",
          "stopReason": "STRING", "errorMessage": "STRING", "toolName": "STRING",
          "details": "STRUCT<sources: ARRAY<STRUCT<id: STRING, url: STRING, title: STRING, excerpt: STRING>>, taskId: STRING>", "isError": "BOOLEAN",
@@ -198,7 +200,7 @@ def run_id(conv: Column, turn: Column) -> Column:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, index, raw)``: transcript records of every conversation, its child sessions included."""
-    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id").selectExpr(
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", TASK_TURNS).selectExpr(
         "conv_id", "turn", "role", "text", "CAST(conv_id AS STRING) AS c", "CAST(turn AS STRING) AS t", "concat('P', conv_id) AS parent",
         "concat('K', conv_id, 'x', turn DIV 4) AS child", f"{BASE_MS} + conv_id * 10000000 + turn * 100000 AS t0",
         "conv_id % 4 <> 0 AS framed", "conv_id % 5 = 0 AND turn % 4 = 3 AS left_open", "(conv_id + turn) % 6 = 0 AS kid_open",

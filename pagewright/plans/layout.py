@@ -4,7 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table that was just read, dealt over the cores if it comes in fewer splits than there are cores; the operators take any layout."""
+def spread(table: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """A table that was just read, dealt over the cores if it comes in fewer splits than there are cores; the operators take any layout.
+
+    With ``rows`` a split holds about that many, so that of rows each of which becomes many a task's share does not grow with the table. The count is read off the files' footers.
+    """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+    wanted = cores if rows is None else max(cores, -(-table.count() // rows))
+    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted, key)

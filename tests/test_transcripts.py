@@ -535,3 +535,23 @@ def test_audits(scripted, table, spark) -> None:
     assert audit.record_counts(records, made.events).count() == 0
     lost = audit.record_counts(records, made.events.filter("index <> 1")).first()
     assert (lost.records, lost.events) == (4, 3)
+
+
+def test_a_record_is_typed_once_whatever_is_taken_of_it(spark, capsys) -> None:
+    typed = events.normalize_events(spark.createDataFrame([("S", 0, "{}")], "session_id string, index bigint, raw string"))
+    for taken in (events.downloads, events.tool_calls, events.child_ids):
+        taken(typed).explain()
+        plan = capsys.readouterr().out
+        assert "try_variant_get" in plan
+        assert not [line for line in plan.splitlines() if "Filter" in line and "try_variant_get" in line]
+
+
+def test_a_tasks_share_of_a_table_does_not_grow_with_it(spark, tmp_path) -> None:
+    from pagewright.plans.layout import spread
+    parts = []
+    for n in (400, 4000):
+        spark.range(n).write.parquet(str(tmp_path / str(n)))
+        dealt = spread(spark.read.parquet(str(tmp_path / str(n))), "id", 100)
+        assert dealt.distinct().count() == n
+        parts.append(dealt.rdd.getNumPartitions())
+    assert parts == [max(4, spark.sparkContext.defaultParallelism), 40]
