@@ -584,9 +584,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("saved_path_audit", f"{E} SELECT DISTINCT session_id, idx AS index, saved_path FROM src WHERE saved_path <> '' AND saved_path NOT LIKE '%/doc1.pdf'")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    store = Store(spark, d)
-    there = events.downloads(store.typed).filter(F.col("saved_path").endswith("/doc1.pdf")).select(F.col("saved_path").alias("path"))
-    return audit.saved_path_audit(store.typed, there)
+    # read twice: records are typed once
+    typed = stored(Store(spark, d).typed.select("session_id", "index", "sources"), "events")
+    there = events.downloads(typed).filter(F.col("saved_path").endswith("/doc1.pdf")).select(F.col("saved_path").alias("path"))
+    return audit.saved_path_audit(typed, there)
 
 
 @query("session_profile", f"""{E} SELECT session_id, tool_name AS tool, count(*) AS results, 0 AS errors, count(child) AS children, max(duration) AS longest_ms, quantile_disc(duration, 0.5) AS median_ms
