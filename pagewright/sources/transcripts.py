@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.ordered import running_sums
-from pagewright.session import stored
+from pagewright.session import ship_package, stored
 
 #: The session a transcript's path names: ``<date>_<id>/messages.jsonl``, or a copied ``<id>.jsonl``.
 SESSION = r"(?:_([A-Za-z0-9]+)/messages|/([A-Za-z0-9]+))\.jsonl$"
@@ -88,7 +88,8 @@ LISTED = "path string, rel string, mtime timestamp, length long"
 _FOLDERS = "folder string, rel string"
 
 
-def _local(path: str) -> str:
+def local_path(path: str) -> str:
+    """A mounted folder's path without a scheme."""
     return unquote(path.removeprefix("file:")) if path.startswith("file:") else path
 
 
@@ -100,23 +101,36 @@ def _folders(batches):
         yield pd.DataFrame(rows, columns=["folder", "rel"], dtype="object")
 
 
+#: Files that a listing hands on at once, however many folders they stand in.
+LISTED_AT_ONCE = 5000
+
+
+def _rows(found: list[tuple]) -> pd.DataFrame:
+    paths, rels, times, sizes = zip(*found, strict=True) if found else ((), (), (), ())
+    return pd.DataFrame({"path": pd.Series(paths, dtype="object"), "rel": pd.Series(rels, dtype="object"),
+                         "mtime": pd.Series(times, dtype="int64").astype("datetime64[us]"), "length": pd.Series(sizes, dtype="int64")})
+
+
 def _files(deep: bool):
     """The files in folders ``(folder, rel)``, links left out, and with ``deep`` those of the folders below too."""
     def files(batches):
+        found = []
         for batch in batches:
             for folder, rel in zip(batch["folder"], batch["rel"], strict=True):
                 at = [(folder, rel)]
                 while at:
                     here, name = at.pop()
-                    rows = []
                     for entry in os.scandir(here):
                         if entry.is_dir(follow_symlinks=False):
                             if deep:
                                 at.append((entry.path, f"{name}/{entry.name}"))
                         elif entry.is_file(follow_symlinks=False):
                             stat = entry.stat(follow_symlinks=False)
-                            rows.append((entry.path, f"{name}/{entry.name}", pd.Timestamp(stat.st_mtime_ns // 1000, unit="us"), stat.st_size))
-                    yield pd.DataFrame(rows, columns=["path", "rel", "mtime", "length"]).astype({"path": "object", "rel": "object", "mtime": "datetime64[us]", "length": "int64"})
+                            found.append((entry.path, f"{name}/{entry.name}", stat.st_mtime_ns // 1000, stat.st_size))
+                            if len(found) == LISTED_AT_ONCE:
+                                yield _rows(found)
+                                found = []
+        yield _rows(found)
     return files
 
 
@@ -125,10 +139,13 @@ def listed_files(spark: SparkSession, path: str, spread: int = 2) -> DataFrame:
 
     The folders of the first ``spread`` levels are listed level by level and dealt out, each then walked by one task, a row a file.
     """
-    level = spark.createDataFrame([(_local(path).rstrip("/"), "")], _FOLDERS)
+    ship_package(spark)
+    # dealt by a number: the names of many folders are few bytes, which the engine would gather in one task
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(local_path(path).rstrip("/"), "")], _FOLDERS)
     found = level.mapInPandas(_files(spread == 0), LISTED)
     for d in range(1, spread + 1):
-        level = level.mapInPandas(_folders, _FOLDERS).repartition("folder")
+        level = level.mapInPandas(_folders, _FOLDERS).repartition(tasks, "folder")
         found = found.unionByName(level.mapInPandas(_files(d == spread), LISTED))
     return found
 

@@ -555,3 +555,23 @@ def test_a_tasks_share_of_a_table_does_not_grow_with_it(spark, tmp_path) -> None
         assert dealt.distinct().count() == n
         parts.append(dealt.rdd.getNumPartitions())
     assert parts == [max(4, spark.sparkContext.defaultParallelism), 40]
+
+
+def test_many_folders_are_listed_in_few_batches(tmp_path) -> None:
+    import pandas as pd
+    for i in range(300):
+        (tmp_path / f"s{i}" / "deep").mkdir(parents=True)
+        (tmp_path / f"s{i}" / "deep" / "f.txt").write_text("x" * i)
+    folders = pd.DataFrame({"folder": [str(tmp_path / f"s{i}") for i in range(300)], "rel": [f"/s{i}" for i in range(300)]})
+    listed = list(transcripts._files(True)(iter([folders[:200], folders[200:]])))
+    assert len(listed) == 1
+    assert sorted(zip(listed[0]["rel"], listed[0]["length"], strict=True)) == sorted((f"/s{i}/deep/f.txt", i) for i in range(300))
+
+
+def test_files_are_written_by_tasks_whole_and_in_order(spark, tmp_path) -> None:
+    from pagewright.plans.scratch import write_files
+    rows = spark.range(6000).selectExpr("concat(id % 7, '/f', id % 50, '.txt') AS file", "id", "concat('é', id, '\n') AS value")
+    n = write_files(rows.repartition(5, "file").sortWithinPartitions("file", "id"), f"file:{tmp_path}/out")
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*.txt")}
+    assert n == len(found) == 350
+    assert found["3/f24.txt"] == "".join(f"é{i}\n" for i in range(6000) if i % 7 == 3 and i % 50 == 24)
