@@ -11,7 +11,7 @@ from pagewright.operators import answers, audit, events, evidence, logs, reports
 from pagewright.plans import corpora
 from pagewright.plans.layout import spread
 from pagewright.plans.registry import query
-from pagewright.plans.scratch import scratch
+from pagewright.plans.scratch import scratch, write_files
 from pagewright.session import stored
 from pagewright.sources import transcripts
 
@@ -94,11 +94,10 @@ def _md5(column: str) -> Column:
 def _(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "sessions")
     raw = corpora.transcripts(spark, d)
-    # one file a session, named for it, written by the task that holds the session's rows in order
-    (raw.repartition("session_id").sortWithinPartitions("session_id", "index")
-     .select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), F.col("raw").alias("value"))
-     .write.partitionBy("session").text(folder))
-    scanned = transcripts.scan_transcripts(spark, folder, glob="*.txt", session=r"_([A-Za-z0-9]+)/[^/]+$")
+    # one file a session, named for it, written by the task that holds the session's rows in order; 256 folders, so that listing them takes no call a session
+    write_files(raw.repartition("session_id").sortWithinPartitions("session_id", "index")
+                .select(F.concat(F.substring(F.md5("session_id"), 1, 2), F.lit("/"), "session_id", F.lit(".jsonl")).alias("file"), F.concat("raw", F.lit("\n")).alias("value")), folder)
+    scanned = transcripts.scan_transcripts(spark, folder)
     return events.normalize_events(scanned).select("session_id", "index", "kind")
 
 
@@ -645,6 +644,5 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "home")
     files = corpora.artifacts(spark, d)
-    made = files.select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), F.col("rel_path").alias("file"), F.col("path").alias("value"))
-    made.write.partitionBy("session", "file").text(folder)
-    return transcripts.scan_artifacts(spark, folder, r"_([A-Za-z0-9]+)/file=([^/]+)/part-[^/]*$").select("session_id", "rel_path")
+    write_files(files.select(F.concat(F.lit("2024-01-01_"), "session_id", F.lit("/artifacts/"), "rel_path").alias("file"), F.col("path").alias("value")), folder)
+    return transcripts.scan_artifacts(spark, folder).select("session_id", "rel_path")
