@@ -11,7 +11,7 @@ from pagewright.operators.events import normalize_events
 from pagewright.operators.ordered import chunk_of, numbered, running_sum
 from pagewright.plans import corpora
 from pagewright.plans.registry import query
-from pagewright.plans.scratch import scratch
+from pagewright.plans.scratch import scratch, write_files
 from pagewright.session import stored
 from pagewright.streaming import runs as live_runs
 from pagewright.streaming import transcripts as live
@@ -41,8 +41,8 @@ def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).option("recursiveFileLookup", mode != "append").parquet(out)
 
 
-def _segments(spark: SparkSession, d: str) -> str:
-    """The transcripts as segment files of some twenty records, in folders of their first byte. Each begins and ends inside a record, behind a quotation mark of its second
+def _segments(spark: SparkSession, d: str) -> tuple[str, int]:
+    """The transcripts as segment files of some twenty records, named for their session and first byte, and how many they are. Each begins and ends inside a record, behind a quotation mark of its second
     half, and holds the last five of the one before again."""
     folder = scratch(spark, "segments")
     raw = numbered(corpora.transcripts(spark, d), ["session_id"], ["index"], "n", chunk_of(F.col("index")))
@@ -57,12 +57,9 @@ def _segments(spark: SparkSession, d: str) -> str:
     line = F.concat(F.when(opens, F.col("after")).when(ends, F.col("before")).otherwise(F.col("raw")), F.when(ends | (F.col("n") == F.col("last")), "").otherwise("\n"))
     at = F.col("stop") - F.octet_length("raw") - 1 + F.when(opens, F.octet_length("before") + 1).otherwise(0)
     whole = parts.groupBy("session_id", "part", "last").agg(F.min(at).alias("start"), F.max("n").alias("until"), F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("all"))
-    whole = stored(whole.select(F.concat(F.lit("2024-01-01_"), "session_id").alias("session"), "start", (F.col("until") == F.col("last")).alias("done"),
-                                F.array_join(F.transform("all", lambda x: x["line"]), "").alias("value")), "segments")
-    for done, end in ((False, '"'), (True, "\n")):
-        (whole.filter(F.col("done") == done).drop("done").repartition("session", "start").write.mode("append").partitionBy("session", "start")
-         .option("compression", "none").option("lineSep", end).text(folder))
-    return folder
+    text = F.concat(F.array_join(F.transform("all", lambda x: x["line"]), ""), F.when(F.col("until") == F.col("last"), "\n").otherwise('"'))
+    name = F.concat(F.substring(F.md5("session_id"), 1, 2), F.lit("/"), "session_id", F.lit("-"), F.col("start").cast("string"), F.lit(".jsonl"))
+    return folder, write_files(whole.select(name.alias("file"), text.alias("value")), folder)
 
 
 def _events(spark: SparkSession, d: str, files_per_trigger: int) -> DataFrame:
@@ -75,8 +72,9 @@ def _events(spark: SparkSession, d: str, files_per_trigger: int) -> DataFrame:
 
 @query("stream_transcripts", f"""{E} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS n, kind, md5(content) AS content, ts FROM ev""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    source = _segments(spark, d)
-    records = live.stream_transcripts(spark, source, pattern="*.txt", segment=r"_([A-Za-z0-9]+)/start=([0-9]+)/part-")
+    source, files = _segments(spark, d)
+    # sixteen batches or more: what a batch costs beside its files does not grow with the table, and sessions are cut between them
+    records = live.stream_transcripts(spark, source, max(1000, files // 16), segment=r"/([A-Za-z0-9]+)-([0-9]+)\.jsonl$")
     read = normalize_events(drain(records, "append", scratch(spark, "tail"))).select("session_id", "index", "kind", F.md5("content").alias("content"), "ts")
     return numbered(stored(read, "read"), ["session_id"], ["index"], "n", chunk_of(F.col("index"), 1 << 22)).drop("index")
 

@@ -117,6 +117,13 @@ def keyed_state(spark: SparkSession) -> None:
         spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def listed_by_cores(spark: SparkSession) -> None:
+    """A batch's files are listed once more when it is read, by a task for each of up to 10,000 files; in a session that has not set their number they are some for each core."""
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if int(spark.conf.get(tasks)) == 10_000:
+        spark.conf.set(tasks, 4 * spark.sparkContext.defaultParallelism)
+
+
 def copied_so_far(spark: SparkSession, path: str, glob: str = "*.jsonl", session: str = SESSION) -> DataFrame:
     """``(session_id, stop, tail)`` of the transcripts under ``path``: the bytes of each, and those of its last line that is not ended yet."""
     lines = transcript_lines(spark, path, glob)
@@ -137,6 +144,7 @@ def stream_transcripts(spark: SparkSession, path: str, files_per_trigger: int =
     records comes again, and its unfinished line goes on. A file whose name tells no session and start byte is refused.
     """
     keyed_state(spark)
+    listed_by_cores(spark)
     files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
              .option("maxFilesPerTrigger", files_per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
     named = F.regexp_extract("path", segment, 2)

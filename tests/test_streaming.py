@@ -55,3 +55,17 @@ def test_turn_state_of_a_stream_is_the_tables(spark, tmp_path) -> None:
     last = states.groupBy("session_id").agg(F.max_by(F.struct("open", "last_at", "records", "children_named"), "_batch").alias("s")).select("session_id", "s.*")
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(last) == key(live.turn_state(table))
+
+
+def test_a_batchs_files_are_not_listed_by_a_task_each(spark, tmp_path) -> None:
+    for i in range(120):
+        (tmp_path / "in" / f"d_S{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"d_S{i}" / "0.jsonl").write_text('{"role": "user"}\n')
+    records = live.stream_transcripts(spark, str(tmp_path / "in"))
+    # a stream keeps the settings it was started with
+    run = records.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) < 120
+    assert max(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(str(run.runId)) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)) < 120
