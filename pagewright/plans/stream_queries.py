@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -62,6 +62,25 @@ def _segments(spark: SparkSession, d: str) -> tuple[str, int]:
     return folder, write_files(whole.select(name.alias("file"), text.alias("value")), folder)
 
 
+#: Rows of narrow typed records a file of a stream's batch holds.
+FILE_ROWS = 1 << 16
+
+
+def _in_slices(rows: DataFrame, at: Column, n: int, folder: str, file_rows: int = FILE_ROWS) -> int:
+    """Writes a stored table's ``rows`` as ``n`` spans of ``at``, a number, one after another, each in as many files, and says in how many: a stream that takes so many at a time takes a span in a batch.
+
+    A span is dealt in turn by the tasks that read it. Of those one reads its share at least, so a span of as many rows as tasks times files leaves no file out.
+    """
+    least, most = rows.agg(F.min(at), F.max(at)).first()
+    cuts = [least + (most + 1 - least) * i // n for i in range(n + 1)]
+    spans = [rows.filter(at.between(a, b - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    sizes = rows.agg(*(F.count_if(at.between(a, b - 1)) for a, b in zip(cuts, cuts[1:], strict=False))).first()
+    files = max(1, min(-(-max(sizes) // file_rows), min(sizes) // rows.rdd.getNumPartitions()))
+    for span in spans:
+        (span.repartition(files) if files > 1 else span.coalesce(1)).write.mode("append").parquet(folder)
+    return files
+
+
 def _events(spark: SparkSession, d: str, files_per_trigger: int) -> DataFrame:
     """The typed records as a stream over a written table."""
     folder = scratch(spark, "live-events")
@@ -158,14 +177,14 @@ v AS (SELECT run_id, '' AS child_id, 'named' AS what, named AS ms, false AS wait
     CASE WHEN quiet IS NOT NULL OR late THEN due ELSE greatest(ended, coalesce(last, ended)) END, quiet IS NOT NULL OR late, '' FROM r)
 SELECT run_id, ch AS child_id, what, ms::BIGINT AS ms FROM v, w WHERE NOT waits OR ms < w""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    # all sessions at one time, and children's records seen late; four files by time, written one after another, so that every session is cut between them
+    # all sessions at one time, and children's records seen late; four spans of time, written one after another, so that every session is cut between them
     typed = live.live_events(corpora.transcripts(spark, d))
     seen = F.timestamp_millis(F.expr(_SEEN.format(div="DIV")))
-    rows = stored(typed.select("session_id", "index", "kind", "lifecycle", "stop", "content", "child_ids", seen.alias("seen_at")), "seen")
-    least, most = rows.agg(F.min(F.unix_millis("seen_at")), F.max(F.unix_millis("seen_at"))).first()
-    folder, cuts = scratch(spark, "seen"), [least + (most + 1 - least) * i // 4 for i in range(5)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        rows.filter(F.unix_millis("seen_at").between(a, b - 1)).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # only a prompt's text tells its run
+    prompt = F.when(F.col("kind") == "user", F.col("content"))
+    rows = stored(typed.select("session_id", "index", "kind", "lifecycle", "stop", prompt.alias("content"), "child_ids", seen.alias("seen_at")), "seen")
+    folder = scratch(spark, "seen")
+    files = _in_slices(rows, F.unix_millis("seen_at"), 4, folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     said = drain(live_runs.stream_runs(stream, "2 minutes", "1 second"), "append", scratch(spark, "runs"))
     return said.select("run_id", F.coalesce("child_id", F.lit("")).alias("child_id"), "what", "ms")

@@ -275,3 +275,37 @@ def test_a_stream_of_runs_equals_the_same_records_at_once(spark, tmp_path):
     counts = live.pending_children(got).collect()
     assert counts and all(r.pending == 0 for r in counts)
     assert {r.state for r in live.run_verdicts(got).collect()} <= {"completed", "completed_with_orphans", "abandoned"}
+
+
+def test_a_session_costs_a_reading_and_a_writing_a_batch_and_is_remembered_from_its_last_record():
+    """The router sets one timer for a session; when that is due and records came since, it is set anew and the turn stays."""
+    calls, timers, kept = [], [], []
+    state = SimpleNamespace(get=lambda: calls.append("get") or (kept[-1] if kept else None), update=lambda v: calls.append("update") or kept.append(v), clear=lambda: kept.clear())
+    handle = SimpleNamespace(getValueState=lambda name, schema: state, registerTimer=timers.append)
+    route = live._Route(100)
+    route.init(handle)
+    row = lambda ms, kind, run_id="": SimpleNamespace(at=ms, ms=ms, place=ms, kind=kind, lifecycle="", stop="", run_id=run_id, child_ids=None, parent="")
+    assert [(r.what, r.run_id) for r in route.handleInputRows(("s",), iter([row(1, "user", "a"), row(2, "assistant")]), None)] == [("opened", "a"), ("alive", "a")]
+    assert [(r.what, r.run_id) for r in route.handleInputRows(("s",), iter([row(90, "assistant")]), None)] == [("alive", "a")]
+    assert calls == ["get", "update"] * 2 and timers == [102]
+    due = lambda at: SimpleNamespace(getExpiryTimeInMs=lambda: at)
+    assert not list(route.handleExpiredTimer(("s",), None, due(102))) and kept and timers == [102, 190]
+    assert not list(route.handleExpiredTimer(("s",), None, due(190))) and not kept and timers == [102, 190]
+
+
+def test_a_span_of_time_is_written_in_as_many_files_as_the_others(spark, tmp_path):
+    """A batch is one span whole, and no span is written by one task, though one holds most rows; few rows are one file a span."""
+    from pagewright.plans.stream_queries import _in_slices
+    from pagewright.session import stored
+    rows = stored(spark.range(4000).select(F.when(F.col("id") < 3400, F.col("id") % 100).otherwise(100 + F.col("id") % 300).alias("at")).repartition(8), "t")
+    for name, file_rows, files in (("many", 500, 7), ("one", 10_000, 1)):
+        assert _in_slices(rows, F.col("at"), 4, str(tmp_path / name), file_rows) == files
+        got = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / name))
+        seen = {r._b: (r.n, r.least // 100, r.most // 100) for r in _batches(got, str(tmp_path / f"{name}-q"))}
+        assert {b: s[1:] for b, s in seen.items()} == {i: (i, i) for i in range(4)} and sum(s[0] for s in seen.values()) == 4000
+
+
+def _batches(stream, folder: str) -> list:
+    drain(stream, "update", folder)
+    read = stream.sparkSession.read.parquet(f"{folder}/out")
+    return read.groupBy(F.col("_batch").alias("_b")).agg(F.count("*").alias("n"), F.min("at").alias("least"), F.max("at").alias("most")).collect()
