@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators.events import BROWSER_TOOL, event_sources, page_text
-from pagewright.operators.ordered import chunk_of, numbered, pages_of_text, salted_join
+from pagewright.operators.ordered import chunk_of, copied_join, numbered, pages_of_text, salted_join
 
 USAGE = ["input", "output", "cache_read", "cache_write", "reasoning", "total_tokens"]
 #: Rank of a text for a source: a page that was read, the source's own excerpt, whatever else the result says.
@@ -141,8 +141,8 @@ def child_answers(tasks: DataFrame, turns: DataFrame, events: DataFrame) -> Data
         turns.filter("finished").select(F.col("session_id").alias("child_id"), "turn_no", "last_end_index"), ["child_id", "turn_no"])
     said = events.filter((F.col("kind") == "assistant") & (F.col("stop") == "end")).select(
         F.col("session_id").alias("child_id"), F.col("index").alias("last_end_index"), F.col("content").alias("answer"))
-    # a child is usually named by one run; copies of a task in many runs are spread by run
-    return (salted_join(done, said, ["child_id", "last_end_index"], F.col("run_id"))
+    # a child is usually named by one run, so its answer is sent once; copies of a task in many runs are spread by run
+    return (copied_join(done, said, ["child_id", "last_end_index"], F.col("run_id"))
             .filter(F.col("answer") != "").select("run_id", "child_id", "mention", "answer"))
 
 

@@ -134,6 +134,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def copied_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, rows: int = CHUNK_ROWS) -> DataFrame:
+    """An equi-join of narrow rows with wide ones, one a key: a wide row is sent once for each ``rows`` narrow rows of its key, and not at all where there is none."""
+    counts = big.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_copies"))
+    left = salted_join(big, counts, keys, spread).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int")).drop("_copies")
+    right = small.join(counts, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def pages_of_text(df: DataFrame, keys: list[str], order: list, text: Column, out: str, chunk: Column,
                   page_chars: int = 64 * 1024 * 1024) -> DataFrame:
     """The texts of a group joined in order, in pages: ``(keys, page, out)``.

@@ -107,3 +107,11 @@ def test_pages_of_text_put_end_to_end_are_the_whole(spark) -> None:
     for r in sorted(df.collect(), key=lambda r: (str(r.g), r.i)):
         want[r.g] = want.get(r.g, "") + r.t
     assert got == want
+
+
+def test_a_wide_row_is_sent_as_often_as_its_key_asks(spark) -> None:
+    """Narrow rows of a hot key, of ordinary ones and of none meet the wide row of their key as in a plain join; a hot key's wide row in each of its tasks."""
+    big = spark.range(900).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") < 30, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("g"), "id")
+    small = spark.createDataFrame([(f"g{i}", i, "x") for i in range(0, 1200, 3)] + [("hot", 0, "h"), (None, 0, "n")], "g string, k int, t string")
+    got = ordered.copied_join(big, small, ["g"], F.col("id"), 100)
+    assert same(got.select("g", "id", "k", "t"), big.join(small, "g").select("g", "id", "k", "t"))
