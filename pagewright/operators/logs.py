@@ -113,8 +113,8 @@ def _detail(full: bool, widths: Widths) -> Column:
             .when(F.col("kind").isin(*UNREAD), F.array(raw)))
 
 
-def log_lines(scoped: DataFrame, level: str = "progress", widths: Widths = Widths()) -> DataFrame:
-    """``(run_id, line_no, line)``: the log of each run, its own stream first, then each child's.
+def log_lines(scoped: DataFrame, level: str = "progress", widths: Widths = Widths(), also: tuple[str, ...] = ()) -> DataFrame:
+    """``(run_id, line_no, line)``: the log of each run, its own stream first, then each child's; with ``also``, columns of the event a line is of.
 
     Every line of a child's event carries the child's prefix. The steps and full levels print call arguments as they were
     written, through a small Arrow UDF; progress stays in the JVM.
@@ -132,9 +132,9 @@ def log_lines(scoped: DataFrame, level: str = "progress", widths: Widths = Width
         shown = counted.withColumn("_arguments", _arguments(called)).withColumn("_parts", _detail(level == "full", widths))
     texts = F.filter("_parts", lambda p: p.isNotNull())
     lines = F.flatten(F.transform(texts, lambda t: F.array(t) if level == "raw" else F.split(t, "\n")))
-    rows = shown.select("run_id", "stream", "child_id", "index", F.posexplode(lines).alias("_pos", "_line"))
+    rows = shown.select("run_id", "stream", "child_id", "index", *also, F.posexplode(lines).alias("_pos", "_line"))
     prefix = F.concat(F.lit("[child "), F.col("child_id"), F.lit("]"), F.when(F.col("_line") == "", "").otherwise(" "))
     written = F.when(F.col("child_id") == "", F.col("_line")).otherwise(F.concat(prefix, F.col("_line")))
     placed = numbered(rows, ["run_id"], ["stream", "child_id", "index", "_pos"], "line_no",
                       F.struct("stream", "child_id", chunk_of(F.col("index"))))
-    return placed.select("run_id", "line_no", F.when(F.lit(level == "raw"), F.col("_line")).otherwise(written).alias("line"))
+    return placed.select("run_id", "line_no", F.when(F.lit(level == "raw"), F.col("_line")).otherwise(written).alias("line"), *also)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import answers, audit, events, evidence, logs, reports, states, turns
 from pagewright.plans import corpora
-from pagewright.plans.layout import spread
+from pagewright.plans.layout import dealt, spread
 from pagewright.plans.registry import query
 from pagewright.plans.scratch import scratch, write_files
 from pagewright.session import stored
@@ -18,11 +18,19 @@ from pagewright.sources import transcripts
 E = f"WITH {corpora.EVENTS_SQL}"
 
 
+#: Columns of events that turns, runs, their children and answers are made of.
+TURNED = ("session_id", "index", "kind", "lifecycle", "stop", "content", "ts", "child_ids")
+
+
 @dataclass
 class Store:
-    """The transcript store of one query: events typed and written once, with their turns; every branch reads the columns it needs."""
+    """The transcript store of one query: events typed and written once, with their turns; every branch reads the columns it needs.
+
+    ``also`` names what a query reads of events beside ``TURNED``; nothing else is worked out or written then. None is all.
+    """
     spark: SparkSession
     sf_dir: str
+    also: tuple[str, ...] | None = None
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -34,9 +42,12 @@ class Store:
 
     @cached_property
     def events(self) -> DataFrame:
-        # turns are numbered from a narrow reading of the records; events are then written once, each with its turn, and every branch reads the columns it needs
-        counted = stored(turns.segment_turns(self.typed.select("session_id", "index", "kind", "lifecycle")).select("session_id", "index", "turn_no"), "turn-numbers")
-        return stored(self.typed.join(counted, ["session_id", "index"]), "events")
+        # turns are numbered from a narrow reading of the records, written since numbering reads it twice; events are then written once, each with its turn, and every branch
+        # reads the columns it needs
+        kinds = stored(self.typed.select("session_id", "index", "kind", "lifecycle"), "kinds")
+        counted = stored(turns.segment_turns(kinds).select("session_id", "index", "turn_no"), "turn-numbers")
+        typed = self.typed if self.also is None else self.typed.select(*TURNED, *self.also)
+        return stored(dealt(typed, ["session_id", "index"], counted.count()).join(counted, ["session_id", "index"]), "events")
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -389,7 +400,7 @@ WHOLE = f"""{SAID}, {KID_SAID}, whole AS (SELECT run_id, string_agg(part, '' ORD
 
 @query("answer_with_children", f"{E}, {WHOLE} SELECT run_id, 0 AS page, answer FROM whole")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    store = Store(spark, d)
+    store = Store(spark, d, ())
     return evidence.answer_with_children(store.answers, evidence.child_answers(store.tasks, store.turns, store.events))
 
 
@@ -491,9 +502,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return states.unread_note(events.normalize_events(raw).withColumnRenamed("session_id", "run_id"))
 
 
-def _log(level: str):
+def _log(level: str, also: tuple[str, ...] | None = None):
     def build(spark: SparkSession, d: str) -> DataFrame:
-        return logs.log_lines(Store(spark, d).scoped, level)
+        return logs.log_lines(Store(spark, d, also).scoped, level)
     return build
 
 
@@ -550,13 +561,11 @@ query("log_lines_raw", f"""{E} SELECT run_id, row_number() OVER (PARTITION BY ru
 
 
 def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A raw line is the record as it was written; what the SQL can say of it is read back from the line."""
-    store = Store(spark, d)
-    lines = logs.log_lines(store.scoped, "raw")
+    """A raw line is the record as it was written; what the SQL can say of it is read back from the line, its session is the event's."""
+    lines = logs.log_lines(Store(spark, d, ("raw",)).scoped, "raw", also=("session_id",))
     said = F.from_json("line", "role string, event string, timestamp bigint")
     kind = F.when(said["role"] == "turn-lifecycle", "lifecycle").when(said["role"] == "toolResult", "tool_result").when(said["role"] == "system-message", "system").otherwise(said["role"])
-    whose = store.scoped.select("run_id", "session_id", F.col("raw").alias("line")).distinct()
-    return lines.join(whose, ["run_id", "line"]).select("run_id", "line_no", F.concat_ws(" ", "session_id", said["timestamp"].cast("string"), kind).alias("line"))
+    return lines.select("run_id", "line_no", F.concat_ws(" ", "session_id", said["timestamp"].cast("string"), kind).alias("line"))
 
 
 @query("tool_usage_progress", f"""{E} SELECT session_id, idx AS index, string_agg(name || '×' || n || CASE WHEN t <> '' THEN '[' || t || ']' ELSE '' END, ' ' ORDER BY p) AS usage FROM (

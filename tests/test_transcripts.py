@@ -575,3 +575,29 @@ def test_files_are_written_by_tasks_whole_and_in_order(spark, tmp_path) -> None:
     found = {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*.txt")}
     assert n == len(found) == 350
     assert found["3/f24.txt"] == "".join(f"é{i}\n" for i in range(6000) if i % 7 == 3 and i % 50 == 24)
+
+
+def test_a_raw_line_says_whose_record_it_is(scripted) -> None:
+    """Two children write the same record: each line is there once, with its own session, and no line is looked up by its text."""
+    call = lambda child: ("get", ("agent", "spawned"), {"details": {"taskId": child}})
+    kid = [("ask", "look", {"timestamp": 1_002_500}), ("say", "found", {"timestamp": 1_002_600})]
+    made = scripted({"P": [("ask", f"go {marker('r')}"), call("K1"), call("K2"), ("say", "done")], "K1": kid, "K2": kid}, ["r"])
+    rows = logs.log_lines(made.scoped, "raw", also=("session_id",)).orderBy("line_no").collect()
+    assert [(r.line_no, r.session_id) for r in rows] == list(enumerate(["P"] * 4 + ["K1"] * 2 + ["K2"] * 2))
+    assert len({r.line for r in rows}) == 6
+
+
+def test_wide_rows_are_dealt_by_their_number(spark) -> None:
+    from pagewright.plans.layout import dealt
+    rows = spark.range(100)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(rows, ["id"], 100, 10).rdd.getNumPartitions() == 10 > few
+    assert dealt(rows, ["id"], 10 * few, 10) is rows
+
+
+def test_a_store_writes_what_its_query_reads(spark) -> None:
+    from pagewright.plans.transcript_queries import TURNED, Store
+    d = "/root/testdata/sf0.001"
+    assert sorted(Store(spark, d, ("raw",)).events.columns) == sorted([*TURNED, "raw", "turn_no"])
+    every = Store(spark, d)
+    assert sorted(every.events.columns) == sorted([*every.typed.columns, "turn_no"])
