@@ -346,8 +346,9 @@ file AS (SELECT run_id, url, saved_path AS file FROM p WHERE owns_path QUALIFY r
 
 @query("source_files", f"{E}, {MERGED}, {OWNED} SELECT run_id, n, url, title, opened, file FROM numbered LEFT JOIN file USING (run_id, url)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    store = Store(spark, d)
-    return evidence.with_files(evidence.merge_sources(store.scoped), turns.download_owner(events.downloads(store.scoped)))
+    # sources and downloads are read off one scope, written without the records' texts
+    scoped = stored(Store(spark, d, ("tool_name", "sources")).scoped.select("run_id", "child_id", "stream", "session_id", "turn_no", "index", "ts", "tool_name", "sources"), "scoped")
+    return evidence.with_files(evidence.merge_sources(scoped), turns.download_owner(events.downloads(scoped)))
 
 
 @query("source_ids", f"{E} SELECT DISTINCT run_id, url, id FROM ssrc")
