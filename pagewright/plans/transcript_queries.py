@@ -520,7 +520,7 @@ query("log_lines", f"""{E}, parts AS (
     FROM scoped WHERE kind = 'assistant' AND stop = 'end' AND content <> ''
   UNION ALL SELECT run_id, stream, child_id, idx, 2, 'error: ' || error FROM scoped WHERE error <> '')
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY stream, child_id, idx, p) - 1 AS line_no,
-  CASE WHEN child_id = '' THEN line ELSE '[child ' || child_id || '] ' || line END AS line FROM parts""")(_log("progress"))
+  CASE WHEN child_id = '' THEN line ELSE '[child ' || child_id || '] ' || line END AS line FROM parts""")(_log("progress", ("tool_name", "is_error", "error", "tool_calls", "unknown_blocks")))
 
 
 def _cut(text: str, n: int) -> str:
