@@ -142,7 +142,7 @@ JOIN judged j ON j.session_id = t.child_id AND j.turn_no = t.turn_no JOIN rt ON
 WHERE t.last_task AND j.finished AND j.last_ts <= rt.last_ts - 3000 + 1000""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     from pagewright.plans.transcript_queries import Store
-    store, folder = Store(spark, d), scratch(spark, "ended")
+    store, folder = Store(spark, d, ()), scratch(spark, "ended")
     store.run_turns.select("run_id", F.timestamp_millis(F.col("last_ts") - 3000).alias("ended_at")).write.parquet(f"{folder}/parents")
     (store.tasks.filter("last_task").join(store.turns.filter("finished").select(F.col("session_id").alias("child_id"), "turn_no", "last_ts"),
                                           ["child_id", "turn_no"])
