@@ -75,16 +75,20 @@ def cells(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(a, b)``: links among distinct fingerprints that connect whatever differs in at most ``MOST_BITS`` bits; every link is within it."""
+    """``(a, b)``: links among distinct fingerprints that connect whatever differs in at most ``MOST_BITS`` bits; every link is within it.
+
+    Cells and words are many a fingerprint, but Spark takes an exploded table for as large as it was before: both sides of these joins are merged, else the driver
+    would be sent one of them whole.
+    """
     spread = cells(nodes)
     full = stored(spread.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell"), "cells")
     few = spread.join(full, "cell", "left_anti")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "cell").filter(F.col("a") < F.col("b")).filter(near).select("a", "b")
+    pairs = few.withColumnRenamed("fp", "a").hint("merge").join(few.withColumnRenamed("fp", "b"), "cell").filter(F.col("a") < F.col("b")).filter(near).select("a", "b")
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)))
     stars = spread.join(full, "cell", "left_semi").select("fp").distinct().select("fp", F.explode(flips).alias("word"))
     least = stars.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
-    starred = stars.join(least, "word").select("a", F.col("fp").alias("b")).filter(F.col("a") < F.col("b")).filter(near)
+    starred = stars.hint("merge").join(least, "word").select("a", F.col("fp").alias("b")).filter(F.col("a") < F.col("b")).filter(near)
     return pairs.unionByName(starred).distinct()
 
 

@@ -25,6 +25,20 @@ def table(spark):
     return make
 
 
+@pytest.fixture
+def sent():
+    """What a DataFrame's plan, as made before it runs, sends to the driver to be broadcast: a text for each such part."""
+    def found(df) -> list[str]:
+        out, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+            out += [node.toString()] * node.nodeName().startswith("BroadcastExchange")
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return out
+    return found
+
+
 # A transcript in a test is a script: one line a record, ``kind``, ``value`` and whatever fields the record has beside. What a kind is as a
 # record is said once, here. Time runs a second a line from the script's start.
 KIND_ROLES = {"ask": "user", "say": "assistant", "use": "assistant", "get": "toolResult", "note": "system-message", "mark": "turn-lifecycle",

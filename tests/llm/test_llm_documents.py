@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import exact, lm, mixing, packing, pii, simhash, suffix, toxicity
 from pagewright.llm.common import components
+from pagewright.session import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, bucket long"
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -155,6 +156,14 @@ def test_links_connect_what_differs_in_two_bits(spark, cell_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_cells_and_words_of_fingerprints_are_not_sent_to_the_driver(spark, sent):
+    """They are 33 and 65 a fingerprint, yet Spark sizes them as the fingerprints they are exploded from."""
+    nodes = stored(spark.range(-400, 400).select((F.col("id") * 3).alias("fp")), "nodes")
+    links = simhash.links(nodes, 3)
+    assert not [part for part in sent(links) if "Generate" in part]
+    assert links.count()
+
+
 def test_near_classes_and_dedup(docs):
     rows = sample()
     prints = [plain_fingerprint(r[1]) for r in rows]
