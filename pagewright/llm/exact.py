@@ -121,7 +121,8 @@ def _classes(rows: DataFrame, hash_chunk=chunk_hash) -> DataFrame:
                         .mapInArrow(_chunks, "_row long, _first long, _salt long, _salts long, _no long, _data binary"), "chunks")
         firsts = (chunks.filter("_row = _first").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
                   .select("_first", "_salt", "_no", F.col("_data").alias("_same")))
-        compared = (chunks.filter("_row <> _first").join(firsts, ["_first", "_salt", "_no"], "left")
+        # merged: texts, sized by their compressed files and as if there were one copy of each, are not sent to the driver
+        compared = (chunks.filter("_row <> _first").join(firsts.hint("merge"), ["_first", "_salt", "_no"], "left")
                     .groupBy("_row").agg(F.min(F.coalesce(F.col("_data") == F.col("_same"), F.lit(False))).alias("_ok")))
         differ = stored(compared.filter("not _ok").select("_row"), "differ")
         over = differ.isEmpty()

@@ -118,7 +118,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, most_sources: int = MOST_SOU
     placed = dealt.groupBy("group").applyInArrow(_packed(capacity, most_sources), "_row long, piece long, bin long, before long, group long")
     full = pieces.filter(F.col("n_words") >= capacity).select("_row", "piece", F.concat_ws("-", F.lit("f"), "_row", "piece").alias("bin_id"), F.lit(0).cast("long").alias("before"))
     bins = placed.select("_row", "piece", F.concat_ws("-", F.lit("g"), "group", "bin").alias("bin_id"), "before").unionByName(full)
-    return pieces.drop("cluster").join(bins, ["_row", "piece"])
+    # merged: Spark sizes pieces by their compressed file, a small part of their rows, and would send them to the driver
+    return pieces.drop("cluster").hint("merge").join(bins, ["_row", "piece"])
 
 
 def sequences(docs: DataFrame, packed: DataFrame) -> DataFrame:

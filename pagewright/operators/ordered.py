@@ -51,7 +51,7 @@ def by_range(df: DataFrame, keys: list[str], at: str, hot_rows: int = HOT_ROWS)
     if few:
         placed = df.join(F.broadcast(bounds), same, "left")
     else:
-        salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        salted = copies(bounds, 16)
         left = df.withColumn("_salt", F.pmod(F.xxhash64(at), F.lit(16)).cast("int"))
         placed = left.join(salted, reduce(lambda a, b: a & b, (left[k].eqNullSafe(salted[f"_of_{k}"]) for k in keys)) & (left["_salt"] == salted["_salt"]), "left").drop("_salt")
     above = lambda step, first: sum((F.when(F.col(at) >= F.element_at("_bounds", first + i * step), 1).otherwise(0) for i in range(1, RANGES)), F.lit(0))
@@ -126,12 +126,19 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int, salts: int = 64
     return kept.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n)
 
 
+def copies(df: DataFrame, n: int, out: str = "_salt") -> DataFrame:
+    """``df`` with ``out``: each row once for each number from 0 below ``n``.
+
+    A product, which Spark sizes as one; an exploded table counts for as large as it was before, so the driver would be sent all copies of one that is not small at all.
+    """
+    return df.crossJoin(F.broadcast(df.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias(out))))
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner",
                 salts: int = 16) -> DataFrame:
     """An equi-join whose hot keys are spread over ``salts`` tasks: the small side, a few rows a key, is repeated."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(copies(small, salts), [*keys, "_salt"], how).drop("_salt")
 
 
 def copied_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, rows: int = CHUNK_ROWS) -> DataFrame:

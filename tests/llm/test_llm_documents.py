@@ -94,6 +94,16 @@ def test_groups_of_many_copies_are_compared_beside_several_of_the_first(spark, m
     assert {(r.keep_id, r.group_size) for r in got} == {(1999, 1333), (1998, 667), (5000, 120)}
 
 
+def test_copies_of_a_first_text_are_not_sent_to_the_driver(spark, sent, monkeypatch):
+    """A group of many copies has its first text beside each so many of them, and Spark sizes these as one."""
+    monkeypatch.setattr(exact, "GROUP_ROWS", 4)
+    plans = []
+    monkeypatch.setattr(exact, "stored", lambda df, name, **options: (plans.append(sent(df)), stored(df, name, **options))[1])
+    kept = exact.exact_dedup(spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text")))
+    assert [r.doc_id for r in kept.collect()] == [39]
+    assert plans and not [part for parts in plans for part in parts if "Generate" in part]
+
+
 def test_exact_dedup_keeps_one_row_of_each_text_and_its_columns(docs):
     out = exact.exact_dedup(docs)
     assert out.columns == docs.columns
@@ -277,6 +287,12 @@ def test_packing_keeps_texts_whole_and_bins_compatible(docs):
         assert len(set(kept)) == len(kept)
 
 
+def test_pieces_are_not_sent_to_the_driver(docs, sent):
+    out = packing.pack(docs, capacity=40, group_rows=20)
+    assert not sent(out)
+    assert out.select("_row").distinct().count() == len(sample())
+
+
 def test_the_tightest_compatible_bin_is_found():
     bins = packing.Bins(10, 2)
     assert bins.put(6, 0, 1) == (0, 0)

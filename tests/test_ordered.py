@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import ordered
 from pagewright.operators.states import activity_sessions
+from pagewright.session import stored
 
 
 def hot(spark, n: int = 3000):
@@ -96,6 +97,22 @@ def test_salted_join(spark) -> None:
         assert same(fill(got), fill(want))
 
 
+def test_copies_count_as_many_before_they_are_sent(spark, sent) -> None:
+    """A salted small side is sixteen times the table it is made of, and is sized so: one that is small enough to be sent may not be sixteen times over."""
+    df, small = stored(hot(spark), "big"), stored(spark.range(2000).select(F.concat(F.lit("g"), "id").alias("g"), F.col("id").alias("k")), "small")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1 << 17)
+        files = lambda joined: [part for part in sent(joined) if "FileScan" in part]
+        assert files(df.join(small, "g", "left"))
+        assert not files(ordered.salted_join(df, small, ["g"], F.col("i"), "left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = df.join(small, "g", "left")
+    assert same(ordered.salted_join(df, small, ["g"], F.col("i"), "left").select(want.columns), want)
+    assert sorted((r.k, r._salt) for r in ordered.copies(small.filter("k < 2"), 3).collect()) == [(k, s) for k in range(2) for s in range(3)]
+
+
 def test_pages_of_text_put_end_to_end_are_the_whole(spark) -> None:
     df = hot(spark)
     pages = ordered.pages_of_text(df, ["g"], ["i"], F.col("t"), "text", ordered.chunk_of(F.col("i"), 37), page_chars=100)
