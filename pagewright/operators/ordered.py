@@ -67,7 +67,8 @@ def _carried(df: DataFrame, keys: list[str], totals: list[Column], carries: list
     carry = per_chunk.select(*parts, *carries).withColumnsRenamed({k: f"_of_{k}" for k in parts})
     # a null key is a group and a null chunk a chunk, as in a plain window
     same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(carry[f"_of_{k}"]) for k in parts))
-    return df.join(carry, same).drop(*(f"_of_{k}" for k in parts))
+    # neither side is bounded, and Spark sizes what is read of files by their compressed bytes, a tenth of the rows' and less: merged, else the driver may be sent either
+    return df.hint("merge").join(carry, same).drop(*(f"_of_{k}" for k in parts))
 
 
 def _before(keys: list[str]):

@@ -90,7 +90,7 @@ def prompts_of(events: DataFrame, turns: DataFrame, marker: str = MARKER) -> Dat
     """``(session_id, turn_no, prompt_index, prompt, run_id)``: the prompt that opened each turn."""
     asked = events.filter(F.col("kind") == "user").select("session_id", F.col("index").alias("prompt_index"), "content")
     opened = turns.filter(F.col("prompt_index").isNotNull()).select("session_id", "turn_no", "prompt_index")
-    return opened.join(asked, ["session_id", "prompt_index"]).select(
+    return opened.hint("merge").join(asked, ["session_id", "prompt_index"]).select(
         "session_id", "turn_no", "prompt_index", F.col("content").alias("prompt"), marked_run(F.col("content"), marker).alias("run_id"))
 
 
@@ -114,7 +114,7 @@ def run_session_join(runs: DataFrame, prompts: DataFrame) -> DataFrame:
     found = (prompts.filter(F.col("run_id") != "").groupBy("run_id")
              .agg(F.max(F.struct("session_id", "turn_no", "prompt_index")).alias("_p"))
              .select("run_id", "_p.session_id", "_p.turn_no", "_p.prompt_index"))
-    return runs.join(found, "run_id")
+    return runs.hint("merge").join(found, "run_id")
 
 
 def run_turns(joined: DataFrame, turns: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def run_turns(joined: DataFrame, turns: DataFrame) -> DataFrame:
     here = turns.select("session_id", "turn_no", "start_ts", "last_ts", "finished_index", "last_end_index", "finished", "failed",
                         "error_index")
     later = turns.select("session_id", (F.col("turn_no") - 1).alias("turn_no"), F.col("start_ts").alias("next_ts"))
-    return joined.join(here, ["session_id", "turn_no"]).join(later, ["session_id", "turn_no"], "left")
+    return joined.hint("merge").join(here, ["session_id", "turn_no"]).join(later.hint("merge"), ["session_id", "turn_no"], "left")
 
 
 def run_scope(runs: DataFrame, events: DataFrame) -> DataFrame:
@@ -148,12 +148,12 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
     session's next turn is: this run collected it late. Found by one pass over each child's timeline, on which runs of a
     session do not overlap, not by pairing runs with tasks.
     """
-    frames = (salted_join(named, runs.select("run_id", F.col("session_id").alias("parent"), "start_ts", "next_ts"), ["run_id"], F.col("child_id"))
+    frames = (salted_join(named.hint("merge"), runs.select("run_id", F.col("session_id").alias("parent"), "start_ts", "next_ts"), ["run_id"], F.col("child_id"))
               .withColumn("start_ts", F.coalesce("start_ts", F.lit(0).cast("long"))))
     parents = frames.select("child_id", "parent").distinct()
     given_at = turns.filter("turn_no > 0").select(F.col("session_id").alias("child_id"), "turn_no",
                                                   F.coalesce("start_ts", F.lit(0).cast("long")).alias("at"))
-    tasks = salted_join(given_at, parents, ["child_id"], F.col("turn_no"))
+    tasks = salted_join(given_at.hint("merge"), parents, ["child_id"], F.col("turn_no"))
     never = F.lit(2**62).cast("long")
     none = F.lit(None).cast("long")
     line = (
@@ -176,7 +176,7 @@ def child_tasks(runs: DataFrame, named: DataFrame, turns: DataFrame) -> DataFram
     # a late task counts only where the run gave none
     best = found.groupBy("run_id", "child_id").agg(
         F.min("late").alias("_late"), F.max(F.struct((~F.col("late")).alias("given"), "turn_no"))["turn_no"].alias("_last"))
-    return (salted_join(found, best, ["run_id", "child_id"], F.col("turn_no")).filter(F.col("late") == F.col("_late"))
+    return (salted_join(found.hint("merge"), best, ["run_id", "child_id"], F.col("turn_no")).filter(F.col("late") == F.col("_late"))
             .select("run_id", "child_id", "mention", "turn_no", (F.col("turn_no") == F.col("_last")).alias("last_task")))
 
 

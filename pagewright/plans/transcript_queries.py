@@ -47,7 +47,7 @@ class Store:
         kinds = stored(self.typed.select("session_id", "index", "kind", "lifecycle"), "kinds")
         counted = stored(turns.segment_turns(kinds).select("session_id", "index", "turn_no"), "turn-numbers")
         typed = self.typed if self.also is None else self.typed.select(*TURNED, *self.also)
-        return stored(dealt(typed, ["session_id", "index"], counted.count()).join(counted, ["session_id", "index"]), "events")
+        return stored(dealt(typed, ["session_id", "index"], counted.count()).join(counted.hint("merge"), ["session_id", "index"]), "events")
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -644,7 +644,7 @@ FROM tasks t JOIN judged j ON j.session_id = t.child_id AND j.turn_no = t.turn_n
 def _(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, d)
     ended = store.run_turns.select("run_id", (F.col("last_ts") - 3000).alias("ended_ts"))
-    finished = store.tasks.filter("last_task").join(
+    finished = store.tasks.filter("last_task").hint("merge").join(
         store.turns.select(F.col("session_id").alias("child_id"), "turn_no", F.when(F.col("finished"), F.col("last_ts")).alias("finished_ts")),
         ["child_id", "turn_no"]).select("run_id", "child_id", "finished_ts")
     return states.settle_window(ended, finished, 500)

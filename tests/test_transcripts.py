@@ -10,6 +10,7 @@ from conftest import marker
 from pyspark.sql import functions as F
 
 from pagewright.operators import answers, audit, events, evidence, logs, states, turns
+from pagewright.session import stored
 from pagewright.sources import transcripts
 
 # --- records ---
@@ -601,3 +602,20 @@ def test_a_store_writes_what_its_query_reads(spark) -> None:
     assert sorted(Store(spark, d, ("raw",)).events.columns) == sorted([*TURNED, "raw", "turn_no"])
     every = Store(spark, d)
     assert sorted(every.events.columns) == sorted([*every.typed.columns, "turn_no"])
+
+
+def test_turns_runs_and_children_are_not_sent_to_the_driver(spark, scripted, sent) -> None:
+    """They grow with the transcripts, and Spark takes a stored table for as small as its compressed files; all a plan sends are the numbers of copies."""
+    lines = [("mark", "started"), ("ask", f"go {marker('r1')}"), ("get", ("subagent", "spawned"), {"details": {"taskId": "K1"}}), ("say", "done"), ("mark", "finished")]
+    derived = scripted({"P1": lines, "K1": [("mark", "started"), ("ask", "task"), ("say", "did"), ("mark", "finished")]}, ["r1"], {"K1": 1_002_000})
+    ids = stored(spark.createDataFrame([("r1",), ("r2",)], "run_id string"), "ids")
+    prompts = turns.prompts_of(derived.events, derived.turns)
+    joined = turns.run_session_join(ids, stored(prompts, "prompts"))
+    timed = derived.run_turns.select("run_id", F.col("last_ts").alias("ended_ts"))
+    children = stored(derived.tasks.select("run_id", "child_id", F.lit(0).cast("long").alias("finished_ts")), "children")
+    settled = states.settle_window(timed, children, 500)
+    tasks = turns.child_tasks(derived.run_turns, derived.named, derived.turns)
+    plans = [turns.segment_turns(derived.events.select("session_id", "index", "kind", "lifecycle")), prompts, joined, turns.run_turns(stored(joined, "joined"), derived.turns), tasks, settled]
+    assert not [part for plan in plans for part in sent(plan) if "Range (0" not in part or "FileScan" in part]
+    assert [(r.run_id, r.child_id, r.last_task) for r in tasks.collect()] == [("r1", "K1", True)]
+    assert [tuple(r) for r in settled.collect()] == [("r1", "K1", True)]
